@@ -20,3 +20,16 @@ def cell_corners(cell: str, res: int) -> Column:
 
 def cell_stats(df: DataFrame, aggs: dict[str, Column], res: int, cell: str = "cell_id") -> DataFrame:
     return df.groupBy(cell).agg(*[v.alias(k) for k, v in aggs.items()])
+
+
+def category_cell_metadata(df: DataFrame, category: str, lat: str, lon: str, res: int) -> DataFrame:
+    """Graph metadata ids "category_cell" for the own cell and its ring of neighbours."""
+    q, r = geo.axial(F.col(lat), F.col(lon), res)
+    work = df.withColumn("__q", q).withColumn("__r", r)
+    label = lambda a, b: F.concat(F.col(category), F.lit("_"), geo.cell_id(a, b, res))
+    ring = F.array(*[label(F.col("__q") + dq, F.col("__r") + dr) for dq, dr, _ in sorted(geo.disk_offsets(1, True))])
+    return (
+        work.withColumn("metadata_id", label(F.col("__q"), F.col("__r")))
+        .withColumn("metadata_id_neighbors", F.filter(ring, lambda x: x.isNotNull()))
+        .drop("__q", "__r")
+    )
