@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from savora.session import materialise
+
 SPLITTERS = 256
 
 
@@ -88,7 +90,7 @@ def global_order(df: DataFrame, key: Column, values: dict[str, Column] | None =
     """1-based rank over the whole table by `key` (unique, may be a struct), plus running sums
     that include the row, without a single-task window."""
     values = values or {}
-    work = df.withColumn("__key", key)
+    work = materialise(df.withColumn("__key", key))
     cuts = splitters(work, F.col("__key"))
     if cuts and hasattr(cuts[0], "asDict"):
         lits = [F.struct(*[F.lit(v).alias(k) for k, v in c.asDict().items()]) for c in cuts]
@@ -134,7 +136,7 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str,
     if not groups:
         src = src.withColumn("__all", F.lit(0))
     keys = groups or ["__all"]
-    hist = src.groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    hist = materialise(src.groupBy(*keys, value).agg(F.count("*").alias("__c")))
     cuts = splitters(hist, F.col(value), 64)
     run = prefix_sums(hist, keys, bucket_of(F.col(value), cuts), [F.col(value)], {"__before": F.col("__c")})
     sizes = hist.groupBy(*keys).agg(F.sum("__c").alias("__n"))

@@ -9,12 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from savora.functions.ordering import bucket_of, prefix_sums, splitters
+
 
 def liked_counts(liked: DataFrame, user: str = "user") -> DataFrame:
     """#liked per user; a pair liked twice counts twice."""
     return liked.groupBy(user).agg(F.count("*").alias("m"))
 
 
+def liked_places(liked: DataFrame, order: Sequence[str], user: str = "user") -> DataFrame:
+    """Liked rows with their place in the user's list and its length, in long form: no list is
+    collected, so a user may like any number of items."""
+    cuts = splitters(liked, F.col(order[0]))
+    ranked = prefix_sums(
+        liked, [user], bucket_of(F.col(order[0]), cuts), [F.col(c) for c in order], {"place": F.lit(1).cast("long")}
+    )
+    return ranked.withColumn("place", F.col("place") + 1).join(liked_counts(liked, user), user)
+
+
 def find_hits(recs: DataFrame, liked: DataFrame, user: str = "user", item: str = "item") -> DataFrame:
     """Recommended pairs that are liked, with their position. Only hits travel further."""
     return recs.select(user, item, "pos").join(liked.select(user, item).distinct(), [user, item], "left_semi")
@@ -109,3 +121,25 @@ def metric_report(history: DataFrame, max_short: int = 20, min_long: int = 100)
 def squared_error(pairs: DataFrame, actual: str, predicted: str) -> DataFrame:
     e = F.col(actual) - F.col(predicted)
     return pairs.agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"))
+
+
+def pad_lists(recs: DataFrame, users: DataFrame, k: int, user: str = "user", item: str = "item") -> DataFrame:
+    """Exactly k places per user, item -1 where the list is too short."""
+    places = users.select(user, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("pos"))
+    return places.join(recs.select(user, "pos", item), [user, "pos"], "left").fillna(-1, subset=[item])
+
+
+def qualitative(recs: DataFrame, items: DataFrame, liked: DataFrame, user: str = "user", item: str = "item") -> DataFrame:
+    """Recommended items with their attributes and whether the user likes them; items outside
+    the given (e.g. nearby) table drop out."""
+    hits = liked.select(user, item).distinct().withColumn("__h", F.lit(1))
+    return recs.join(items, item).join(hits, [user, item], "left").withColumn("hit", F.coalesce("__h", F.lit(0))).drop("__h")
+
+
+def ndcg_at_own_length(hits: DataFrame, counts: DataFrame, user: str = "user") -> DataFrame:
+    """NDCG of lists as long as the liked list, so the ideal sum runs over m places."""
+    gain = hits.groupBy(user).agg(F.sum(1.0 / F.log2(F.col("pos") + 1.0)).alias("dcg"))
+    ideal = F.aggregate(
+        F.sequence(F.lit(1), F.col("m").cast("int")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / F.log2(i.cast("double") + 1.0)
+    )
+    return counts.join(gain, user, "left").select(user, (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"))
