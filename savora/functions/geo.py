@@ -44,7 +44,10 @@ def flat_radian_km(lat1, lon1, lat2, lon2) -> Column:
 
 def axial(lat: Column, lon: Column, res: int, lat0: float = REFERENCE_LAT) -> tuple[Column, Column]:
     """Cell coordinates (q, r) of a point, by cube rounding."""
-    s = side(res)
+    return axial_by_side(lat, lon, side(res), lat0)
+
+
+def axial_by_side(lat: Column, lon: Column, s: float, lat0: float = REFERENCE_LAT) -> tuple[Column, Column]:
     x, y = lon * F.lit(metres_per_lon(lat0)), lat * F.lit(METRES_PER_DEGREE_LAT)
     q = (F.lit(math.sqrt(3.0) / 3.0) * x - y / F.lit(3.0)) / F.lit(s)
     r = (F.lit(2.0) * y / F.lit(3.0)) / F.lit(s)

@@ -16,14 +16,20 @@ from pyspark.sql import Window as W
 
 from savora.session import materialise
 
-SPLITTERS = 256
+# One bucket per this many rows; small tables get a single bucket and need no cut points.
+ROWS_PER_BUCKET = 1_000_000
+MAX_CUTS = 512
 
 
-def splitters(df: DataFrame, key: Column, n: int = SPLITTERS) -> list:
-    """At most `n` cut points of `key`, drawn by hash so that every run draws the same ones.
+def splitters(df: DataFrame, key: Column, max_cuts: int = MAX_CUTS) -> list:
+    """Cut points of `key`, drawn by hash so that every run draws the same ones.
 
-    Only these few values come to the driver; the draw is a distributed top-n.
+    Only these few values come to the driver; the draw is a distributed top-n. Callers hand in
+    written tables, so the row count is read from file footers.
     """
+    n = min(df.count() // ROWS_PER_BUCKET, max_cuts)
+    if n == 0:
+        return []
     rows = (
         df.select(key.alias("k"))
         .where(F.col("k").isNotNull())
@@ -137,7 +143,7 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str,
         src = src.withColumn("__all", F.lit(0))
     keys = groups or ["__all"]
     hist = materialise(src.groupBy(*keys, value).agg(F.count("*").alias("__c")))
-    cuts = splitters(hist, F.col(value), 64)
+    cuts = splitters(hist, F.col(value))
     run = prefix_sums(hist, keys, bucket_of(F.col(value), cuts), [F.col(value)], {"__before": F.col("__c")})
     sizes = hist.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     run = run.join(sizes, keys)

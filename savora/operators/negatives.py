@@ -95,7 +95,7 @@ def popular_limits(inter: DataFrame, seen: DataFrame, share: float = 0.5) -> tup
     size = ranked.agg(F.count("*")).scalar()
     totals = seen.groupBy("user").agg(F.count("*").alias("m")).select("user", F.floor((size - F.col("m")) * F.lit(share)).alias("t"))
     places = materialise(seen.join(ranked, "item").select("user", (F.col("idx") + 1).alias("r")))
-    cuts = splitters(places, F.col("r"), 64)
+    cuts = splitters(places, F.col("r"))
     numbered = prefix_sums(places, ["user"], bucket_of(F.col("r"), cuts), [F.col("r")], {"before": F.lit(1).cast("long")})
     inside = numbered.join(totals, "user").groupBy("user", "t").agg(F.count_if(F.col("r") - (F.col("before") + 1) < F.col("t")).alias("s"))
     return inside.select("user", (F.col("t") + F.col("s")).alias("limit"), "t"), ranked

@@ -1,11 +1,17 @@
-"""Cells, near pairs and cell statistics."""
+"""Points, cells and walkable regions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from savora.functions import geo
+from savora.functions.ordering import prefix_sums
+from savora.session import cut_lineage, materialise
+
+# --- points and cells -----------------------------------------------------------------------
 
 
 def with_cell(df: DataFrame, lat: str, lon: str, res: int, out: str = "cell_id") -> DataFrame:
@@ -13,15 +19,36 @@ def with_cell(df: DataFrame, lat: str, lon: str, res: int, out: str = "cell_id")
     return df.withColumn(out, geo.cell_id(q, r, res))
 
 
+def cell_centres(cells: DataFrame, res: int, cell: str = "cell_id") -> DataFrame:
+    lat, lon = geo.centre(geo.cell_q(F.col(cell)), geo.cell_r(F.col(cell)), res)
+    return cells.withColumn("cell_lat", lat).withColumn("cell_lon", lon)
+
+
 def cell_corners(cell: str, res: int) -> Column:
     c = F.col(cell)
     return geo.corners(geo.cell_q(c), geo.cell_r(c), res)
 
 
+def mean_point(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    return df.agg(F.avg(lat).alias("lat"), F.avg(lon).alias("lon"))
+
+
+def ring_cells(cells: DataFrame, res: int, k: int, ring_only: bool = False, cell: str = "cell_id") -> DataFrame:
+    """Each cell with the cells within k steps (cell, neighbor, ring)."""
+    c = F.col(cell)
+    near = geo.disk(geo.cell_q(c), geo.cell_r(c), k, ring_only)
+    return cells.select(cell, F.inline(near)).select(cell, geo.cell_id(F.col("q"), F.col("r"), res).alias("neighbor"), "ring")
+
+
 def cell_stats(df: DataFrame, aggs: dict[str, Column], res: int, cell: str = "cell_id") -> DataFrame:
     return df.groupBy(cell).agg(*[v.alias(k) for k, v in aggs.items()])
 
 
+def cells_with_stats(cells: DataFrame, stats: DataFrame, count: str, cell: str = "cell_id") -> DataFrame:
+    """All cells, 0 where a cell has no points; point_count counts the cell's own centre too."""
+    return cells.join(stats, cell, "left").fillna(0).withColumn("point_count", F.col(count) + 1)
+
+
 def category_cell_metadata(df: DataFrame, category: str, lat: str, lon: str, res: int) -> DataFrame:
     """Graph metadata ids "category_cell" for the own cell and its ring of neighbours."""
     q, r = geo.axial(F.col(lat), F.col(lon), res)
@@ -33,3 +60,252 @@ def category_cell_metadata(df: DataFrame, category: str, lat: str, lon: str, res
         .withColumn("metadata_id_neighbors", F.filter(ring, lambda x: x.isNotNull()))
         .drop("__q", "__r")
     )
+
+
+# --- distances ------------------------------------------------------------------------------
+
+def near_point(df: DataFrame, lat: str, lon: str, lat0: float, lon0: float, km: float, flat: bool = False) -> DataFrame:
+    """Rows within km of a point; the box test in front reaches the scan as a plain range."""
+    dlat = km / 110.0
+    dlon = km / (110.0 * 0.5)
+    box = F.col(lat).between(lat0 - dlat, lat0 + dlat) & F.col(lon).between(lon0 - dlon, lon0 + dlon)
+    measure = geo.flat_radian_km if flat else geo.haversine_km
+    return df.where(box).withColumn("km", measure(lat0, lon0, lat, lon)).where(F.col("km") <= km)
+
+
+# Half of the six neighbour directions: every unordered pair of cells is met once.
+FORWARD = ((0, 0), (1, 0), (1, -1), (0, 1))
+
+
+def near_pairs(df: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFrame:
+    """All pairs of rows within km, each once (a, b, km), a < b.
+
+    Cells have a side of twice the radius, so partners lie in the same or an adjacent cell: the
+    range join becomes an equi-join on the cell that only meets nearby rows.
+    """
+    q, r = geo.axial_by_side(F.col(lat), F.col(lon), 2000.0 * km)
+    pts = df.select(F.col(key).alias("k"), F.col(lat).alias("la"), F.col(lon).alias("lo"), q.alias("q"), r.alias("r"))
+    left = pts.select(
+        F.col("k").alias("k1"), F.col("la").alias("la1"), F.col("lo").alias("lo1"),
+        F.inline(F.array(*[F.struct((F.col("q") + a).alias("q"), (F.col("r") + b).alias("r"), F.lit(int((a, b) != (0, 0))).alias("other")) for a, b in FORWARD])),
+    )
+    both = left.join(pts, ["q", "r"]).where((F.col("other") == 1) | (F.col("k1") < F.col("k")))
+    out = both.withColumn("km", geo.haversine_km("la1", "lo1", "la", "lo")).where(F.col("km") <= km)
+    return out.select(F.least("k1", "k").alias("a"), F.greatest("k1", "k").alias("b"), "km")
+
+
+def nearest_anchor(cells: DataFrame, key: str, lat: str, lon: str, anchors: DataFrame, per_block: int = 1000) -> DataFrame:
+    """Closest anchor per row. anchors: (anchor, a_lat, a_lon), any number of them: they travel as
+    packed blocks of bounded length, and a row meets each block once."""
+    n = anchors.agg(F.greatest(F.ceil(F.count("*") / per_block), F.lit(1)).cast("int")).scalar()
+    packed = anchors.withColumn("blk", F.pmod(F.xxhash64("anchor"), n).cast("int")).groupBy("blk").agg(
+        F.collect_list(F.struct("anchor", "a_lat", "a_lon")).alias("l")
+    )
+    rows = cells.select(key, F.col(lat).alias("__la"), F.col(lon).alias("__lo"), F.explode(F.sequence(F.lit(0), n - 1)).alias("blk"))
+    km = lambda s: F.struct(F.round(geo.haversine_km(F.col("__la"), F.col("__lo"), s["a_lat"], s["a_lon"]), 9).alias("km"), s["anchor"].alias("anchor"))
+    best = rows.join(packed, "blk").select(key, F.array_min(F.transform("l", km)).alias("b"))
+    return best.groupBy(key).agg(F.min("b").alias("b")).select(key, "b.anchor", "b.km")
+
+
+# --- areas ----------------------------------------------------------------------------------
+
+def inside(polygon: Sequence[tuple[float, float]], lat: Column, lon: Column) -> Column:
+    """Ray casting: an odd number of polygon edges crosses the ray to the east."""
+    crossings = F.lit(0)
+    for (la1, lo1), (la2, lo2) in zip(polygon, [*polygon[1:], polygon[0]]):
+        if la1 == la2:
+            continue
+        spans = (F.lit(la1) > lat) != (F.lit(la2) > lat)
+        at = F.lit(lo1) + (lat - F.lit(la1)) * F.lit((lo2 - lo1) / (la2 - la1))
+        crossings = crossings + (spans & (lon < at)).cast("int")
+    return crossings % 2 == 1
+
+
+def cover_area(spark: SparkSession, polygon: Sequence[tuple[float, float]], res: int) -> DataFrame:
+    """Cells whose centre lies inside the polygon, from the coordinate ranges of its box."""
+    s = geo.side(res)
+    mx = geo.metres_per_lon()
+    lats, lons = [p[0] for p in polygon], [p[1] for p in polygon]
+    r_lo, r_hi = (int(v * geo.METRES_PER_DEGREE_LAT / (1.5 * s)) for v in (min(lats), max(lats)))
+    q_lo = int(min(lons) * mx / (s * 3**0.5) - r_hi / 2) - 1
+    q_hi = int(max(lons) * mx / (s * 3**0.5) - r_lo / 2) + 1
+    rows = spark.range(r_lo - 1, r_hi + 2).withColumnRenamed("id", "r")
+    grid = rows.select("r", F.explode(F.sequence(F.lit(q_lo).cast("long"), F.lit(q_hi).cast("long"))).alias("q"))
+    lat, lon = geo.centre(F.col("q"), F.col("r"), res)
+    return grid.where(inside(polygon, lat, lon)).select(geo.cell_id(F.col("q"), F.col("r"), res).alias("cell_id"))
+
+
+# --- cell graph and components --------------------------------------------------------------
+
+def cell_graph(cells: DataFrame, res: int, k: int, max_km: float, cell: str = "cell_id") -> DataFrame:
+    """Edges (a, b, km), a < b, between listed cells at most k steps and max_km apart."""
+    ids = cells.select(cell).distinct()
+    pairs = ring_cells(ids, res, k, cell=cell).where(F.col(cell) < F.col("neighbor"))
+    hit = pairs.join(ids.select(F.col(cell).alias("neighbor")), "neighbor", "left_semi")
+    la1, lo1 = geo.centre(geo.cell_q(F.col(cell)), geo.cell_r(F.col(cell)), res)
+    la2, lo2 = geo.centre(geo.cell_q(F.col("neighbor")), geo.cell_r(F.col("neighbor")), res)
+    return hit.select(F.col(cell).alias("a"), F.col("neighbor").alias("b"), geo.haversine_km(la1, lo1, la2, lo2).alias("km")).where(F.col("km") <= max_km)
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, comp): smallest id reachable from each node.
+
+    Rounds of smallest-neighbour labels with pointer jumping, so chains shrink geometrically;
+    lineage is cut every round and the loop ends when nothing changes.
+    """
+    both = materialise(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    labels = cut_lineage(nodes.select("id").distinct().withColumn("comp", F.col("id")))
+    while True:
+        near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("comp").alias("m"))
+        low = labels.join(near.withColumnRenamed("src", "id"), "id", "left").select(
+            "id", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", F.col("comp"))).alias("comp")
+        )
+        jump = low.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+        new = cut_lineage(low.join(jump, "comp", "left").select("id", "old", F.least("comp", F.coalesce("root", F.col("comp"))).alias("comp")))
+        changed = not new.where(F.col("old") != F.col("comp")).isEmpty()
+        labels = new.select("id", "comp")
+        if not changed:
+            return labels
+
+
+def regions_from_components(labels: DataFrame, min_cells: int) -> DataFrame:
+    """(cell_id, region): component label, "-1" for components below the minimum size."""
+    sizes = labels.groupBy("comp").agg(F.count("*").alias("n"))
+    return labels.join(sizes, "comp").select(F.col("id").alias("cell_id"), F.when(F.col("n") >= min_cells, F.col("comp")).otherwise("-1").alias("region"))
+
+
+def region_diameter(cells: DataFrame, res: int, cell: str = "cell_id", region: str = "region") -> DataFrame:
+    """Largest distance between two cells of a region in km.
+
+    Along a grid row distance grows towards its ends, so the farthest pair always consists of
+    row ends; comparing those takes rows squared instead of cells squared.
+    """
+    c = F.col(cell)
+    ends = (
+        cells.where(F.col(region) != "-1").select(region, geo.cell_q(c).alias("q"), geo.cell_r(c).alias("r"))
+        .groupBy(region, "r").agg(F.min("q").alias("q1"), F.max("q").alias("q2"))
+    )
+    pts = ends.select(region, "r", F.explode(F.array_distinct(F.array("q1", "q2"))).alias("q"))
+    lat, lon = geo.centre(F.col("q"), F.col("r"), res)
+    pts = pts.select(region, lat.alias("la"), lon.alias("lo"))
+    other = pts.select(region, F.col("la").alias("la2"), F.col("lo").alias("lo2"))
+    return pts.join(other, region).groupBy(region).agg(F.max(geo.haversine_km("la", "lo", "la2", "lo2")).alias("diameter_km"))
+
+
+def split_oversize(cells: DataFrame, edges: DataFrame, res: int, max_cells: int, max_km: float, min_cells: int) -> DataFrame:
+    """Halve regions that are too large along their wider axis until none is, then keep connected
+    parts. Ranks are bucketed by the cut coordinate, so a whole city may start as one region."""
+    c = F.col("cell_id")
+    state = cells.where("region <> '-1'").select("cell_id", "region", geo.cell_q(c).alias("q"), geo.cell_r(c).alias("r"))
+    state = cut_lineage(state)
+    while True:
+        sizes = state.groupBy("region").agg(
+            F.count("*").alias("n"), (F.max("r") - F.min("r")).alias("dr"), (F.max(F.col("q") * 2 + F.col("r")) - F.min(F.col("q") * 2 + F.col("r"))).alias("dx")
+        )
+        big = sizes.join(region_diameter(state, res), "region").where((F.col("n") > 1) & ((F.col("n") > max_cells) | (F.col("diameter_km") > max_km)))
+        big = cut_lineage(big.select("region", "n", (F.col("dr") * 1.5 >= F.col("dx") * (3**0.5) / 2).alias("by_row")))
+        if big.isEmpty():
+            break
+        coord = F.when(F.col("by_row"), F.col("r")).otherwise(F.col("q") * 2 + F.col("r"))
+        hit = state.join(big, "region").withColumn("x", coord)
+        ranked = prefix_sums(hit, ["region"], F.col("x"), [F.col("x"), F.col("cell_id")], {"before": F.lit(1).cast("long")})
+        cut = ranked.select("cell_id", F.concat("region", F.when(F.col("before") * 2 < F.col("n"), ".0").otherwise(".1")).alias("region"), "q", "r")
+        state = cut_lineage(state.join(big.select("region"), "region", "left_anti").select("cell_id", "region", "q", "r").unionByName(cut))
+    part_a = state.select(F.col("cell_id").alias("a"), F.col("region").alias("ra"))
+    part_b = state.select(F.col("cell_id").alias("b"), F.col("region").alias("rb"))
+    kept = edges.join(part_a, "a").join(part_b, "b").where(F.col("ra") == F.col("rb")).select("a", "b")
+    parts = regions_from_components(connected_components(state.select(F.col("cell_id").alias("id")), kept), min_cells)
+    rest = cells.where("region = '-1'").select("cell_id", "region")
+    return parts.unionByName(rest)
+
+
+def adopt_orphans(cells: DataFrame, res: int, max_km: float, rings: int = 3) -> DataFrame:
+    """Cells without a region join the nearest valid one within three rings and max_km."""
+    orphans = cells.where("region = '-1'").select("cell_id")
+    valid = cells.where("region <> '-1'").select(F.col("cell_id").alias("neighbor"), F.col("region").alias("near_region"))
+    la1, lo1 = geo.centre(geo.cell_q(F.col("cell_id")), geo.cell_r(F.col("cell_id")), res)
+    la2, lo2 = geo.centre(geo.cell_q(F.col("neighbor")), geo.cell_r(F.col("neighbor")), res)
+    options = ring_cells(orphans, res, rings).join(valid, "neighbor").withColumn("km", F.round(geo.haversine_km(la1, lo1, la2, lo2), 9)).where(F.col("km") <= max_km)
+    best = options.groupBy("cell_id").agg(F.min_by("near_region", F.struct("ring", "km", "near_region")).alias("adopted"))
+    return cells.join(best, "cell_id", "left").select(
+        "cell_id", F.when(F.col("region") == "-1", F.coalesce("adopted", F.lit("-1"))).otherwise(F.col("region")).alias("region")
+    )
+
+
+def graph_statistics(cells: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node table, region table): degree, isolated and orphan flags; cells, inner and all edges."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("cell_id"))
+    deg = ends.groupBy("cell_id").agg(F.count("*").alias("degree"))
+    nodes = cells.join(deg, "cell_id", "left").fillna(0, subset=["degree"]).select(
+        "cell_id", "region", "degree", (F.col("degree") == 0).cast("int").alias("isolated"), (F.col("region") == "-1").cast("int").alias("orphan")
+    )
+    ra = cells.select(F.col("cell_id").alias("a"), F.col("region").alias("ra"))
+    rb = cells.select(F.col("cell_id").alias("b"), F.col("region").alias("rb"))
+    labelled = edges.join(ra, "a").join(rb, "b")
+    inner = labelled.where("ra = rb and ra <> '-1'").groupBy(F.col("ra").alias("region")).agg(F.count("*").alias("inner_edges"), F.avg("km").alias("mean_km"))
+    regions = nodes.groupBy("region").agg(F.count("*").alias("cells"), F.avg("degree").alias("mean_degree"), F.sum("isolated").alias("isolated")).join(
+        inner, "region", "left"
+    ).fillna(0, subset=["inner_edges"])
+    return nodes, regions
+
+
+def edge_statistics(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    ra = cells.select(F.col("cell_id").alias("a"), F.col("region").alias("ra"))
+    rb = cells.select(F.col("cell_id").alias("b"), F.col("region").alias("rb"))
+    same = (F.col("ra") == F.col("rb")) & (F.col("ra") != "-1")
+    return edges.join(ra, "a").join(rb, "b").agg(
+        F.count("*").alias("edges"), F.count_if(same).alias("intra_region"), F.min("km").alias("min_km"), F.avg("km").alias("mean_km"), F.max("km").alias("max_km")
+    )
+
+
+# --- items and regions ----------------------------------------------------------------------
+
+def items_to_regions(items: DataFrame, cells: DataFrame, cell: str = "cell_id") -> DataFrame:
+    return items.join(cells.select(cell, "region"), cell, "left").withColumn("region", F.coalesce("region", F.lit("-1")))
+
+
+def locate_points(points: DataFrame, key: str, lat: str, lon: str, cells: DataFrame, res: int, rings: int = 5) -> DataFrame:
+    """Region of each point: its own cell's, else the one of the nearest ring with a valid cell
+    (key, region, ring); -1 beyond the last ring."""
+    located = with_cell(points, lat, lon, res).select(key, "cell_id")
+    valid = cells.where("region <> '-1'").select(F.col("cell_id").alias("neighbor"), "region")
+    spots = located.select("cell_id").distinct()
+    found = ring_cells(spots, res, rings).join(valid, "neighbor").groupBy("cell_id").agg(
+        F.min(F.struct("ring", "region")).alias("b")
+    )
+    return located.join(found, "cell_id", "left").select(
+        key, F.coalesce("b.region", F.lit("-1")).alias("region"), F.coalesce("b.ring", F.lit(-1)).alias("ring")
+    )
+
+
+def region_items(points: DataFrame, key: str, located: DataFrame, items: DataFrame) -> DataFrame:
+    """Items in the region of each point, with a flag for points served by a neighbouring cell."""
+    usable = located.where("region <> '-1'").withColumn("fallback", (F.col("ring") > 0).cast("int"))
+    return usable.join(items, "region")
+
+
+def region_distribution(items: DataFrame, top: int = 10) -> DataFrame:
+    """Items per region with the share of mapped items, largest first."""
+    totals = items.agg(F.struct(F.count("*").alias("n"), F.count_if(F.col("region") != "-1").alias("m"))).scalar()
+    return (
+        items.where("region <> '-1'").groupBy("region").agg(F.count("*").alias("items"))
+        .orderBy(F.desc("items"), F.asc("region")).limit(top)
+        .withColumn("mapped_pct", F.round(100.0 * totals["m"] / totals["n"], 6))
+    )
+
+
+def region_sizes(cells: DataFrame) -> DataFrame:
+    sizes = cells.where("region <> '-1'").groupBy("region").agg(F.count("*").alias("cells"))
+    return sizes.agg(
+        F.count("*").alias("regions"), F.min("cells").alias("min_cells"), F.avg("cells").alias("mean_cells"), F.max("cells").alias("max_cells")
+    )
+
+
+def build_regions(cells: DataFrame, res: int, k: int, max_km: float, max_cells: int, max_diameter_km: float, min_cells: int) -> tuple[DataFrame, DataFrame]:
+    """Cells to regions: graph, components, splitting, orphans. Returns (regions, edges)."""
+    ids = materialise(cells.select("cell_id").distinct())
+    edges = materialise(cell_graph(ids, res, k, max_km))
+    first = regions_from_components(connected_components(ids.select(F.col("cell_id").alias("id")), edges), min_cells)
+    split = split_oversize(materialise(first), edges, res, max_cells, max_diameter_km, min_cells)
+    return materialise(adopt_orphans(split, res, max_km * 3)), edges
+

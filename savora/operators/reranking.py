@@ -98,7 +98,7 @@ def minmax(value: Column, group: Sequence[str], df: DataFrame, out: str) -> Data
 
 
 def popularity_blend(df: DataFrame, rel: str, pop: str, w: float, group: Sequence[str] = (), out: str = "blend") -> DataFrame:
-    a = minmax(F.col(rel).cast("double"), group, df, "__r")
+    a = minmax(F.col(rel).cast("double"), group, materialise(df), "__r")
     b = minmax(F.col(pop).cast("double"), group, a, "__p")
     mixed = b.withColumn("__m", F.col("__r") * (1.0 - w) + F.col("__p") * w)
     return minmax(F.col("__m"), group, mixed, out).drop("__r", "__p", "__m")
@@ -305,11 +305,15 @@ def periphery_bonus(df: DataFrame, region: str, lat: str, lon: str, centres: Dat
 
 
 def rating_and_recency(df: DataFrame, rating: str, recent: str, rating_weight: float = 0.2, recent_weight: float = 0.3) -> DataFrame:
-    a = minmax(F.col(rating).cast("double"), [], df, "__r")
-    b = minmax(F.col(recent).cast("double"), [], a, "__q")
-    return b.withColumn("rating_bonus", F.coalesce("__r", F.lit(0.0)) * rating_weight).withColumn(
-        "recent_bonus", F.coalesce("__q", F.lit(0.0)) * recent_weight
-    ).drop("__r", "__q")
+    x, y = F.col(rating).cast("double"), F.col(recent).cast("double")
+    ends = df.agg(F.struct(F.min(x).alias("xl"), F.max(x).alias("xh"), F.min(y).alias("yl"), F.max(y).alias("yh"))).scalar()
+
+    def bonus(value: Column, lo: Column, hi: Column, weight: float) -> Column:
+        return F.coalesce(F.when(hi > lo, (value - lo) / (hi - lo + 1e-8)), F.lit(0.0)) * weight
+
+    return df.withColumn("rating_bonus", bonus(x, ends["xl"], ends["xh"], rating_weight)).withColumn(
+        "recent_bonus", bonus(y, ends["yl"], ends["yh"], recent_weight)
+    )
 
 
 def hidden_input(diner: DataFrame, review: DataFrame, as_of: str, item: str = "diner_idx") -> DataFrame:
@@ -323,7 +327,7 @@ def hidden_scores(
     df: DataFrame, base: str, centres: DataFrame | Sequence[tuple[float, float]], strength: float = 0.5, cap: float = 0.5,
     rating_weight: float = 0.2, recent_weight: float = 0.3, region: str = "region",
 ) -> DataFrame:
-    out = periphery_bonus(df, region, "lat", "lon", centres, strength, cap)
+    out = periphery_bonus(materialise(df), region, "lat", "lon", centres, strength, cap)
     out = rating_and_recency(out, "avg_rating", "recent_review_count", rating_weight, recent_weight)
     return out.withColumn(
         "hidden_score", F.col(base) + F.col("periphery_bonus") + F.col("rating_bonus") + F.col("recent_bonus")
@@ -332,6 +336,7 @@ def hidden_scores(
 
 def hidden_rerank(scored: DataFrame, k: int, group: str = "region", top_m: int = 1000, **mmr) -> DataFrame:
     """Diversity re-ranking by hidden score per group, with all bonus columns."""
+    scored = materialise(scored)
     rel = minmax(F.col("hidden_score"), [group], scored, "rel")
     cands = rel.select(
         group, F.col("diner_idx").alias("item"), "rel", F.col("large").alias("cat"), "lat", "lon",
