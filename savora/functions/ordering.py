@@ -64,11 +64,13 @@ def prefix_sums(
 ) -> DataFrame:
     """Add, for every entry of `values`, its sum over the earlier rows of the same group.
 
-    `bucket` must be monotone in `order`. Sums exclude the row itself; a first row gets 0.
+    `bucket` must be monotone in `order`. Sums exclude the row itself; a first row gets 0. Group
+    columns must not be null: plain equality keeps the rows where the window put them, so the
+    offsets are the only side that moves for the join.
     """
     group = list(group)
     b = "__bucket"
-    work = df.withColumn(b, bucket)
+    work = df.withColumn(b, F.coalesce(bucket, F.lit(-1)))
     for name, value in values.items():
         work = work.withColumn(f"__v_{name}", value)
     inner = W.partitionBy(*group, b).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -83,7 +85,7 @@ def prefix_sums(
     offs = offsets.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate([*group, b])], *[f"__o_{n}" for n in values])
     cond = None
     for i, c in enumerate([*group, b]):
-        e = F.col(c).eqNullSafe(F.col(f"__g{i}"))
+        e = F.col(c) == F.col(f"__g{i}")
         cond = e if cond is None else cond & e
     joined = ranked.join(offs, cond, "left")
     return joined.select(

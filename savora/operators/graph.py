@@ -308,6 +308,8 @@ def light_propagation(edges: DataFrame, features: DataFrame, dim: int, layers: i
         pair = [F.least("src", "dst"), F.greatest("src", "dst")]
         edges = edges.where(hash_uniform(seed, *pair) >= drop_ratio)
     # Layer sums read the adjacency once per layer and node degrees never change.
+    edges = materialise(edges)
+    features = materialise(features)
     strength = edges.groupBy("src").agg(F.sum("weight").alias("__s"))
     norm = (
         edges.join(strength, "src").join(strength.select(F.col("src").alias("dst"), F.col("__s").alias("__t")), "dst")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from savora.operators.blocks import heavy_pair_sums
 from savora.operators.ids import id_mapping
 from savora.operators.popularity import top_per_group
+from savora.session import materialise
 
 HEAVY_USER = 500
 
@@ -26,10 +27,11 @@ def item_pairs(inter: DataFrame, heavy_user: int = HEAVY_USER, **block_sizes: in
     at most that many rows. Longer lists would grow quadratically in one join key; their pair
     sums come from bounded block products instead. Both parts are exact and add up.
     """
+    inter = materialise(inter)
     norms = inter.groupBy("item").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"), F.count("*").alias("deg"))
     unit = inter.join(norms, "item").select("user", "item", (F.col("r") / F.col("norm")).alias("value"), "deg")
     sizes = inter.groupBy("user").agg(F.count("*").alias("__n"))
-    sized = unit.join(sizes, "user")
+    sized = materialise(unit.join(sizes, "user"))
     light = sized.where(F.col("__n") <= heavy_user)
     x = light.select("user", F.col("item").alias("a"), F.col("value").alias("va"))
     y = light.select(F.col("user").alias("u2"), F.col("item").alias("b"), F.col("value").alias("vb"))
@@ -37,8 +39,12 @@ def item_pairs(inter: DataFrame, heavy_user: int = HEAVY_USER, **block_sizes: in
         x.join(y, (F.col("user") == F.col("u2")) & (F.col("a") < F.col("b"))).groupBy("a", "b")
         .agg(F.count("*").alias("co"), F.sum(F.col("va") * F.col("vb")).alias("dot"))
     )
-    heavy = heavy_pair_sums(sized.where(F.col("__n") > heavy_user).select("user", "item", "value"), **block_sizes)
-    both = pairs.unionByName(heavy).groupBy("a", "b").agg(F.sum("co").alias("co"), F.sum("dot").alias("cosine"))
+    long_lists = sized.where(F.col("__n") > heavy_user).select("user", "item", "value")
+    if not long_lists.isEmpty():
+        pairs = pairs.unionByName(heavy_pair_sums(long_lists, **block_sizes)).groupBy("a", "b").agg(
+            F.sum("co").alias("co"), F.sum("dot").alias("dot")
+        )
+    both = pairs.withColumnRenamed("dot", "cosine")
     da = norms.select(F.col("item").alias("a"), F.col("deg").alias("da"))
     db = norms.select(F.col("item").alias("b"), F.col("deg").alias("db"))
     return both.join(da, "a").join(db, "b").select(

@@ -31,14 +31,18 @@ def _month(date: str) -> Column:
 
 
 def timeline_split(df: DataFrame, test_size: float, user: str = "reviewer_id", date: str = "review_date", tie: str = "review_id") -> DataFrame:
-    """Per user in time order: the first int(n*(1-test_size)) rows train, the rest validation."""
+    """Per user in time order: the last part is test; of the rest the last part is validation.
+
+    Splitting off test and splitting the rest again only needs each row's place and the user's
+    count, so both cuts come from one ranking.
+    """
     ranked = prefix_sums(df, [user], _month(date), [F.col(date), F.col(tie)], {"__before": F.lit(1).cast("long")})
     sizes = df.groupBy(user).agg(F.count("*").alias("__n"))
-    return (
-        ranked.join(sizes, user)
-        .withColumn("part", F.when(F.col("__before") < F.floor(F.col("__n") * F.lit(1.0 - test_size)), "train").otherwise("val"))
-        .drop("__before", "__n")
-    )
+    keep = F.lit(1.0 - test_size)
+    outer = F.floor(F.col("__n") * keep)
+    inner = F.floor(outer * keep)
+    part = F.when(F.col("__before") < inner, "train").when(F.col("__before") < outer, "val").otherwise("test")
+    return ranked.join(sizes, user).withColumn("part", part).drop("__before", "__n")
 
 
 def stratified_split(df: DataFrame, test_size: float, seed: str, user: str = "reviewer_id", tie: str = "review_id") -> DataFrame:

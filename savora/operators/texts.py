@@ -6,11 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from savora.functions import text as X
+from savora.functions.ordering import bucket_of, prefix_sums, splitters
 from savora.operators.popularity import top_per_group
 from savora.session import materialise
 
+SHORT_LIST = 256
+
 
 def normalised_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """Clean texts, empty ones dropped, each distinct text once under its lowest id. Copies are
@@ -36,8 +40,9 @@ def idf_table(counts: DataFrame, n_docs: Column) -> DataFrame:
 def weigh(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """(key, word, weight) with unit length per document."""
     raw = counts.join(idf.select("word", "idf"), "word").select(key, "word", (F.col("tf") * F.col("idf")).alias("__w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__n"))
-    return raw.join(norm, key).select(key, "word", (F.col("__w") / F.col("__n")).alias("weight"))
+    # A document's group is its own vocabulary, so the window costs one shuffle and no join back.
+    norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(W.partitionBy(key)))
+    return raw.select(key, "word", (F.col("__w") / norm).alias("weight"))
 
 
 def tfidf(df: DataFrame, key: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
@@ -79,11 +84,18 @@ def sentence_rows(df: DataFrame, keys: Sequence[str], text: str, min_length: int
 
 
 def mentions(sentences: DataFrame, keys: Sequence[str], menus: DataFrame) -> DataFrame:
-    """(keys, menu) for every menu that occurs anywhere in the sentence.
+    """(keys, menu) for every menu that occurs anywhere in the sentence. menus: (menu).
 
-    Substrings of the menus' lengths are matched by equality, so the work per sentence depends on
-    the number of different lengths, not on the number of menus. menus: (menu).
+    A short menu list, checked by count, is tested name by name. A longer one is matched by
+    equality with the sentence's substrings of the menus' lengths, so that the work per sentence
+    depends on the number of different lengths and not on the number of menus.
     """
+    menus = materialise(menus.select("menu").where("menu <> ''").distinct())
+    if menus.count() <= SHORT_LIST:
+        names = menus.agg(F.collect_list("menu")).scalar()
+        return sentences.withColumn("__names", names).select(
+            *keys, F.explode(F.filter("__names", lambda m: F.col("sentence").contains(m))).alias("menu")
+        )
     lengths = sorted(r[0] for r in menus.select(F.length("menu").alias("l")).distinct().collect() if r[0])
     size = F.length("sentence")
 
@@ -94,7 +106,15 @@ def mentions(sentences: DataFrame, keys: Sequence[str], menus: DataFrame) -> Dat
 
     parts = [pieces(n) for n in lengths]
     found = sentences.select(*keys, F.explode(F.array_distinct(F.concat(*parts))).alias("menu"))
-    return found.join(menus.select("menu").distinct(), "menu", "left_semi")
+    return found.join(menus, "menu", "left_semi").select(*keys, "menu")
+
+
+def sorted_children(df: DataFrame, parent: str, child: str) -> DataFrame:
+    """Distinct (parent, child) with the child's place in name order, in long form, since a
+    category may have any number of menu names."""
+    pairs = materialise(df.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(parent, child).distinct())
+    placed = prefix_sums(pairs, [parent], bucket_of(F.col(child), splitters(pairs, F.col(child))), [F.col(child)], {"place": F.lit(1).cast("long")})
+    return placed.withColumn("place", F.col("place") + 1)
 
 
 def menu_counter(menus: DataFrame, threshold: int) -> DataFrame:

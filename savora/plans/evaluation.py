@@ -22,7 +22,7 @@ POP_HITS = f"""pop AS ({POP_SQL}), liked AS ({LIKED_SQL}), types AS ({TYPES_SQL}
 
 
 def _top(t):
-    return P.most_popular(t.train, 2000).withColumnRenamed("diner_idx", "item")
+    return P.most_popular(t.hold("train", "val").train, 2000).withColumnRenamed("diner_idx", "item")
 
 
 def _metrics(t, ks):
@@ -58,7 +58,7 @@ CF_RECS = f"""{SIMS}, votes AS (SELECT u, s.item, round(sum(r * sim) / greatest(
 
 
 def _cf_recs(t):
-    inter = N.interactions(t.train)
+    inter = N.interactions(t.hold("train", "val").train)
     sims = N.both_directions(N.item_pairs(inter))
     warm = S.warm_cold_users(t.train, t.val).where("user_type = 'warm'").select(F.col("reviewer_id").alias("user"))
     return N.recommend_for_users(inter, sims, 20, pad=False).select("user", "item", "pos").join(warm, "user", "left_semi")

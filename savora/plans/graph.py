@@ -12,7 +12,7 @@ from savora.operators.blocks import block_topk
 from savora.plans.features import hex_sql
 from savora.plans.registry import query
 from savora.plans.splits import HASH_SQL
-from savora.session import scratch_path
+from savora.session import materialise, scratch_path
 from savora.sources import files
 
 SHIFT = 1_000_000_000_000
@@ -27,7 +27,7 @@ def user_node():
 
 
 def pair_edges(t):
-    return G.user_item_edges(t.train, user_node(), F.col("diner_idx"), F.col("score"), ["review_date", "review_id"])
+    return G.user_item_edges(t.hold("train").train, user_node(), F.col("diner_idx"), F.col("score"), ["review_date", "review_id"])
 
 
 def edges(t):
@@ -149,7 +149,7 @@ WITH {BOTH_SQL}, h0 AS (SELECT id, {HASH_VEC} FROM (SELECT DISTINCT src AS id FR
 SELECT user_id, item, score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS pos FROM s) WHERE pos <= 10""")
 def i8(t):
     """Top items by dot product for every user, seen ones left out; vectors come from a hash."""
-    vec = G.hash_vectors(edges(t).select(F.col("src").alias("id")).distinct(), DIM, "x")
+    vec = materialise(G.hash_vectors(edges(t).select(F.col("src").alias("id")).distinct(), DIM, "x"))
     users = vec.where(F.col("id") >= SHIFT).select((F.col("id") - SHIFT).alias("user"), "vec")
     items = vec.where(F.col("id") < SHIFT).select(F.col("id").alias("item"), "vec")
     seen = t.train.select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
@@ -244,7 +244,7 @@ def i16(t):
 @query("i17_graph_candidates")
 def i17(t):
     """Unseen top items per user from propagated vectors, through the candidate parquet."""
-    vec = G.light_propagation(edges(t), G.hash_vectors(_nodes(t), DIM, "x"), DIM, 2)
+    vec = materialise(G.light_propagation(edges(t), G.hash_vectors(_nodes(t), DIM, "x"), DIM, 2))
     users = vec.where(F.col("id") >= SHIFT).select((F.col("id") - SHIFT).alias("user"), "vec")
     items = vec.where(F.col("id") < SHIFT).select(F.col("id").alias("item"), "vec")
     seen = t.train.select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
@@ -256,6 +256,7 @@ def i17(t):
 @query("i18_walk_neighbors")
 def i18(t):
     """Closest nodes to every user by cosine of walk embeddings."""
-    vec = G.embed_walks(G.uniform_walks(edges(t), 4, 8, "n2v"), dim=16).select(F.col("id").cast("long").alias("id"), "vec")
+    vec = G.embed_walks(G.uniform_walks(edges(t), 4, 8, "n2v"), dim=16)
+    vec = materialise(vec).select(F.col("id").cast("long").alias("id"), "vec")
     users = vec.where(F.col("id") >= SHIFT).select(F.col("id").alias("user"), "vec")
     return block_topk(users, vec.withColumnRenamed("id", "item"), 5, normalise=True, skip_same=True)

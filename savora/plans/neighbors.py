@@ -18,7 +18,7 @@ SIMS = f"""{PAIRS}, sims AS (SELECT a AS target, b AS item, round(cosine, 9) AS
 
 
 def _inter(t):
-    return N.interactions(t.train)
+    return N.interactions(t.hold("train").train)
 
 
 def _sims(t, method="cosine"):

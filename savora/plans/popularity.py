@@ -17,10 +17,11 @@ POP_SQL = """SELECT diner_idx AS item, n, pos FROM (SELECT diner_idx, n, row_num
 
 
 def liked(t):
-    return t.val.select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
+    return t.hold("val").val.select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
 
 
 def user_types(t):
+    t.hold("train", "val")
     return S.warm_cold_users(t.train, t.val).withColumnRenamed("reviewer_id", "user")
 
 
@@ -35,6 +36,7 @@ WITH pop AS ({POP_SQL}), liked AS ({LIKED_SQL}), types AS ({TYPES_SQL}),
  pu AS ({per_user_sql('hits', 'liked', KS)})
 {roll_up_sql('pu', 'types')}""")
 def f2(t):
+    t.hold("train", "val")
     top = P.most_popular(t.train, 2000).withColumnRenamed("diner_idx", "item")
     hits = V.list_hits(top, liked(t))
     return V.roll_up(V.per_user(hits, V.liked_counts(liked(t)), KS), user_types(t))

@@ -21,7 +21,7 @@ ITEMS_SQL = "it AS (SELECT diner_idx AS item, row_number() OVER (ORDER BY diner_
 
 
 def _inter(t):
-    return t.train.select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
+    return t.hold("train").train.select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
 
 
 def _draw_sql(seed, limit, n, source="us", pool="it"):
@@ -72,7 +72,7 @@ def _with_features(t, pairs):
 
 
 def _ranking_set(t):
-    liked = S.as_of_target(t.train).where("target = 1").select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
+    liked = S.as_of_target(t.hold("train").train).where("target = 1").select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
     liked = materialise(liked)
     return materialise(_with_features(t, R.labelled_pairs(liked, NG.random_negatives(liked, 5, "rank"))))
 
@@ -100,7 +100,7 @@ WITH i AS (SELECT diner_idx, row_number() OVER (ORDER BY diner_idx) - 1 AS item_
 SELECT user_idx AS "user", item_idx AS diner_id, 1 AS known, 0::BIGINT AS mismatches FROM v JOIN i USING (diner_idx) JOIN u USING (reviewer_id)""")
 def j5(t):
     """Candidates numbered in the shared id space of the generator, checked against the ranker's."""
-    items, shared = I.pair_mapping(t.train)
+    items, shared = I.pair_mapping(t.hold("train").train)
     n = I.distinct_count(t.train, "diner_idx")
     cand = I.map_column(I.map_column(t.train, items, "diner_idx", "diner_idx", "item_idx"), shared, "reviewer_id", "reviewer_id", "user_idx")
     cand = cand.select(F.col("user_idx").alias("user_id"), F.col("item_idx").alias("diner_id")).distinct()

@@ -28,10 +28,7 @@ WITH outer_split AS ({TIMELINE_SQL.format('review')}),
  inner_split AS ({TIMELINE_SQL.format('rest')})
 SELECT review_id, 'test' AS part FROM outer_split WHERE part = 'val' UNION ALL SELECT review_id, part FROM inner_split""")
 def d2(t):
-    outer = S.timeline_split(t.review, 0.2)
-    inner = S.timeline_split(outer.where("part = 'train'").drop("part"), 0.2)
-    test = outer.where("part = 'val'").select("review_id", F.lit("test").alias("part"))
-    return test.unionByName(inner.select("review_id", "part"))
+    return S.timeline_split(t.review, 0.2).select("review_id", "part")
 
 
 @query("d3_stratified_split", f"""

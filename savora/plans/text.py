@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from savora.functions import text as X
-from savora.operators import category as K
 from savora.operators import texts as O
 from savora.operators.blocks import block_topk
 from savora.plans.registry import query
@@ -114,10 +113,9 @@ def o9(t):
     return O.mentions(_sentences(t), ["doc_id", "place"], menus)
 
 
-@query("o10_menus_per_category", "SELECT large, string_agg(menu, ',' ORDER BY menu) AS menus FROM (SELECT DISTINCT large, unnest(menus) AS menu FROM diner) GROUP BY 1")
+@query("o10_menus_per_category", "SELECT large, menu, row_number() OVER (PARTITION BY large ORDER BY menu) AS place FROM (SELECT DISTINCT large, unnest(menus) AS menu FROM diner)")
 def o10(t):
-    rows = t.diner.select("large", F.explode("menus").alias("menu"))
-    return K.children(rows, "large", "menu").select("large", F.array_join("children", ",").alias("menus"))
+    return O.sorted_children(t.diner.select("large", F.explode("menus").alias("menu")), "large", "menu")
 
 
 @query("o11_menu_counter", "SELECT menu, count(*) AS n FROM (SELECT unnest(menus) AS menu FROM diner) GROUP BY 1 HAVING count(*) >= 250")

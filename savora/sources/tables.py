@@ -87,6 +87,7 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._raw: dict[str, DataFrame] = {}
+        self._held: set[str] = set()
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
@@ -219,6 +220,16 @@ class Tables:
             "text",
         )
 
+    def hold(self, *names: str) -> "Tables":
+        """Write the named views once for this query, which reads them several times."""
+        from savora.session import materialise
+
+        for name in names:
+            if name not in self._held:
+                self.__dict__[name] = materialise(getattr(self, name))
+                self._held.add(name)
+        return self
+
     def _between(self, i: int) -> DataFrame:
         from savora.operators.splits import date_range
 
