@@ -122,6 +122,12 @@ def bayesian_average(review: DataFrame, spine: DataFrame, key: str, value: str,
 
 # --- menus ----------------------------------------------------------------------------------
 
+# Stop-words, amount units and kept letters of Korean menu names.
+MENU_STOPWORDS = ("1인분", "1인세트", "세트", "추가", "가격표", "가격", "참고", "오시는 길", "내부에 추천메뉴", "추가")
+MENU_UNITS = r"\d+(?:g|kg|개|mm|ml|L|원)\s*"
+MENU_KEEP = r"[^\uAC00-\uD7A3\s]"
+
+
 def clean_menu(
     menu: Column, stopwords: Sequence[str], units: str, keep: str, min_length: int = 1, parentheses: str = r"\([^)]*\)"
 ) -> Column:
