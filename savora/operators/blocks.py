@@ -39,30 +39,35 @@ def best_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def block_topk(
     queries: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None, normalise: bool = False,
     skip_same: bool = False, digits: int = 6, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK,
+    within: str | None = None,
 ) -> DataFrame:
     """Best k items per query by dot product (cosine with `normalise`).
 
-    queries: (user, vec), items: (item, vec), seen: (user, item) pairs that may not appear.
+    queries: (user, vec), items: (item, vec), seen: (user, item) pairs that may not appear. With
+    `within`, a column of both sides, queries only meet items of their own value.
     Returns (user, item, score, pos). Scores are rounded before ranking, so the order does not
     depend on the order of float additions.
     """
     nq, ni = _blocks(queries, query_block), _blocks(items, item_block)
     vec = lambda: F.col("vec").cast("array<double>").alias("vec")
     none = F.lit(None).cast("long")
+    part_key = F.lit("") if within is None else F.col(within).cast("string")
+    if within is not None and seen is not None:
+        raise ValueError("seen pairs carry no group; filter them beforehand")
     q = queries.select(
         _block_of(F.col("user"), nq).alias("qb"), F.explode(F.sequence(F.lit(0), ni - 1)).alias("ib"),
-        F.lit(0).alias("kind"), F.col("user").cast("long").alias("a"), none.alias("b"), vec(),
+        F.lit(0).alias("kind"), F.col("user").cast("long").alias("a"), none.alias("b"), vec(), part_key.alias("g"),
     )
     i = items.select(
         F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"), _block_of(F.col("item"), ni).alias("ib"),
-        F.lit(1).alias("kind"), F.col("item").cast("long").alias("a"), none.alias("b"), vec(),
+        F.lit(1).alias("kind"), F.col("item").cast("long").alias("a"), none.alias("b"), vec(), part_key.alias("g"),
     )
     rows = q.unionByName(i)
     if seen is not None:
         s = seen.select("user", "item").distinct().select(
             _block_of(F.col("user"), nq).alias("qb"), _block_of(F.col("item"), ni).alias("ib"), F.lit(2).alias("kind"),
             F.col("user").cast("long").alias("a"), F.col("item").cast("long").alias("b"),
-            F.lit(None).cast("array<double>").alias("vec"),
+            F.lit(None).cast("array<double>").alias("vec"), F.lit("").alias("g"),
         )
         rows = rows.unionByName(s)
 
@@ -95,7 +100,7 @@ def block_topk(
                 values.append(block[row, best])
         return pd.DataFrame({"user": np.concatenate(users), "item": np.concatenate(picks), "score": np.concatenate(values)})
 
-    part = rows.groupBy("qb", "ib").applyInPandas(score, "user long, item long, score double")
+    part = rows.groupBy("g", "qb", "ib").applyInPandas(score, "user long, item long, score double")
     return top_per_group(part, ["user"], [F.desc("score"), F.asc("item")], k, rank="pos")
 
 

@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from savora.functions import text as X
 from savora.functions.hashing import hash_int
+from savora.operators.blocks import block_topk
+from savora.operators.popularity import top_per_group
+from savora.session import materialise
 
 LEVELS = ("large", "middle", "small", "detail")
 
@@ -266,6 +270,61 @@ def knn_impute(df: DataFrame, key: str, k: int = 5, predict: Column | None = Non
     return asked.join(answers, ["large", "small_code", "detail_code"], "left").select(key, "large", "predicted")
 
 
+def _text_features(base: DataFrame, key: str, col: str, size: int, letters: str) -> DataFrame:
+    """(key, array of `size`): TF-IDF of a text over the most frequent words of its large
+    category, learned from the known rows."""
+    words = base.select("large", key, "known", F.explode(X.tokens(col, min_length=2, letters=letters)).alias("word"))
+    tf = materialise(words.groupBy("large", key, "known", "word").agg(F.count("*").alias("tf")))
+    vocab = tf.where("known").groupBy("large", "word").agg(F.sum("tf").alias("c"), F.count("*").alias("df"))
+    vocab = top_per_group(vocab, ["large"], [F.desc("c"), F.asc("word")], size, rank="p")
+    n = base.where("known").groupBy("large").agg(F.count("*").alias("n"))
+    idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
+    raw = tf.join(vocab.join(n, "large").select("large", "word", "p", idf.alias("idf")), ["large", "word"])
+    # At most `size` entries per row.
+    packed = raw.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("p", (F.col("tf") * F.col("idf")).alias("w")))).alias("m"),
+        F.sqrt(F.sum(F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf"))).alias("norm"),
+    )
+    dense = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda p: F.coalesce(F.try_element_at("m", p) / F.col("norm"), F.lit(0.0)))
+    return packed.select(key, dense.alias("__t"))
+
+
+def knn_impute_with_text(
+    df: DataFrame, key: str, texts: dict[str, int], k: int = 5, predict: Column | None = None, seed: str = "knn",
+    letters: str = "a-z0-9가-힣",
+) -> DataFrame:
+    """`knn_impute` with TF-IDF features of texts (column -> number of words) next to the coded
+    levels. Rows differ now, so neighbours come from blocked distance products per category."""
+    wanted = F.col("middle").isNull() if predict is None else predict
+    known = df.where("middle is not null and large is not null")
+    codes = [(c, _codes(known, c)) for c in ("small", "detail")]
+    ok = known.groupBy("large").agg(F.count("*").alias("n"), F.count_distinct("middle").alias("m")).where("n >= 2 and m >= 2").select("large")
+    base = df.where(F.col("large").isNotNull()).withColumn("known", F.col("middle").isNotNull()).withColumn("asked", wanted)
+    base = materialise(_encode(base, codes))
+    parts = [F.array(F.col("small_code").cast("double"), F.col("detail_code").cast("double"))]
+    work = base
+    for i, (col, size) in enumerate(texts.items()):
+        work = work.join(_text_features(base, key, col, size, letters).withColumnRenamed("__t", f"__t{i}"), key, "left")
+        parts.append(F.coalesce(f"__t{i}", F.array(*[F.lit(0.0)] * size)))
+    work = materialise(work.select(key, "large", "middle", "known", "asked", F.concat(*parts).alias("x")))
+    # 2xy - |x|^2 - |y|^2 as one dot product: the nearest rows have the highest score.
+    sq = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    q = work.where("asked").select(F.col(key).alias("user"), "large", F.concat(F.transform("x", lambda v: 2.0 * v), F.array(F.lit(-1.0), -sq)).alias("vec"))
+    train = work.where(F.col("known") & ~holdout(F.col(key), seed)).join(ok, "large", "left_semi")
+    it = train.select(F.col(key).alias("item"), "large", F.concat("x", F.array(sq, F.lit(1.0))).alias("vec"))
+    near = block_topk(q, it, k, within="large").join(train.select(F.col(key).alias("item"), "middle"), "item")
+    d = F.sqrt(F.greatest(-F.col("score"), F.lit(0.0)))
+    votes = near.groupBy("user", "middle").agg(
+        F.count_if(F.col("score") >= 0).alias("same"), F.sum(F.when(F.col("score") < 0, 1.0 / d).otherwise(0.0)).alias("other")
+    )
+    best = votes.groupBy("user").agg(
+        F.max("same").alias("any_same"),
+        F.min_by("middle", F.struct((-F.col("same")).alias("a"), F.col("middle").alias("b"))).alias("by_same"),
+        F.min_by("middle", F.struct((-F.round("other", 6)).alias("a"), F.col("middle").alias("b"))).alias("by_other"),
+    ).select(F.col("user").alias(key), F.when(F.col("any_same") > 0, F.col("by_same")).otherwise(F.col("by_other")).alias("predicted"))
+    return work.where("asked").select(key, "large").join(best, key, "left")
+
+
 def imputer_quality(scored: DataFrame) -> DataFrame:
     """Accuracy and macro / support-weighted precision, recall and F1 per large category.
     scored: (large, actual, predicted)."""

@@ -57,7 +57,7 @@ def per_user(hits: DataFrame, counts: DataFrame, ks: Sequence[int], user: str =
         *[F.sum(F.when(inside[k], F.col("hit_no") / F.col("pos")).otherwise(0.0)).alias(f"a{k}") for k in ks],
         *[F.sum(F.when(inside[k], 1.0 / F.log2(F.col("pos") + 1.0)).otherwise(0.0)).alias(f"d{k}") for k in ks],
     )
-    full = counts.join(sums, user, "left").fillna(0.0)
+    full = counts.join(sums, user, "left").fillna(0.0, subset=[f"{c}{k}" for c in "had" for k in ks])
     entries = F.array(
         *[
             F.struct(

@@ -175,6 +175,25 @@ def c9(t):
     return K.knn_impute(_cats(t), "diner_idx")
 
 
+KNN_TEXT_SQL = f"""{_knn_sql('middle IS NULL')}, wd AS (SELECT large, diner_idx, middle IS NOT NULL AS known, unnest([x for x in string_split_regex(lower(name), '[^a-z0-9]+') if length(x) >= 2]) AS word FROM diner),
+ tf AS (SELECT large, diner_idx, known, word, count(*) AS tf FROM wd GROUP BY 1, 2, 3, 4),
+ vo AS (SELECT large, word, ln((1.0::DOUBLE + (SELECT count(*) FROM known z WHERE z.large = t.large)) / (1 + count(*))) + 1 AS idf FROM tf t WHERE known GROUP BY 1, 2),
+ wt AS (SELECT diner_idx, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY diner_idx)) AS w FROM tf JOIN vo USING (large, word)),
+ tr AS (SELECT * FROM enc WHERE middle IS NOT NULL AND NOT held), aq AS (SELECT * FROM enc WHERE middle IS NULL),
+ dots AS (SELECT a.diner_idx AS u, t.diner_idx AS i, sum(x.w * y.w) AS dot FROM aq a JOIN tr t ON t.large = a.large JOIN wt x ON x.diner_idx = a.diner_idx JOIN wt y ON y.diner_idx = t.diner_idx AND y.word = x.word GROUP BY 1, 2),
+ n2 AS (SELECT diner_idx, sum(w * w) AS n FROM wt GROUP BY 1),
+ ds AS (SELECT a.diner_idx AS u, t.diner_idx AS i, t.middle, round((t.s - a.s) * (t.s - a.s) + (t.e - a.e) * (t.e - a.e) + p.n + q.n - 2 * coalesce(dot, 0), 6) AS d2
+   FROM aq a JOIN tr t ON t.large = a.large JOIN n2 p ON p.diner_idx = a.diner_idx JOIN n2 q ON q.diner_idx = t.diner_idx LEFT JOIN dots ON dots.u = a.diner_idx AND dots.i = t.diner_idx),
+ nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY d2, i) AS rn FROM ds) WHERE rn <= 5),
+ vt AS (SELECT u, middle, count(*) FILTER (d2 <= 0) AS same, round(sum(CASE WHEN d2 > 0 THEN 1 / sqrt(d2) ELSE 0 END), 6) AS other FROM nn GROUP BY 1, 2)
+SELECT aq.diner_idx, aq.large, predicted FROM aq LEFT JOIN (SELECT u, CASE WHEN max(same) > 0 THEN arg_min(middle, (-same, middle)) ELSE arg_min(middle, (-other, middle)) END AS predicted FROM vt GROUP BY 1) b ON b.u = aq.diner_idx"""
+
+
+@query("c9_knn_impute_with_text", f"WITH {KNN_TEXT_SQL}")
+def c9b(t):
+    return K.knn_impute_with_text(t.diner.select(*COLS, "name"), "diner_idx", {"name": 100})
+
+
 @query("c10_imputer_quality", f"""
 WITH {_knn_sql('middle IS NOT NULL AND held')}, lab AS (SELECT large, middle AS label FROM pred UNION SELECT large, predicted FROM pred),
  per AS (SELECT l.large, l.label, count(*) FILTER (p.middle = l.label AND p.predicted = l.label) AS tp, count(*) FILTER (p.middle = l.label) AS sup, count(*) FILTER (p.predicted = l.label) AS cl

@@ -215,12 +215,21 @@ def i14(t):
     return _spread(G.sage_layers(edges(t), G.hash_vectors(_nodes(t), DIM, "x"), DIM, 2, 5, "sage"))
 
 
-def _light_sql():
+def _light_parts():
     layer = lambda i: f"""l{i + 1} AS (SELECT src AS id, {', '.join(f'sum(w * d{d}) AS d{d}' for d in range(DIM))} FROM norm JOIN l{i} ON l{i}.id = norm.dst GROUP BY 1)"""
     l0 = f"l0 AS (SELECT id, {HASH_VEC} FROM (SELECT DISTINCT src AS id FROM edges))"
     st = "st AS (SELECT src, sum(weight) AS s FROM edges GROUP BY 1), norm AS (SELECT e.src, e.dst, weight / (sqrt(a.s) * sqrt(b.s)) AS w FROM edges e JOIN st a ON a.src = e.src JOIN st b ON b.src = e.dst)"
-    cols = ", ".join(f"round((l0.d{d} + l1.d{d} + l2.d{d}) / 3, 5) AS d{d}" for d in range(DIM))
-    return f"WITH {BOTH_SQL}, {st}, {l0}, {layer(0)}, {layer(1)} SELECT l0.id, {cols} FROM l0 JOIN l1 USING (id) JOIN l2 USING (id)"
+    mean = ", ".join(f"(l0.d{d} + l1.d{d} + l2.d{d}) / 3 AS d{d}" for d in range(DIM))
+    return f"WITH {BOTH_SQL}, {st}, {l0}, {layer(0)}, {layer(1)}, lg AS (SELECT l0.id, {mean} FROM l0 JOIN l1 USING (id) JOIN l2 USING (id))"
+
+
+def _light_sql():
+    return f"{_light_parts()} SELECT id, {', '.join(f'round(d{d}, 5) AS d{d}' for d in range(DIM))} FROM lg"
+
+
+CAND_SQL = f"""{_light_parts()}, s AS (SELECT u.id - {SHIFT} AS user_id, v.id AS diner_id, round({DOT_SQL}, 6) AS score FROM lg u JOIN lg v ON u.id >= {SHIFT} AND v.id < {SHIFT}
+  ANTI JOIN train ON train.reviewer_id = u.id - {SHIFT} AND train.diner_idx = v.id)
+SELECT user_id, diner_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, diner_id) AS pos FROM s) WHERE pos <= 50"""
 
 
 @query("i15_light_propagation", _light_sql())
@@ -241,7 +250,7 @@ def i16(t):
     return NG.random_negatives(inter, 5, "bpr").join(positive, "user").select(F.col("user").alias("user_id"), "positive", F.col("item").alias("negative"), "draw")
 
 
-@query("i17_graph_candidates")
+@query("i17_graph_candidates", CAND_SQL)
 def i17(t):
     """Unseen top items per user from propagated vectors, through the candidate parquet."""
     vec = materialise(G.light_propagation(edges(t), G.hash_vectors(_nodes(t), DIM, "x"), DIM, 2))

@@ -60,10 +60,13 @@ def l4(t):
     return out.select("cell_id", F.round("cell_lat", 6).alias("cell_lat"), F.round("cell_lon", 6).alias("cell_lon"))
 
 
-@query("l4_cell_boundary")
+@query("l4_cell_boundary", f"""
+WITH {CELL_SQL} SELECT DISTINCT cell_id, CAST(corner AS INTEGER) AS corner, round({centre_sql('q', 'r')[0]} + {geo.side(RES)!r}::DOUBLE * sin(radians(60 * corner + 30)) / {geo.METRES_PER_DEGREE_LAT!r}::DOUBLE, 6) AS lat,
+ round({centre_sql('q', 'r')[1]} + {geo.side(RES)!r}::DOUBLE * cos(radians(60 * corner + 30)) / {geo.metres_per_lon()!r}::DOUBLE, 6) AS lon FROM pts, (SELECT unnest(range(6)) AS corner)""")
 def l4b(t):
     cells = _points(t).select("cell_id").distinct()
-    return cells.select("cell_id", F.posexplode(P.cell_corners("cell_id", RES)).alias("corner", "p")).select("cell_id", "corner", "p.lat", "p.lon")
+    corners = cells.select("cell_id", F.posexplode(P.cell_corners("cell_id", RES)).alias("corner", "p"))
+    return corners.select("cell_id", "corner", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
 
 
 @query("l5_near_point", f"SELECT diner_idx, round({HAVERSINE_SQL.format(la1='37.55', lo1='126.95', la2='lat', lo2='lon')}, 6) AS km FROM diner WHERE {HAVERSINE_SQL.format(la1='37.55', lo1='126.95', la2='lat', lo2='lon')} <= 5")

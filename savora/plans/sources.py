@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from savora.operators import cleaning as C
 from savora.operators import places as P
+from savora.plans.features import hex_sql
 from savora.plans.registry import query
 from savora.session import scratch_path
 from savora.sources import files
@@ -111,10 +112,20 @@ def a9(t):
     return files.read_regions_csv(t.spark, path, "cell_id long")
 
 
-@query("a10_geojson_features")
+@query("a10_geojson_features", f"""
+SELECT '9_' || q || '_' || r AS cell_id, count(*) AS n, 'Polygon' AS kind, 7 AS points, 1 AS closed FROM ({hex_sql('lat', 'lon', 9, 'diner')}) GROUP BY 1""")
 def a10(t):
     cells = P.cell_stats(P.with_cell(t.diner, "lat", "lon", 9), {"n": F.count("*")}, 9)
-    return files.geojson_features(cells, P.cell_corners("cell_id", 9), ["cell_id", "n"])
+    path = scratch_path(t.spark, "geojson")
+    files.write_geojson(files.geojson_features(cells, P.cell_corners("cell_id", 9), ["cell_id", "n"]), path)
+    back = t.spark.read.schema(
+        "type string, geometry struct<type: string, coordinates: array<array<array<double>>>>, properties struct<cell_id: string, n: long>"
+    ).json(path)
+    ring = F.col("geometry.coordinates")[0]
+    return back.select(
+        "properties.cell_id", "properties.n", F.col("geometry.type").alias("kind"), F.size(ring).alias("points"),
+        (F.element_at(ring, 1) == F.element_at(ring, -1)).cast("int").alias("closed"),
+    )
 
 
 @query("a11_similar_items_json", """

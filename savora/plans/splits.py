@@ -40,7 +40,9 @@ def d3(t):
     return S.stratified_split(t.review, 0.2, "42").select("review_id", "part")
 
 
-@query("d4_split_arguments")
+@query("d4_split_arguments", """
+SELECT CAST(case_no AS INTEGER) AS case_no, split_by, verdict, (SELECT count(*) FROM review) AS n_rows FROM (VALUES (0, 'time_point', 'accepted'), (1, 'time_point', 'split dates must increase'),
+ (2, 'user_timeline', 'accepted'), (3, 'stratified', 'test_size must lie between 0 and 1'), (4, 'unknown', 'unknown split unknown')) v(case_no, split_by, verdict)""")
 def d4(t):
     """Accepted parameters lead to the split, refused ones to a marked row."""
     cases = [

@@ -102,6 +102,11 @@ def geojson_features(cells: DataFrame, corners: str, properties: list[str]) -> D
     )
 
 
+def write_geojson(features: DataFrame, path: str) -> None:
+    """Newline-delimited features, one file per partition."""
+    features.write.mode("overwrite").text(path)
+
+
 def similar_items_json(sims: DataFrame, target: str, item: str, score: str) -> DataFrame:
     """target -> [[item, score rounded to 2], ...], best first. Lists are top-k, so bounded."""
     pairs = F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"))))
