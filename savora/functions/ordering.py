@@ -61,8 +61,10 @@ def prefix_sums(
     bucket: Column,
     order: Sequence[Column],
     values: dict[str, Column],
+    totals: bool = False,
 ) -> DataFrame:
-    """Add, for every entry of `values`, its sum over the earlier rows of the same group.
+    """Add, for every entry of `values`, its sum over the earlier rows of the same group; with
+    `totals` also the sum over the whole group as `<name>_total`.
 
     `bucket` must be monotone in `order`. Sums exclude the row itself; a first row gets 0. Group
     columns must not be null: plain equality keeps the rows where the window put them, so the
@@ -74,15 +76,16 @@ def prefix_sums(
     for name, value in values.items():
         work = work.withColumn(f"__v_{name}", value)
     inner = W.partitionBy(*group, b).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    totals = work.groupBy(*group, b).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
+    sums = work.groupBy(*group, b).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
     earlier = W.partitionBy(*group).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *group, b, *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in values]
+    whole = [F.sum(f"__t_{n}").over(W.partitionBy(*group)).alias(f"__w_{n}") for n in values] if totals else []
+    offsets = sums.select(
+        *group, b, *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in values], *whole
     )
     ranked = work.select(
         "*", *[F.coalesce(F.sum(f"__v_{n}").over(inner), F.lit(0)).alias(f"__i_{n}") for n in values]
     )
-    offs = offsets.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate([*group, b])], *[f"__o_{n}" for n in values])
+    offs = offsets.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate([*group, b])], *[f"__o_{n}" for n in values], *([f"__w_{n}" for n in values] if totals else []))
     cond = None
     for i, c in enumerate([*group, b]):
         e = F.col(c) == F.col(f"__g{i}")
@@ -91,6 +94,7 @@ def prefix_sums(
     return joined.select(
         *df.columns,
         *[(F.coalesce(F.col(f"__i_{n}"), F.lit(0)) + F.coalesce(F.col(f"__o_{n}"), F.lit(0))).alias(n) for n in values],
+        *([F.col(f"__w_{n}").alias(f"{n}_total") for n in values] if totals else []),
     )
 
 

@@ -22,9 +22,9 @@ def liked_places(liked: DataFrame, order: Sequence[str], user: str = "user") ->
     collected, so a user may like any number of items."""
     cuts = splitters(liked, F.col(order[0]))
     ranked = prefix_sums(
-        liked, [user], bucket_of(F.col(order[0]), cuts), [F.col(c) for c in order], {"place": F.lit(1).cast("long")}
+        liked, [user], bucket_of(F.col(order[0]), cuts), [F.col(c) for c in order], {"place": F.lit(1).cast("long")}, totals=True
     )
-    return ranked.withColumn("place", F.col("place") + 1).join(liked_counts(liked, user), user)
+    return ranked.withColumn("place", F.col("place") + 1).withColumnRenamed("place_total", "m")
 
 
 def find_hits(recs: DataFrame, liked: DataFrame, user: str = "user", item: str = "item") -> DataFrame:

@@ -21,8 +21,8 @@ from savora.session import materialise
 OVERDRAW = 4
 
 
-def draw_unseen(wanted: DataFrame, pool: DataFrame, seen: DataFrame, seed: str, group: Sequence[str] = ()) -> DataFrame:
-    """`want` different unseen items per row of `wanted` (user, [group], want, limit), drawn from
+def draw_unseen(wanted: DataFrame, pool: DataFrame, seen: DataFrame, seed: str, most: int, group: Sequence[str] = ()) -> DataFrame:
+    """`want` (at most `most`) different unseen items per row of `wanted` (user, [group], want, limit), drawn from
     pool places below `limit`. pool: ([group], idx, item). Returns (user, [group], item, draw)."""
     group = list(group)
     keys = ["user", *group]
@@ -34,9 +34,8 @@ def draw_unseen(wanted: DataFrame, pool: DataFrame, seen: DataFrame, seed: str,
         draws.join(pool, [*group, "idx"]).groupBy(*keys, "want", "item").agg(F.min("j").alias("j"))
         .join(seen.select("user", "item"), ["user", "item"], "left_anti")
     )
-    # want * OVERDRAW bounds the rows per key, so this window never sees more.
     got = materialise(
-        top_per_group(fresh, keys, [F.asc("j")], 1 << 30, rank="draw").where("draw <= want").select(*keys, "item", "draw")
+        top_per_group(fresh, keys, [F.asc("j")], most, rank="draw").where("draw <= want").select(*keys, "item", "draw")
     )
     counts = got.groupBy(*keys).agg(F.count("*").alias("n_got"))
     short = wanted.join(counts, keys, "left").fillna(0, subset=["n_got"]).where("n_got < want and limit > 0")
@@ -50,7 +49,7 @@ def draw_unseen(wanted: DataFrame, pool: DataFrame, seen: DataFrame, seed: str,
         .join(got.select(*keys, "item"), [*keys, "item"], "left_anti")
         .withColumn("__h", hash_int(seed, F.lit("rest"), F.col("user"), F.col("item")))
     )
-    filled = top_per_group(rest, keys, [F.asc("__h"), F.asc("item")], 1 << 30, rank="__r").where("__r <= want - n_got")
+    filled = top_per_group(rest, keys, [F.asc("__h"), F.asc("item")], most, rank="__r").where("__r <= want - n_got")
     return got.unionByName(filled.select(*keys, "item", (F.col("n_got") + F.col("__r")).cast("int").alias("draw")))
 
 
@@ -79,7 +78,7 @@ def random_negatives(inter: DataFrame, n: int, seed: str) -> DataFrame:
     pool = materialise(id_mapping(seen, "item", "idx"))
     size = pool.agg(F.count("*")).scalar()
     wanted = materialise(seen.select("user").distinct().select("user", F.lit(n).cast("long").alias("want"), size.alias("limit")))
-    return fill_with_copies(draw_unseen(wanted, pool, seen, seed), wanted, seed)
+    return fill_with_copies(draw_unseen(wanted, pool, seen, seed, n), wanted, seed)
 
 
 def popular_limits(inter: DataFrame, seen: DataFrame, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +105,7 @@ def popular_negatives(inter: DataFrame, n: int, seed: str, share: float = 0.5) -
     seen = _seen(inter)
     limits, ranked = popular_limits(inter, seen, share)
     wanted = materialise(limits.select("user", F.lit(n).cast("long").alias("want"), "limit"))
-    return fill_with_copies(draw_unseen(wanted, ranked, seen, seed), wanted, seed)
+    return fill_with_copies(draw_unseen(wanted, ranked, seen, seed, n), wanted, seed)
 
 
 def diverse_negatives(inter: DataFrame, category: DataFrame, names: Sequence[str], n: int, seed: str) -> DataFrame:
@@ -131,7 +130,7 @@ def diverse_negatives(inter: DataFrame, category: DataFrame, names: Sequence[str
         "user", F.col("s.label").alias("label"), F.col("s.limit").alias("limit"),
         F.least(F.floor(F.lit(n) / F.col("c")) + F.when(F.col("p") < F.lit(n) % F.col("c"), 1).otherwise(0), F.col("s.free")).cast("long").alias("want"),
     ))
-    spread = draw_unseen(quota, pool, seen, seed, ["label"]).select("user", "item")
+    spread = draw_unseen(quota, pool, seen, seed, n, ["label"]).select("user", "item")
     have = spread.groupBy("user").agg(F.count("*").alias("h"))
     total = items.agg(F.count("*")).scalar()
     missing = users.join(have, "user", "left").select(
@@ -142,6 +141,6 @@ def diverse_negatives(inter: DataFrame, category: DataFrame, names: Sequence[str
         return spread
     missing = materialise(missing)
     taken = seen.unionByName(spread.select("user", "item"))
-    extra = draw_unseen(missing, id_mapping(seen, "item", "idx"), taken, seed + "-extra")
+    extra = draw_unseen(missing, id_mapping(seen, "item", "idx"), taken, seed + "-extra", n)
     extra = fill_with_copies(extra, missing, seed + "-extra")
     return spread.unionByName(extra.select("user", "item", F.lit("extra").alias("source")))

@@ -208,8 +208,24 @@ def mmr_bounded(
     return cut.groupBy(group).applyInPandas(greedy, f"{group} {kind}, item long, pos int")
 
 
+# Groups up to this size are re-ranked inside one Python group each.
+SMALL_GROUP = 5000
+
+
+def mmr_rerank(df: DataFrame, group: str, k: int, top_m: int | None = None, **params) -> DataFrame:
+    """Greedy diversity re-ranking. `top_m` cuts the candidates as part of the method; without it
+    all candidates compete, whatever the group size."""
+    if top_m is not None:
+        return mmr_bounded(df, group, k, top_m, **params)
+    df = materialise(df)
+    largest = df.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= SMALL_GROUP:
+        return mmr_bounded(df, group, k, SMALL_GROUP, **params)
+    return mmr_stepwise(df, group, k, **params)
+
+
 def mmr_stepwise(
-    df: DataFrame, group: str, k: int, penalty: bool = True,
+    df: DataFrame, group: str, k: int, frozen: int = 0, penalty: bool = True,
     coverage_max: dict[str, int] | None = None, coverage_min: dict[str, int] | None = None,
     lambda_div: float = 0.55, w_cat: float = 0.5, w_geo: float = 0.5, tau_km: float = 2.0, step: float = 0.05,
 ) -> DataFrame:
@@ -226,7 +242,7 @@ def mmr_stepwise(
     result = None
     for pos in range(1, k + 1):
         open_rows = state.join(counts, group)
-        for lab, most in cmax.items():
+        for lab, most in cmax.items() if pos > frozen else ():
             i = labs.index(lab)
             open_rows = open_rows.where((F.col(f"__c{i}") < most) | (F.col(f"__l{i}") == 0))
         ends = open_rows.groupBy(group).agg(F.min("sim").alias("__lo"), F.max("sim").alias("__hi"))
@@ -236,6 +252,8 @@ def mmr_stepwise(
             i = labs.index(lab)
             bonus = bonus + F.col(f"__l{i}") * F.greatest(F.lit(least) - F.col(f"__c{i}"), F.lit(0)) * F.lit(step)
         gain = F.round(F.lit(lambda_div) * F.col("rel") - F.lit(1.0 - lambda_div) * far + bonus, SCORE_DIGITS)
+        if pos <= frozen:
+            gain = F.col("rel")
         best = open_rows.join(ends, group).groupBy(group).agg(
             F.max_by(
                 F.struct("item", "cat", "lat", "lon", *[f"__l{i}" for i in range(len(labs))]),
@@ -334,7 +352,7 @@ def hidden_scores(
     )
 
 
-def hidden_rerank(scored: DataFrame, k: int, group: str = "region", top_m: int = 1000, **mmr) -> DataFrame:
+def hidden_rerank(scored: DataFrame, k: int, group: str = "region", top_m: int | None = None, **mmr) -> DataFrame:
     """Diversity re-ranking by hidden score per group, with all bonus columns."""
     scored = materialise(scored)
     rel = minmax(F.col("hidden_score"), [group], scored, "rel")
@@ -342,7 +360,7 @@ def hidden_rerank(scored: DataFrame, k: int, group: str = "region", top_m: int =
         group, F.col("diner_idx").alias("item"), "rel", F.col("large").alias("cat"), "lat", "lon",
         coverage_labels("large", F.col("region")).alias("labels"),
     )
-    picked = mmr_bounded(cands, group, k, top_m, **mmr)
+    picked = mmr_rerank(cands, group, k, top_m, **mmr)
     return picked.join(scored.withColumnRenamed("diner_idx", "item"), [group, "item"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from savora.functions.hashing import hash_int
 from savora.functions.ordering import prefix_sums
+from savora.session import materialise
 
 
 def date_range(df: DataFrame, lo: str, hi: str, date: str = "review_date") -> DataFrame:
@@ -36,13 +37,12 @@ def timeline_split(df: DataFrame, test_size: float, user: str = "reviewer_id", d
     Splitting off test and splitting the rest again only needs each row's place and the user's
     count, so both cuts come from one ranking.
     """
-    ranked = prefix_sums(df, [user], _month(date), [F.col(date), F.col(tie)], {"__before": F.lit(1).cast("long")})
-    sizes = df.groupBy(user).agg(F.count("*").alias("__n"))
+    ranked = prefix_sums(df, [user], _month(date), [F.col(date), F.col(tie)], {"__n": F.lit(1).cast("long")}, totals=True)
     keep = F.lit(1.0 - test_size)
-    outer = F.floor(F.col("__n") * keep)
+    outer = F.floor(F.col("__n_total") * keep)
     inner = F.floor(outer * keep)
-    part = F.when(F.col("__before") < inner, "train").when(F.col("__before") < outer, "val").otherwise("test")
-    return ranked.join(sizes, user).withColumn("part", part).drop("__before", "__n")
+    part = F.when(F.col("__n") < inner, "train").when(F.col("__n") < outer, "val").otherwise("test")
+    return ranked.withColumn("part", part).drop("__n", "__n_total")
 
 
 def stratified_split(df: DataFrame, test_size: float, seed: str, user: str = "reviewer_id", tie: str = "review_id") -> DataFrame:
@@ -50,14 +50,12 @@ def stratified_split(df: DataFrame, test_size: float, seed: str, user: str = "re
     in neither, so both sides hold the same users."""
     h = hash_int(seed, F.col(tie))
     work = df.withColumn("__h", h)
-    ranked = prefix_sums(work, [user], F.floor(F.col("__h") / F.lit(1 << 26)), [F.col("__h"), F.col(tie)], {"__before": F.lit(1).cast("long")})
-    sizes = df.groupBy(user).agg(F.count("*").alias("__n"))
-    cut = F.floor(F.col("__n") * F.lit(1.0 - test_size) + 0.5)
+    ranked = prefix_sums(work, [user], F.floor(F.col("__h") / F.lit(1 << 26)), [F.col("__h"), F.col(tie)], {"__n": F.lit(1).cast("long")}, totals=True)
+    cut = F.floor(F.col("__n_total") * F.lit(1.0 - test_size) + 0.5)
     return (
-        ranked.join(sizes, user)
-        .where((cut >= 1) & (cut < F.col("__n")))
-        .withColumn("part", F.when(F.col("__before") < cut, "train").otherwise("val"))
-        .drop("__before", "__n", "__h")
+        ranked.where((cut >= 1) & (cut < F.col("__n_total")))
+        .withColumn("part", F.when(F.col("__n") < cut, "train").otherwise("val"))
+        .drop("__n", "__n_total", "__h")
     )
 
 
@@ -139,27 +137,21 @@ def label_warm_cold(train: DataFrame, later: DataFrame, user: str = "reviewer_id
     return later.join(warm_cold_users(train, later, user), user)
 
 
-def split_stats(parts: dict[str, DataFrame], user: str = "reviewer_id", item: str = "diner_idx") -> DataFrame:
-    """Per part: users, items, feedbacks, density % and the share of users the first part knows."""
-    first = next(iter(parts.values()))
-    out = None
-    for name, df in parts.items():
-        base = df.agg(
-            F.count_distinct(user).alias("users"), F.count_distinct(item).alias("items"), F.count("*").alias("feedbacks")
-        )
-        warm = warm_cold_users(first, df, user).agg(
-            F.count_if(F.col("user_type") == "warm").alias("warm_users"),
-            F.count_if(F.col("user_type") == "cold").alias("cold_users"),
-        )
-        one = base.select(
-            F.lit(name).alias("part"), "users", "items", "feedbacks",
-            F.round(F.try_divide(100.0 * F.col("feedbacks"), F.col("users") * F.col("items")), 6).alias("density_pct"),
-            warm.select("warm_users").scalar().alias("warm_users"),
-            warm.select("cold_users").scalar().alias("cold_users"),
-        )
-        out = one if out is None else out.unionByName(one)
-    n = F.col("warm_users") + F.col("cold_users")
-    return out.withColumn("warm_pct", F.round(F.try_divide(100.0 * F.col("warm_users"), n), 6))
+def split_stats(parts: DataFrame, first: str = "train", user: str = "reviewer_id", item: str = "diner_idx") -> DataFrame:
+    """Per value of `part`: users, items, feedbacks, density % and the share of users the first
+    part knows. Everything but the item count comes from one pass over (part, user) counts."""
+    per_user = materialise(parts.groupBy("part", user).agg(F.count("*").alias("__n")))
+    known = per_user.where(F.col("part") == first).select(user, F.lit(1).alias("__w"))
+    users = per_user.join(known, user, "left").groupBy("part").agg(
+        F.count("*").alias("users"), F.sum("__n").alias("feedbacks"),
+        F.count_if(F.col("__w") == 1).alias("warm_users"), F.count_if(F.col("__w").isNull()).alias("cold_users"),
+    )
+    items = parts.select("part", item).distinct().groupBy("part").agg(F.count("*").alias("items"))
+    pct = lambda a, b: F.round(F.try_divide(100.0 * a, b), 6)
+    return users.join(items, "part").select(
+        "part", "users", "items", "feedbacks", pct(F.col("feedbacks"), F.col("users") * F.col("items")).alias("density_pct"),
+        "warm_users", "cold_users", pct(F.col("warm_users"), F.col("warm_users") + F.col("cold_users")).alias("warm_pct"),
+    )
 
 
 def edge_split(edges: DataFrame, seed: str, *keys: str) -> DataFrame:

@@ -204,7 +204,7 @@ def j12(t):
 
 @query("j12_diversity_rerank_coverage")
 def j12b(t):
-    return R.mmr_bounded(_cands(t), "region", 20, 500, frozen=3, coverage_max={"category:PROMO": 3}, coverage_min={"category:SMALL": 5})
+    return R.mmr_rerank(_cands(t), "region", 20, frozen=3, coverage_max={"category:PROMO": 3}, coverage_min={"category:SMALL": 5})
 
 
 @query("j13_coverage_quota", """

@@ -115,7 +115,7 @@ _STAT = """SELECT '{0}' AS part, count(DISTINCT reviewer_id) AS users, count(DIS
 SELECT *, round(100.0::DOUBLE * warm_users / (warm_users + cold_users), 6) AS warm_pct FROM (
 {' UNION ALL '.join(_STAT.format(p) for p in ('train', 'val', 'test'))})""")
 def d10(t):
-    return S.split_stats({"train": t.train, "val": t.val, "test": t.test})
+    return S.split_stats(S.time_point_split(t.review, *SPLIT_DATES))
 
 
 @query("d11_edge_split", f"""

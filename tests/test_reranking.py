@@ -27,9 +27,12 @@ def _lists(df):
     return out
 
 
-@pytest.mark.parametrize("cover", [{}, {"coverage_max": {"category:a": 1}, "coverage_min": {"category:b": 3}}])
-def test_both_forms_agree(spark, cands, cover):
+@pytest.mark.parametrize("cover", [{}, {"coverage_max": {"category:a": 1}, "coverage_min": {"category:b": 3}, "frozen": 2}])
+def test_both_forms_agree(spark, cands, cover, monkeypatch):
     df = spark.createDataFrame(cands, SCHEMA)
+    auto = _lists(R.mmr_rerank(df, "g", 7, **cover))
+    monkeypatch.setattr(R, "SMALL_GROUP", 3)
+    assert _lists(R.mmr_rerank(df, "g", 7, **cover)) == auto
     assert _lists(R.mmr_bounded(df, "g", 7, 100, **cover)) == _lists(R.mmr_stepwise(df, "g", 7, **cover))
 
 
