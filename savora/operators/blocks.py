@@ -27,15 +27,6 @@ def _block_of(id_col: Column, n: Column) -> Column:
     return F.pmod(F.xxhash64(id_col.cast("long")), n).cast("int")
 
 
-def best_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties by id; ties on the border are resolved exactly."""
-    ok = np.flatnonzero(scores > -np.inf)
-    if ok.size > k:
-        border = np.partition(scores[ok], ok.size - k)[ok.size - k]
-        ok = ok[scores[ok] >= border]
-    return ok[np.lexsort((ids[ok], -scores[ok]))][:k]
-
-
 def block_topk(
     queries: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None, normalise: bool = False,
     skip_same: bool = False, digits: int = 6, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK,
@@ -71,6 +62,15 @@ def block_topk(
         )
         rows = rows.unionByName(s)
 
+    # Task functions carry all they need: executors have NumPy and pandas, not this package.
+    def best_k(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Positions of the k best scores, ties by id; ties on the border are resolved exactly."""
+        ok = np.flatnonzero(scores > -np.inf)
+        if ok.size > k:
+            border = np.partition(scores[ok], ok.size - k)[ok.size - k]
+            ok = ok[scores[ok] >= border]
+        return ok[np.lexsort((ids[ok], -scores[ok]))][:k]
+
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         qs, its, sn = (pdf[pdf["kind"] == n] for n in (0, 1, 2))
         empty = pd.DataFrame({"user": [], "item": [], "score": []}).astype({"user": "int64", "item": "int64", "score": "float64"})
@@ -94,7 +94,7 @@ def block_topk(
             for row in range(block.shape[0]):
                 if skip_same:
                     block[row, iid == qid[lo + row]] = -np.inf
-                best = best_k(block[row], iid, k)
+                best = best_k(block[row], iid)
                 users.append(np.full(best.size, qid[lo + row]))
                 picks.append(iid[best])
                 values.append(block[row, best])

@@ -147,12 +147,6 @@ MMR = dict(lambda_div=0.55, w_cat=0.5, w_geo=0.5, tau_km=2.0, step=0.05)
 SCORE_DIGITS = 9
 
 
-def _haversine_np(lat, lon, lat0, lon0):
-    dlat, dlon = np.radians(lat - lat0) / 2, np.radians(lon - lon0) / 2
-    h = np.sin(dlat) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lat0)) * np.sin(dlon) ** 2
-    return 2 * geo.EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
-
-
 def mmr_bounded(
     df: DataFrame, group: str, k: int, top_m: int, frozen: int = 0, penalty: bool = True,
     coverage_max: dict[str, int] | None = None, coverage_min: dict[str, int] | None = None,
@@ -166,6 +160,14 @@ def mmr_bounded(
     cmax, cmin = coverage_max or {}, coverage_min or {}
     cut = top_per_group(df, [group], [F.desc("rel"), F.asc("item")], top_m).select(group, "item", "rel", "cat", "lat", "lon", "labels")
 
+    # Task functions carry all they need: executors have NumPy and pandas, not this package.
+    radius = geo.EARTH_RADIUS_KM
+
+    def distance(lat, lon, lat0, lon0):
+        dlat, dlon = np.radians(lat - lat0) / 2, np.radians(lon - lon0) / 2
+        h = np.sin(dlat) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lat0)) * np.sin(dlon) ** 2
+        return 2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rel", "item"], ascending=[False, True]).reset_index(drop=True)
         ids, rel = pdf["item"].to_numpy(np.int64), pdf["rel"].to_numpy(float)
@@ -182,7 +184,7 @@ def mmr_bounded(
             for lab in count:
                 count[lab] += int(has[lab][i])
             if penalty:
-                near = np.exp(-_haversine_np(lat, lon, lat[i], lon[i]) / tau_km)
+                near = np.exp(-distance(lat, lon, lat[i], lon[i]) / tau_km)
                 sim = np.maximum(sim, w_cat * (cat == cat[i]).astype(float) + w_geo * near)
 
         for i in range(min(frozen, k, ids.size)):
