@@ -6,7 +6,7 @@ import importlib
 
 MODULES = [
     "sources", "cleaning", "category", "splits", "features", "popularity", "neighbors",
-    "factors", "graph", "reranking", "evaluation", "places", "dashboard", "statistics", "text",
+    "factors", "graph", "reranking", "evaluation", "places", "dashboard", "statistics", "text", "models",
 ]
 
 
