@@ -243,7 +243,7 @@ def mmr_stepwise(
     counts = state.select(group).distinct().select(group, *[F.lit(0).alias(f"__c{i}") for i in range(len(labs))])
     result = None
     for pos in range(1, k + 1):
-        open_rows = state.join(counts, group)
+        open_rows = state.join(counts, group) if labs else state
         for lab, most in cmax.items() if pos > frozen else ():
             i = labs.index(lab)
             open_rows = open_rows.where((F.col(f"__c{i}") < most) | (F.col(f"__l{i}") == 0))
@@ -275,6 +275,8 @@ def mmr_stepwise(
         new_sim = F.when(F.col("b").isNull() | F.lit(not penalty), F.col("sim")).otherwise(F.greatest("sim", like))
         kept = joined.where(F.col("b").isNull() | (F.col("item") != F.col("b.item")))
         state = cut_lineage(kept.withColumn("sim", new_sim).drop("b"))
+        if not labs:
+            continue
         counts = counts.join(best, group, "left").select(
             group, *[(F.col(f"__c{i}") + F.coalesce(F.col(f"b.__l{i}"), F.lit(0))).alias(f"__c{i}") for i in range(len(labs))]
         )
