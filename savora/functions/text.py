@@ -8,11 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def pieces(col: str | Column, letters: str = "a-z") -> Column:
+    """Lower-cased text cut at everything that is no letter; may hold empty strings."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.split(F.lower(F.coalesce(c, F.lit(""))), f"[^{letters}]+")
+
+
 def tokens(col: str | Column, stop: Sequence[str] = (), min_length: int = 1, letters: str = "a-z") -> Column:
     """Lower-cased runs of letters; null text gives an empty array."""
-    c = F.col(col) if isinstance(col, str) else col
-    parts = F.split(F.lower(F.coalesce(c, F.lit(""))), f"[^{letters}]+")
-    kept = F.filter(parts, lambda x: F.length(x) >= min_length)
+    kept = F.filter(pieces(col, letters), lambda x: F.length(x) >= min_length)
     if stop:
         words = list(stop)
         kept = F.filter(kept, lambda x: ~x.isin(words))

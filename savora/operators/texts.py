@@ -23,12 +23,13 @@ def normalised_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return clean.groupBy("clean").agg(F.min(key).alias(key)).select(key, "clean")
 
 
-def token_rows(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    return df.select(key, F.explode(tokens).alias("word"))
-
-
-def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    return token_rows(df, key, tokens).groupBy(key, "word").agg(F.count("*").alias("tf"))
+def term_counts(df: DataFrame, key: str, text: str, stop: Sequence[str] = (), min_length: int = 1) -> DataFrame:
+    """Word counts per document. Stop-words are filtered after the explode, in generated code,
+    and counts are combined before the shuffle."""
+    rows = df.select(key, F.explode(X.pieces(text)).alias("word")).where(F.length("word") >= min_length)
+    if stop:
+        rows = rows.where(~F.col("word").isin(list(stop)))
+    return rows.groupBy(key, "word").agg(F.count("*").alias("tf"))
 
 
 def idf_table(counts: DataFrame, n_docs: Column) -> DataFrame:
@@ -45,9 +46,9 @@ def weigh(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return raw.select(key, "word", (F.col("__w") / norm).alias("weight"))
 
 
-def tfidf(df: DataFrame, key: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
+def tfidf(df: DataFrame, key: str, text: str, stop: Sequence[str] = (), min_length: int = 1) -> tuple[DataFrame, DataFrame]:
     """(weights, idf) over all documents; documents without words count towards n."""
-    counts = materialise(term_counts(df, key, tokens))
+    counts = materialise(term_counts(df, key, text, stop, min_length))
     idf = materialise(idf_table(counts, df.agg(F.count("*")).scalar()))
     return weigh(counts, idf, key), idf
 

@@ -26,7 +26,7 @@ def _tokens():
 
 
 def _tfidf(t):
-    return O.tfidf(_docs(t), "doc_id", _tokens())
+    return O.tfidf(_docs(t), "doc_id", "text", STOP, 3)
 
 
 @query("o1_normalise_texts", """

@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from savora.functions import text as X
 from savora.operators import splits as S
 from savora.operators import statistics as N
 from savora.operators import texts as O
@@ -21,7 +20,7 @@ def test_mentions_long_and_short_lists_agree(spark, monkeypatch):
 
 def test_tfidf_by_hand(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, "a"), (3, None)], "id long, text string")
-    w, _ = O.tfidf(df, "id", X.tokens("text"))
+    w, _ = O.tfidf(df, "id", "text")
     got = {(r["id"], r["word"]): r["weight"] for r in w.collect()}
     ia, ib = math.log(4 / 3) + 1, math.log(4 / 2) + 1
     n = math.hypot(ia, 2 * ib)
