@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from savora.llm import adaptive_rules, html_blocks, mpeg_audio, secret_scan, warc
+from savora.llm import adaptive_rules, entropy_mix, html_blocks, mpeg_audio, residual_pack, secret_scan, warc
 from savora.llm.common import table
 from savora.session import materialise, scratch_path
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op2_secret_scan(spark, sf_dir):
     """Secrets of every document; see `secret_scan.scan`."""
@@ -32,6 +35,12 @@ def op5_html_blocks(spark, sf_dir):
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_entropy_mix(spark, sf_dir):
+    """Copies of every document so that sources meet their targets."""
+    mixed = entropy_mix.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
 def op7_adaptive_rules(spark, sf_dir):
     """Counts, measures and the verdict under learned thresholds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
@@ -40,5 +49,10 @@ def op7_adaptive_rules(spark, sf_dir):
     return adaptive_rules.judge(measured, limits).select("doc_id", *adaptive_rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op7_adaptive_rules)}
+def op8_residual_pack(spark, sf_dir):
+    """Pieces of every document, packed into sequences of 4096 tokens."""
+    return residual_pack.pack(residual_pack.pieces(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op6_entropy_mix, op7_adaptive_rules, op8_residual_pack)}
 ORACLES: dict[str, str] = {}
