@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from savora.llm import adaptive_rules, entropy_mix, html_blocks, mpeg_audio, residual_pack, secret_scan, warc
+from savora.llm import adaptive_rules, entropy_mix, fast_sketch, html_blocks, mpeg_audio, residual_pack, secret_scan, toxicity, warc
 from savora.llm.common import table
 from savora.session import materialise, scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark, sf_dir):
+    """Calibrated toxicity of every document with its nearest labelled examples."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_scan(spark, sf_dir):
     """Secrets of every document; see `secret_scan.scan`."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -54,5 +59,10 @@ def op8_residual_pack(spark, sf_dir):
     return residual_pack.pack(residual_pack.pieces(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op6_entropy_mix, op7_adaptive_rules, op8_residual_pack)}
+def op9_fast_sketch(spark, sf_dir):
+    """Near-duplicate components over 3-word shingles at 0.85."""
+    return fast_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op6_entropy_mix, op7_adaptive_rules, op8_residual_pack, op9_fast_sketch)}
 ORACLES: dict[str, str] = {}
