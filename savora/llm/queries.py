@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from savora.llm import adaptive_rules, entropy_mix, fast_sketch, html_blocks, mpeg_audio, residual_pack, secret_scan, toxicity, warc
+from savora.llm import adaptive_rules, entropy_mix, fast_sketch, html_blocks, mpeg_audio, residual_pack, secret_scan, suffix_induced, toxicity, warc
 from savora.llm.common import table
 from savora.session import materialise, scratch_path
 
@@ -64,5 +64,10 @@ def op9_fast_sketch(spark, sf_dir):
     return fast_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op6_entropy_mix, op7_adaptive_rules, op8_residual_pack, op9_fast_sketch)}
+def op10_suffix_induced(spark, sf_dir):
+    """Bytes of every document without its repeated 400-byte strings."""
+    return suffix_induced.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op6_entropy_mix, op7_adaptive_rules, op8_residual_pack, op9_fast_sketch, op10_suffix_induced)}
 ORACLES: dict[str, str] = {}
