@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="savora-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
@@ -56,9 +59,33 @@ def materialise(df: DataFrame) -> DataFrame:
     its sources are scanned once. The file sizes also let Spark choose broadcast joins."""
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialised frame that no later job reads."""
+    _delete(df.sparkSession, df.written_path)
+
+
+_RUN_FOLDERS: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a written table."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path for a written table, in this run's own folder of the shared folder. The run's
+    folder is deleted when the process ends."""
+    base = shared_dir(spark)
+    run = _RUN_FOLDERS.get(base)
+    if run is None:
+        run = _RUN_FOLDERS[base] = f"{base}/savora-run-{uuid.uuid4().hex[:12]}"
+        atexit.register(_delete, spark, run)
+    return f"{run}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None:  # already stopped
+        return
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
