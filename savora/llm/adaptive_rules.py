@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from savora.llm.common import BLANKS, words
+from savora.session import materialise
 
 WINDOW = 8
 SUB_BITS = 6
@@ -137,9 +138,14 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     return measured.join(t, cond, "left").select(*measured.columns, kept.alias("kept"))
 
 
-def quality_filter(df: DataFrame, limits: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of `df` that pass, with its own columns; equal rows are judged alike and all stay."""
+def quality_filter(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of `df` that pass, with its own columns; equal rows are judged alike and all stay. Null
+    texts fail the base rules.
+
+    The measures are written once, with their rows: a filter on them that Catalyst pushed into their
+    projection would compute them anew for every word.
+    """
     own = df.columns
-    packed = df.select(F.struct(*own).alias("__row"), F.col(text).alias("__t"), F.col(lang).alias("__l"), F.col(source).alias("__s"))
-    judged = judge(measure(packed, "__t"), limits, "__l", "__s")
-    return judged.where("kept").select(*[F.col("__row")[c].alias(c) for c in own])
+    measured = materialise(measure(df.select(F.struct(*own).alias("__row"), F.col(text).alias("__t"), F.col(lang).alias("__qlang"), F.col(source).alias("__qsource")), "__t").drop("__t"))
+    limits = thresholds(materialise(sketches(measured, "__qlang", "__qsource")))
+    return judge(measured, limits, "__qlang", "__qsource").where("kept").select(*[F.col("__row")[c].alias(c) for c in own])

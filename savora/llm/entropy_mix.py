@@ -94,7 +94,7 @@ def _diffuse(rate: np.ndarray, size: np.ndarray, cap: int) -> np.ndarray:
 
 def mix(df: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source", cap: float = CAP) -> DataFrame:
     """The carried columns, source, size, source_size, target, rate, copies and taken of every row. Null
-    texts have size 0; a null source is a source; documents without words keep one copy. Equal
+    texts have size 0; carried columns win over added ones of the same name; a null source is a source; documents without words keep one copy. Equal
     rows are rounded one by one. An empty table gives an empty result."""
     work = materialise(df.select(F.struct(*carry).alias("row"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
     targets = materialise(source_targets(work, cap=cap))
@@ -113,7 +113,8 @@ def mix(df: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text",
         return group[names].assign(copies=_diffuse(group["rate"].to_numpy(), group["size"].to_numpy(), int(cap)))
 
     made = rows.groupBy("source", "bucket").applyInPandas(rounded, out)
-    return made.select(*[F.col("row")[c].alias(c) for c in carry], "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    added = {"source": F.col("source"), "size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "rate": F.col("rate"), "copies": F.col("copies"), "taken": F.col("copies") * F.col("size")}
+    return made.select(*[F.col("row")[c].alias(c) for c in carry], *[v.alias(n) for n, v in added.items() if n not in carry])
 
 
 def apply_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:

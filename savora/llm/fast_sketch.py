@@ -139,7 +139,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     classes = base.where("set is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = materialise(classes.where("rep is not null"))
     banded = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    # Written, so that the join has exchanges of its own on both sides and Spark can split hot bands.
+    shared = materialise(banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band"))
     members = materialise(banded.join(shared, "band"))
     wanted = members.select("id").distinct()
 
