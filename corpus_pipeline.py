@@ -45,8 +45,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by their copies in the mix; those with none go."""
-    return entropy_mix.apply_copies(entropy_mix.mix(docs, carry=tuple(docs.columns)).select(*docs.columns, "copies"), docs.columns)
+    """Documents repeated by their copies in the mix; those with none go. Only keys pass through the mix;
+    equal rows share a key and together get the copies that they were given one by one."""
+    row = F.xxhash64(*docs.columns).alias("__row")
+    mixed = entropy_mix.mix(docs.select("doc_id", row, "text", "source"), carry=("doc_id", "__row"))
+    copies = materialise(mixed.groupBy(F.col("doc_id").alias("__id"), "__row").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__equal")).where("__copies > 0"))
+
+    def taken(part: DataFrame) -> DataFrame:
+        return part.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)
+
+    joined = docs.select("*", row).join(copies.withColumnRenamed("__row", "__r"), (F.col("__row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return taken(joined.where("__equal = 1")).unionByName(taken(joined.where("__equal > 1").dropDuplicates(["doc_id", "__row"])))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

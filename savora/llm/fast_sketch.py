@@ -6,7 +6,7 @@ bin is filled; a last family of rounds fills bin j from all elements, so no coor
 coordinate matches with probability equal to the Jaccard similarity, with concentration like independent
 samples. Bands of coordinates give candidates, which full sets confirm.
 
-Equal sets become one class before banding. Inside a band bucket, classes are compared with one hub at a
+Equal sets become one class before banding. Inside a band bucket, classes are compared with a few hubs at a
 time, not with each other: only pairs still in different components after the hub rounds are compared
 directly, so a bucket of n similar texts costs about n comparisons, and no link that could join two
 components goes unchecked.
@@ -26,7 +26,7 @@ from savora.llm.common import map_batches
 from savora.session import materialise
 
 BANDS, ROWS = 40, 6  # a pair at similarity 0.85 shares no band with probability 6e-9
-HUB_ROUNDS = 4
+HUB_ROUNDS = 8
 DIRECT_PER_MEMBER = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,6 +142,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     # Written, so that the join has exchanges of its own on both sides and Spark can split hot bands.
     shared = materialise(banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band"))
     members = materialise(banded.join(shared, "band"))
+    central = members.join(members.groupBy("band").agg(F.count("*").alias("c")), "band").groupBy("id").agg(F.sum("c").alias("central"))
+    members = materialise(members.join(central, "id"))
     wanted = members.select("id").distinct()
 
     def items(cols):
@@ -155,23 +157,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     for step in range(hub_rounds + 1):
         now = members if labels is None else members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         now = now if labels is not None else now.withColumn("comp", F.col("id"))
-        order = F.col("id") if step == 0 else F.xxhash64("id", F.lit(step))
-        hubs = now.groupBy("band").agg(
-            F.min(F.struct(order.alias("o"), F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))).alias("h"),
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"),
-        ).where("low <> high")
-        hubs = materialise(hubs.select("band", "h.hub", "h.n2", "h.comp2", "c"))
-        # Direct comparison ends the search; it is put off while it would make many more pairs than members.
-        cost = hubs.agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("members")).first()
+        # How many pairs of a band's members are in different components, from counts per component.
+        sizes = now.groupBy("band", "comp").agg(F.count("*").alias("c"))
+        sizes = sizes.groupBy("band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("comps")).where("comps > 1")
+        cost = sizes.agg(F.sum(F.col("c") * F.col("c") - F.col("own")).alias("pairs"), F.sum("c").alias("members")).first()
         if not cost["members"]:
             break
         last = step == hub_rounds or (step > 0 and cost["pairs"] <= 2 * direct_per_member * cost["members"])
+        # The hubs of a band: its most central member, which shares the most bands, and two by hash.
+        orders = [F.col("central"), F.xxhash64("id", F.lit(2 * step)), F.xxhash64("id", F.lit(2 * step + 1))]
+        pick = [F.max(F.struct(o, F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))).alias(f"h{i}") for i, o in enumerate(orders)]
+        hubs = now.groupBy("band").agg(*pick, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        hubs = hubs.select("band", F.explode(F.array(*[F.struct(*[F.col(f"h{i}")[c].alias(c) for c in ("hub", "n2", "comp2")]) for i in range(len(orders))])).alias("h"))
+        hubs = materialise(hubs.select("band", "h.*").distinct())
         if last:
-            open_ = now.join(hubs.select("band"), "band").select("band", "id", "n", "comp")
+            open_ = now.join(hubs.select("band").distinct(), "band").select("band", "id", "n", "comp")
             other = open_.select("band", F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
             pairs = open_.join(other, "band").where((F.col("id") > F.col("hub")) & (F.col("comp") != F.col("comp2")) & near)
         else:
-            pairs = now.join(hubs.drop("c"), "band").where((F.col("id") != F.col("hub")) & (F.col("comp") != F.col("comp2")) & near)
+            pairs = now.join(hubs, "band").where((F.col("id") != F.col("hub")) & (F.col("comp") != F.col("comp2")) & near)
         pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")

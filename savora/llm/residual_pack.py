@@ -27,7 +27,7 @@ ROWS_PER_PART = 65_536
 FAN_IN = 8
 CARRY = 256
 NEARLY_FULL = 0.998
-CACHED_WORDS = 200_000
+CACHED_WORDS = 150_000  # per generation
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
@@ -40,16 +40,22 @@ def _tokenizer(path: str):
 
 class _WordIds(dict):
     """Ids of white-space separated words as little-endian bytes. The tokenizer drops white space and
-    never joins across it, so a word's ids do not depend on its neighbours."""
+    never joins across it, so a word's ids do not depend on its neighbours. When a generation is full the
+    next one starts, and takes over the words that it meets again."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tok = _tokenizer(path)
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
+            self.before = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from savora.llm.common import map_batches
-from savora.session import materialise
+from savora.session import materialise, release
 
 LENGTH = 400
 BLOCK = 1 << 19  # windows hashed at once; a run cut at a block's end is settled at a later level
@@ -147,14 +147,17 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         datas = [(t or "").encode() for t in cols[2]]
         yield from _expand(cols[:2], datas, [0] * len(datas), ks[0], length, names)
 
-    tuples = materialise(map_batches(docs, ["id", "rid", "text"], first, schema))
-    twice = tuples.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    tuples = materialise(tuples.join(twice, "h"))
-    classes = tuples.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("id", "rid", "p0", "p1")).alias("first"))
-    classes = materialise(classes)
-    found = tuples.join(classes.where("c > 1").select("h", "g"), ["h", "g"]).select("id", "rid", "p0", "p1")
+    every = materialise(map_batches(docs, ["id", "rid", "text"], first, schema))
+    # Written, so that the join has exchanges of its own on both sides and Spark can split hot names.
+    twice = materialise(every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    tuples = materialise(every.join(twice, "h"))
+    release(every)
+    classes = materialise(tuples.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("id", "rid", "p0", "p1")).alias("first")))
+    again = materialise(classes.where("c > 1").select("h", "g"))
+    found = materialise(tuples.join(again, ["h", "g"]).select("id", "rid", "p0", "p1"))
+    release(tuples)
     # Edge names: at least one run occurs once. One run per class goes on; `ask` says that its answer counts.
-    open_ = classes.where("c = 1").select("h").distinct()
+    open_ = materialise(classes.where("c = 1").select("h").distinct())
     edges = classes.join(open_, "h").select("first.*", (F.col("c") == 1).alias("ask"))
     per_doc = edges.groupBy("id", "rid").agg(F.collect_list(F.struct("p0", "p1", "ask")).alias("runs"))
     cut = docs.join(per_doc, docs["id"].eqNullSafe(per_doc["id"]) & (docs["rid"] == per_doc["rid"])).select(docs["id"], docs["rid"], "text", "runs").dropDuplicates(["id", "rid"])
@@ -183,20 +186,21 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ids, rids, p0, ask, data = cols
             yield from _expand([ids, rids, ask], data, p0, k, length, finer, with_bytes=not last)
 
-        made = map_batches(work, ["id", "rid", "p0", "ask", "data"], split, ", ".join(f"{n} {kinds[n]}" for n in finer))
-        made = materialise(made)
+        made = materialise(map_batches(work, ["id", "rid", "p0", "ask", "data"], split, ", ".join(f"{n} {kinds[n]}" for n in finer)))
+        release(work)
         # Every run of `work` stands for all runs of equal bytes, so one that does not ask is repeated already.
         by_class = materialise(made.groupBy("h", "g").agg(F.count("*").alias("c"), F.max("ask").alias("ask"), F.min("ask").alias("all_ask"), F.min(F.struct("id", "rid", "p0")).alias("first")))
-        good = by_class.where("ask and (c > 1 or not all_ask)").select("h", "g")
-        found = found.unionByName(made.where("ask").join(good, ["h", "g"]).select("id", "rid", "p0", "p1"))
-        if last:
-            break
-        alone = (F.col("c") == 1) & F.col("all_ask")
-        by_name = by_class.groupBy("h").agg(F.count("*").alias("n"), F.max(F.when(alone, 1).otherwise(0)).alias("open")).where("n > 1 and open = 1").select("h")
-        keep = by_class.join(by_name, "h").select("h", "g", "first.*", alone.alias("asks"))
-        one = made.drop("ask").join(keep, ["h", "g", "rid", "p0"]).where(made["id"].eqNullSafe(keep["id"]))
-        work = materialise(one.select(made["id"], "rid", "p0", F.col("asks").alias("ask"), "data").dropDuplicates(["id", "rid", "p0"]))
-        if work.isEmpty():
+        good = materialise(by_class.where("ask and (c > 1 or not all_ask)").select("h", "g"))
+        more = materialise(made.where("ask").join(good, ["h", "g"]).select("id", "rid", "p0", "p1"))
+        found = found.unionByName(more)
+        if not last:
+            alone = (F.col("c") == 1) & F.col("all_ask")
+            by_name = materialise(by_class.groupBy("h").agg(F.count("*").alias("n"), F.max(F.when(alone, 1).otherwise(0)).alias("open")).where("n > 1 and open = 1").select("h"))
+            keep = materialise(by_class.join(by_name, "h").select("h", "g", "first.*", alone.alias("asks")))
+            one = made.drop("ask").join(keep.select("h", "g", F.col("id").alias("i"), "rid", "p0", "asks"), ["h", "g", "rid", "p0"]).where(F.col("id").eqNullSafe(F.col("i")))
+            work = materialise(one.select("id", "rid", "p0", F.col("asks").alias("ask"), "data").dropDuplicates(["id", "rid", "p0"]))
+        release(made)
+        if last or work.isEmpty():
             break
     return found
 
