@@ -6,9 +6,9 @@ bin is filled; a last family of rounds fills bin j from all elements, so no coor
 coordinate matches with probability equal to the Jaccard similarity, with concentration like independent
 samples. Bands of coordinates give candidates, which full sets confirm.
 
-Equal sets become one class before banding. Inside a band bucket, classes are compared with a few hubs at a
+Equal sets become one class before banding. Inside a band bucket, classes are compared with one hub at a
 time, not with each other: only pairs still in different components after the hub rounds are compared
-directly, so a bucket of n similar texts costs about n comparisons, and no link that could join two
+directly, and of these only the ones that their similarities to the hub leave possible (a metric bound), so a bucket of n similar texts costs about n comparisons, and no link that could join two
 components goes unchecked.
 """
 
@@ -26,7 +26,7 @@ from savora.llm.common import map_batches
 from savora.session import materialise
 
 BANDS, ROWS = 40, 6  # a pair at similarity 0.85 shares no band with probability 6e-9
-HUB_ROUNDS = 8
+HUB_ROUNDS = 2
 DIRECT_PER_MEMBER = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,24 +108,23 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of the intersection and union of their full sets."""
     one = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     two = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     joined = pairs.join(one, "b").join(two, "a")
 
     def fn(cols):
-        keep = {"a": [], "b": []}
-        for a, b, x, y in zip(*cols):
+        out = {"a": cols[0], "b": cols[1], "both": [], "either": []}
+        for x, y in zip(cols[2], cols[3]):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if denominator * both >= numerator * (len(x) + len(y) - both):
-                keep["a"].append(a)
-                keep["b"].append(b)
-        return keep
+            out["both"].append(both)
+            out["either"].append(len(x) + len(y) - both)
+        return out
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return map_batches(joined, ["a", "b", "items_a", "items_b"], fn, f"a {kind}, b {kind}")
+    return map_batches(joined, ["a", "b", "items_a", "items_b"], fn, f"a {kind}, b {kind}, both long, either long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, numerator: int = 85, denominator: int = 100, bands: int = BANDS, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS, direct_per_member: int = DIRECT_PER_MEMBER) -> DataFrame:
@@ -153,10 +152,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("t")).join(wanted, "id").groupBy("id").agg(F.max("t").alias("t"))
     sets = materialise(map_batches(texts, ["id", "t"], items, f"id {kind}, items binary"))
     near = F.least("n", "n2") * denominator >= F.greatest("n", "n2") * numerator
-    links = tried = labels = None
+    linked = denominator * F.col("both") >= numerator * F.col("either")
+    seen = labels = None
     for step in range(hub_rounds + 1):
-        now = members if labels is None else members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        now = now if labels is not None else now.withColumn("comp", F.col("id"))
+        now = members.withColumn("comp", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         # How many pairs of a band's members are in different components, from counts per component.
         sizes = now.groupBy("band", "comp").agg(F.count("*").alias("c"))
         sizes = sizes.groupBy("band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("comps")).where("comps > 1")
@@ -164,26 +163,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         if not cost["members"]:
             break
         last = step == hub_rounds or (step > 0 and cost["pairs"] <= 2 * direct_per_member * cost["members"])
-        # The hubs of a band: its most central member, which shares the most bands, and two by hash.
-        orders = [F.col("central"), F.xxhash64("id", F.lit(2 * step)), F.xxhash64("id", F.lit(2 * step + 1))]
-        pick = [F.max(F.struct(o, F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))).alias(f"h{i}") for i, o in enumerate(orders)]
-        hubs = now.groupBy("band").agg(*pick, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        hubs = hubs.select("band", F.explode(F.array(*[F.struct(*[F.col(f"h{i}")[c].alias(c) for c in ("hub", "n2", "comp2")]) for i in range(len(orders))])).alias("h"))
-        hubs = materialise(hubs.select("band", "h.*").distinct())
+        # The hub of a band: its most central member, which shares the most bands; later one by hash.
+        order = F.col("central") if step == 0 or last else F.xxhash64("id", F.lit(step))
+        hubs = now.groupBy("band").agg(F.max(F.struct(order, F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        hubs = materialise(hubs.where("low <> high").select("band", "h.hub", "h.n2", "h.comp2"))
         if last:
-            open_ = now.join(hubs.select("band").distinct(), "band").select("band", "id", "n", "comp")
-            other = open_.select("band", F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = open_.join(other, "band").where((F.col("id") > F.col("hub")) & (F.col("comp") != F.col("comp2")) & near)
+            # 1 - similarity is a metric, so two members whose similarities to the hub differ by more
+            # than 1 - threshold are no link. Members that were not compared with the hub stay in.
+            known = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"), "both", "either")).select(F.col("a").alias("id"), F.col("b").alias("hub"), (F.col("both") / F.col("either")).alias("s"))
+            open_ = now.join(hubs.select("band", "hub"), "band").join(known, ["id", "hub"], "left")
+            open_ = materialise(open_.select("band", "id", "n", "comp", F.when(F.col("id") == F.col("hub"), 1.0).otherwise(F.col("s")).alias("s")))
+            other = open_.select("band", F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("s").alias("s2"))
+            far = F.coalesce(F.abs(F.col("s") - F.col("s2")) > 1 - numerator / denominator + 1e-9, F.lit(False))
+            pairs = open_.join(other, "band").where((F.col("id") > F.col("hub")) & (F.col("comp") != F.col("comp2")) & near & ~far)
         else:
             pairs = now.join(hubs, "band").where((F.col("id") != F.col("hub")) & (F.col("comp") != F.col("comp2")) & near)
         pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialise(_confirmed(pairs, sets, numerator, denominator))
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        fresh = materialise(_compared(materialise(pairs), sets))
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        if step == 0 or not fresh.where(linked).isEmpty():
+            labels = components(seen.where(linked).select("a", "b"))
         if last:
             break
     out = base.select("id", F.col("n").alias("n_shingles"), "set").join(classes.select("set", "rep"), "set", "left")
