@@ -16,17 +16,17 @@ from savora.session import materialise
 SHORT_LIST = 256
 
 
-def normalised_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Clean texts, empty ones dropped, each distinct text once under its lowest id. Copies are
-    counted away map-side, so one text repeated very often costs one row per task."""
-    clean = df.select(key, X.normalise(text).alias("clean")).where(F.col("clean") != "")
-    return clean.groupBy("clean").agg(F.min(key).alias(key)).select(key, "clean")
+def normalised_texts(df: DataFrame, key: str, text: str, by: Sequence[str] = ()) -> DataFrame:
+    """Clean texts, empty ones dropped, each distinct row of (`by`, text) once under its lowest id. Copies
+    are counted away map-side, so one text repeated very often costs one row per task."""
+    clean = df.select(key, *by, X.normalise(text).alias("clean")).where(F.col("clean") != "")
+    return clean.groupBy(*by, "clean").agg(F.min(key).alias(key)).select(key, *by, "clean")
 
 
-def term_counts(df: DataFrame, key: str, text: str, stop: Sequence[str] = (), min_length: int = 1) -> DataFrame:
+def term_counts(df: DataFrame, key: str, text: str, stop: Sequence[str] = (), min_length: int = 1, letters: str = X.LETTERS) -> DataFrame:
     """Word counts per document. Stop-words are filtered after the explode, in generated code,
     and counts are combined before the shuffle."""
-    rows = df.select(key, F.explode(X.pieces(text)).alias("word")).where(F.length("word") >= min_length)
+    rows = df.select(key, F.explode(X.pieces(text, letters)).alias("word")).where(F.length("word") >= min_length)
     if stop:
         rows = rows.where(~F.col("word").isin(list(stop)))
     return rows.groupBy(key, "word").agg(F.count("*").alias("tf"))

@@ -14,7 +14,7 @@ MONTHS = ["2024-03", "2024-04", "2024-11"]
 WORDS = ["that", "there", "the", "los", "der", "ing", "and"]
 WORD_SQL = ", ".join(f"'{w}'" for w in WORDS)
 MONTH_SQL = ", ".join(f"'{m}'" for m in MONTHS)
-TOKEN_SQL = "[x for x in string_split_regex(lower(text), '[^a-z]+') if x <> '']"
+TOKEN_SQL = "[x for x in string_split_regex(lower(text), '[^\\p{L}]+') if x <> '']"
 ABUSED_SQL = f"""
  SELECT diner_idx FROM (SELECT diner_idx, review_id, unnest(list_intersect({TOKEN_SQL}, [{WORD_SQL}])) AS w
                         FROM docreview WHERE strftime(review_date, '%Y-%m') IN ({MONTH_SQL}))
@@ -28,10 +28,10 @@ def b1(t):
 
 
 @query("b2_keep_common_ids", """
-SELECT 'diner' AS side, diner_idx, count(*) AS n FROM diner WHERE diner_idx IN (SELECT diner_idx FROM train) GROUP BY 1, 2
-UNION ALL SELECT 'review', diner_idx, count(*) FROM train WHERE diner_idx IN (SELECT diner_idx FROM diner) GROUP BY 1, 2""")
+SELECT 'diner' AS side, diner_idx, count(*) AS n FROM diner WHERE diner_idx IN (SELECT diner_idx FROM review) GROUP BY 1, 2
+UNION ALL SELECT 'review', diner_idx, count(*) FROM review WHERE diner_idx IN (SELECT diner_idx FROM diner) GROUP BY 1, 2""")
 def b2(t):
-    diner, review = C.keep_common(t.diner, t.train, "diner_idx")
+    diner, review = C.keep_common(t.diner, t.review, "diner_idx")
     one = lambda df, side: df.groupBy("diner_idx").agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "diner_idx", "n")
     return one(diner, "diner").unionByName(one(review, "review"))
 

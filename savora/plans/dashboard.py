@@ -28,17 +28,17 @@ def m1b(t):
 
 
 @query("m2_activity_histogram", """
-SELECT reviews, count(*) AS users FROM (SELECT reviewer_id, count(*) AS reviews FROM train GROUP BY 1) WHERE reviews <= 10 GROUP BY 1""")
+SELECT reviews, count(*) AS users FROM (SELECT reviewer_id, count(*) AS reviews FROM review GROUP BY 1) WHERE reviews <= 10 GROUP BY 1""")
 def m2(t):
-    return A.activity_histogram(t.train, "reviewer_id", 10)
+    return A.activity_histogram(t.review, "reviewer_id", 10)
 
 
 BIN_SQL = "CASE " + " ".join(f"WHEN reviews >= {lo} THEN '{name}'" for lo, name in reversed(A.ACTIVITY_BINS)) + " END"
 
 
-@query("m3_activity_bins", f"SELECT {BIN_SQL} AS bin, count(*) AS users FROM (SELECT reviewer_id, count(*) AS reviews FROM train GROUP BY 1) GROUP BY 1")
+@query("m3_activity_bins", f"SELECT {BIN_SQL} AS bin, count(*) AS users FROM (SELECT reviewer_id, count(*) AS reviews FROM review GROUP BY 1) GROUP BY 1")
 def m3(t):
-    return A.activity_bins(t.train, "reviewer_id")
+    return A.activity_bins(t.review, "reviewer_id")
 
 
 @query("m4_at_least_shares", """

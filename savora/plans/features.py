@@ -245,10 +245,10 @@ def e21(t):
 
 @query("e22_first_attributes", """
 SELECT c_custkey AS reviewer_id, coalesce(score, 0) AS score, coalesce(diner_idx, 0) AS diner_idx FROM customer LEFT JOIN (
- SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reviewer_id ORDER BY review_date, review_id) AS rn FROM train) WHERE rn = 1) r ON c_custkey = reviewer_id""")
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reviewer_id ORDER BY review_date, review_id) AS rn FROM review) WHERE rn = 1) r ON c_custkey = reviewer_id""")
 def e22(t):
     spine = t.raw("customer").select(F.col("c_custkey").alias("reviewer_id"))
-    return E.first_attributes(t.train, spine, "reviewer_id", ["score", "diner_idx"], ["review_date", "review_id"])
+    return E.first_attributes(t.review, spine, "reviewer_id", ["score", "diner_idx"], ["review_date", "review_id"])
 
 
 HALVES = {"first_half": ("2024-01-01", "2024-07-01"), "second_half": ("2024-07-01", "2025-01-01")}

@@ -40,29 +40,6 @@ def d3(t):
     return S.stratified_split(t.review, 0.2, "42").select("review_id", "part")
 
 
-@query("d4_split_arguments", """
-SELECT CAST(case_no AS INTEGER) AS case_no, split_by, verdict, (SELECT count(*) FROM review) AS n_rows FROM (VALUES (0, 'time_point', 'accepted'), (1, 'time_point', 'split dates must increase'),
- (2, 'user_timeline', 'accepted'), (3, 'stratified', 'test_size must lie between 0 and 1'), (4, 'unknown', 'unknown split unknown')) v(case_no, split_by, verdict)""")
-def d4(t):
-    """Accepted parameters lead to the split, refused ones to a marked row."""
-    cases = [
-        ("time_point", SPLIT_DATES, None), ("time_point", SPLIT_DATES[::-1], None),
-        ("user_timeline", None, 0.2), ("stratified", None, 1.5), ("unknown", None, None),
-    ]
-    out = None
-    for i, (by, dates, size) in enumerate(cases):
-        try:
-            S.check_split_arguments(by, dates, size)
-            verdict = "accepted"
-        except ValueError as err:
-            verdict = str(err)
-        one = t.review.agg(F.count("*").alias("n_rows")).select(
-            F.lit(i).alias("case_no"), F.lit(by).alias("split_by"), F.lit(verdict).alias("verdict"), "n_rows"
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 AS_OF_SQL = """SELECT *, coalesce(avg(score) OVER (PARTITION BY reviewer_id ORDER BY review_date, review_id
  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), score) AS review_avg FROM {0}"""
 

@@ -167,9 +167,9 @@ def n15(t):
 
 
 @query("n16_reviewed_items", """
-SELECT split_part(address, ' ', 2) AS district, count(*) AS items, count(*) FILTER (diner_idx IN (SELECT diner_idx FROM train)) AS reviewed FROM diner GROUP BY 1""")
+SELECT split_part(address, ' ', 2) AS district, count(*) AS items, count(*) FILTER (diner_idx IN (SELECT diner_idx FROM review)) AS reviewed FROM diner GROUP BY 1""")
 def n16(t):
-    return N.reviewed_share(t.diner.withColumn("district", A.address_parts("address")[1]), t.train, "district")
+    return N.reviewed_share(t.diner.withColumn("district", A.address_parts("address")[1]), t.review, "district")
 
 
 @query("n17_pearson", f"""

@@ -10,7 +10,7 @@ from savora.operators.blocks import block_topk
 from savora.plans.registry import query
 
 STOP = ["the", "and", "der", "los", "les"]
-TOK = "[x for x in string_split_regex(lower(text), '[^a-z]+') if length(x) >= 3 AND x NOT IN ('the', 'and', 'der', 'los', 'les')]"
+TOK = "[x for x in string_split_regex(lower(text), '[^\\p{L}]+') if length(x) >= 3 AND x NOT IN ('the', 'and', 'der', 'los', 'les')]"
 TF = f"""tf AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS word FROM documents) GROUP BY 1, 2),
  idf AS (SELECT word, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
  w AS (SELECT doc_id, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS weight FROM tf JOIN idf USING (word)),
@@ -30,11 +30,12 @@ def _tfidf(t):
 
 
 @query("o1_normalise_texts", """
-SELECT min(doc_id) AS doc_id, md5(clean) AS clean_md5, length(clean) AS n_chars FROM (
- SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '[^A-Za-z0-9_ ]', '', 'g'), ' +', ' ', 'g')) AS clean FROM documents) WHERE clean <> '' GROUP BY clean""")
+SELECT min(review_id) AS review_id, diner_idx, reviewer_id, md5(clean) AS clean_md5, length(clean) AS n_chars FROM (
+ SELECT review_id, diner_idx, reviewer_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '[^\\p{L}\\p{N}_ ]', '', 'g'), ' +', ' ', 'g')) AS clean FROM docreview)
+WHERE clean <> '' GROUP BY diner_idx, reviewer_id, clean""")
 def o1(t):
-    out = O.normalised_texts(_docs(t), "doc_id", "text")
-    return out.select("doc_id", F.md5("clean").alias("clean_md5"), F.length("clean").cast("long").alias("n_chars"))
+    out = O.normalised_texts(t.docreview, "review_id", "text", ["diner_idx", "reviewer_id"])
+    return out.select("review_id", "diner_idx", "reviewer_id", F.md5("clean").alias("clean_md5"), F.length("clean").cast("long").alias("n_chars"))
 
 
 @query("o2_tokens", f"SELECT doc_id, CAST(len(l) AS BIGINT) AS n_tokens, md5(array_to_string(l, ' ')) AS tokens_md5 FROM (SELECT doc_id, {TOK} AS l FROM documents)")

@@ -96,7 +96,10 @@ class Tables:
 
     @cached_property
     def review(self) -> DataFrame:
-        li, o = self.raw("lineitem"), self.raw("orders")
+        return self._reviews(self.raw("orders"))
+
+    def _reviews(self, o: DataFrame) -> DataFrame:
+        li = self.raw("lineitem")
         return (
             li.join(o, li.l_orderkey == o.o_orderkey)
             .groupBy("o_custkey", "l_partkey", "o_orderkey")
@@ -231,9 +234,13 @@ class Tables:
         return self
 
     def _between(self, i: int) -> DataFrame:
+        """Reviews of one split. A review belongs to one order, so the dates filter the orders, where
+        the scan can use them, and not the joined and grouped rows."""
         from savora.operators.splits import date_range
 
-        return date_range(self.review, SPLIT_DATES[i], SPLIT_DATES[i + 1])
+        if "review" in self._held:
+            return date_range(self.review, SPLIT_DATES[i], SPLIT_DATES[i + 1])
+        return self._reviews(date_range(self.raw("orders"), SPLIT_DATES[i], SPLIT_DATES[i + 1], "o_orderdate"))
 
     @cached_property
     def train(self) -> DataFrame:

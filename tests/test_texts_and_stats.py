@@ -78,3 +78,14 @@ def test_as_of_mean_ignores_the_future(spark):
 def test_bad_split_arguments(args):
     with pytest.raises(ValueError):
         S.check_split_arguments(*args)
+
+
+def test_texts_of_every_script_keep_their_words(spark):
+    from savora.functions import text as X
+    from savora.operators import texts as O
+
+    rows = [(1, 7, "김치찌개가 정말 맛있어요!"), (2, 7, "für Müller's café"), (3, 7, "für Müller's café!"), (4, 8, "für Müller's café"), (5, 8, "?!"), (6, 8, None)]
+    df = spark.createDataFrame(rows, "review_id long, diner_idx long, text string")
+    got = {r["review_id"]: r["clean"] for r in O.normalised_texts(df, "review_id", "text", ["diner_idx"]).collect()}
+    assert got == {1: "김치찌개가 정말 맛있어요", 2: "für Müllers café", 4: "für Müllers café"}
+    assert df.where("review_id = 2").select(X.tokens("text", min_length=2)).first()[0] == ["für", "müller", "café"]
