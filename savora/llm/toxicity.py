@@ -165,7 +165,13 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     vocabulary = pick_terms(docs, train, "text", terms)
     counted = materialise(term_counts(docs, "text", vocabulary))
     n = counted.count()
-    seen = {r["t"]: r["df"] for r in counted.select(F.explode("idx").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect()}  # at most `terms` rows
+
+    def batch_frequencies(cols):
+        found = Counter(t for idx in cols[0] for t in idx)
+        return {"t": list(found.keys()), "df": list(found.values())}
+
+    frequencies = map_batches(counted, ["idx"], batch_frequencies, "t int, df long").groupBy("t").agg(F.sum("df").alias("df"))
+    seen = {r["t"]: r["df"] for r in frequencies.collect()}  # at most `terms` rows
     idf = np.array([math.log((1 + n) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
     # At most `sample` short vectors come to the driver; repeated keys teach once.
     known = counted.join(F.broadcast(train), "id").groupBy("id", "y", "fit").agg(F.min(F.struct("idx", "tf")).alias("v")).orderBy("id").collect()
