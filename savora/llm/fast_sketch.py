@@ -28,6 +28,7 @@ from savora.session import materialise
 BANDS, ROWS = 40, 6  # a pair at similarity 0.85 shares no band with probability 6e-9
 HUB_ROUNDS = 2
 DIRECT_PER_MEMBER = 4
+PARITY_WORDS = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,6 +69,13 @@ def sketch(items: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+def parity_words(items: np.ndarray) -> np.ndarray:
+    """Words of bits in which every element toggles the one that its leading hash bits name."""
+    bits = 64 * PARITY_WORDS
+    odd = np.bincount((items >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def band_keys(coords: np.ndarray, bands: int, rows: int) -> np.ndarray:
     keys = np.arange(1, bands + 1, dtype=np.uint64) * MIX
     for r in range(rows):
@@ -146,11 +154,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     wanted = members.select("id").distinct()
 
     def items(cols):
-        return {"id": cols[0], "items": [shingles(t, width).tobytes() for t in cols[1]]}
+        found = [shingles(t, width) for t in cols[1]]
+        return {"id": cols[0], "items": [f.tobytes() for f in found], "parity": [parity_words(f) for f in found]}
 
     kind = base.schema["id"].dataType.simpleString()
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("t")).join(wanted, "id").groupBy("id").agg(F.max("t").alias("t"))
-    sets = materialise(map_batches(texts, ["id", "t"], items, f"id {kind}, items binary"))
+    sets = materialise(map_batches(texts, ["id", "t"], items, f"id {kind}, items binary, parity array<long>"))
     near = F.least("n", "n2") * denominator >= F.greatest("n", "n2") * numerator
     linked = denominator * F.col("both") >= numerator * F.col("either")
     seen = labels = None
@@ -172,10 +181,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
             # than 1 - threshold are no link. Members that were not compared with the hub stay in.
             known = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"), "both", "either")).select(F.col("a").alias("id"), F.col("b").alias("hub"), (F.col("both") / F.col("either")).alias("s"))
             open_ = now.join(hubs.select("band", "hub"), "band").join(known, ["id", "hub"], "left")
-            open_ = materialise(open_.select("band", "id", "n", "comp", F.when(F.col("id") == F.col("hub"), 1.0).otherwise(F.col("s")).alias("s")))
-            other = open_.select("band", F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("s").alias("s2"))
+            words = [F.get("parity", F.lit(i)).alias(f"w{i}") for i in range(PARITY_WORDS)]
+            open_ = open_.join(sets.select("id", *words), "id")
+            open_ = materialise(open_.select("band", "id", "n", "comp", F.when(F.col("id") == F.col("hub"), 1.0).otherwise(F.col("s")).alias("s"), *[f"w{i}" for i in range(PARITY_WORDS)]))
+            other = open_.select("band", F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("s").alias("s2"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(PARITY_WORDS)])
+            odd = sum(F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(PARITY_WORDS))
+            close = odd * (denominator + numerator) <= (F.col("n") + F.col("n2")) * (denominator - numerator)
             far = F.coalesce(F.abs(F.col("s") - F.col("s2")) > 1 - numerator / denominator + 1e-9, F.lit(False))
-            pairs = open_.join(other, "band").where((F.col("id") > F.col("hub")) & (F.col("comp") != F.col("comp2")) & near & ~far)
+            pairs = open_.join(other, "band").where((F.col("id") > F.col("hub")) & (F.col("comp") != F.col("comp2")) & near & ~far & close)
         else:
             pairs = now.join(hubs, "band").where((F.col("id") != F.col("hub")) & (F.col("comp") != F.col("comp2")) & near)
         pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()

@@ -301,3 +301,13 @@ def test_pipeline_handles_edges(spark, docs, empty, tmp_path):
             stage(spark, data, SF).write.parquet(str(tmp_path / f"{i}{j}"))
             data = spark.read.parquet(str(tmp_path / f"{i}{j}"))
             assert j == 4 or data.columns == frame.columns
+
+
+def test_parity_words_never_exceed_the_symmetric_difference():
+    rng = np.random.default_rng(4)
+    for n, changed in ((1, 1), (50, 10), (300, 90), (5000, 4000)):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.r_[a[min(changed, len(a)) :], rng.integers(0, 2**63, changed, dtype=np.uint64) * np.uint64(2)])
+        odd = sum(int(x).bit_count() for x in (fast_sketch.parity_words(a) ^ fast_sketch.parity_words(b)).view(np.uint64))
+        assert odd <= len(np.setxor1d(a, b))
+    assert not (fast_sketch.parity_words(a) ^ fast_sketch.parity_words(a)).any()
