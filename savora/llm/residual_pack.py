@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,11 @@ ROWS_PER_PART = 65_536
 FAN_IN = 8
 CARRY = 256
 NEARLY_FULL = 0.998
-CACHED_WORDS = 150_000  # per generation
+CACHED_WORDS = 250_000  # per generation
+LONG_WORD = 64  # longer ones are not kept, so a generation's bytes are bounded as well
+CLOSING = ".,;:!?"
+# Byte-level vocabularies show bytes that are no visible Latin-1 characters as the characters from 256 on.
+SHOWN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
@@ -41,23 +46,36 @@ def _tokenizer(path: str):
 class _WordIds(dict):
     """Ids of white-space separated words as little-endian bytes. The tokenizer drops white space and
     never joins across it, so a word's ids do not depend on its neighbours. When a generation is full the
-    next one starts, and takes over the words that it meets again."""
+    next one starts, and takes over the words that it meets again. Closing marks after an ASCII letter or
+    digit are tokens of their own, so only the word before them is kept."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tok = _tokenizer(path)
+        self.model = self.tok.model
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        if word[-1] in CLOSING:
+            stem = word.rstrip(CLOSING)
+            if stem and stem[-1].isascii() and stem[-1].isalnum():
+                return self[stem] + self[word[len(stem) :]]
+        if len(word) > LONG_WORD:
+            return self.encode(word)
         if len(self) >= CACHED_WORDS:
             self.before = dict(self)
             self.clear()
         ids = self.before.get(word)
         if ids is None:
-            ids = self.encode(word)
+            ids = self.letters(word) if word.isalpha() and max(word) <= "\xff" else self.encode(word)
         self[word] = ids
         return ids
 
+    def letters(self, word: str) -> bytes:
+        """Latin-1 letters are one pre-token, which normalising only lower-cases: straight to the merges."""
+        shown = word.lower().encode().decode("latin-1").translate(SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 

@@ -311,3 +311,11 @@ def test_parity_words_never_exceed_the_symmetric_difference():
         odd = sum(int(x).bit_count() for x in (fast_sketch.parity_words(a) ^ fast_sketch.parity_words(b)).view(np.uint64))
         assert odd <= len(np.setxor1d(a, b))
     assert not (fast_sketch.parity_words(a) ^ fast_sketch.parity_words(a)).any()
+
+
+def test_word_ids_equal_the_tokenizer():
+    ids = residual_pack._WordIds(TOKENIZER)
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    odd = ["don't.", "it's?", "'s.", "a's,", "...", "!?", "x...'s", "é.", "ΑΣ.", "a.b.", "9.", "1,000.", "q!'ll ?", "a😀!", "_.", "x" * 100 + ".", "Straße", "", " ", "a\x1cb"]
+    for text in [*letters, *odd, " ".join(odd), *[a + b for a in letters[::7] for b in letters]]:
+        assert ids.text(text) == ids.encode(text), text
