@@ -118,7 +118,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def uniform_walks(edges: DataFrame, walks_per_node: int, length: int, seed: str, checkpoint_every: int = 5) -> DataFrame:
-    """Walks of `length` nodes with equally likely next nodes (p = q = 1, no weights), in long
+    """Walks of `length` nodes on a graph without weights: equally likely next nodes, in long
     form (start, walk, step, node). Graphs are both-way, so a walk never meets a dead end unless
     its start has no neighbour."""
     edges = materialise(edges.select("src", "dst"))
@@ -142,49 +142,112 @@ def uniform_walks(edges: DataFrame, walks_per_node: int, length: int, seed: str,
     return done
 
 
-def biased_walks(
-    edges: DataFrame, walks_per_node: int, length: int, p: float, q: float, seed: str, tries: int = 8, max_rounds: int = 200
-) -> DataFrame:
+# Weights are resolved to this fraction; sums of whole units leave neither gaps nor overlaps.
+UNITS = 1_000_000
+CELLS_PER_ROW = 65_536
+
+
+def weight_sums(edges: DataFrame) -> DataFrame:
+    """(src, deg, total): degree and sum of weight units."""
+    return edges.groupBy("src").agg(F.count("*").alias("deg"), F.sum(_units()).alias("total"))
+
+
+def _units() -> Column:
+    return F.greatest(F.round(F.col("weight") * UNITS).cast("long"), F.lit(1).cast("long"))
+
+
+def weighted_neighbors(edges: DataFrame) -> DataFrame:
+    """Edges laid out by cumulative weight, for draws in proportion to it, with degree and total of dst.
+
+    The total of a node with d neighbours is cut into d equal cells, and an edge is listed in every
+    cell that its interval [lo, hi) meets: at most 2d entries, two per draw on average. A draw is one
+    equi-join on (src, cell) that no hub skews, however uneven the weights are.
+    """
+    edges = materialise(edges.select("src", "dst", "weight"))
+    sums = materialise(weight_sums(edges))
+    cuts = splitters(edges, F.col("dst"))
+    placed = prefix_sums(edges, ["src"], bucket_of(F.col("dst"), cuts), [F.col("dst")], {"lo": _units()})
+
+    def cell(at: Column, slack: float) -> Column:
+        raw = F.floor(at.cast("double") * F.col("deg") / F.col("total") + slack)
+        return F.greatest(F.least(raw, F.col("deg") - 1), F.lit(0).cast("long"))
+
+    laid = placed.join(sums, "src").withColumn("hi", F.col("lo") + _units())
+    laid = laid.select("src", "dst", "lo", "hi", cell(F.col("lo"), -1e-6).alias("a"), cell(F.col("hi"), 1e-6).alias("z"))
+    # Two levels: one edge may cover nearly all cells of a hub.
+    laid = laid.withColumn("a", F.explode(F.sequence("a", "z", F.lit(CELLS_PER_ROW).cast("long"))))
+    laid = laid.withColumn("cell", F.explode(F.sequence("a", F.least(F.col("z"), F.col("a") + CELLS_PER_ROW - 1))))
+    after = sums.select(F.col("src").alias("dst"), F.col("deg").alias("next_deg"), F.col("total").alias("next_total"))
+    zero = F.lit(0).cast("long")
+    return laid.join(after, "dst", "left").select(
+        "src", "cell", "dst", "lo", "hi", F.coalesce("next_deg", zero).alias("next_deg"), F.coalesce("next_total", zero).alias("next_total")
+    )
+
+
+def _draw(walkers: DataFrame, nbr: DataFrame, uniform: Column) -> DataFrame:
+    """Walkers (node, deg, total, ...) with the neighbour that `uniform` in [0, 1) draws, as dst."""
+    at = walkers.where("deg > 0").withColumn("__u", uniform).withColumn("src", F.col("node"))
+    at = at.withColumn("cell", F.floor(F.col("__u") * F.col("deg"))).withColumn("__x", F.col("__u") * F.col("total"))
+    return at.join(nbr, ["src", "cell"]).where("lo <= __x and __x < hi").drop("src", "cell", "lo", "hi", "__u", "__x")
+
+
+def _starts(sums: DataFrame, walks_per_node: int) -> DataFrame:
+    walk = F.explode(F.sequence(F.lit(0), F.lit(walks_per_node - 1))).alias("walk")
+    return sums.select(F.col("src").alias("start"), walk, F.col("src").alias("node"), "deg", "total")
+
+
+def weighted_walks(edges: DataFrame, walks_per_node: int, length: int, seed: str, checkpoint_every: int = 5) -> DataFrame:
+    """Walks whose next node is drawn in proportion to the edge weights (p = q = 1), in long form
+    (start, walk, step, node). A walk ends early at a node without neighbours."""
+    edges = materialise(edges)
+    nbr = materialise(weighted_neighbors(edges))
+    front = _starts(materialise(weight_sums(edges)), walks_per_node)
+    done = front.select("start", "walk", F.lit(0).alias("step"), "node")
+    for step in range(1, length):
+        front = _draw(front, nbr, hash_uniform(seed, F.col("start"), F.col("walk"), F.lit(step))).select(
+            "start", "walk", F.col("dst").alias("node"), F.col("next_deg").alias("deg"), F.col("next_total").alias("total")
+        )
+        if step % checkpoint_every == 0:
+            front = cut_lineage(front)
+        done = done.unionByName(front.select("start", "walk", F.lit(step).alias("step"), "node"))
+    return done
+
+
+def biased_walks(edges: DataFrame, walks_per_node: int, length: int, p: float, q: float, seed: str, tries: int = 8, most_tries: int = 512) -> DataFrame:
     """(p,q)-biased weighted walks by rejection.
 
-    A walker draws equally likely neighbours and keeps the first draw whose bias passes its
-    threshold; that is exactly the biased distribution, and needs neither the transition table
-    nor a look at all neighbours of a hub. Walkers without a kept draw go into another round.
+    A walker draws neighbours by weight and keeps the first one whose bias passes its threshold;
+    that is exactly the biased distribution, and needs neither the transition table nor a look at
+    all neighbours of a hub. Weights do not lower the chance of a draw to be kept, which is at least
+    min(1, 1/p, 1/q) / max(1, 1/p, 1/q); walkers without one go into another round with twice the
+    draws, until none is left.
     """
     edges = materialise(edges)
-    deg = materialise(edges.groupBy("src").agg(F.count("*").alias("deg"), F.max("weight").alias("wmax")))
-    nbr = materialise(numbered_neighbors(edges).select("src", "place", "dst", "weight"))
-    pairs = nbr.select(F.col("src").alias("prev"), "dst", F.lit(1).alias("__near"))
+    nbr = materialise(weighted_neighbors(edges))
+    pairs = edges.select(F.col("src").alias("prev"), "dst", F.lit(1).alias("__near")).distinct()
+    pairs = materialise(pairs)
     top = max(1.0, 1.0 / p, 1.0 / q)
-    front = cut_lineage(deg.select(
-        F.col("src").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks_per_node - 1))).alias("walk"),
-        F.lit(None).cast(edges.schema["src"].dataType).alias("prev"), F.col("src").alias("node"),
-    ))
+    front = _starts(weight_sums(edges), walks_per_node).withColumn("prev", F.lit(None).cast(edges.schema["src"].dataType))
+    front = cut_lineage(front)
     done = front.select("start", "walk", F.lit(0).alias("step"), "node")
     for step in range(1, length):
-        open_walkers, moved = front, None
-        for round_no in range(max_rounds):
-            draws = open_walkers.join(deg, F.col("node") == F.col("src")).drop("src").select(
-                "start", "walk", "prev", "node", "wmax", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"), "deg"
-            )
+        open_walkers, moved, round_no = front.where("deg > 0"), None, 0
+        while True:
+            n = min(tries * 2**round_no, most_tries)
             key = [F.col("start"), F.col("walk"), F.lit(step), F.lit(round_no), F.col("t")]
-            drawn = (
-                draws.withColumn("place", hash_int(seed, F.lit("pick"), *key) % F.col("deg")).withColumn("src", F.col("node"))
-                .join(nbr, ["src", "place"]).join(pairs, ["prev", "dst"], "left")
-            )
+            draws = open_walkers.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+            drawn = _draw(draws, nbr, hash_uniform(seed, F.lit("pick"), *key)).join(pairs, ["prev", "dst"], "left")
             bias = F.when(F.col("prev").isNull(), F.lit(top)).when(F.col("dst") == F.col("prev"), F.lit(1.0 / p)).when(
                 F.col("__near") == 1, F.lit(1.0)).otherwise(F.lit(1.0 / q))
-            keep = hash_uniform(seed, F.lit("keep"), *key) * F.lit(top) * F.col("wmax") < bias * F.col("weight")
-            taken = cut_lineage(
-                drawn.where(keep).groupBy("start", "walk", F.col("node").alias("prev")).agg(F.min_by("dst", "t").alias("node"))
-                .select("start", "walk", "prev", "node")
-            )
+            keep = hash_uniform(seed, F.lit("keep"), *key) * F.lit(top) < bias
+            taken = drawn.where(keep).groupBy("start", "walk", F.col("node").alias("prev")).agg(
+                F.min_by(F.struct(F.col("dst").alias("node"), F.col("next_deg").alias("deg"), F.col("next_total").alias("total")), "t").alias("b"))
+            taken = cut_lineage(taken.select("start", "walk", "prev", "b.*"))
             moved = taken if moved is None else moved.unionByName(taken)
             open_walkers = cut_lineage(open_walkers.join(taken.select("start", "walk"), ["start", "walk"], "left_anti"))
             if open_walkers.isEmpty():
                 break
-        else:
-            raise RuntimeError("walkers left without an accepted step")
+            round_no += 1
         front = cut_lineage(moved)
         done = done.unionByName(front.select("start", "walk", F.lit(step).alias("step"), "node"))
     return done
@@ -204,17 +267,26 @@ def metapath_walks(edges: DataFrame, nodes: DataFrame, path: Sequence[str], walk
     typed = materialise(edges.select("src", "dst").join(nodes.select(F.col("id").alias("dst"), "meta"), "dst").select("src", "meta", "dst"))
     nbr = materialise(numbered_neighbors(typed, ["meta"]).select("src", "meta", "place", "dst"))
     sizes = materialise(nbr.groupBy("src", "meta").agg(F.count("*").alias("deg")))
-    front = nodes.where(F.col("meta") == path[0]).select(
+
+    def towards(meta: str) -> DataFrame:
+        return sizes.where(F.col("meta") == meta).drop("meta")
+
+    # Each move carries the degree its walker needs next, so walkers never meet on a hub's key.
+    moves = {}
+    for meta, then in zip(path[1:-1], path[2:]):
+        if (meta, then) not in moves:
+            moves[meta, then] = materialise(nbr.where(F.col("meta") == meta).drop("meta").join(towards(then).withColumnRenamed("src", "dst"), "dst"))
+    front = nodes.where(F.col("meta") == path[0]).join(towards(path[1]), F.col("id") == F.col("src")).select(
         F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks_per_node - 1))).alias("walk"),
-        F.col("id").alias("node"), F.array("id").alias("nodes"),
+        F.col("id").alias("node"), "deg", F.array("id").alias("nodes"),
     )
     for step, meta in enumerate(path[1:], start=1):
         pick = hash_int(seed, F.col("start"), F.col("walk"), F.lit(step)) % F.col("deg")
-        here = sizes.where(F.col("meta") == meta).select(F.col("src").alias("node"), "deg")
+        last = step == len(path) - 1
+        move = nbr.where(F.col("meta") == meta).drop("meta").withColumn("deg", F.lit(0)) if last else moves[meta, path[step + 1]]
         front = (
-            front.join(here, "node").select("start", "walk", "nodes", F.col("node").alias("src"), pick.alias("place"))
-            .join(nbr.where(F.col("meta") == meta).select("src", "place", "dst"), ["src", "place"])
-            .select("start", "walk", F.col("dst").alias("node"), F.concat("nodes", F.array("dst")).alias("nodes"))
+            front.select("start", "walk", "nodes", F.col("node").alias("src"), pick.alias("place")).join(move, ["src", "place"])
+            .select("start", "walk", F.col("dst").alias("node"), "deg", F.concat("nodes", F.array("dst")).alias("nodes"))
         )
     return front.select("start", "walk", F.posexplode("nodes").alias("step", "node"))
 

@@ -93,13 +93,17 @@ def hybrid_similar(
     return top_per_group(mixed, ["target"], [F.desc("hybrid"), F.asc("item")], k, rank="pos")
 
 
-def recommend_for_users(inter: DataFrame, sims: DataFrame, k: int, pad: bool = True) -> DataFrame:
-    """Similarity-weighted mean of the user's ratings for every unseen item.
+def recommend_for_users(inter: DataFrame, sims: DataFrame, k: int, pad: bool = True, users: DataFrame | None = None) -> DataFrame:
+    """Similarity-weighted mean of the user's ratings for every unseen item. With `users` only
+    theirs are read.
 
     Items without any similar rated one predict 0; they fill lists that would stay short, by
     lowest id, as in a dense score vector.
     """
     near = sims.select(F.col("target").alias("item"), F.col("item").alias("cand"), "sim").where(F.col("sim") > 0)
+    known = inter
+    if users is not None:
+        inter = materialise(inter.join(users.select("user").distinct(), "user", "left_semi"))
     votes = inter.join(near, "item").groupBy("user", "cand").agg(
         F.sum(F.col("r") * F.col("sim")).alias("num"), F.sum(F.abs("sim")).alias("den")
     )
@@ -108,17 +112,17 @@ def recommend_for_users(inter: DataFrame, sims: DataFrame, k: int, pad: bool = T
     reached = votes.join(seen, ["user", "cand"], "left_anti").select("user", F.col("cand").alias("item"), pred.alias("pred"))
     top = top_per_group(reached, ["user"], [F.desc("pred"), F.asc("item")], k)
     if pad:
-        top = top.unionByName(_padding(inter, top, k))
+        top = top.unionByName(_padding(inter, known, top, k))
     return top_per_group(top, ["user"], [F.desc("pred"), F.asc("item")], k, rank="pos")
 
 
-def _padding(inter: DataFrame, top: DataFrame, k: int) -> DataFrame:
+def _padding(inter: DataFrame, known: DataFrame, top: DataFrame, k: int) -> DataFrame:
     """Enough lowest-id items for short lists: at most k + #seen of the first ids can be taken or
     seen, so that many always contain the missing ones."""
     have = top.groupBy("user").agg(F.count("*").alias("__have"))
     seen_n = inter.groupBy("user").agg(F.count("*").alias("__seen"))
     short = seen_n.join(have, "user", "left").fillna(0, subset=["__have"]).where(F.col("__have") < k)
-    items = id_mapping(inter, "item", "__idx")
+    items = id_mapping(known, "item", "__idx")
     pool = short.select("user", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__seen") + F.lit(k - 1))).alias("__idx"))
     taken = inter.select("user", "item").unionByName(top.select("user", "item"))
     return pool.join(items, "__idx").join(taken, ["user", "item"], "left_anti").select("user", "item", F.lit(0.0).alias("pred"))

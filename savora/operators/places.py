@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,33 +66,40 @@ def category_cell_metadata(df: DataFrame, category: str, lat: str, lon: str, res
 # --- distances ------------------------------------------------------------------------------
 
 def near_point(df: DataFrame, lat: str, lon: str, lat0: float, lon0: float, km: float, flat: bool = False) -> DataFrame:
-    """Rows within km of a point; the box test in front reaches the scan as a plain range."""
-    dlat = km / 110.0
-    dlon = km / (110.0 * 0.5)
-    box = F.col(lat).between(lat0 - dlat, lat0 + dlat) & F.col(lon).between(lon0 - dlon, lon0 + dlon)
+    """Rows within km of a point; the box test in front reaches the scan as plain ranges. The box
+    widens with the latitude, wraps at 180 degrees and spans all longitudes around a pole."""
+    reach = math.degrees(km / geo.EARTH_RADIUS_KM) * 1.000001
+    box = F.col(lat).between(lat0 - reach, lat0 + reach)
+    if abs(lat0) + reach < 90:
+        # The flat measure takes a degree of longitude for one of latitude.
+        wide = max(reach, math.degrees(math.asin(min(1.0, math.sin(math.radians(reach)) / math.cos(math.radians(lat0))))))
+        span = F.col(lon).between(lon0 - wide, lon0 + wide)
+        if lon0 - wide < -180:
+            span = span | (F.col(lon) >= lon0 - wide + 360)
+        if lon0 + wide > 180:
+            span = span | (F.col(lon) <= lon0 + wide - 360)
+        box = box & span
     measure = geo.flat_radian_km if flat else geo.haversine_km
     return df.where(box).withColumn("km", measure(lat0, lon0, lat, lon)).where(F.col("km") <= km)
 
 
-# Half of the six neighbour directions: every unordered pair of cells is met once.
-FORWARD = ((0, 0), (1, 0), (1, -1), (0, 1))
-
-
 def near_pairs(df: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFrame:
     """All pairs of rows within km, each once (a, b, km), a < b.
 
-    Cells have a side of twice the radius, so partners lie in the same or an adjacent cell: the
-    range join becomes an equi-join on the cell that only meets nearby rows.
+    Points lie on a sphere cut into cubes with a side of four times the radius, so that neither the
+    poles nor 180 degrees are borders. A point is sent to the cubes within its reach (1 to 8), the
+    others stay in their own: the range join becomes an equi-join that only meets nearby rows.
     """
-    q, r = geo.axial_by_side(F.col(lat), F.col(lon), 2000.0 * km)
-    pts = df.select(F.col(key).alias("k"), F.col(lat).alias("la"), F.col(lon).alias("lo"), q.alias("q"), r.alias("r"))
-    left = pts.select(
-        F.col("k").alias("k1"), F.col("la").alias("la1"), F.col("lo").alias("lo1"),
-        F.inline(F.array(*[F.struct((F.col("q") + a).alias("q"), (F.col("r") + b).alias("r"), F.lit(int((a, b) != (0, 0))).alias("other")) for a, b in FORWARD])),
-    )
-    both = left.join(pts, ["q", "r"]).where((F.col("other") == 1) | (F.col("k1") < F.col("k")))
-    out = both.withColumn("km", geo.haversine_km("la1", "lo1", "la", "lo")).where(F.col("km") <= km)
-    return out.select(F.least("k1", "k").alias("a"), F.greatest("k1", "k").alias("b"), "km")
+    side, reach = 4.0 * km, km * 1.000001
+    la, lo = F.radians(F.col(lat)), F.radians(F.col(lon))
+    axes = {"x": F.cos(la) * F.cos(lo), "y": F.cos(la) * F.sin(lo), "z": F.sin(la)}
+    pts = df.select(F.col(key).alias("k"), F.col(lat).alias("la"), F.col(lon).alias("lo"), *[(v * geo.EARTH_RADIUS_KM).alias(n) for n, v in axes.items()])
+    sent = pts.select(F.col("k").alias("k1"), F.col("la").alias("la1"), F.col("lo").alias("lo1"), *axes)
+    for n in axes:
+        sent = sent.withColumn(n, F.explode(F.sequence(F.floor((F.col(n) - reach) / side), F.floor((F.col(n) + reach) / side))))
+    own = pts.select("k", "la", "lo", *[F.floor(F.col(n) / side).alias(n) for n in axes])
+    out = sent.join(own, list(axes)).where(F.col("k1") < F.col("k")).withColumn("km", geo.haversine_km("la1", "lo1", "la", "lo"))
+    return out.where(F.col("km") <= km).select(F.col("k1").alias("a"), F.col("k").alias("b"), "km")
 
 
 def nearest_anchor(cells: DataFrame, key: str, lat: str, lon: str, anchors: DataFrame, per_block: int = 1000) -> DataFrame:

@@ -68,27 +68,38 @@ def check_candidates(candidates: DataFrame, users: DataFrame, items: DataFrame,
     return shifted.join(u, "user", "left").join(i, "diner_id", "left").withColumn("known", known.cast("int")).drop("__u", "__i")
 
 
+USERS_PER_BLOCK = 1000
+
+
 def serving_set(users: DataFrame, items: DataFrame, seen: DataFrame, near: Column | None = None, labels: Sequence[str] | None = None) -> DataFrame:
-    """All unseen items for each of a few named users; filters on items come first. `users` is a
-    request, so its rows are carried as one value rather than crossed with the items."""
+    """All unseen items for each named user; filters on items come first. Users travel as packed
+    blocks of bounded length, and an item meets each block once."""
     pool = items
     if near is not None:
         pool = pool.where(near)
     if labels is not None:
         pool = pool.where(F.col("large").isin(list(labels)))
-    asked = users.select("user").distinct().agg(F.collect_set("user")).scalar()
-    return pool.withColumn("user", F.explode(asked)).join(seen.select("user", "item").distinct(), ["user", "item"], "left_anti")
+    asked = materialise(users.select("user").distinct())
+    n = asked.agg(F.greatest(F.ceil(F.count("*") / USERS_PER_BLOCK), F.lit(1)).cast("int")).scalar()
+    packed = asked.withColumn("__blk", F.pmod(F.xxhash64("user"), n).cast("int")).groupBy("__blk").agg(F.collect_list("user").alias("__users"))
+    pairs = pool.withColumn("__blk", F.explode(F.sequence(F.lit(0), n - 1))).join(packed, "__blk")
+    pairs = pairs.withColumn("user", F.explode("__users")).drop("__blk", "__users")
+    return pairs.join(seen.select("user", "item").distinct(), ["user", "item"], "left_anti")
 
 
 # --- score shaping --------------------------------------------------------------------------
 
 def minmax(value: Column, group: Sequence[str], df: DataFrame, out: str) -> DataFrame:
-    """(x - min)/(max - min + 1e-8) per group, 0 where the group is constant. Borders come from a
-    partial aggregate joined back, not from a window over the whole group."""
+    """(x - min)/(max - min + 1e-8) per group, 0 where the group is constant; null keys are a group. Borders come
+    from a partial aggregate joined back, not from a window over the whole group."""
     work = df.withColumn("__x", value)
     if group:
         ends = work.groupBy(*group).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-        work = work.join(ends, list(group))
+        same = F.lit(True)
+        for i, g in enumerate(group):
+            ends = ends.withColumnRenamed(g, f"__k{i}")
+            same = same & F.col(g).eqNullSafe(F.col(f"__k{i}"))
+        work = work.join(ends, same).drop(*[f"__k{i}" for i in range(len(group))])
         lo, hi = F.col("__lo"), F.col("__hi")
     else:
         e = work.agg(F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"))).scalar()
@@ -147,6 +158,10 @@ MMR = dict(lambda_div=0.55, w_cat=0.5, w_geo=0.5, tau_km=2.0, step=0.05)
 SCORE_DIGITS = 9
 
 
+def _relevance() -> Column:
+    return F.when(~F.isnan("rel"), F.col("rel")).alias("rel")
+
+
 def mmr_bounded(
     df: DataFrame, group: str, k: int, top_m: int, frozen: int = 0, penalty: bool = True,
     coverage_max: dict[str, int] | None = None, coverage_min: dict[str, int] | None = None,
@@ -156,61 +171,50 @@ def mmr_bounded(
 
     df: (group, item, rel in [0,1], cat, lat, lon, labels). The cut to top_m happens before the
     groups are formed, so a Python group holds at most top_m rows. Returns (group, item, pos).
+
+    A missing category is like no other, a missing coordinate is near nothing, missing labels count
+    for no quota, a missing relevance ranks last, and rows without a group are one group.
     """
-    cmax, cmin = coverage_max or {}, coverage_min or {}
-    cut = top_per_group(df, [group], [F.desc("rel"), F.asc("item")], top_m).select(group, "item", "rel", "cat", "lat", "lon", "labels")
+    labs = sorted({*(coverage_max or {}), *(coverage_min or {})})
+    most = np.array([(coverage_max or {}).get(lab, np.inf) for lab in labs])
+    least = np.array([(coverage_min or {}).get(lab, 0) for lab in labs])
+    cands = df.select(group, "item", _relevance(), "cat", "lat", "lon", "labels")
+    cut = top_per_group(cands, [group], [F.desc("rel"), F.asc("item")], top_m).select(group, "item", "rel", "cat", "lat", "lon", "labels")
 
     # Task functions carry all they need: executors have NumPy and pandas, not this package.
     radius = geo.EARTH_RADIUS_KM
 
-    def distance(lat, lon, lat0, lon0):
-        dlat, dlon = np.radians(lat - lat0) / 2, np.radians(lon - lon0) / 2
-        h = np.sin(dlat) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lat0)) * np.sin(dlon) ** 2
-        return 2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(h)))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rel", "item"], ascending=[False, True]).reset_index(drop=True)
-        ids, rel = pdf["item"].to_numpy(np.int64), pdf["rel"].to_numpy(float)
-        cat, lat, lon = pdf["cat"].to_numpy(object), pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float)
-        has = {lab: np.array([lab in set(ls) for ls in pdf["labels"]]) for lab in {*cmax, *cmin}}
-        alive, sim = np.ones(ids.size, dtype=bool), np.zeros(ids.size)
-        count = dict.fromkeys(has, 0)
-        chosen: list[int] = []
-
-        def take(i: int) -> None:
-            nonlocal sim
-            chosen.append(i)
-            alive[i] = False
-            for lab in count:
-                count[lab] += int(has[lab][i])
-            if penalty:
-                near = np.exp(-distance(lat, lon, lat[i], lon[i]) / tau_km)
-                sim = np.maximum(sim, w_cat * (cat == cat[i]).astype(float) + w_geo * near)
-
-        for i in range(min(frozen, k, ids.size)):
-            take(i)
-        while len(chosen) < k:
-            ok = alive.copy()
-            for lab, most in cmax.items():
-                if count[lab] >= most:
-                    ok &= ~has[lab]
-            c = np.flatnonzero(ok)
-            if c.size == 0:
+    def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The places of `mmr_stepwise`, on arrays: rows in item order, so that the first best wins ties."""
+        pdf = pdf.sort_values("item")
+        ids, rel, kind = pdf["item"].to_numpy(np.int64), pdf["rel"].to_numpy(float), pd.factorize(pdf["cat"])[0]
+        la, lo = np.radians(pdf["lat"].to_numpy(float)), np.radians(pdf["lon"].to_numpy(float))
+        has = np.array([[lab in set(() if ls is None else ls) for lab in labs] for ls in pdf["labels"]], bool).reshape(ids.size, len(labs))
+        sim, rest, picks = np.zeros(ids.size), np.arange(ids.size), []
+        for place in range(k):
+            have = has[picks].sum(axis=0)
+            open_rows = rest if place < frozen else rest[~(has[rest] & (have >= most)).any(axis=1)]
+            if not open_rows.size:
                 break
-            lo, hi = sim[c].min(), sim[c].max()
-            far = (sim[c] - lo) / (hi - lo + 1e-8) if hi > lo else np.zeros(c.size)
-            bonus = np.zeros(c.size)
-            for lab, least in cmin.items():
-                bonus += has[lab][c] * max(least - count[lab], 0) * step
-            gain = np.round(lambda_div * rel[c] - (1 - lambda_div) * far + bonus, SCORE_DIGITS)
-            take(int(c[np.lexsort((ids[c], -gain))[0]]))
-        return pd.DataFrame({group: pdf[group].iloc[0], "item": ids[chosen], "pos": np.arange(1, len(chosen) + 1)})
+            gain = rel[open_rows]
+            if place >= frozen:
+                s = sim[open_rows]
+                bonus = has[open_rows] @ (np.maximum(least - have, 0) * step)
+                gain = np.round(lambda_div * gain - (1.0 - lambda_div) * (s - s.min()) / (np.ptp(s) + 1e-8) + bonus, SCORE_DIGITS)
+            best = open_rows[np.argmax(np.where(np.isnan(gain), -np.inf, gain))]
+            picks.append(best)
+            rest = rest[rest != best]
+            if penalty:
+                h = np.sin((la - la[best]) / 2) ** 2 + np.cos(la) * np.cos(la[best]) * np.sin((lo - lo[best]) / 2) ** 2
+                near = np.nan_to_num(np.exp(-2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(h))) / tau_km), nan=0.0)
+                sim = np.maximum(sim, w_cat * ((kind == kind[best]) & (kind >= 0)) + w_geo * near)
+        return pd.DataFrame({group: pdf[group].iloc[0], "item": ids[picks], "pos": np.arange(1, len(picks) + 1)})
 
-    kind = df.schema[group].dataType.simpleString()
-    return cut.groupBy(group).applyInPandas(greedy, f"{group} {kind}, item long, pos int")
+    kind_of = df.schema[group].dataType.simpleString()
+    return cut.groupBy(group).applyInPandas(one_group, f"{group} {kind_of}, item long, pos int")
 
 
-# Groups up to this size are re-ranked inside one Python group each.
+# Groups up to this size are re-ranked inside one Python group each; larger ones stepwise, with equal lists.
 SMALL_GROUP = 5000
 
 
@@ -231,23 +235,26 @@ def mmr_stepwise(
     coverage_max: dict[str, int] | None = None, coverage_min: dict[str, int] | None = None,
     lambda_div: float = 0.55, w_cat: float = 0.5, w_geo: float = 0.5, tau_km: float = 2.0, step: float = 0.05,
 ) -> DataFrame:
-    """The same re-ranking over all candidates of groups of any size.
+    """The same re-ranking over all candidates of groups of any size, with the same rules for
+    missing values.
 
     Each of the k places is one distributed aggregate over the remaining candidates and an update
     of their similarity to the new pick; no task ever holds a group.
     """
     cmax, cmin = coverage_max or {}, coverage_min or {}
     labs = sorted({*cmax, *cmin})
-    state = df.select(group, "item", "rel", "cat", "lat", "lon", *[F.array_contains("labels", lab).cast("int").alias(f"__l{i}") for i, lab in enumerate(labs)])
+    marks = [F.coalesce(F.array_contains("labels", lab).cast("int"), F.lit(0)).alias(f"__l{i}") for i, lab in enumerate(labs)]
+    # Inside a struct a null group equals itself, so plain joins keep it.
+    state = df.select(F.struct(group).alias("__g"), "item", _relevance(), "cat", "lat", "lon", *marks)
     state = cut_lineage(state.withColumn("sim", F.lit(0.0)))
-    counts = state.select(group).distinct().select(group, *[F.lit(0).alias(f"__c{i}") for i in range(len(labs))])
+    counts = state.select("__g").distinct().select("__g", *[F.lit(0).alias(f"__c{i}") for i in range(len(labs))])
     result = None
     for pos in range(1, k + 1):
-        open_rows = state.join(counts, group) if labs else state
+        open_rows = state.join(counts, "__g") if labs else state
         for lab, most in cmax.items() if pos > frozen else ():
             i = labs.index(lab)
             open_rows = open_rows.where((F.col(f"__c{i}") < most) | (F.col(f"__l{i}") == 0))
-        ends = open_rows.groupBy(group).agg(F.min("sim").alias("__lo"), F.max("sim").alias("__hi"))
+        ends = open_rows.groupBy("__g").agg(F.min("sim").alias("__lo"), F.max("sim").alias("__hi"))
         far = F.when(F.col("__hi") > F.col("__lo"), (F.col("sim") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-8)).otherwise(0.0)
         bonus = F.lit(0.0)
         for lab, least in cmin.items():
@@ -256,7 +263,7 @@ def mmr_stepwise(
         gain = F.round(F.lit(lambda_div) * F.col("rel") - F.lit(1.0 - lambda_div) * far + bonus, SCORE_DIGITS)
         if pos <= frozen:
             gain = F.col("rel")
-        best = open_rows.join(ends, group).groupBy(group).agg(
+        best = open_rows.join(ends, "__g").groupBy("__g").agg(
             F.max_by(
                 F.struct("item", "cat", "lat", "lon", *[f"__l{i}" for i in range(len(labs))]),
                 F.struct(gain.alias("g"), (-F.col("item")).alias("i")),
@@ -265,22 +272,25 @@ def mmr_stepwise(
         best = cut_lineage(best)
         if best.isEmpty():
             break
-        picked = best.select(group, F.col("b.item").alias("item"), F.lit(pos).alias("pos"))
+        picked = best.select("__g", F.col("b.item").alias("item"), F.lit(pos).alias("pos"))
         result = picked if result is None else result.unionByName(picked)
         if pos == k:
             break
-        joined = state.join(best, group, "left")
+        joined = state.join(best, "__g", "left")
         near = F.exp(-geo.haversine_km(F.col("b.lat"), F.col("b.lon"), F.col("lat"), F.col("lon")) / F.lit(tau_km))
+        near = F.coalesce(F.nanvl(near, F.lit(0.0)), F.lit(0.0))
         like = F.lit(w_cat) * F.coalesce((F.col("cat") == F.col("b.cat")).cast("double"), F.lit(0.0)) + F.lit(w_geo) * near
         new_sim = F.when(F.col("b").isNull() | F.lit(not penalty), F.col("sim")).otherwise(F.greatest("sim", like))
         kept = joined.where(F.col("b").isNull() | (F.col("item") != F.col("b.item")))
         state = cut_lineage(kept.withColumn("sim", new_sim).drop("b"))
         if not labs:
             continue
-        counts = counts.join(best, group, "left").select(
-            group, *[(F.col(f"__c{i}") + F.coalesce(F.col(f"b.__l{i}"), F.lit(0))).alias(f"__c{i}") for i in range(len(labs))]
+        counts = counts.join(best, "__g", "left").select(
+            "__g", *[(F.col(f"__c{i}") + F.coalesce(F.col(f"b.__l{i}"), F.lit(0))).alias(f"__c{i}") for i in range(len(labs))]
         )
-    return result
+    if result is None:
+        result = state.select("__g", "item", F.lit(0).alias("pos")).where("false")
+    return result.select(F.col("__g").getField(group).alias(group), "item", "pos")
 
 
 # --- hidden gems ----------------------------------------------------------------------------
@@ -365,7 +375,9 @@ def hidden_rerank(scored: DataFrame, k: int, group: str = "region", top_m: int |
         coverage_labels("large", F.col("region")).alias("labels"),
     )
     picked = mmr_rerank(cands, group, k, top_m, **mmr)
-    return picked.join(scored.withColumnRenamed("diner_idx", "item"), [group, "item"])
+    picked = picked.select(F.col(group).alias("__g"), F.col("item").alias("__i"), "pos")
+    scored = scored.withColumnRenamed("diner_idx", "item")
+    return picked.join(scored, F.col("__g").eqNullSafe(F.col(group)) & (F.col("__i") == F.col("item"))).drop("__g", "__i")
 
 
 def target_region(df: DataFrame, wanted: str, region: str = "region") -> DataFrame:

@@ -61,7 +61,7 @@ def _cf_recs(t):
     inter = N.interactions(t.hold("train", "val").train)
     sims = N.both_directions(N.item_pairs(inter))
     warm = S.warm_cold_users(t.train, t.val).where("user_type = 'warm'").select(F.col("reviewer_id").alias("user"))
-    return N.recommend_for_users(inter, sims, 20, pad=False).select("user", "item", "pos").join(warm, "user", "left_semi")
+    return N.recommend_for_users(inter, sims, 20, pad=False, users=warm).select("user", "item", "pos")
 
 
 @query("k5_warm_cold_rollup", f"""

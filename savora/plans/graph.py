@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from savora.functions import geo
+from savora.functions.hashing import hash_int
 from savora.operators import graph as G
 from savora.operators import negatives as NG
 from savora.operators.blocks import block_topk
@@ -90,18 +91,20 @@ def i4(t):
 
 
 def _walk_sql(length, per_node):
-    nbr = "nbr AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS place FROM edges), deg AS (SELECT src, count(*) AS deg FROM edges GROUP BY 1)"
+    nbr = """un AS (SELECT src, dst, CAST(round(weight * 1000000) AS BIGINT) AS units FROM edges),
+ nbr AS (SELECT src, dst, CAST(sum(units) OVER (PARTITION BY src ORDER BY dst) AS DOUBLE) AS hi, CAST(sum(units) OVER (PARTITION BY src ORDER BY dst) - units AS DOUBLE) AS lo FROM un),
+ deg AS (SELECT src, CAST(sum(units) AS BIGINT) AS total FROM un GROUP BY 1)"""
     steps = [f"w0 AS (SELECT src AS start, walk, src AS node FROM deg, (SELECT unnest(range({per_node})) AS walk))"]
     for s in range(1, length):
-        h = HASH_SQL.format(f"'walk|' || w.start || '|' || w.walk || '|{s}'")
-        steps.append(f"w{s} AS (SELECT w.start, w.walk, n.dst AS node FROM w{s - 1} w JOIN deg d ON d.src = w.node JOIN nbr n ON n.src = w.node AND n.place = {h} % d.deg)")
+        x = HASH_SQL.format(f"'walk|' || w.start || '|' || w.walk || '|{s}'") + " / 4294967296.0::DOUBLE * d.total"
+        steps.append(f"w{s} AS (SELECT w.start, w.walk, n.dst AS node FROM w{s - 1} w JOIN deg d ON d.src = w.node JOIN nbr n ON n.src = w.node AND n.lo <= {x} AND {x} < n.hi)")
     union = " UNION ALL ".join(f"SELECT start, CAST(walk AS INTEGER) AS walk, {s} AS step, node FROM w{s}" for s in range(length))
     return f"WITH {BOTH_SQL}, {nbr}, {', '.join(steps)} {union}"
 
 
 @query("i5_random_walks", _walk_sql(5, 2))
 def i5(t):
-    return G.uniform_walks(edges(t), 2, 5, "walk")
+    return G.weighted_walks(edges(t), 2, 5, "walk")
 
 
 @query("i5_biased_walks")
@@ -158,7 +161,7 @@ def i8(t):
 
 @query("i9_node2vec_vectors")
 def i9(t):
-    vec = G.embed_walks(G.uniform_walks(edges(t), 4, 8, "n2v"), dim=16)
+    vec = G.embed_walks(G.weighted_walks(edges(t), 4, 8, "n2v"), dim=16)
     return vec.select("id", F.size("vec").alias("dims"))
 
 
@@ -239,14 +242,15 @@ def i15(t):
 
 @query("i16_user_negatives", f"""
 WITH it AS (SELECT diner_idx AS item, row_number() OVER (ORDER BY diner_idx) - 1 AS idx FROM (SELECT DISTINCT diner_idx FROM train)),
- p AS (SELECT reviewer_id AS u, min(diner_idx) AS positive FROM train GROUP BY 1),
+ p AS (SELECT reviewer_id AS u, arg_min(diner_idx, ({HASH_SQL.format("'pos|' || reviewer_id || '|' || diner_idx")}, diner_idx)) AS positive FROM train GROUP BY 1),
  d AS (SELECT u, j, {HASH_SQL.format("'bpr|' || u || '|' || j")} % (SELECT count(*) FROM it) AS idx FROM p, (SELECT unnest(range(20)) AS j)),
  c AS (SELECT u, item, min(j) AS j FROM d JOIN it USING (idx) ANTI JOIN train ON train.reviewer_id = u AND train.diner_idx = item GROUP BY 1, 2)
 SELECT u AS user_id, positive, item AS negative, CAST(rn AS INTEGER) AS draw FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY j) AS rn FROM c) JOIN p USING (u) WHERE rn <= 5""")
 def i16(t):
     """One positive and five unseen negatives per user for pairwise training."""
     inter = t.train.select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
-    positive = inter.groupBy("user").agg(F.min("item").alias("positive"))
+    drawn = F.struct(hash_int("pos", F.col("user"), F.col("item")), "item")
+    positive = inter.groupBy("user").agg(F.min_by("item", drawn).alias("positive"))
     return NG.random_negatives(inter, 5, "bpr").join(positive, "user").select(F.col("user").alias("user_id"), "positive", F.col("item").alias("negative"), "draw")
 
 
@@ -265,7 +269,7 @@ def i17(t):
 @query("i18_walk_neighbors")
 def i18(t):
     """Closest nodes to every user by cosine of walk embeddings."""
-    vec = G.embed_walks(G.uniform_walks(edges(t), 4, 8, "n2v"), dim=16)
+    vec = G.embed_walks(G.weighted_walks(edges(t), 4, 8, "n2v"), dim=16)
     vec = materialise(vec).select(F.col("id").cast("long").alias("id"), "vec")
     users = vec.where(F.col("id") >= SHIFT).select(F.col("id").alias("user"), "vec")
     return block_topk(users, vec.withColumnRenamed("id", "item"), 5, normalise=True, skip_same=True)

@@ -177,14 +177,25 @@ def _gems(t):
     return R.hidden_input(t.diner, t.review, AS_OF).withColumn("region", F.split_part("address", F.lit(" "), F.lit(1)))
 
 
-def _mmr_sql(k, lam=0.55):
-    steps = [f"s0 AS (SELECT region, item, rel, cat, lat, lon, 0::DOUBLE AS sim FROM cand)"]
+def _mmr_sql(k, lam=0.55, frozen=0, most=(), least=()):
+    """Places unrolled one by one. most and least: (category, number)."""
+    counts = [c for c, _ in (*most, *least)]
+    taken = lambda c: f"coalesce(n_{c}, 0)"
+    bonus = "".join(f" + CASE WHEN s.cat = '{c}' THEN greatest({n} - {taken(c)}, 0) * 0.05::DOUBLE ELSE 0 END" for c, n in least)
+    steps = ["s0 AS MATERIALIZED (SELECT region, item, rel, cat, lat, lon, 0::DOUBLE AS sim FROM cand)"]
     for i in range(k):
-        steps.append(f"""e{i} AS (SELECT region, min(sim) AS lo, max(sim) AS hi FROM s{i} GROUP BY 1)""")
-        steps.append(f"""b{i} AS (SELECT region, item, cat, lat, lon FROM (SELECT s.*, row_number() OVER (PARTITION BY region ORDER BY
-  round({lam}::DOUBLE * rel - {1 - lam}::DOUBLE * CASE WHEN hi > lo THEN (sim - lo) / (hi - lo + 1e-8) ELSE 0 END, 9) DESC, item) AS rn FROM s{i} s JOIN e{i} USING (region)) WHERE rn = 1)""")
-        steps.append(f"""s{i + 1} AS (SELECT s.region, s.item, s.rel, s.cat, s.lat, s.lon, greatest(sim, 0.5 * CAST(s.cat = b.cat AS DOUBLE)
-  + 0.5 * exp(-({HAVERSINE_SQL.format(la1='b.lat', lo1='b.lon', la2='s.lat', lo2='s.lon')}) / 2.0)) AS sim FROM s{i} s JOIN b{i} b ON s.region = b.region AND s.item <> b.item)""")
+        earlier = " UNION ALL ".join(f"SELECT region, cat FROM b{j}" for j in range(i)) or "SELECT region, cat FROM s0 WHERE false"
+        numbers = "".join(f", count(*) FILTER (cat = '{c}') AS n_{c}" for c in counts)
+        quota = "".join(f" AND (s.cat IS DISTINCT FROM '{c}' OR {taken(c)} < {n})" for c, n in most) if i >= frozen else ""
+        gain = f"round({lam}::DOUBLE * rel - {1 - lam}::DOUBLE * CASE WHEN hi > lo THEN (sim - lo) / (hi - lo + 1e-8) ELSE 0 END{bonus}, 9)" if i >= frozen else "rel"
+        steps.append(f"c{i} AS MATERIALIZED (SELECT region{numbers} FROM ({earlier}) GROUP BY 1)")
+        steps.append(f"o{i} AS MATERIALIZED (SELECT s.*{''.join(f', n_{c}' for c in counts)} FROM s{i} s LEFT JOIN c{i} c ON c.region = s.region WHERE true{quota})")
+        steps.append(f"e{i} AS (SELECT region, min(sim) AS lo, max(sim) AS hi FROM o{i} GROUP BY 1)")
+        steps.append(f"""b{i} AS MATERIALIZED (SELECT region, item, cat, lat, lon FROM (SELECT s.*, row_number() OVER (PARTITION BY region ORDER BY
+  {gain} DESC NULLS LAST, item) AS rn FROM o{i} s JOIN e{i} USING (region)) WHERE rn = 1)""")
+        steps.append(f"""s{i + 1} AS MATERIALIZED (SELECT s.region, s.item, s.rel, s.cat, s.lat, s.lon, CASE WHEN b.item IS NULL THEN sim ELSE greatest(sim, 0.5 * coalesce(CAST(s.cat = b.cat AS DOUBLE), 0)
+  + 0.5 * coalesce(exp(-({HAVERSINE_SQL.format(la1='b.lat', lo1='b.lon', la2='s.lat', lo2='s.lon')}) / 2.0), 0)) END AS sim
+  FROM s{i} s LEFT JOIN b{i} b ON s.region = b.region WHERE s.item IS DISTINCT FROM b.item)""")
     return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT region, item, {i + 1} AS pos FROM b{i}" for i in range(k))
 
 
@@ -202,7 +213,7 @@ def j12(t):
     return R.mmr_stepwise(_cands(t), "region", 5)
 
 
-@query("j12_diversity_rerank_coverage")
+@query("j12_diversity_rerank_coverage", f"WITH {CAND_SQL}, {_mmr_sql(20, frozen=3, most=[('PROMO', 3)], least=[('SMALL', 5)])}")
 def j12b(t):
     return R.mmr_rerank(_cands(t), "region", 20, frozen=3, coverage_max={"category:PROMO": 3}, coverage_min={"category:SMALL": 5})
 

@@ -74,6 +74,41 @@ def test_biased_walks_follow_edges_and_bias(spark, dense_graph):
     assert back[True] > 0.7 * sum(back.values())
 
 
+def _walks(df):
+    out = defaultdict(dict)
+    for r in df.collect():
+        out[r["start"], r["walk"]][r["step"]] = r["node"]
+    return out
+
+
+def test_heavy_edges_are_walked(spark):
+    e = _edges(spark, [(0, 1), (0, 2)], {(0, 1): 1000.0, (0, 2): 1.0})
+    for walks in (G.weighted_walks(e, 400, 2, "h"), G.biased_walks(e, 400, 2, 1.0, 1.0, "h"), G.biased_walks(e, 400, 2, 20.0, 0.01, "h")):
+        first = Counter(w[1] for (start, _), w in _walks(walks).items() if start == 0)
+        assert first[1] >= 390 and sum(first.values()) == 400
+
+
+def test_weighted_draws_match_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(G, "CELLS_PER_ROW", 3)
+    weight = {(0, i): w for i, w in enumerate([1e-7, 0.5, 1.0, 2.5, 40.0, 6.0, 0.003, 50.0, 3e-5], start=1)}
+    e = _edges(spark, list(weight), weight)
+    cells = G.weighted_neighbors(e).where("src = 0").collect()
+    assert len(cells) <= 3 * len(weight) and {c["cell"] for c in cells} == set(range(len(weight)))
+    spans = sorted({(c["lo"], c["hi"]) for c in cells})
+    assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    got = _walks(G.weighted_walks(e, 3000, 3, "m"))
+    assert all(len(w) == 3 for w in got.values())
+    first = Counter(w[1] for (start, _), w in got.items() if start == 0)
+    for (_, i), w in weight.items():
+        assert abs(first[i] / 3000 - w / sum(weight.values())) < 0.04
+
+
+def test_biased_walks_stop_at_dead_ends(spark):
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "src long, dst long, weight double")
+    for walks in (G.weighted_walks(e, 1, 5, "d"), G.biased_walks(e, 1, 5, 0.5, 2.0, "d")):
+        assert {k[0]: [w[i] for i in sorted(w)] for k, w in _walks(walks).items()} == {0: [0, 1, 2], 1: [1, 2]}
+
+
 def test_uniform_walks_repeat(spark):
     e = _edges(spark, PAIRS)
     a = sorted(map(tuple, G.uniform_walks(e, 3, 6, "x").collect()))

@@ -92,3 +92,29 @@ def test_cover_counts_area(spark):
     n = P.cover_area(spark, box, 8).count()
     area = 0.1 * geo.METRES_PER_DEGREE_LAT * 0.1 * geo.metres_per_lon()
     assert abs(n - area / (1.5 * 3**0.5 * geo.side(8) ** 2)) / n < 0.05
+
+
+def test_near_rows_at_high_latitudes_and_the_date_line(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * geo.EARTH_RADIUS_KM * math.asin(math.sqrt(h))
+
+    spots = [(64.0, 25.0), (-17.0, 180.0), (-17.0, -180.0), (89.99, 40.0), (0.0, 0.0)]
+    rows = []
+    for a, b in spots:
+        for _ in range(25):
+            lon = b + rng.uniform(-0.12, 0.12) / math.cos(math.radians(min(a, 89)))
+            rows.append((len(rows), min(90.0, a + rng.uniform(-0.06, 0.06)), (lon + 180) % 360 - 180))
+    df = spark.createDataFrame(rows + [(999, None, 1.0)], "id long, lat double, lon double")
+    for a, b in spots:
+        want = {i for i, x, y in rows if km(a, b, x, y) <= 5}
+        assert {r["id"] for r in P.near_point(df, "lat", "lon", a, b, 5.0).collect()} == want
+    want = {(i, j) for i, x, y in rows for j, u, v in rows if i < j and km(x, y, u, v) <= 5}
+    got = [(r["a"], r["b"]) for r in P.near_pairs(df, "id", "lat", "lon", 5.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

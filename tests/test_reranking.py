@@ -36,6 +36,34 @@ def test_both_forms_agree(spark, cands, cover, monkeypatch):
     assert _lists(R.mmr_bounded(df, "g", 7, 100, **cover)) == _lists(R.mmr_stepwise(df, "g", 7, **cover))
 
 
+@pytest.mark.parametrize("cover", [{}, {"coverage_max": {"category:a": 1, "region:x": 4}, "coverage_min": {"category:b": 3}, "frozen": 2}, {"penalty": False}])
+def test_both_forms_agree_on_missing_values_and_ties(spark, cover):
+    rng = random.Random(5)
+    rows = []
+    for g in ("x", None, "z"):
+        for i in range(12):
+            cat = rng.choice(["a", "b", None])
+            lat, lon = rng.choice([(37.5, 127.0), (37.51, 127.0), (None, 127.0), (float("nan"), 127.0)])
+            labels = rng.choice([None, [f"category:{cat}", f"region:{g}"]])
+            rows.append((g, i, rng.choice([None, float("nan"), 0.5, 0.5, 1.0]), cat, lat, lon, labels))
+    df = spark.createDataFrame(rows, SCHEMA)
+    bounded = _lists(R.mmr_bounded(df, "g", 8, 100, **cover))
+    assert bounded == _lists(R.mmr_stepwise(df, "g", 8, **cover)) and set(bounded) == {"x", None, "z"}
+    none = df.where("false")
+    assert R.mmr_stepwise(none, "g", 3).collect() == R.mmr_bounded(none, "g", 3, 9).collect() == []
+    assert R.mmr_stepwise(none, "g", 3).columns == R.mmr_bounded(none, "g", 3, 9).columns
+
+
+def test_serving_set_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "USERS_PER_BLOCK", 2)
+    users = spark.range(7).withColumnRenamed("id", "user")
+    items = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(5)], "item long, large string")
+    seen = spark.createDataFrame([(0, 1), (3, 3)], "user long, item long")
+    got = sorted((r["user"], r["item"]) for r in R.serving_set(users, items, seen, labels=["a"]).collect())
+    assert got == [(u, i) for u in range(7) for i in (1, 3) if (u, i) not in {(0, 1), (3, 3)}]
+    assert R.serving_set(users.where("false"), items, seen).count() == 0
+
+
 def test_quota_frozen_and_penalty(spark, cands):
     df = spark.createDataFrame(cands, SCHEMA)
     cat = {(r[0], r[1]): r[3] for r in cands}
