@@ -101,8 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest node reachable from every node of `edges` (a, b). Alternating stars;
     hub nodes are aggregated map-side and joined, never gathered."""
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -110,10 +109,14 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = large.join(low, F.col("a") == F.col("k")).select("b", "k", "m")
         edges = materialise(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
-        seen = mark
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has just that one, and it has none itself."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("id").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return per.where("up > 1 or (up = 1 and down > 0)").isEmpty()
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -164,18 +167,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     linked = denominator * F.col("both") >= numerator * F.col("either")
     seen = labels = None
     for step in range(hub_rounds + 1):
-        now = members.withColumn("comp", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        # How many pairs of a band's members are in different components, from counts per component.
-        sizes = now.groupBy("band", "comp").agg(F.count("*").alias("c"))
-        sizes = sizes.groupBy("band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("comps")).where("comps > 1")
-        cost = sizes.agg(F.sum(F.col("c") * F.col("c") - F.col("own")).alias("pairs"), F.sum("c").alias("members")).first()
+        now = members.withColumn("comp", F.col("id")) if labels is None else materialise(members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        # Per band with more than one component: how many pairs of its members are in different ones, and its
+        # hub, the most central member, which shares the most bands; after the first step one by hash.
+        own = lambda order: F.max(F.struct(order.alias("by"), F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2")))
+        per = now.groupBy("band", "comp").agg(F.count("*").alias("c"), own(F.col("central")).alias("middle"), own(F.xxhash64("id", F.lit(step))).alias("drawn"))
+        per = per.groupBy("band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("comps"), F.max("middle").alias("middle"), F.max("drawn").alias("drawn"))
+        bands_open = materialise(per.where("comps > 1"))
+        cost = bands_open.agg(F.sum(F.col("c") * F.col("c") - F.col("own")).alias("pairs"), F.sum("c").alias("members")).first()
         if not cost["members"]:
             break
         last = step == hub_rounds or (step > 0 and cost["pairs"] <= 2 * direct_per_member * cost["members"])
-        # The hub of a band: its most central member, which shares the most bands; later one by hash.
-        order = F.col("central") if step == 0 or last else F.xxhash64("id", F.lit(step))
-        hubs = now.groupBy("band").agg(F.max(F.struct(order, F.col("id").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        hubs = materialise(hubs.where("low <> high").select("band", "h.hub", "h.n2", "h.comp2"))
+        hubs = bands_open.select("band", F.col("middle" if step == 0 or last else "drawn").alias("h")).select("band", "h.hub", "h.n2", "h.comp2")
         if last:
             # 1 - similarity is a metric, so two members whose similarities to the hub differ by more
             # than 1 - threshold are no link. Members that were not compared with the hub stay in.
