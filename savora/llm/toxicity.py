@@ -1,24 +1,30 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-The labelled sample (at most `SAMPLE` rows, the ones with the smallest hashes) is split: three quarters pick the
-terms whose document frequency differs between the classes and become the example index, the others
-calibrate. Term counts over those terms, and their idf, come from all documents. A query walks a
-block-max inverted index: blocks are visited by falling upper bound until no block can reach the k best, so
-the neighbours are exact. Votes weighted by distance give a raw score, and isotonic calibration turns it
-into a probability; the neighbours are the evidence.
+The labelled sample (at most `SAMPLE` rows, the ones with the smallest hashes) is split: three quarters become the
+example index, the others calibrate. Texts and examples count with all their terms; idf comes from all
+documents, and terms that no sampled row has still lengthen the texts that hold them. A query walks a
+block-max index: blocks are visited by falling upper bound until no block can reach the k best, so the
+neighbours are exact. They are the evidence, and their labels vote by distance. A second vote comes from the
+neighbours over the telling terms alone (at most `TERMS`, document frequency differs between the classes).
+Isotonic calibration turns the mean of both votes into a probability.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from savora.llm.common import map_batches
+from savora.llm.common import map_batches, slices
 from savora.session import materialise
 
 SAMPLE = 20_000
@@ -27,6 +33,9 @@ MIN_CLASS_ROWS = 3
 MIN_G2 = 10.8
 NEIGHBOURS = 15
 BLOCK = 64
+COMMON = 16
+TEXT_SLICE = 4_000_000
+EVIDENCE = "array<struct<id: string, label: int, similarity: double>>"
 NEAR = 0.05
 REMEMBERED = 50_000
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -73,69 +82,168 @@ def pick_terms(docs: DataFrame, train: DataFrame, text: str, terms: int = TERMS)
     return sorted(r["term"] for r in best.orderBy(F.desc("g2"), "term").limit(terms).collect())
 
 
-def term_counts(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """(id, idx, tf) per row: places in `terms` and counts, over whole texts."""
-    place = {t: i for i, t in enumerate(terms)}
+def sample_counts(docs: DataFrame, train: DataFrame, text: str) -> DataFrame:
+    """(id, y, fit, words, tf) of the sampled rows, over all terms of the whole texts; repeated keys teach once."""
 
     def fn(cols):
-        idx, tf = [], []
-        for t in cols[1]:
-            found = sorted(Counter(filter(None.__ne__, map(place.get, TOKEN.findall((t or "").lower())))).items())
-            idx.append([i for i, _ in found])
-            tf.append([n for _, n in found])
-        return {"id": cols[0], "idx": idx, "tf": tf}
+        found = [sorted(Counter(TOKEN.findall((t or "").lower())).items()) for t in cols[3]]
+        return {"id": cols[0], "y": cols[1], "fit": cols[2], "words": [[w for w, _ in f] for f in found], "tf": [[n for _, n in f] for f in found]}
 
     kind = docs.schema["id"].dataType.simpleString()
-    return map_batches(docs, ["id", text], fn, f"id {kind}, idx array<int>, tf array<int>")
+    rows = map_batches(docs.join(F.broadcast(train), "id"), ["id", "y", "fit", text], fn, f"id {kind}, y int, fit boolean, words array<string>, tf array<int>")
+    return rows.groupBy("id", "y", "fit").agg(F.min(F.struct("words", "tf")).alias("v")).select("id", "y", "fit", "v.words", "v.tf")
+
+
+def term_counts(docs: DataFrame, text: str, place: Broadcast) -> DataFrame:
+    """(id, idx, tf, rest, rest_tf) per row, over all terms of the whole texts: places in the vocabulary of the
+    sample and counts, and the terms that no sampled row has with theirs."""
+
+    def fn(cols):
+        known = place.value.get()
+        for part in slices(len(cols[1]), [len(t or "") for t in cols[1]], TEXT_SLICE):
+            out = {"id": [cols[0][i] for i in part], "idx": [], "tf": [], "rest": [], "rest_tf": []}
+            for i in part:
+                idx, tf, rest, rest_tf = [], [], [], []
+                for w, n in Counter(TOKEN.findall((cols[1][i] or "").lower())).items():
+                    at = known.get(w)
+                    if at is None:
+                        rest.append(w)
+                        rest_tf.append(n)
+                    else:
+                        idx.append(at)
+                        tf.append(n)
+                for c, v in zip(("idx", "tf", "rest", "rest_tf"), (idx, tf, rest, rest_tf)):
+                    out[c].append(v)
+            yield out
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_batches(docs, ["id", text], fn, f"id {kind}, idx array<int>, tf array<int>, rest array<string>, rest_tf array<int>")
+
+
+def rest_norms(counted: DataFrame, n: int) -> DataFrame:
+    """(row, rest): the squared weight of each row's terms that no sampled row has. They match no example, but
+    belong to the row's length. Their document frequencies stay distributed."""
+    pairs = counted.select("row", F.explode(F.arrays_zip("rest", "rest_tf")).alias("p")).select("row", F.col("p.rest").alias("term"), F.col("p.rest_tf").alias("tf"))
+    frequencies = pairs.groupBy("term").agg(F.count("*").alias("df"))
+    weight = (1 + F.log(F.col("tf").cast("double"))) * (F.log((1.0 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    return pairs.join(frequencies, "term").groupBy("row").agg(F.sum(weight * weight).alias("rest"))
+
+
+def raw_weights(idx, tf, idf: np.ndarray) -> np.ndarray:
+    return (1 + np.log(np.asarray(tf, float))) * idf[idx]
 
 
 def weights(idx, tf, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(np.asarray(tf, float))) * idf[idx]
+    w = raw_weights(idx, tf, idf)
     return w / math.sqrt(float(w @ w))
 
 
 class BlockMaxIndex:
-    """Inverted lists over labelled examples, cut into blocks that know each term's largest weight."""
+    """Inverted lists over labelled examples in blocks. The `COMMON` terms with the longest lists lie in a dense
+    matrix instead, and each block knows their largest weights; rare lists are added up at once. Blocks
+    are then visited by falling upper bound, so that common terms are only multiplied where they can matter."""
 
     def __init__(self, examples: list[tuple[int, int, list[int], np.ndarray]], terms: int, block: int = BLOCK):
         # Neighbouring examples share their heaviest term, which makes the bounds tight.
-        examples = sorted(examples, key=lambda e: (e[2][int(np.argmax(e[3]))], tuple(e[2]), e[0]))
+        examples = sorted(examples, key=lambda e: (e[2][int(np.argmax(e[3]))], e[0]))
         self.ids = [e[0] for e in examples]
         self.labels = np.array([e[1] for e in examples], float)
         self.block = block
         n_blocks = -(-len(examples) // block)
-        self.most = np.zeros((terms, n_blocks))
-        lists: dict[tuple[int, int], tuple[list, list]] = {}
-        for place, (_, _, idx, w) in enumerate(examples):
-            b = place // block
-            for t, x in zip(idx, w):
-                at, ws = lists.setdefault((t, b), ([], []))
-                at.append(place - b * block)
-                ws.append(x)
-                self.most[t, b] = max(self.most[t, b], x)
-        self.lists = {k: (np.array(a), np.array(x)) for k, (a, x) in lists.items()}
+        self.rows = n_blocks * block
+        t = np.concatenate([np.asarray(e[2], np.int32) for e in examples] or [np.zeros(0, np.int32)])
+        at = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[2]) for e in examples])
+        ws = np.concatenate([e[3] for e in examples] or [np.zeros(0)])
+        sizes = np.bincount(t, minlength=terms)
+        often = np.argsort(-sizes, kind="stable")[:COMMON]
+        often = often[sizes[often] > 0]
+        self.column = np.full(terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        dense = self.column[t] >= 0
+        self.dense = np.zeros((self.rows, len(often)))
+        self.dense[at[dense], self.column[t[dense]]] = ws[dense]
+        self.most = self.dense.reshape(n_blocks, block, len(often)).max(axis=1) if n_blocks else np.zeros((0, len(often)))
+        self.dense_norm = np.sqrt(np.einsum("ij,ij->i", self.dense, self.dense))
+        order = np.argsort(t[~dense], kind="stable")
+        self.at, self.ws = at[~dense][order], ws[~dense][order]
+        self.start = np.r_[0, np.cumsum(np.bincount(t[~dense], minlength=terms))]
 
     def search(self, idx: list[int], w: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k best (similarity, place), exactly; ties by place."""
-        bounds = w @ self.most[idx]
+        idx = np.asarray(idx, np.int64)
+        column = self.column[idx]
+        asked = np.zeros(self.dense.shape[1])
+        asked[column[column >= 0]] = w[column >= 0]
+        start = self.start[idx]
+        n = self.start[idx + 1] - start
+        flat = np.arange(int(n.sum())) + np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) if n.any() else np.zeros(0, np.int64)
+        sums = np.bincount(self.at[flat], self.ws[flat] * np.repeat(w, n), minlength=self.rows).reshape(-1, self.block)
+        near = (sums + math.sqrt(float(asked @ asked)) * self.dense_norm.reshape(-1, self.block)).max(axis=1)
+        bounds = np.minimum(near, sums.max(axis=1) + self.most @ asked)
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or (len(best) == k and bounds[b] < -best[-1][0] - 1e-12):
                 break
-            sims = np.zeros(self.block)
-            for t, x in zip(idx, w):
-                if (t, b) in self.lists:
-                    at, ws = self.lists[t, b]
-                    sims[at] += x * ws
-            hit = np.flatnonzero(sims > 0)
-            best = sorted(best + [(-float(sims[h]), b * self.block + int(h)) for h in hit])[:k]
+            sims = sums[b] + self.dense[b * self.block : (b + 1) * self.block] @ asked
+            hit = np.flatnonzero(sims >= -best[-1][0] if len(best) == k else sims > 0)
+            if len(hit):
+                best = sorted(best + [(-float(sims[h]), b * self.block + int(h)) for h in hit])[:k]
         return [(-s, p) for s, p in best]
 
-    def vote(self, idx: list[int], w: np.ndarray, prior: float, k: int = NEIGHBOURS) -> tuple[float, list[tuple[float, int]]]:
-        found = self.search(idx, w, k)
+    def vote(self, found: list[tuple[float, int]], prior: float) -> float:
         pull = np.array([1 / (1 - min(s, 1.0) + NEAR) for s, _ in found])
         y = np.array([self.labels[p] for _, p in found])
-        return float((pull @ y + prior) / (pull.sum() + 1)) if found else prior, found
+        return float((pull @ y + prior) / (pull.sum() + 1)) if found else prior
+
+
+class Shipped:
+    """Parts packed for a broadcast; each worker makes the whole of them once."""
+
+    def __init__(self, make: Callable, *parts):
+        self.packed = zlib.compress(pickle.dumps((make, parts)), 1)
+        self.made = None
+
+    def get(self):
+        if self.made is None:
+            make, parts = pickle.loads(zlib.decompress(self.packed))
+            self.made = make(*parts)
+        return self.made
+
+
+def numbered(terms: list[str]) -> dict[str, int]:
+    return {t: i for i, t in enumerate(terms)}
+
+
+class Judge:
+    """Neighbours over all terms and the vote of the neighbours over the telling terms, for counted texts."""
+
+    def __init__(self, fit: list[tuple], idf: np.ndarray, telling: np.ndarray, prior: float):
+        self.idf, self.telling, self.prior = idf, telling, prior
+        self.whole = BlockMaxIndex([(i, y, idx, weights(idx, tf, idf)) for i, y, idx, tf in fit], max(1, len(idf)))
+        parts = [(i, y, *self.told(idx, tf)) for i, y, idx, tf in fit]
+        self.few = BlockMaxIndex([(i, y, idx, weights(idx, tf, idf)) for i, y, idx, tf in parts if len(idx)], max(1, len(idf)))
+
+    def told(self, idx: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        use = self.telling[idx]
+        return idx[use], tf[use]
+
+    def look(self, idx: np.ndarray, tf: np.ndarray) -> tuple[list[tuple[float, int]], float, float]:
+        """(neighbours over the known terms, squared length of those terms, vote over the telling terms)."""
+        if not len(idx) or not self.whole.ids:
+            return [], 0.0, 0.0
+        w = raw_weights(idx, tf, self.idf)
+        length = float(w @ w)
+        few, few_tf = self.told(idx, tf)
+        vote = self.few.vote(self.few.search(few, weights(few, few_tf, self.idf), NEIGHBOURS), self.prior) if len(few) and self.few.ids else 0.0
+        return self.whole.search(idx, w / math.sqrt(length), NEIGHBOURS), length, vote
+
+
+def blended(found: list[tuple[float, int]], labels: np.ndarray, vote: float, prior: float) -> float:
+    """Mean of the votes over all terms and over the telling terms; a side without neighbours counts 0."""
+    if not found:
+        return vote / 2
+    pull = np.array([1 / (1 - min(s, 1.0) + NEAR) for s, _ in found])
+    return (float((pull @ labels[[p for _, p in found]] + prior) / (pull.sum() + 1)) + vote) / 2
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,50 +266,89 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS, threshold: float = 0.3) -> DataFrame:
     """One row per document: key, held_out, score in [0, 1], predicted, evidence (neighbours as label, id
-    and similarity). Null and empty texts, and texts without a learnt term, get the calibrated rate of such
+    and similarity). Null and empty texts, and texts that share no term with an example, get the calibrated rate of such
     texts. Without labels of both classes every score is the share of label 1, or 0 without any label."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    sc = docs.sparkSession.sparkContext
     train = materialise(training_rows(labels, key, label, sample))
-    vocabulary = pick_terms(docs, train, "text", terms)
-    counted = materialise(term_counts(docs, "text", vocabulary))
+    chosen = pick_terms(docs, train, "text", terms)
+    # At most `sample` rows of counts come to the driver.
+    place: dict[str, int] = {}
+    known = []
+    for batch in sample_counts(docs, train, "text").toArrow().to_batches(max_chunksize=500):
+        for i, y, use, words, tf in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "fit", "words", "tf"))):
+            known.append((i, y, use, np.array([place.setdefault(w, len(place)) for w in words], np.int32), np.array(tf, np.int32)))
+    for w in chosen:
+        place.setdefault(w, len(place))
+    # Places by term and examples by id, whatever order they arrived in.
+    terms_in_order = sorted(place)
+    moved = np.zeros(len(place), np.int32)
+    moved[[place[w] for w in terms_in_order]] = np.arange(len(place))
+    known = sorted(((i, y, use, moved[idx], tf) for i, y, use, idx, tf in known), key=lambda r: r[0])
+    place = numbered(terms_in_order)
+    prior = float(np.mean([k[1] for k in known])) if known else 0.0
+    # Without an example there is nothing to be near to, and no term needs a count.
+    if not any(use and len(idx) for _, _, use, idx, _ in known):
+        rate = float(isotonic(np.zeros(len(known)), np.array([k[1] for k in known], float))[1][0]) if any(not k[2] for k in known) else prior
+        out = docs.select("id", F.lit(min(1.0, max(0.0, rate))).alias("score"), F.lit(None).cast(EVIDENCE).alias("e"))
+        out = out.withColumn("evidence", F.coalesce("e", F.array().cast(EVIDENCE)))
+        return out.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+    counted = materialise(term_counts(docs, "text", sc.broadcast(Shipped(numbered, terms_in_order))).withColumn("row", F.monotonically_increasing_id()))
     n = counted.count()
 
     def batch_frequencies(cols):
-        found = Counter(t for idx in cols[0] for t in idx)
-        return {"t": list(found.keys()), "df": list(found.values())}
-
-    frequencies = map_batches(counted, ["idx"], batch_frequencies, "t int, df long").groupBy("t").agg(F.sum("df").alias("df"))
-    seen = {r["t"]: r["df"] for r in frequencies.collect()}  # at most `terms` rows
-    idf = np.array([math.log((1 + n) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    # At most `sample` short vectors come to the driver; repeated keys teach once.
-    known = counted.join(F.broadcast(train), "id").groupBy("id", "y", "fit").agg(F.min(F.struct("idx", "tf")).alias("v")).orderBy("id").collect()
-    prior = float(np.mean([r["y"] for r in known])) if known else 0.0
-    index = BlockMaxIndex([(r["id"], r["y"], list(r["v"]["idx"]), weights(r["v"]["idx"], r["v"]["tf"], idf)) for r in known if r["fit"] and r["v"]["idx"]], max(1, len(vocabulary)))
+        found = np.bincount(np.concatenate([np.asarray(x, np.int64) for x in cols[0]])) if cols[0] else np.zeros(0, np.int64)
+        seen = np.flatnonzero(found)
+        return {"t": seen.tolist(), "df": found[seen].tolist()}
+
+    seen = map_batches(counted, ["idx"], batch_frequencies, "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).toArrow()
+    frequency = np.zeros(len(place))  # at most the terms of the sample
+    frequency[seen["t"].to_numpy()] = seen["df"].to_numpy()
+    idf = np.log((1 + n) / (1 + frequency)) + 1
+    telling = np.zeros(len(place), bool)
+    telling[[place[w] for w in chosen]] = True
+    fit = [(i, y, idx, tf) for i, y, use, idx, tf in known if use and len(idx)]
+    judge = Judge(fit, idf, telling, prior)
     raw, truth = [], []
-    for r in known:
-        if not r["fit"]:
-            idx = list(r["v"]["idx"])
-            raw.append(index.vote(idx, weights(idx, r["v"]["tf"], idf), prior)[0] if idx and index.ids else 0.0)
-            truth.append(r["y"])
+    for _, y, use, idx, tf in known:
+        if not use:
+            found, _, vote = judge.look(idx, tf)
+            raw.append(blended(found, judge.whole.labels, vote, prior))
+            truth.append(y)
     steps, rates = isotonic(np.array(raw), np.array(truth, float)) if raw else (np.array([0.0]), np.array([prior]))
+    shared = sc.broadcast(Shipped(Judge, fit, idf, telling, prior))
     memo: dict = {}
 
-    def judged(idx: list[int], tf: list[int]) -> tuple[float, list[dict]]:
-        if not idx or not index.ids:
-            return float(rates[0]), []
-        found = memo.get((tuple(idx), tuple(tf)))
-        if found is None:
-            value, best = index.vote(idx, weights(idx, tf, idf), prior)
-            found = float(np.interp(value, steps, rates)), [{"id": str(index.ids[p]), "label": int(index.labels[p]), "similarity": s} for s, p in best[:3]]
-            if len(memo) >= REMEMBERED:
-                memo.clear()
-            memo[tuple(idx), tuple(tf)] = found
-        return found
+    def look(cols):
+        out = {"id": cols[0], "row": cols[1], "places": [], "sims": [], "length": [], "vote": []}
+        for idx, tf in zip(cols[2], cols[3]):
+            idx, tf = np.array(idx, np.int64), np.array(tf, np.int64)
+            same = hashlib.blake2b(idx.tobytes() + tf.tobytes(), digest_size=16).digest()
+            if (made := memo.get(same)) is None:
+                found, length, vote = shared.value.get().look(idx, tf)
+                if len(memo) >= REMEMBERED:
+                    memo.clear()
+                made = memo[same] = ([p for _, p in found], [s for s, _ in found], length, vote)
+            for c, v in zip(("places", "sims", "length", "vote"), made):
+                out[c].append(v)
+        return out
+
+    found = map_batches(counted, ["id", "row", "idx", "tf"], look, f"id {kind}, row long, places array<int>, sims array<double>, length double, vote double")
+    # The terms outside the sample lengthen a text; they change no order among its neighbours.
+    share = F.when(F.col("length") > 0, F.sqrt(F.col("length") / (F.col("length") + F.coalesce("rest", F.lit(0.0))))).otherwise(0.0)
+    found = found.join(rest_norms(counted, n), "row", "left").withColumn("share", share)
+    ids, labelled = judge.whole.ids, judge.whole.labels
 
     def fn(cols):
-        made = [judged(i, t) for i, t in zip(cols[1], cols[2])]
-        return {"id": cols[0], "score": [min(1.0, max(0.0, s)) for s, _ in made], "evidence": [e for _, e in made]}
-
-    kind = counted.schema["id"].dataType.simpleString()
-    out = map_batches(counted, ["id", "idx", "tf"], fn, f"id {kind}, score double, evidence array<struct<id: string, label: int, similarity: double>>")
+        out = {"id": cols[0], "score": [], "evidence": []}
+        for places, sims, share, vote in zip(*cols[1:]):
+            best = [(s * share, p) for s, p in zip(sims, places)]
+            value = float(np.interp(blended(best, labelled, vote, prior), steps, rates)) if best else float(rates[0])
+            out["score"].append(min(1.0, max(0.0, value)))
+            out["evidence"].append([{"id": str(ids[p]), "label": int(labelled[p]), "similarity": s} for s, p in best[:3]])
+        return out
+
+    out = map_batches(found, ["id", "places", "sims", "share", "vote"], fn, f"id {kind}, score double, evidence {EVIDENCE}")
     return out.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

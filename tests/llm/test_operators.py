@@ -319,3 +319,23 @@ def test_word_ids_equal_the_tokenizer():
     odd = ["don't.", "it's?", "'s.", "a's,", "...", "!?", "x...'s", "é.", "ΑΣ.", "a.b.", "9.", "1,000.", "q!'ll ?", "a😀!", "_.", "x" * 100 + ".", "Straße", "", " ", "a\x1cb"]
     for text in [*letters, *odd, " ".join(odd), *[a + b for a in letters[::7] for b in letters]]:
         assert ids.text(text) == ids.encode(text), text
+
+
+def test_toxicity_counts_every_term(spark):
+    r, rows = random.Random(11), []
+    for i in range(400):
+        rows.append((i, " ".join(r.choice(WORDS[:60]) + "abcdefgh"[j % 8] for j in range(25)) + f" only{chr(97 + i % 26)}{chr(97 + i // 26)}"))
+    rows += [(900, "unseen word alone"), (901, rows[1][1]), (None, rows[2][1] + " outside terms"), (902, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    train = {x["id"] for x in toxicity.training_rows(marked, "doc_id", "toxic").where("fit").collect()}
+    counts = [(d, collections.Counter(re.findall(r"[^\W\d_]+", t))) for d, t in rows]
+    df = collections.Counter(w for _, c in counts for w in c)
+    vector = lambda c: {w: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in c.items()}
+    cosine = lambda a, b: sum(x * b.get(w, 0.0) for w, x in a.items()) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    examples = [vector(c) for d, c in counts if d in train]
+    got = {x["doc_id"]: x for x in toxicity.score(frame, marked).collect()}
+    assert len(got) == len(rows) and got[900]["evidence"] == [] and got[902]["evidence"] == []
+    for d, c in counts[::9] + counts[-3:-1]:
+        best = sorted((cosine(vector(c), e) for e in examples), reverse=True)[:3]
+        assert [e["similarity"] for e in got[d]["evidence"]] == pytest.approx(best)
