@@ -3,7 +3,8 @@
 Spark writes the archives itself (one record per line, with the record's closing blank lines as line
 separator), so they can go to any store that Spark reaches. The reader checks every record; after a
 failed check it searches for the next valid gzip member or version line, goes on there, and logs the
-bytes in between as a quarantined gap.
+bytes in between as a quarantined gap. Of a damaged or cut member, the records decoded before the damage are
+kept (after a decoding error only those with a matching block digest; digests do not cover record headers).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ END = "\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 RECORDS_PER_FILE = 1000
+STEP = 1 << 14
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PREFIX = "urn:page:"
 
@@ -118,6 +120,30 @@ def _plain(data: bytes, base: int, records: list, gaps: list) -> None:
         at = to
 
 
+def _member(data: bytes, at: int) -> tuple[bytes, int, str, list[tuple[int, int]]]:
+    """(decoded bytes, end, why not, steps as (offset, decoded bytes so far)) of the gzip member at `at`; what
+    a broken member yields before its error is decoded too."""
+    if not data.startswith(MEMBER, at):
+        return b"", at, "no member", [(at, 0)]
+    unzip, out, pos, made = zlib.decompressobj(31), [], at, 0
+    steps = [(at, 0)]
+    while pos < len(data) and not unzip.eof:
+        piece, before = data[pos : pos + STEP], unzip.copy()
+        try:
+            out.append(unzip.decompress(piece))
+        except zlib.error:
+            for i in range(len(piece)):
+                try:
+                    out.append(before.decompress(piece[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), pos, "member damaged", steps
+        pos += len(piece)
+        made += len(out[-1])
+        steps.append((pos, made))
+    return b"".join(out), pos - len(unzip.unused_data), "" if unzip.eof else "member cut short", steps
+
+
 def salvage(data: bytes | None) -> tuple[list[dict], list[tuple[int, int, str]]]:
     """(records, quarantined gaps as (start, end, reason)) of an archive, plain or in gzip members.
     Offsets are of the archive; inside a member that holds several records they count from its start.
@@ -130,23 +156,30 @@ def salvage(data: bytes | None) -> tuple[list[dict], list[tuple[int, int, str]]]
         return records, gaps
     at = 0
     while at < len(data):
-        unzip = zlib.decompressobj(31)
-        try:
-            body = unzip.decompress(data[at:]) if data.startswith(MEMBER, at) else None
-            why = "no member" if body is None else "" if unzip.eof else "member cut short"
-        except zlib.error:
-            body, why = None, "member damaged"
-        if why:
-            to = data.find(MEMBER, at + 1)
-            to = len(data) if to < 0 else to
-            if gaps and gaps[-1][1] == at:
-                gaps[-1] = (gaps[-1][0], to, gaps[-1][2])
-            else:
-                gaps.append((at, to, why))
-            at = to
+        body, end, why, steps = _member(data, at)
+        found: list[dict] = []
+        holes: list[tuple[int, int, str]] = []
+        _plain(body, at, found, holes)
+        if not why:
+            records += found
+            gaps += holes
+            at = end
             continue
-        _plain(body, at, records, gaps)
-        at = len(data) - len(unzip.unused_data)
+        if why == "member damaged":
+            holes += [(r["at"], r["end"], "no digest in a damaged member") for r in found if "warc-block-digest" not in r["fields"]]
+            found = [r for r in found if "warc-block-digest" in r["fields"]]
+        to = data.find(MEMBER, at + 1)
+        to = len(data) if to < 0 else to
+        if found:
+            records += found
+            whole = found[-1]["end"] - at
+            gaps += sorted(h for h in holes if h[1] - at <= whole)
+            gaps.append((min(to, max(pos for pos, made in steps if made <= whole)), to, why))
+        elif gaps and gaps[-1][1] == at:
+            gaps[-1] = (gaps[-1][0], to, gaps[-1][2])
+        else:
+            gaps.append((at, to, why))
+        at = to
     return records, gaps
 
 

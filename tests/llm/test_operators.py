@@ -339,3 +339,23 @@ def test_toxicity_counts_every_term(spark):
     for d, c in counts[::9] + counts[-3:-1]:
         best = sorted((cosine(vector(c), e) for e in examples), reverse=True)[:3]
         assert [e["similarity"] for e in got[d]["evidence"]] == pytest.approx(best)
+
+
+def test_salvage_of_written_archives(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(i, "u", "".join(r.choice("abcdefghij <>") for _ in range(400))) for i in range(1000)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    data = max((f.read_bytes() for f in (tmp_path / "w").glob("*.gz")), key=len)
+    whole, gaps = warc.salvage(data)
+    n = len(whole)
+    assert n > 100 and gaps == []
+    cut, gaps = warc.salvage(data[:-20])
+    assert n - 2 <= len(cut) < n + 1 and [g[2] for g in gaps] == ["member cut short"]
+    flipped = bytearray(data)
+    flipped[len(data) // 2] ^= 0xFF
+    kept, gaps = warc.salvage(bytes(flipped))
+    assert n // 3 < len(kept) < n and gaps and gaps[-1][1] == len(data) and 0 < gaps[-1][0] <= len(data)
+    for found in (cut, kept):
+        assert [f["payload"] for f in found if f["fields"]["warc-type"] == "response"] == [w["payload"] for w in whole if w["fields"]["warc-record-id"] in {f["fields"]["warc-record-id"] for f in found}]
+    both, _ = warc.salvage(bytes(flipped) + data)
+    assert len(both) == len(kept) + n
