@@ -24,12 +24,17 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Candidates of the structural kinds.
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z ]*)-----([A-Za-z0-9+/=\s]{16,})-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z ]*)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/]){16,})-----END \1-----")
+ESCAPED = re.compile(r"\\+[nrt]|\\+(?=/)|\s")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-LONG_HEX = re.compile(r"\b30[0-9A-Fa-f]{46,}|\b6[fF]70656[eE]737368[0-9A-Fa-f]{30,}")
+BREAK = r"(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*"
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{40,}}={{0,2}}(?:{BREAK}[A-Za-z0-9+/_-]+={{0,2}})+")
+BREAKS = re.compile(BREAK)
+LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+HEX_STARTS = re.compile(r"(?=(30)|6f70656e737368|000000[0-9a-f]{2}(?:7373682d|65636473612d|736b2d))", re.IGNORECASE)
 TOKEN = re.compile(r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}")
 SSH_MAGIC = b"openssh-key-v1\0"
-DER_TAGS = {0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x17, 0x18, 0x30, 0x31, 0xA0, 0xA1, 0xA3}
+DER_TAGS = {0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x17, 0x18, 0x30, 0x31, *range(0x80, 0xA4)}
 
 
 def _der_items(data: bytes, depth: int = 0) -> list[int] | None:
@@ -53,17 +58,23 @@ def _der_items(data: bytes, depth: int = 0) -> list[int] | None:
     return tags
 
 
-def der_key(data: bytes) -> bool:
-    """A SEQUENCE that fills the data and holds what keys hold: integers, an octet or bit string, or an algorithm."""
-    if len(data) < 16 or data[0] != 0x30:
-        return False
+def _der_size(data: bytes) -> tuple[int, int]:
+    """(start of the content, whole size) that the head of a SEQUENCE states; zeros if it is none."""
+    if len(data) < 6 or data[0] != 0x30:
+        return 0, 0
     n, at = data[1], 2
     if n & 0x80:
         wide = n & 0x7F
         if not 1 <= wide <= 4:
-            return False
+            return 0, 0
         n, at = int.from_bytes(data[2 : 2 + wide], "big"), 2 + wide
-    if at + n != len(data):
+    return at, at + n
+
+
+def der_key(data: bytes) -> bool:
+    """A SEQUENCE that fills the data and holds what keys hold: integers, an octet or bit string, or an algorithm."""
+    at, size = _der_size(data)
+    if len(data) < 16 or size != len(data):
         return False
     tags = _der_items(data[at:])
     if not tags:
@@ -110,6 +121,55 @@ def _key_kind(data: bytes) -> str | None:
     return "der_key" if der_key(data) else "ssh_key" if ssh_key(data) else None
 
 
+def _wrapped_keys(text: str, begin: int, end: int) -> list[tuple[str, int, int]]:
+    """Keys over several lines of a wrapped base64 run: the head of a DER key says where it ends; SSH keys
+    end with the last line of equal width or the shorter one after it."""
+    lines, at = [], begin
+    for m in BREAKS.finditer(text, begin, end):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, end))
+    size = [b - a for a, b in lines]
+    out, i = [], 0
+    while i + 1 < len(lines):
+        first = text[lines[i][0] : lines[i][1]]
+        stops = []
+        if first.startswith("M") and size[i] >= 16:
+            need, j = -(-_der_size(_decoded(first[:16]))[1] * 4 // 3), i
+            while j < len(lines) and need > 0:
+                need -= len(text[lines[j][0] : lines[j][1]].rstrip("="))
+                j += 1
+            stops = [j] if need == 0 and j > i + 1 else []
+        elif first.startswith(("AAAA", "b3BlbnNzaC1rZXktdjE")):
+            j = i + 1
+            while j < len(lines) and size[j] == size[i]:
+                j += 1
+            stops = [k for k in (j + 1, j) if i + 1 < k <= len(lines) and (k == j or size[j] < size[i])]
+        for j in stops:
+            if kind := _key_kind(_decoded("".join(text[a:b] for a, b in lines[i:j]))):
+                out.append((kind, lines[i][0], lines[j - 1][1]))
+                i = j - 1
+                break
+        i += 1
+    return out
+
+
+def _hex_keys(run: str, begin: int) -> list[tuple[str, int, int]]:
+    """Keys in a run of hex digits, from any digit on: DER keys as long as their head says, SSH keys to the run's end."""
+    out, at = [], 0
+    for m in HEX_STARTS.finditer(run):
+        a = m.start()
+        if a < at:
+            continue
+        b = len(run) - (len(run) - a) % 2
+        if m[1]:
+            b = a + 2 * _der_size(bytes.fromhex(run[a : min(b, a + 12)]))[1]
+        if 48 <= b - a <= len(run) - a and (kind := _key_kind(bytes.fromhex(run[a:b]))):
+            out.append((kind, begin + a, begin + b))
+            at = b
+    return out
+
+
 def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(pattern spans, confirmed spans) of a text as (kind, start, end) in code points, sorted by start
     and then by kind. Null and empty texts have none."""
@@ -125,17 +185,26 @@ def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple
     taken = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = _decoded("".join(m[2].split()))
+            data = _decoded(ESCAPED.sub("", m[2]))
             if "ENCRYPTED" in m[1] and _der_items(data) or _key_kind(data) or "CERTIFICATE" in m[1] and _der_items(data):
                 more.append(("pem_key", *m.span()))
                 taken.append(m.span())
     inside = lambda m: any(a <= m.start() < b for a, b in taken)
+    for m in WRAPPED.finditer(text):
+        if not inside(m):
+            found = _wrapped_keys(text, *m.span())
+            more += found
+            taken += [f[1:] for f in found]
     for m in BASE64.finditer(text):
-        if not inside(m) and (kind := _key_kind(_decoded(m[0]))):
-            more.append((kind, *m.span()))
+        # The letter of an escaped line end is no part of the run after it.
+        cut = m.start() > 0 and text[m.start() - 1] == "\\" and m[0][0] in "nrt"
+        for skip in (0, 1) if cut else (0,):
+            if not inside(m) and (kind := _key_kind(_decoded(m[0][skip:]))):
+                more.append((kind, m.start() + skip, m.end()))
+                break
     for m in LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and not inside(m) and (kind := _key_kind(bytes.fromhex(m[0]))):
-            more.append((kind, *m.span()))
+        if not inside(m):
+            more += _hex_keys(m[0], m.start())
     if "." in text and "eyJ" in text:
         more += [("signed_token", *m.span()) for m in TOKEN.finditer(text) if signed_token(m[0])]
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])

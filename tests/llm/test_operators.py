@@ -359,3 +359,27 @@ def test_salvage_of_written_archives(spark, tmp_path):
         assert [f["payload"] for f in found if f["fields"]["warc-type"] == "response"] == [w["payload"] for w in whole if w["fields"]["warc-record-id"] in {f["fields"]["warc-record-id"] for f in found}]
     both, _ = warc.salvage(bytes(flipped) + data)
     assert len(both) == len(kept) + n
+
+
+def test_secret_forms():
+    key = der(0x30, der(2, b"\0") + b"".join(der(2, bytes(range(1, 100))) for _ in range(8)))
+    blob = struct.pack(">I", 7) + b"ssh-rsa" + struct.pack(">I", 100) + b"k" * 100
+    text = base64.b64encode(key).decode()
+    spans = lambda t: secret_scan.find_spans(t)[1]
+    kinds = lambda t: [s[0] for s in spans(t)]
+    wrap = lambda t, n, end: end.join(t[i : i + n] for i in range(0, len(t), n))
+    for end in ("\\n", "\\\\n", "\\r\\n", "\n"):
+        armoured = f"-----BEGIN PRIVATE KEY-----{end}{wrap(text, 64, end)}{end}-----END PRIVATE KEY-----"
+        assert spans(f'{{"private_key": "{armoured}"}}') == [("pem_key", 17, 17 + len(armoured))], end
+    for width in (64, 76):
+        for end in ("\n", "\r\n", "\n  ", "\\n"):
+            body = wrap(text, width, end)
+            assert spans(f"see: {body}\nend of it") == [("der_key", 5, 5 + len(body))], (width, end)
+            assert kinds(wrap(base64.b64encode(blob).decode(), width, end) + "\nand more") == ["ssh_key"]
+    assert spans(wrap(text, 64, "\n") + "\n" + wrap(text, 64, "\n"))[1][0] == "der_key" and kinds(wrap(text, 64, "\n")[:-8]) == []
+    assert kinds("\\n" + text) == ["der_key"]
+    for run in ("0x" + key.hex(), "0x" + key.hex().upper(), "x" + key.hex(), "abc" + key.hex(), key.hex() + "0"):
+        assert kinds(run) == ["der_key"], run[:9]
+    assert kinds(blob.hex()) == ["ssh_key"] and kinds("0x" + blob.hex().upper()) == ["ssh_key"]
+    tagged = der(0x30, der(2, b"\1") + der(0x04, bytes(32)) + der(0x01, b"\xff") + der(0x80, b"ab") + der(0xA2, der(2, b"\1")))
+    assert kinds(base64.b64encode(tagged).decode()) == ["der_key"] and kinds("0f" * 200) == [] and kinds("30" * 200) == []
