@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from savora.llm.common import map_batches
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|select|button|iframe|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 BLOCK = set("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-FRAME = set("nav header footer aside form menu dialog head".split())
+# Left out with all they hold; without an end tag they are ordinary tags around framed text.
+LEFT_OUT = set("noscript template svg select button iframe object".split())
+FRAME = set("nav header footer aside form menu dialog head".split()) | LEFT_OUT
 BODY = set("article main".split())
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notice|popup|promo\w*|related|replies|respond|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
 KEEP_HINT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story)(?:$|[\s_-])", re.IGNORECASE)
@@ -86,6 +88,25 @@ def default_tree() -> tuple:
     return train_tree(LABELLED)
 
 
+def _left_out(tokens: list[re.Match]) -> dict[int, int]:
+    """Places of the start tags whose elements are left out -> place of their end tags. A self-closing svg
+    ends at once."""
+    ends: dict[int, int] = {}
+    starts: dict[str, list[int]] = {}
+    for i, m in enumerate(tokens):
+        tag = (m["tag"] or "").lower()
+        if tag not in LEFT_OUT:
+            continue
+        if m["close"]:
+            if starts.get(tag):
+                ends[starts[tag].pop()] = i
+        elif tag == "svg" and m["attrs"].endswith("/"):
+            ends[i] = i
+        else:
+            starts.setdefault(tag, []).append(i)
+    return ends
+
+
 @lru_cache(65536)
 def _marks(tag: str, attrs: str) -> int:
     """1: frame around the text, 2: body of the article, 4: heading, 8: link."""
@@ -130,8 +151,17 @@ def blocks(page: str | None) -> list[dict]:
             parts.append((html.unescape(raw), depth[8] > 0))
 
     at = 0
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    ends = _left_out(tokens)
+    resume = 0
+    for i, m in enumerate(tokens):
+        if i < resume:
+            continue
         add(page[at : m.start()])
+        if i in ends:
+            at = tokens[ends[i]].end()
+            resume = ends[i] + 1
+            continue
         at = m.end()
         tag = m["tag"]
         if not tag:
@@ -139,7 +169,7 @@ def blocks(page: str | None) -> list[dict]:
         tag = tag.lower()
         if tag == "br":
             parts.append((" ", False))
-        if tag in BLOCK:
+        if tag in BLOCK or (tag in LEFT_OUT and not m["close"]):
             flush()
         if m["close"]:
             if open_tags.get(tag):

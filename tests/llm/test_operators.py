@@ -383,3 +383,12 @@ def test_secret_forms():
     assert kinds(blob.hex()) == ["ssh_key"] and kinds("0x" + blob.hex().upper()) == ["ssh_key"]
     tagged = der(0x30, der(2, b"\1") + der(0x04, bytes(32)) + der(0x01, b"\xff") + der(0x80, b"ab") + der(0xA2, der(2, b"\1")))
     assert kinds(base64.b64encode(tagged).decode()) == ["der_key"] and kinds("0f" * 200) == [] and kinds("30" * 200) == []
+
+
+def test_html_elements_without_end_tags():
+    for tag in ('<svg class="i"/>', "<svg/>", "<button>", "<object data=x>", "<select>", "<svg><path d=z></svg>", "<button>go</button>"):
+        got = html_blocks.main_text(f"<article><p>one {tag} two</p><p>three</p></article>")
+        assert "one" in got and got.endswith("three") and "go" not in got, tag
+    assert html_blocks.main_text('<article><p>one <svg class="i"/> two</p><p>three</p></article>') == "one two\nthree"
+    assert html_blocks.main_text("<article><p>a <button>b</p><p>c</p><p>d <button>e</button> f</p></article>").endswith("c\nd f")
+    assert html_blocks.main_text("<article><p>a</p><object><p>x</p><object>y</object>z</object><p>b</p></article>") == "a\nb"
