@@ -1,15 +1,17 @@
 """Removal of byte strings of a given length that start more than once anywhere in the corpus.
 
-External, recursive, and induced from sampled suffixes:
+No suffix is put in order: hash fingerprints of sampled positions, with names that grow level by level, replace
+induced suffix sorting. A full suffix array would need tuples of 16 and more bytes per text byte on disk.
 
 * Sampling. A position is sampled if its `k`-byte name has the smallest hash among the names of some
   window of `length` bytes. Equal windows sample the same places, about two in `length - k` positions.
-* Suffix tuples. A sampled suffix stands for the run of windows that chose it. Its tuple holds the document,
-  the run, the name (suffixes of equal names share a prefix of at least `k` bytes) and a hash of all bytes
+* Tuples. A sampled position stands for the run of windows that chose it. Its tuple holds the document,
+  the run, the name (positions of equal names share a prefix of at least `k` bytes) and a hash of all bytes
   that the run's windows cover.
-* Sorting. Tuples meet by name in Spark's disk-backed sorts, which merge spilled runs through a queue; counts
+* Meeting. Tuples with equal 64-bit name hashes are counted and joined by Spark (`groupBy` and equi-joins); there is
+  no order-inducing step, no queue of our own, and no common-prefix value beyond the name's length. Counts
   are combined before the shuffle, so copies of a passage are no hot key.
-* Induction. If all bytes of a run occur again, so does each of its windows, without looking at them. If its
+* Settling. If all bytes of a run occur again, so does each of its windows, without looking at them. If its
   name is unique, none does. What is left are runs at the edges of repeats: they go to the next level,
   which samples them with longer names (`k` grows towards `length`). At the last level the names are the
   windows themselves, so the result is exact up to 64-bit hash collisions between unequal strings.
