@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from savora.llm import adaptive_rules, entropy_mix, fast_sketch, html_blocks, mpeg_audio, residual_pack, secret_scan, suffix_induced, toxicity, warc
+from savora.llm import adaptive_rules, collocations, entropy_mix, fast_sketch, html_blocks, mpeg_audio, residual_pack, secret_scan, suffix_induced, toxicity, warc
 from savora.llm.common import table
 from savora.session import materialise, scratch_path
 
@@ -69,5 +69,23 @@ def op10_suffix_induced(spark, sf_dir):
     return suffix_induced.dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op6_entropy_mix, op7_adaptive_rules, op8_residual_pack, op9_fast_sketch, op10_suffix_induced)}
-ORACLES: dict[str, str] = {}
+def op11_collocations(spark, sf_dir):
+    """The best 2000 phrases of every language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op6_entropy_mix, op7_adaptive_rules, op8_residual_pack, op9_fast_sketch, op10_suffix_induced, op11_collocations)}
+ORACLES: dict[str, str] = {"op11_collocations": """
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+ w AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM piece),
+ g AS (SELECT lang, w[i : i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+ f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY 1, 2 HAVING count(*) >= 30),
+ n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+ cut AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+ s AS (SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score FROM cut c
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : len(c.g)]),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM s) WHERE o = 1),
+ part AS (SELECT lang, g[i : i + m - 1] AS g, f FROM (SELECT lang, g, f, m, unnest(range(1, len(g) - m + 2)) AS i FROM f, (SELECT unnest([2, 3]) AS m) WHERE len(g) > m)),
+ longer AS (SELECT lang, g, max(f) AS f FROM part GROUP BY 1, 2),
+ kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN longer USING (lang, g) WHERE longer.f IS NULL OR 100 * longer.f < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000"""}
