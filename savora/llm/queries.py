@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from savora.llm import adaptive_rules, collocations, entropy_mix, fast_sketch, html_blocks, mpeg_audio, residual_pack, secret_scan, suffix_induced, toxicity, warc
+from savora.llm import adaptive_rules, collocations, entropy_mix, fast_sketch, html_blocks, mpeg_audio, residual_pack, secret_scan, segment_join, suffix_induced, toxicity, warc
 from savora.llm.common import table
 from savora.session import materialise, scratch_path
 
@@ -74,7 +74,12 @@ def op11_collocations(spark, sf_dir):
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op6_entropy_mix, op7_adaptive_rules, op8_residual_pack, op9_fast_sketch, op10_suffix_induced, op11_collocations)}
+def op12_segment_join(spark, sf_dir):
+    """Components of links at 0.9 over 3-word shingles."""
+    return segment_join.components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op6_entropy_mix, op7_adaptive_rules, op8_residual_pack, op9_fast_sketch, op10_suffix_induced, op11_collocations, op12_segment_join)}
 ORACLES: dict[str, str] = {"op11_collocations": """
 WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
  w AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM piece),
