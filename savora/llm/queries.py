@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from savora.llm import adaptive_rules, collocations, entropy_mix, fast_sketch, html_blocks, mpeg_audio, residual_pack, secret_scan, segment_join, suffix_induced, toxicity, warc
+from savora.llm import adaptive_rules, collocations, entropy_mix, fast_sketch, html_blocks, mpeg_audio, residual_pack, secret_scan, segment_join, suffix_induced, token_alignment, toxicity, warc
 from savora.llm.common import table
 from savora.session import materialise, scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ALIGNED = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op1_toxicity(spark, sf_dir):
@@ -79,7 +80,12 @@ def op12_segment_join(spark, sf_dir):
     return segment_join.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op6_entropy_mix, op7_adaptive_rules, op8_residual_pack, op9_fast_sketch, op10_suffix_induced, op11_collocations, op12_segment_join)}
+def op13_token_alignment(spark, sf_dir):
+    """Groups and links of two tokenizations of every document."""
+    return token_alignment.align(table(spark, sf_dir, "documents"), *ALIGNED)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_warc, op4_mpeg_audio, op5_html_blocks, op6_entropy_mix, op7_adaptive_rules, op8_residual_pack, op9_fast_sketch, op10_suffix_induced, op11_collocations, op12_segment_join, op13_token_alignment)}
 ORACLES: dict[str, str] = {"op11_collocations": """
 WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
  w AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM piece),
