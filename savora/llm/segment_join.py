@@ -5,7 +5,10 @@
   and those of the next band if a set there may still link with it.
 * Index. Signatures that two different sets share make buckets. A bucket first compares its sets with one hub at a time;
   sets that are in one component already need no comparison (`components`), or all are compared (`pairs`).
-* Allocation. A bucket that would still cost more than `DIRECT` pairs a member is costly. A set with costly segments
+* Comparison. Sets of one bucket are held against each other by the parity bits of their elements, which bound the number of
+  elements in which two sets differ from below; only pairs that pass leave the join.
+* Allocation. `DIRECT` comparisons of bits cost about as much as the one-deletion neighbourhood of a set. A bucket that would
+  need more a member is costly. A set with costly segments
   skips them and pays by allowing one deletion in as many other segments: if no other segment is equal, one of those
   differs by a single element. One-deletion neighbourhoods are indexed for the members of costly buckets alone;
   how often each neighbour meets is counted first, and the cheapest segments are taken. Costly segments are probed
@@ -23,13 +26,13 @@ from pyspark.sql import Window as W
 
 from savora.llm.common import map_batches
 from savora.llm.fast_sketch import components as connected
-from savora.llm.fast_sketch import shingles
+from savora.llm.fast_sketch import PARITY_WORDS, parity_words, shingles
 from savora.session import materialise
 
 WIDTH = 3
 SIMILAR = (90, 100)
 HUB_ROUNDS = 2
-DIRECT = 8
+DIRECT = 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,14 +118,14 @@ def _sets(df: DataFrame, key: str, text: str, width: int, similar: tuple[int, in
 
 
 def _items(df: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(node, n, items) of the wanted nodes; one text of each is read again."""
+    """(node, n, items, parity) of the wanted nodes; one text of each is read again."""
     texts = df.select(F.md5(F.col(text)).alias("print"), F.col(text).alias("t")).join(wanted.select("print"), "print").groupBy("print").agg(F.max("t").alias("t"))
 
     def fn(cols):
         found = [shingles(t, width) for t in cols[0]]
-        return {"node": [xxhash.xxh3_64_intdigest(f.tobytes()) - (1 << 63) for f in found], "n": [len(f) for f in found], "items": [f.tobytes() for f in found]}
+        return {"node": [xxhash.xxh3_64_intdigest(f.tobytes()) - (1 << 63) for f in found], "n": [len(f) for f in found], "items": [f.tobytes() for f in found], "parity": [parity_words(f) for f in found]}
 
-    return map_batches(texts, ["t"], fn, "node long, n long, items binary")
+    return map_batches(texts, ["t"], fn, "node long, n long, items binary, parity array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -144,11 +147,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> D
     return found.withColumn("linked", F.col("shared") * similar[1] >= F.col("united") * similar[0])
 
 
+def _bits(sets: DataFrame, prefix: str) -> DataFrame:
+    return sets.select("node", *[F.get("parity", F.lit(i)).alias(f"{prefix}{i}") for i in range(PARITY_WORDS)])
+
+
+def _close(similar: tuple[int, int], n: str, other: str):
+    """Whether the parity bits v* and w* leave a link between sets of these sizes possible."""
+    odd = sum(F.bit_count(F.col(f"v{i}").bitwiseXOR(F.col(f"w{i}"))) for i in range(PARITY_WORDS))
+    return odd * (similar[0] + similar[1]) <= (F.col(n) + F.col(other)) * (similar[1] - similar[0])
+
+
 def _costly_pairs(now: DataFrame, costly: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """Candidates (x, y) that the members of costly buckets may have missed elsewhere, by allocation."""
     marked = now.join(costly.select("sig", "cost"), "sig")
     hot = marked.groupBy("node").agg(F.collect_set(F.struct("sig", "cost")).alias("hot"), F.first("comp").alias("comp"))
-    members = materialise(hot.join(sets, "node"))
+    members = materialise(hot.join(sets.drop("parity"), "node"))
 
     def fn(cols):
         """Index rows: role 0 a segment, 1 a segment without an element. Probe rows: role 2 a segment without an
@@ -199,8 +212,9 @@ def _costly_pairs(now: DataFrame, costly: DataFrame, sets: DataFrame, similar: t
     taken = materialise(probe.join(chosen.where("dear = 0").select("node", "seg"), ["node", "seg"]).select("node", "n", "comp", "key", "meets"))
     free = taken.join(index.withColumnRenamed("role", "meets"), ["key", "meets"]).where(near).select("node", "y")
     forced = signed.where("role = 4").join(chosen.where("dear = 1").select("node", "seg"), ["node", "seg"]).select("node", "n", "comp", "key")
-    whole = index.where("role = 0").drop("role")
-    return free.unionByName(materialise(forced).join(whole, "key").where(near).select("node", "y"))
+    forced = materialise(forced.join(_bits(sets, "v"), "node"))
+    whole = materialise(index.where("role = 0").drop("role").join(_bits(sets, "w").withColumnRenamed("node", "y"), "y"))
+    return free.unionByName(forced.join(whole, "key").where(near & _close(similar, "n", "ny")).select("node", "y"))
 
 
 def _as_int(fn):
@@ -246,9 +260,10 @@ def _links(df: DataFrame, text: str, base: DataFrame, width: int, similar: tuple
             fresh = compare(met.where((F.col("node") != F.col("y")) & (F.col("comp") != F.col("comp2")) & near).select(F.col("node").alias("x"), "y"))
         else:
             cheap = materialise(open_.where(F.col("cost") <= direct * F.col("c")).select("sig"))
-            part = materialise(now.join(cheap, "sig"))
-            other = part.select("sig", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = part.join(other, "sig").where((F.col("node") > F.col("y")) & (F.col("comp") != F.col("comp2")) & near).select(F.col("node").alias("x"), "y")
+            part = materialise(now.select("sig", "node", "n", "comp").join(cheap, "sig").join(_bits(sets, "v"), "node"))
+            other = part.select("sig", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), *[F.col(f"v{i}").alias(f"w{i}") for i in range(PARITY_WORDS)])
+            apart = (F.col("node") > F.col("y")) & (F.col("comp") != F.col("comp2")) & near & _close(similar, "n", "n2")
+            pairs = part.join(other, "sig").where(apart).select(F.col("node").alias("x"), "y")
             costly = materialise(open_.where(F.col("cost") > direct * F.col("c")).select("sig", "cost"))
             if not costly.isEmpty():
                 pairs = pairs.unionByName(_costly_pairs(now, costly, sets, similar).select(F.col("node").alias("x"), "y"))
