@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from savora.functions import geo
+from savora.functions.hashing import hash_int
 from savora.operators import features as E
 from savora.operators import ids as I
+from savora.operators import listwise as L
 from savora.operators import negatives as NG
 from savora.operators import popularity as P
 from savora.operators import reranking as R
@@ -77,7 +79,7 @@ def _ranking_set(t):
     return materialise(_with_features(t, R.labelled_pairs(liked, NG.random_negatives(liked, 5, "rank"))))
 
 
-@query("j1_ranking_set", f"""
+RANKING_SQL = f"""
 WITH liked AS (SELECT reviewer_id AS u, diner_idx AS item FROM ({AS_OF_SQL.format('train')}) WHERE score >= review_avg),
  it AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS idx FROM (SELECT DISTINCT item FROM liked)), us AS (SELECT DISTINCT u FROM liked),
  d AS (SELECT u, j, {HASH_SQL.format("'rank|' || u || '|' || j")} % (SELECT count(*) FROM it) AS idx FROM us, (SELECT unnest(range(20)) AS j)),
@@ -85,7 +87,10 @@ WITH liked AS (SELECT reviewer_id AS u, diner_idx AS item FROM ({AS_OF_SQL.forma
  p AS (SELECT u, item, 1 AS target FROM liked UNION ALL SELECT u, item, 0 FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY j) AS rn FROM c) WHERE rn <= 5)
 SELECT p.u AS user_id, p.item, target, round(coalesce(um, 0), 6) AS user_mean_score, coalesce(n, 0) AS all_review_cnt, round(coalesce(im, 0), 6) AS mean_review_score
 FROM p LEFT JOIN (SELECT reviewer_id AS u, avg(score) AS um FROM train GROUP BY 1) a ON a.u = p.u
-LEFT JOIN (SELECT diner_idx AS item, count(*) AS n, avg(score) AS im FROM train GROUP BY 1) b ON b.item = p.item""")
+LEFT JOIN (SELECT diner_idx AS item, count(*) AS n, avg(score) AS im FROM train GROUP BY 1) b ON b.item = p.item"""
+
+
+@query("j1_ranking_set", RANKING_SQL)
 def j1(t):
     return _ranking_set(t).select(
         F.col("user").alias("user_id"), "item", "target", F.round("user_mean_score", 6).alias("user_mean_score"), "all_review_cnt",
@@ -109,26 +114,73 @@ def j5(t):
     return R.check_candidates(cand, own, items, n).select("user", "diner_id", "known", bad.alias("mismatches"))
 
 
+HELD_OUT = 5  # one list in five is for validation
+
+
+def _parts(t):
+    """Training and validation lists of the ranking set; a user's list is never divided."""
+    pairs = _ranking_set(t)
+    part = hash_int("lists", F.col("user")) % HELD_OUT
+    return pairs.where(part != 0), pairs.where(part == 0)
+
+
+def _candidates(t):
+    """The checked candidates of the generator under the ranker's own ids, turned back into raw ids."""
+    known = j5(t).where("known = 1").select("user", "diner_id")
+    items, users = I.id_mapping(t.train, "diner_idx", "diner_id"), I.id_mapping(t.train, "reviewer_id", "user")
+    return known.join(items, "diner_id").join(users, "user").select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
+
+
+def _ranked(t, k):
+    train, valid = _parts(t)
+    model = L.fit_listwise(train, RANK_FEATURES, valid, rounds=5, rate=0.3)
+    scored = model.score(_with_features(t, _candidates(t)))
+    return P.top_per_group(scored, ["user"], [F.desc("pred"), F.asc("item")], k, rank="pos")
+
+
 @query("j6_rank_candidates")
 def j6(t):
-    model = R.fit_ranker(_ranking_set(t), RANK_FEATURES, iterations=5, depth=3)
-    pop = P.most_popular(t.train, 100).withColumnRenamed("diner_idx", "item")
-    users = S.warm_reviews(t.train, t.val).select(F.col("reviewer_id").alias("user")).distinct()
-    from savora.operators.evaluation import drop_seen, spread_list
+    """The generator's candidates, ranked list by list."""
+    return _ranked(t, 20).select("user", "item", "pred", "pos")
+
 
-    cands = drop_seen(spread_list(pop, users, 100), _inter(t)).select("user", "item")
-    return R.rank_candidates(model, _with_features(t, cands), 20).select("user", "item", "pred", "pos")
+@query("j6_list_sizes", """
+SELECT reviewer_id AS "user", least(20, count(DISTINCT diner_idx)) AS n, 1 AS first, least(20, count(DISTINCT diner_idx))::INTEGER AS last FROM train GROUP BY 1""")
+def j6_sizes(t):
+    """Every user's list holds all candidates, 20 at most, at places without a gap."""
+    return _ranked(t, 20).groupBy("user").agg(F.count_distinct("item").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
 @query("j7_ranker_scores")
 def j7(t):
-    pairs = _ranking_set(t)
-    return R.score_pairs(R.fit_ranker(pairs, RANK_FEATURES, iterations=5, depth=3), pairs).select("user", "item", "target", "pred")
+    train, valid = _parts(t)
+    model = L.fit_listwise(train, RANK_FEATURES, valid, rounds=10, rate=0.3, patience=5)
+    return model.score(train.unionByName(valid)).select("user", "item", "target", "pred")
+
+
+@query("j7_listwise_check", f"""
+SELECT count(*) AS n_pairs, count(DISTINCT user_id) AS n_lists, 1 AS learned, 1 AS not_below_pointwise FROM ({RANKING_SQL})""")
+def j7_check(t):
+    """On validation lists: NDCG@20 above that of unranked lists, and not below that of pointwise trees."""
+    train, valid = _parts(t)
+    model = L.fit_listwise(train, RANK_FEATURES, valid, rounds=10, rate=0.3, patience=5)
+    plain = R.score_pairs(R.fit_ranker(train, RANK_FEATURES, iterations=5, depth=3), valid)
+    ndcg = [L.mean_ndcg(df.select("user", "item", "target", F.col(c).alias("score")), 20) for df, c in ((model.score(valid), "pred"), (plain, "pred"), (valid.withColumn("none", F.lit(0.0)), "none"))]
+    return train.unionByName(valid).agg(
+        F.count("*").alias("n_pairs"), F.count_distinct("user").alias("n_lists"), F.lit(int(ndcg[0] > ndcg[2])).alias("learned"), F.lit(int(ndcg[0] >= ndcg[1] - 1e-9)).alias("not_below_pointwise")
+    )
 
 
 @query("j8_out_of_fold")
 def j8(t):
-    return R.out_of_fold(_ranking_set(t), RANK_FEATURES, 3, "fold", iterations=3, depth=3).select("user", "item", "target", "fold", "pred")
+    return L.out_of_fold_lists(_ranking_set(t), RANK_FEATURES, 3, "fold", rounds=3, rate=0.3).select("user", "item", "target", "fold", "pred")
+
+
+@query("j8_fold_rows", f"""
+SELECT user_id AS "user", item, target, CAST({HASH_SQL.format("'fold|' || user_id")} % 3 AS INTEGER) AS fold, 1 AS scored FROM ({RANKING_SQL})""")
+def j8_rows(t):
+    """Every pair is scored once, in the fold of its user."""
+    return j8(t).select("user", "item", "target", "fold", F.col("pred").isNotNull().cast("int").alias("scored"))
 
 
 @query("j9_serving_set")
