@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -291,23 +290,6 @@ def metapath_walks(edges: DataFrame, nodes: DataFrame, path: Sequence[str], walk
     return front.select("start", "walk", F.posexplode("nodes").alias("step", "node"))
 
 
-def walk_sentences(walks: DataFrame) -> DataFrame:
-    """Node lists per walk; a walk is at most `length` nodes long."""
-    ordered = F.array_sort(F.collect_list(F.struct("step", F.col("node").cast("string").alias("node"))))
-    return walks.groupBy("start", "walk").agg(F.transform(ordered, lambda s: s["node"]).alias("sentence"))
-
-
-def embed_walks(walks: DataFrame, dim: int = 32, window: int = 5, iterations: int = 1, seed: int = 42, partitions: int = 8) -> DataFrame:
-    """Skip-gram node vectors (id, vec) learned over the walks."""
-    model = Word2Vec(
-        vectorSize=dim, windowSize=window, minCount=1, maxIter=iterations, numPartitions=partitions, seed=seed,
-        inputCol="sentence", outputCol="v",
-    ).fit(walk_sentences(walks))
-    from pyspark.ml.functions import vector_to_array
-
-    return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("vec"))
-
-
 # --- negatives for walks --------------------------------------------------------------------
 
 def uniform_negatives(nodes: DataFrame, per_node: int, seed: str) -> DataFrame:
@@ -379,15 +361,22 @@ def light_propagation(edges: DataFrame, features: DataFrame, dim: int, layers: i
     if drop_ratio > 0:
         pair = [F.least("src", "dst"), F.greatest("src", "dst")]
         edges = edges.where(hash_uniform(seed, *pair) >= drop_ratio)
-    # Layer sums read the adjacency once per layer and node degrees never change.
+    return propagate(normalised_edges(edges), features, dim, layers)
+
+
+def normalised_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, w) of D^-1/2 A D^-1/2, written: layer sums read it once per layer and degrees never change."""
     edges = materialise(edges)
-    features = materialise(features)
     strength = edges.groupBy("src").agg(F.sum("weight").alias("__s"))
-    norm = (
+    return materialise(
         edges.join(strength, "src").join(strength.select(F.col("src").alias("dst"), F.col("__s").alias("__t")), "dst")
         .select("src", "dst", (F.col("weight") / (F.sqrt("__s") * F.sqrt("__t"))).alias("w"))
     )
-    norm = materialise(norm)
+
+
+def propagate(norm: DataFrame, features: DataFrame, dim: int, layers: int) -> DataFrame:
+    """Mean of the features after 0..L steps over normalised edges. Linear, and its own transpose where edges go both ways."""
+    features = materialise(features)
     h = features.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
     total = h
     zero = F.array(*[F.lit(0.0)] * dim)
@@ -399,6 +388,44 @@ def light_propagation(edges: DataFrame, features: DataFrame, dim: int, layers: i
     return total.select("id", F.transform("vec", lambda x: x / F.lit(float(layers + 1))).alias("vec"))
 
 
+def pairwise_gradients(vectors: DataFrame, triples: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Gradient (id, vec) of the summed pairwise-ranking loss -ln sigmoid(u.(p - n)) by vector, and the rows
+    (loss) of all triples (user, positive, negative). Hub nodes are aggregated map-side, a dimension at a time."""
+    side = lambda name: vectors.select(F.col("id").alias(name), F.col("vec").alias(f"v_{name}"))
+    rows = triples.select("user", "positive", "negative").join(side("user"), "user").join(side("positive"), "positive").join(side("negative"), "negative")
+    away = F.zip_with("v_positive", "v_negative", lambda a, b: a - b)
+    margin = F.aggregate(F.zip_with("v_user", away, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    rows = materialise(rows.select("user", "positive", "negative", "v_user", away.alias("away"), margin.alias("margin")).withColumn("pull", 1 / (1 + F.exp("margin"))))
+    parts = (
+        rows.select(F.col("user").alias("id"), F.col("away").alias("vec"), (-F.col("pull")).alias("w"))
+        .unionByName(rows.select(F.col("positive").alias("id"), F.col("v_user").alias("vec"), (-F.col("pull")).alias("w")))
+        .unionByName(rows.select(F.col("negative").alias("id"), F.col("v_user").alias("vec"), F.col("pull").alias("w")))
+    )
+    return aggregate_vectors(parts, "id", "vec", dim, "sum", F.col("w")), rows.select(F.log1p(F.exp(-F.col("margin"))).alias("loss"))
+
+
+def fit_light(edges: DataFrame, triples, start: DataFrame, dim: int, layers: int, epochs: int = 10, rate: float = 0.1, l2: float = 1e-4) -> tuple[DataFrame, list[float]]:
+    """Start vectors learned by pairwise ranking of the propagated ones, and the mean loss before every epoch.
+
+    `triples(epoch)` gives (user, positive, negative) node ids. The gradient by the propagated vectors goes back
+    through the propagation, which is its own transpose, by the same joins. A node's step is divided by the norm
+    of the whole gradient's mean, so the rate does not depend on the number of triples.
+    """
+    norm = normalised_edges(edges)
+    start, history = materialise(start.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))), []
+    for epoch in range(epochs):
+        out = materialise(propagate(norm, start, dim, layers))
+        grad, losses = pairwise_gradients(out, triples(epoch), dim)
+        history.append(losses.agg(F.avg("loss")).first()[0] or 0.0)
+        zero = F.array(*[F.lit(0.0)] * dim)
+        full = start.select("id").join(grad, "id", "left").select("id", F.coalesce("vec", zero).alias("vec"))
+        back = materialise(propagate(norm, full, dim, layers))
+        size = back.agg(F.sqrt(F.avg(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
+        pulled = F.zip_with("vec", "g", lambda a, b: a * (1 - rate * l2) - b * F.lit(rate / max(size, 1e-12)))
+        start = materialise(start.join(back.withColumnRenamed("vec", "g"), "id").select("id", pulled.alias("vec")))
+    return start, history
+
+
 def hash_vectors(nodes: DataFrame, dim: int, seed: str) -> DataFrame:
     """Reproducible start vectors in [-0.5, 0.5)."""
     return nodes.select("id", F.array(*[hash_uniform(seed, F.col("id"), F.lit(i)) - 0.5 for i in range(dim)]).alias("vec"))

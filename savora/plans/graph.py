@@ -10,6 +10,7 @@ from savora.functions.hashing import hash_int
 from savora.operators import graph as G
 from savora.operators import negatives as NG
 from savora.operators.blocks import block_topk
+from savora.operators.skipgram import skip_gram
 from savora.plans.features import hex_sql
 from savora.plans.registry import query
 from savora.plans.splits import HASH_SQL
@@ -159,17 +160,61 @@ def i8(t):
     return block_topk(users, items, 10, seen=seen).withColumnRenamed("user", "user_id")
 
 
+def _walk_vectors(t, epochs=3):
+    vec, history = skip_gram(G.weighted_walks(edges(t), 4, 8, "n2v"), dim=16, epochs=epochs)
+    return materialise(vec), history
+
+
+def _typed_vectors(t, epochs=3):
+    e, n = typed_graph(t)
+    vec, history = skip_gram(G.metapath_walks(e, n, PATH, 4, "m2v"), dim=16, epochs=epochs, types=n)
+    return materialise(vec), history
+
+
+def _nearest(vec, k):
+    near = block_topk(vec.withColumnRenamed("id", "user"), vec.withColumnRenamed("id", "item"), k, normalise=True, skip_same=True)
+    return near.select(F.col("user").alias("id"), F.col("item").alias("neighbor"), "score", "pos")
+
+
+def _falls(history):
+    """1 if the loss of the last epoch is below that of the first."""
+    return history.agg((F.max_by("loss", "epoch") < F.min_by("loss", "epoch")).cast("int")).scalar()
+
+
 @query("i9_node2vec_vectors")
 def i9(t):
-    vec = G.embed_walks(G.weighted_walks(edges(t), 4, 8, "n2v"), dim=16)
-    return vec.select("id", F.size("vec").alias("dims"))
+    """The three nearest nodes to every node by walk vectors."""
+    return _nearest(_walk_vectors(t)[0], 3)
+
+
+@query("i9_node2vec_check", f"WITH {BOTH_SQL} SELECT count(DISTINCT src) AS n_nodes, 1 AS loss_falls, 1 AS linked_closer FROM edges")
+def i9_check(t):
+    """All nodes have vectors, the loss falls, and linked nodes lie closer than nodes drawn at random."""
+    vec, history = _walk_vectors(t)
+    e = edges(t).select("src", "dst")
+    unit = vec.select("id", G.l2_normalise("vec").alias("vec"))
+    n = unit.select("id").distinct()
+    other = G.uniform_negatives(n, 5, "far").select(F.col("start").alias("src"), F.col("node").alias("dst"))
+
+    def closeness(pairs):
+        dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return pairs.join(unit.select(F.col("id").alias("src"), F.col("vec").alias("a")), "src").join(unit.select(F.col("id").alias("dst"), F.col("vec").alias("b")), "dst").agg(F.avg(dot)).scalar()
+
+    return n.agg(F.count("*").alias("n_nodes"), F.first(_falls(history)).alias("loss_falls"), F.first((closeness(e) > closeness(other)).cast("int")).alias("linked_closer"))
 
 
 @query("i10_metapath2vec_vectors")
 def i10(t):
-    e, n = typed_graph(t)
-    vec = G.embed_walks(G.metapath_walks(e, n, PATH, 4, "m2v"), dim=16)
-    return vec.select("id", F.size("vec").alias("dims"))
+    """The three nearest nodes to every node by vectors of typed walks and typed negatives."""
+    return _nearest(_typed_vectors(t)[0], 3)
+
+
+@query("i10_metapath2vec_check", f"WITH {TYPED_SQL} SELECT count(*) AS n_nodes, 1 AS loss_falls, 0::BIGINT AS other_types FROM nodes")
+def i10_check(t):
+    """The loss falls, and no negative is of another type than the true context."""
+    history = materialise(_typed_vectors(t)[1])
+    leaked = history.agg(F.sum("leaked")).scalar()
+    return typed_graph(t)[1].agg(F.count("*").alias("n_nodes"), F.first(_falls(history)).alias("loss_falls"), F.first(leaked).alias("other_types"))
 
 
 @query("i11_uniform_negatives", f"""
@@ -240,6 +285,36 @@ def i15(t):
     return _spread(G.light_propagation(edges(t), G.hash_vectors(_nodes(t), DIM, "x"), DIM, 2))
 
 
+def _light_triples(t):
+    """One positive and one unseen item per user and epoch, as nodes."""
+    inter = t.train.select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item")).distinct()
+    inter = materialise(inter)
+
+    def draw(epoch):
+        negatives = NG.random_negatives(inter, 4, f"light{epoch}").select("user", F.col("item").alias("negative"))
+        positive = inter.groupBy("user").agg(F.min_by("item", F.struct(hash_int(f"light{epoch}", F.col("user"), F.col("item")), "item")).alias("positive"))
+        return materialise(positive.join(negatives, "user").select((F.col("user") + SHIFT).alias("user"), "positive", "negative"))
+
+    return draw
+
+
+@query("i15_learned_vectors", f"""
+WITH {BOTH_SQL} SELECT count(DISTINCT src) AS n_nodes, 1 AS loss_falls, 1 AS ranks_better FROM edges""")
+def i15_learned(t):
+    """Vectors learned through the propagation: the loss falls, and unseen triples are ranked better than before."""
+    e, start, draw = edges(t), G.hash_vectors(_nodes(t), DIM, "x"), _light_triples(t)
+    start = materialise(start)
+    learned, history = G.fit_light(e, draw, start, DIM, 2, epochs=4, rate=0.3)
+    norm, fresh = G.normalised_edges(e), draw(99)
+
+    def right(vectors):
+        _, losses = G.pairwise_gradients(materialise(G.propagate(norm, vectors, DIM, 2)), fresh, DIM)
+        return losses.agg(F.avg((F.col("loss") < 0.6931471805599453).cast("double"))).first()[0]
+
+    better = int(right(learned) > right(start))
+    return learned.agg(F.count("*").alias("n_nodes"), F.lit(int(history[-1] < history[0])).alias("loss_falls"), F.lit(better).alias("ranks_better"))
+
+
 @query("i16_user_negatives", f"""
 WITH it AS (SELECT diner_idx AS item, row_number() OVER (ORDER BY diner_idx) - 1 AS idx FROM (SELECT DISTINCT diner_idx FROM train)),
  p AS (SELECT reviewer_id AS u, arg_min(diner_idx, ({HASH_SQL.format("'pos|' || reviewer_id || '|' || diner_idx")}, diner_idx)) AS positive FROM train GROUP BY 1),
@@ -269,7 +344,6 @@ def i17(t):
 @query("i18_walk_neighbors")
 def i18(t):
     """Closest nodes to every user by cosine of walk embeddings."""
-    vec = G.embed_walks(G.weighted_walks(edges(t), 4, 8, "n2v"), dim=16)
-    vec = materialise(vec).select(F.col("id").cast("long").alias("id"), "vec")
+    vec = _walk_vectors(t)[0]
     users = vec.where(F.col("id") >= SHIFT).select(F.col("id").alias("user"), "vec")
     return block_topk(users, vec.withColumnRenamed("id", "item"), 5, normalise=True, skip_same=True)
