@@ -21,6 +21,7 @@ import json
 import re
 import uuid
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,14 @@ from savora.llm.common import map_batches
 from savora.session import materialise
 
 RANGE = 1 << 15  # bytes; longer texts are cut into ranges
-BLOCK = 16 << 20  # characters
-KEPT_UNITS = 400_000
+BLOCK = 4 << 20  # characters
+KEPT_UNITS = 250_000
+OFTEN = 4  # units met so often outlive a full table
 FAN_IN = 8
 ODD = re.compile(r"\s\s|\s\Z")
 SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 SPACE = "▁"
+CLOSING = ".,;:!?"
 
 
 def _byte_chars() -> dict[str, int]:
@@ -60,33 +63,32 @@ def unit_text(key: str) -> str:
     return key if key[:1] in (" ", "\n") else " " + key
 
 
-def two_pointers(a: list[int], a_size: list[int], b: list[int], b_size: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups between common ends (the last may be open), and all pairs of tokens whose bytes overlap."""
+def two_pointers(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[int]]:
+    """Groups between common ends, and all pairs of tokens whose bytes overlap, as a << 32 | b. Both spell the same bytes."""
     groups, links = [], []
+    if not a:
+        return groups, links
+    a_end, b_end = list(accumulate(a_size)), list(accumulate(b_size))
     i = j = at_i = at_j = 0
-    end_a = a_size[0] if a else 0
-    end_b = b_size[0] if b else 0
-    while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        if end_a == end_b:
-            groups.append((a[at_i : i + 1], b[at_j : j + 1]))
-            i, j = i + 1, j + 1
-            at_i, at_j = i, j
-            end_a += a_size[i] if i < len(a) else 0
-            end_b += b_size[j] if j < len(b) else 0
-        elif end_a < end_b:
+    x, y, last = a_end[0], b_end[0], a_end[-1]
+    while True:
+        links.append(a[i] << 32 | b[j])
+        if x < y:
             i += 1
-            end_a += a_size[i] if i < len(a) else 0
-        else:
+            x = a_end[i]
+        elif y < x:
             j += 1
-            end_b += b_size[j] if j < len(b) else 0
-    if at_i < len(a) or at_j < len(b):
-        groups.append((a[at_i:], b[at_j:]))
-    return groups, links
+            y = b_end[j]
+        else:
+            i, j = i + 1, j + 1
+            groups.append((a[at_i:i], b[at_j:j]))
+            if x == last:
+                return groups, links
+            at_i, at_j, x, y = i, j, a_end[i], b_end[j]
 
 
 def spelled(groups: list[tuple[list[int], list[int]]]) -> bytes:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups).encode()
+    return ";".join([f"{a[0] if len(a) == 1 else ','.join(map(str, a))}|{b[0] if len(b) == 1 else ','.join(map(str, b))}" for a, b in groups]).encode()
 
 
 class Aligner(dict):
@@ -103,14 +105,21 @@ class Aligner(dict):
         said = json.loads(self.a.to_str())
         pre = said.get("pre_tokenizer") or {}
         chars = _byte_chars()
+        self.shown = {b: c for c, b in chars.items()}
         self.a_bytes = {}
         for token, i in self.a.get_vocab().items():
             # A byte-level vocabulary; added tokens are their own text.
             self.a_bytes[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_size = [len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)]
+        self.b_size = [len(x) for x in self.b_bytes]
         self.mark = self.b.piece_to_id(SPACE)
         self.cuts = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True)) and not pre.get("add_prefix_space") and said.get("normalizer") is None
+        self.spells = self.cuts and all(c in self.a.get_vocab() for c in chars)  # then A spells every text
+        # Marks that no piece of B joins to a letter before them: with one token each, known at once.
+        single = {c: (self.a.token_to_id(c), self.b.piece_to_id(c)) for c in CLOSING}
+        self.closing = {c: x for c, x in single.items() if self.spells and x[0] is not None and x[1] != self.b.unk_id() and not any(p[i] == c and p[i - 1].isalpha() for p in pieces for i in range(1, len(p)))}
         self.cuts = self.cuts and not any("\n" in p or SPACE in p.lstrip(SPACE) for p in pieces)
         self.forget()
 
@@ -119,9 +128,25 @@ class Aligner(dict):
         self.waiting: list[str] = []
         self.pairs: dict[int, int] = {}
         self.text: list[bytes] = []
-        self.counts = np.zeros((5, 1024), np.int64)  # rows: good, A tokens, B tokens, groups, links
-        self.start = np.zeros(1025, np.int64)
-        self.links = np.zeros(8192, np.int64)
+        self.counts = np.zeros((6, 0), np.int64)  # rows: good, A tokens, B tokens, groups, links, times met
+        self.start = np.zeros(1, np.int64)
+        self.links = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Forget all but the units that are met often, if the table is full."""
+        if len(self) <= KEPT_UNITS:
+            return
+        keep = np.flatnonzero(self.counts[5][: len(self)] >= OFTEN)
+        if len(keep) > KEPT_UNITS // 2 or len(self.pairs) > 8 * KEPT_UNITS:
+            self.forget()
+            return
+        keys, pairs, text = list(self.keys()), self.pairs, [self.text[i] for i in keep.tolist()]
+        counts, links = self.counts[:, keep], self.gathered(keep)
+        self.forget()
+        self.update((keys[i], n) for n, i in enumerate(keep.tolist()))
+        counts[5] = 0
+        self.pairs, self.text, self.counts, self.links = pairs, text, counts, links
+        self.start = np.r_[0, np.cumsum(counts[4])]
 
     def __missing__(self, key: str) -> int:
         self[key] = number = len(self)
@@ -134,7 +159,11 @@ class Aligner(dict):
     def encode(self, keys: list[str]) -> list[tuple[list[int], list[int], bool]]:
         """Ids of A and of B for every unit, and whether both spell it."""
         texts = [unit_text(k) for k in keys]
-        of_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        # Letters behind a space are one pre-token and go straight to the merges, written as the vocabulary shows their bytes.
+        letters = [self.spells and k.isalpha() for k in keys]
+        others = iter(self.a.encode_batch_fast([t for t, l in zip(texts, letters) if not l], add_special_tokens=False))
+        merges, shown = self.a.model.tokenize, self.shown
+        of_a = [[t.id for t in merges(("Ġ" + k) if k.isascii() else "Ġ" + k.encode().decode("latin-1").translate(shown))] if l else next(others).ids for k, l in zip(keys, letters)]
         of_b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
         out = []
         for text, a, b in zip(texts, of_a, of_b):
@@ -142,33 +171,50 @@ class Aligner(dict):
             if text[0] != " ":  # the mark that B adds in front is not in the text
                 good, b = b[:1] == [self.mark], b[1:]
             raw = text.encode()
-            good = good and b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+            good = good and b"".join(map(self.b_bytes.__getitem__, b)) == raw and (self.spells or b"".join(map(self.a_bytes.__getitem__, a)) == raw)
             out.append((a, b, good))
         return out
 
     def sizes(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        return [len(self.a_bytes[i]) for i in a], [len(self.b_bytes[i]) for i in b]
+        return list(map(self.a_size.__getitem__, a)), list(map(self.b_size.__getitem__, b))
 
     def settle(self) -> None:
-        """Align the units that are new."""
-        for at in range(0, len(self.waiting), 4096):
-            keys = self.waiting[at : at + 4096]
-            for a, b, good in self.encode(keys):
-                n = len(self.text)
-                if n + 1 >= self.counts.shape[1]:
-                    self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)], axis=1)
-                    self.start = np.concatenate([self.start, np.zeros(len(self.start), np.int64)])
-                groups, links = two_pointers(a, self.sizes(a, b)[0], b, self.sizes(a, b)[1]) if good else ([], [])
-                ids = [self.pairs.setdefault(x << 32 | y, len(self.pairs)) for x, y in links]
-                end = self.start[n] + len(ids)
-                while end > len(self.links):
-                    self.links = np.concatenate([self.links, np.zeros_like(self.links)])
-                self.links[self.start[n] : end] = ids
-                self.start[n + 1] = end
-                self.counts[:, n] = (good, len(a), len(b), len(groups), len(links))
-                self.text.append(spelled(groups))
+        """Align the units that are new. A word before a closing mark is a unit of its own with the mark's tokens behind it."""
+        base = len(self.text)
+        plain, marked = [], []
+        for key in self.waiting:  # grows by the words of marked units
+            stem = key[:-1]
+            if key[-1:] in self.closing and stem[-1:].isalpha():
+                marked.append((self[key], self[stem], self.closing[key[-1]]))
+            else:
+                plain.append(key)
+        fresh: list = [None] * (len(self) - base)
+        for at in range(0, len(plain), 4096):
+            keys = plain[at : at + 4096]
+            for key, (a, b, good) in zip(keys, self.encode(keys)):
+                fresh[self[key] - base] = self.unit(a, b) if good else (0, len(a), len(b), 0, [], b"")
+        for number, stem, (a, b) in marked:
+            if stem < base:
+                good, n_a, n_b, n = self.counts[:4, stem].tolist()
+                links, said = self.links[self.start[stem] : self.start[stem + 1]].tolist(), self.text[stem]
+            else:
+                good, n_a, n_b, n, links, said = fresh[stem - base]
+            link = self.pairs.setdefault(a << 32 | b, len(self.pairs))
+            fresh[number - base] = (good, n_a + 1, n_b + 1, n + 1, [*links, link], b"%b;%d|%d" % (said, a, b)) if good else (0, n_a + 1, n_b + 1, 0, [], b"")
+        many = [len(f[4]) for f in fresh]
+        new = np.array([(*f[:4], m, 0) for f, m in zip(fresh, many)], np.int64).reshape(-1, 6).T
+        self.counts = np.concatenate([self.counts, new], axis=1)
+        self.links = np.concatenate([self.links, np.fromiter(chain.from_iterable(f[4] for f in fresh), np.int64, sum(many))])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(many, dtype=np.int64)])
+        self.text += [f[5] for f in fresh]
         self.waiting = []
 
+    def unit(self, a: list[int], b: list[int]) -> tuple:
+        """Good, tokens of A and B, groups, numbers of the linked pairs, groups as text."""
+        groups, links = two_pointers(a, b, *self.sizes(a, b))
+        pairs = self.pairs
+        return 1, len(a), len(b), len(groups), [pairs.setdefault(x, len(pairs)) for x in links], spelled(groups)
+
     def gathered(self, units: np.ndarray) -> np.ndarray:
         """Numbers of the linked pairs of all units, in order."""
         many = self.counts[4][units]
@@ -251,6 +297,7 @@ def _aligned(df: DataFrame, key: str, text: str, paths: tuple[str, str], size: i
                 units = np.concatenate(found).astype(np.int64)
                 lens = np.array([len(u) for u in found])
                 of = np.repeat(np.arange(len(found)), lens)
+                al.counts[5] += np.bincount(units, minlength=al.counts.shape[1])
                 good = np.bincount(of, al.counts[0][units] == 0, minlength=len(found)) == 0
                 sums = [np.bincount(of, al.counts[i][units], minlength=len(found)).astype(np.int64) for i in range(1, 5)]
                 kept = good[of]
@@ -268,8 +315,7 @@ def _aligned(df: DataFrame, key: str, text: str, paths: tuple[str, str], size: i
                     docs.append((k, 0, 0, 0, 0, ""))
             ids = np.fromiter(al.pairs, np.int64, len(al.pairs))
             row = _block_row(docs, *used, ids)
-            if len(al) > KEPT_UNITS:
-                al.forget()
+            al.shrink()
             return {n: [v] for n, v in (blank | row).items()}
 
         keys, found, held = [], [], 0
@@ -301,14 +347,14 @@ class Fragment:
         self.pairs: dict[int, int] = pairs or {}
 
     def close(self, al: Aligner, a: list[int], b: list[int]) -> "Fragment":
-        """The fragment followed by one group of these tokens."""
-        if a or b:
-            groups, links = two_pointers(a, al.sizes(a, b)[0], b, al.sizes(a, b)[1])
+        """The fragment followed by one group of these tokens; a text that is not spelled has no groups."""
+        if self.good and (a or b):
+            groups, links = two_pointers(a, b, *al.sizes(a, b))
             said = spelled(groups)
             self.text = self.text + b";" + said if self.text else said
             self.n = [x + y for x, y in zip(self.n, (len(a), len(b), len(groups), len(links)))]
-            for x, y in links:
-                self.pairs[x << 32 | y] = self.pairs.get(x << 32 | y, 0) + 1
+            for x in links:
+                self.pairs[x] = self.pairs.get(x, 0) + 1
         return self
 
 
@@ -359,8 +405,7 @@ def range_fragment(al: Aligner, base: int, lo: int, hi: int, text: str) -> Fragm
             at = int(end[i] - size[i])
             ends = [at + np.cumsum(s).astype(np.int64) for s in al.sizes(a, b)]
             take = [(e > lo) & (e <= hi) for e in ends]
-            one = of_tokens([t for t, y in zip(a, take[0]) if y], ends[0][take[0]].tolist(), [t for t, y in zip(b, take[1]) if y], ends[1][take[1]].tolist(), al)
-            one.good = good
+            one = of_tokens([t for t, y in zip(a, take[0]) if y], ends[0][take[0]].tolist(), [t for t, y in zip(b, take[1]) if y], ends[1][take[1]].tolist(), al) if good else Fragment(False)
             out = one if out is None else join(al, out, one)
 
     if before:
@@ -400,8 +445,7 @@ def _long_texts(parts: DataFrame, kind: str, paths: tuple[str, str]) -> DataFram
         al = _aligner(*paths)
         for docs, row, k, base, lo, hi, text in zip(*cols):
             made = _as_row(row, k, docs[0]["key"], range_fragment(al, base, lo, hi, text))
-            if len(al) > KEPT_UNITS:
-                al.forget()
+            al.shrink()
             yield {n: [v] for n, v in made.items()}
 
     spread = parts.select("docs", "row", "k", "base", "lo", "hi", "text").repartition("row", "k")
