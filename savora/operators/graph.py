@@ -141,18 +141,23 @@ def uniform_walks(edges: DataFrame, walks_per_node: int, length: int, seed: str,
     return done
 
 
-# Weights are resolved to this fraction; sums of whole units leave neither gaps nor overlaps.
-UNITS = 1_000_000
+# Weights are resolved to this fraction of a node's largest; sums of whole units leave neither gaps nor overlaps.
+UNITS = 1_000_000_000
 CELLS_PER_ROW = 65_536
 
 
-def weight_sums(edges: DataFrame) -> DataFrame:
-    """(src, deg, total): degree and sum of weight units."""
-    return edges.groupBy("src").agg(F.count("*").alias("deg"), F.sum(_units()).alias("total"))
+def unit_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, units): weights in units of each node's largest one, at least one unit. Edges without a positive
+    weight are never walked and go. The largest weight does not depend on the order of additions."""
+    edges = edges.select("src", "dst", "weight").where("weight > 0")
+    most = edges.groupBy("src").agg(F.max("weight").alias("__most"))
+    units = F.round(F.col("weight") / F.col("__most") * UNITS).cast("long")
+    return edges.join(most, "src").select("src", "dst", F.greatest(units, F.lit(1).cast("long")).alias("units"))
 
 
-def _units() -> Column:
-    return F.greatest(F.round(F.col("weight") * UNITS).cast("long"), F.lit(1).cast("long"))
+def weight_sums(units: DataFrame) -> DataFrame:
+    """(src, deg, total): degree and sum of weight units."""
+    return units.groupBy("src").agg(F.count("*").alias("deg"), F.sum("units").alias("total"))
 
 
 def weighted_neighbors(edges: DataFrame) -> DataFrame:
@@ -162,16 +167,16 @@ def weighted_neighbors(edges: DataFrame) -> DataFrame:
     cell that its interval [lo, hi) meets: at most 2d entries, two per draw on average. A draw is one
     equi-join on (src, cell) that no hub skews, however uneven the weights are.
     """
-    edges = materialise(edges.select("src", "dst", "weight"))
-    sums = materialise(weight_sums(edges))
-    cuts = splitters(edges, F.col("dst"))
-    placed = prefix_sums(edges, ["src"], bucket_of(F.col("dst"), cuts), [F.col("dst")], {"lo": _units()})
+    units = materialise(unit_edges(edges))
+    sums = materialise(weight_sums(units))
+    cuts = splitters(units, F.col("dst"))
+    placed = prefix_sums(units, ["src"], bucket_of(F.col("dst"), cuts), [F.col("dst")], {"lo": F.col("units")})
 
     def cell(at: Column, slack: float) -> Column:
         raw = F.floor(at.cast("double") * F.col("deg") / F.col("total") + slack)
         return F.greatest(F.least(raw, F.col("deg") - 1), F.lit(0).cast("long"))
 
-    laid = placed.join(sums, "src").withColumn("hi", F.col("lo") + _units())
+    laid = placed.join(sums, "src").withColumn("hi", F.col("lo") + F.col("units"))
     laid = laid.select("src", "dst", "lo", "hi", cell(F.col("lo"), -1e-6).alias("a"), cell(F.col("hi"), 1e-6).alias("z"))
     # Two levels: one edge may cover nearly all cells of a hub.
     laid = laid.withColumn("a", F.explode(F.sequence("a", "z", F.lit(CELLS_PER_ROW).cast("long"))))
@@ -200,7 +205,7 @@ def weighted_walks(edges: DataFrame, walks_per_node: int, length: int, seed: str
     (start, walk, step, node). A walk ends early at a node without neighbours."""
     edges = materialise(edges)
     nbr = materialise(weighted_neighbors(edges))
-    front = _starts(materialise(weight_sums(edges)), walks_per_node)
+    front = _starts(materialise(weight_sums(unit_edges(edges))), walks_per_node)
     done = front.select("start", "walk", F.lit(0).alias("step"), "node")
     for step in range(1, length):
         front = _draw(front, nbr, hash_uniform(seed, F.col("start"), F.col("walk"), F.lit(step))).select(
@@ -223,10 +228,10 @@ def biased_walks(edges: DataFrame, walks_per_node: int, length: int, p: float, q
     """
     edges = materialise(edges)
     nbr = materialise(weighted_neighbors(edges))
-    pairs = edges.select(F.col("src").alias("prev"), "dst", F.lit(1).alias("__near")).distinct()
+    pairs = edges.where("weight > 0").select(F.col("src").alias("prev"), "dst", F.lit(1).alias("__near")).distinct()
     pairs = materialise(pairs)
     top = max(1.0, 1.0 / p, 1.0 / q)
-    front = _starts(weight_sums(edges), walks_per_node).withColumn("prev", F.lit(None).cast(edges.schema["src"].dataType))
+    front = _starts(weight_sums(unit_edges(edges)), walks_per_node).withColumn("prev", F.lit(None).cast(edges.schema["src"].dataType))
     front = cut_lineage(front)
     done = front.select("start", "walk", F.lit(0).alias("step"), "node")
     for step in range(1, length):

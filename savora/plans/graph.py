@@ -92,7 +92,7 @@ def i4(t):
 
 
 def _walk_sql(length, per_node):
-    nbr = """un AS (SELECT src, dst, CAST(round(weight * 1000000) AS BIGINT) AS units FROM edges),
+    nbr = """un AS (SELECT src, dst, CAST(greatest(round(weight / max(weight) OVER (PARTITION BY src) * 1000000000), 1) AS BIGINT) AS units FROM edges WHERE weight > 0),
  nbr AS (SELECT src, dst, CAST(sum(units) OVER (PARTITION BY src ORDER BY dst) AS DOUBLE) AS hi, CAST(sum(units) OVER (PARTITION BY src ORDER BY dst) - units AS DOUBLE) AS lo FROM un),
  deg AS (SELECT src, CAST(sum(units) AS BIGINT) AS total FROM un GROUP BY 1)"""
     steps = [f"w0 AS (SELECT src AS start, walk, src AS node FROM deg, (SELECT unnest(range({per_node})) AS walk))"]
@@ -108,6 +108,17 @@ def i5(t):
     return G.weighted_walks(edges(t), 2, 5, "walk")
 
 
+@query("i5_biased_check", f"""
+WITH {BOTH_SQL} SELECT count(DISTINCT src) AS n_walks, count(DISTINCT src) * 4 AS n_steps, 0::BIGINT AS off_edges FROM edges""")
+def i5_check(t):
+    """Every node starts a walk, no walk ends early in a graph of two-way edges, and every step follows an edge."""
+    walks = materialise(i5b(t))
+    after = walks.select("start", "walk", (F.col("step") - 1).alias("step"), F.col("node").alias("dst"))
+    moves = walks.withColumnRenamed("node", "src").join(after, ["start", "walk", "step"])
+    off = moves.join(edges(t).select("src", "dst"), ["src", "dst"], "left_anti").agg(F.count("*")).scalar()
+    return walks.agg(F.count_distinct("start", "walk").alias("n_walks"), F.count("*").alias("n_steps"), F.first(off).alias("off_edges"))
+
+
 @query("i5_biased_walks")
 def i5b(t):
     return G.biased_walks(edges(t), 1, 4, 0.5, 2.0, "biased")

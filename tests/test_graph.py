@@ -137,3 +137,13 @@ def test_propagation_by_hand(spark):
 def test_edge_weight_of_last_review_wins(spark):
     df = spark.createDataFrame([(1, 2, 3, "2020-01-01"), (1, 2, 5, "2020-02-01")], "u long, i long, s int, d string")
     assert G.user_item_edges(df, F.col("u"), F.col("i"), F.col("s"), ["d"]).collect()[0]["weight"] == 5.0
+
+
+def test_small_weights_keep_their_ratio(spark):
+    rows = [(0, 1, 0.0), (0, 2, 1e-8), (0, 3, 1e-9), (1, 0, 1.0), (2, 0, 5e9), (3, 0, 1.0)]
+    e = spark.createDataFrame(rows, "src long, dst long, weight double")
+    first = G.weighted_walks(e, 2200, 2, "w").where("start = 0 and step = 1").groupBy("node").count().collect()
+    n = {x["node"]: x["count"] for x in first}
+    assert n.get(1, 0) == 0 and sum(n.values()) == 2200 and 150 < n[3] < 255
+    both = G.biased_walks(e, 300, 2, 1.0, 1.0, "b").where("start = 0 and step = 1").groupBy("node").count().collect()
+    assert {x["node"] for x in both} == {2, 3}
