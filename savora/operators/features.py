@@ -33,8 +33,9 @@ class FeatureStore:
         return out
 
 
-def small_domain(df: DataFrame, col: str, limit: int = 200) -> list:
-    """Sorted distinct values of a column that must have few of them; more is an error."""
+def small_domain(df: DataFrame, col: str, limit: int = 10_000) -> list:
+    """Sorted distinct values of a column that become columns of their own; more than a table can have is an error, and
+    `limit` bounds what comes to the driver."""
     rows = df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{col} has more than {limit} values")

@@ -133,7 +133,8 @@ PLAN = K.SimplifyPlan(
 
 
 def _process_sql():
-    src = _upd(BASE, "coalesce(large = 'ECONOMY' AND middle = 'Brand#5', false)", large="'PROMO'", middle="CASE WHEN diner_idx % 2 = 0 THEN 'PROMO' ELSE middle END")
+    src = _upd(BASE, "coalesce(large = 'PROMO' AND diner_idx % 2 = 0, false)", middle="'PROMO'")
+    src = _upd(src, "coalesce(large = 'ECONOMY' AND middle = 'Brand#5', false)", large="'PROMO'")
     src = _upd(src, "coalesce(large = 'STANDARD' AND middle = 'Brand#6', false)", large="'SMALL'", middle="coalesce(nullif(small, ''), nullif(detail, ''), middle)")
     s1 = f"SELECT diner_idx, large, {_simple_sql('x.large', 'x.middle')} AS middle, small, detail FROM ({src}) x"
     prom = "'PROMO'"
@@ -146,11 +147,10 @@ def _process_sql():
 
 @query("c8_simplify_process", _process_sql())
 def c8(t):
-    # Half of the moved rows get the category's own name as middle, as unresolved rows have.
-    hit = (F.col("large") == "ECONOMY") & (F.col("middle") == "Brand#5")
-    df = K._update(_cats(t), F.coalesce(hit, F.lit(False)), large=F.lit("PROMO"), middle=F.when(F.col("diner_idx") % 2 == 0, "PROMO").otherwise(F.col("middle")))
-    plan = K.SimplifyPlan(before=PLAN.before[1:], generic=PLAN.generic, after=PLAN.after, sections=PLAN.sections)
-    return K.simplify_process(df, _rules(t), plan).select(*COLS)
+    # Half of the rows of one category come unresolved: its own name is their middle.
+    named = (F.col("large") == "PROMO") & (F.col("diner_idx") % 2 == 0)
+    df = _cats(t).withColumn("middle", F.when(F.coalesce(named, F.lit(False)), "PROMO").otherwise(F.col("middle")))
+    return K.simplify_process(df, _rules(t), PLAN).select(*COLS)
 
 
 def _knn_sql(wanted):
