@@ -289,7 +289,10 @@ def test_queries_keep_their_rows(spark, name):
     table = "pages" if name.startswith(("op3", "op5")) else "documents"
     n = spark.read.parquet(f"{SF}/{table}.parquet").count()
     got = QUERIES[name](spark, SF).count()
-    assert got == n if not name.startswith("op8") else got >= n
+    if name.startswith("op11"):  # phrases of each language, not documents
+        assert got <= 2000 * 5
+    else:
+        assert got == n if not name.startswith("op8") else got >= n
 
 
 def test_pipeline_handles_edges(spark, docs, empty, tmp_path):
