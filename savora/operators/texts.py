@@ -87,9 +87,10 @@ def sentence_rows(df: DataFrame, keys: Sequence[str], text: str, min_length: int
 def mentions(sentences: DataFrame, keys: Sequence[str], menus: DataFrame) -> DataFrame:
     """(keys, menu) for every menu that occurs anywhere in the sentence. menus: (menu).
 
-    A short menu list, checked by count, is tested name by name. A longer one is matched by
-    equality with the sentence's substrings of the menus' lengths, so that the work per sentence
-    depends on the number of different lengths and not on the number of menus.
+    A short menu list, checked by count, is tested name by name. A longer one is a trie cut at two letters: a table of
+    heads (one letter for names of one letter) with the lengths of the names below each. Every place of a sentence meets
+    the lengths of its head only, and the cut pieces meet the names; both are joins, and nothing but the length
+    of the longest name, a scalar of the plan, is known beforehand. Null and empty sentences mention nothing.
     """
     menus = materialise(menus.select("menu").where("menu <> ''").distinct())
     if menus.count() <= SHORT_LIST:
@@ -97,17 +98,15 @@ def mentions(sentences: DataFrame, keys: Sequence[str], menus: DataFrame) -> Dat
         return sentences.withColumn("__names", names).select(
             *keys, F.explode(F.filter("__names", lambda m: F.col("sentence").contains(m))).alias("menu")
         )
-    lengths = sorted(r[0] for r in menus.select(F.length("menu").alias("l")).distinct().collect() if r[0])
-    size = F.length("sentence")
-
-    def pieces(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-        cut = F.transform(starts, lambda i: F.substr(F.col("sentence"), i, F.lit(n)))
-        return F.when(size >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    parts = [pieces(n) for n in lengths]
-    found = sentences.select(*keys, F.explode(F.array_distinct(F.concat(*parts))).alias("menu"))
-    return found.join(menus, "menu", "left_semi").select(*keys, "menu")
+    heads = menus.select(F.substring("menu", 1, 2).alias("head"), F.length("menu").alias("len")).distinct()
+    longest = menus.agg(F.max(F.length("menu"))).scalar()
+    places = sentences.where("sentence <> ''").select(*keys, F.col("sentence").alias("__s"), F.explode(F.sequence(F.lit(1), F.length("sentence"))).alias("__i"))
+    # A name may start at any place, with its own rest of the sentence and no more than the longest name needs. Equal
+    # rests of one sentence are one row.
+    rests = places.select(*keys, F.substr("__s", "__i", longest).alias("__rest")).distinct()
+    headed = rests.withColumn("head", F.explode(F.array_distinct(F.array(F.substring("__rest", 1, 1), F.substring("__rest", 1, 2)))))
+    cut = headed.join(heads, "head").where(F.col("len") <= F.length("__rest")).select(*keys, F.substr("__rest", F.lit(1), F.col("len")).alias("menu"))
+    return cut.distinct().join(menus, "menu", "left_semi").select(*keys, "menu")
 
 
 def sorted_children(df: DataFrame, parent: str, child: str) -> DataFrame:

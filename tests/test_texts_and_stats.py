@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,19 @@ def test_mentions_long_and_short_lists_agree(spark, monkeypatch):
     assert short == sorted(map(tuple, O.mentions(sents, ["id"], menus).collect())) == [(1, "bolt"), (1, "r"), (1, "ring"), (2, "r")]
 
 
+def test_mentions_of_many_names(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdé ") for _ in range(r.randrange(1, 9)))
+    names = sorted({word() for _ in range(5000)})
+    texts = ["".join(r.choice("abcdé ") for _ in range(r.randrange(0, 60))) for _ in range(80)] + [None, "", "a", "aa"]
+    sents = spark.createDataFrame([(i // 2, i, t) for i, t in enumerate(texts)], "id long, place int, sentence string")
+    for some in (names[::17], names):
+        assert len(some) > O.SHORT_LIST or some is not names
+        got = O.mentions(sents, ["id", "place"], spark.createDataFrame([(n,) for n in some] + [("",), (None,)], "menu string")).collect()
+        want = sorted((i // 2, i, n) for i, t in enumerate(texts) for n in some if n and t and n in t)
+        assert sorted(map(tuple, got)) == want
+
+
 def test_tfidf_by_hand(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, "a"), (3, None)], "id long, text string")
     w, _ = O.tfidf(df, "id", "text")
