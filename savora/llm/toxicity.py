@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-The labelled sample (at most `SAMPLE` rows, the ones with the smallest hashes) is split: three quarters become the
-example index, the others calibrate. Texts and examples count with all their terms; idf comes from all
+The labelled sample (at most `SAMPLE` rows, the ones with the smallest hashes, and of them at most `SAMPLE_TERMS` term
+counts) is split: three quarters become the example index, the others calibrate. It is coded in tasks and reaches the driver
+as flat integer arrays only, so both bounds together bound the driver's memory whatever the length of the texts. Texts and examples count with all their terms; idf comes from all
 documents, and terms that no sampled row has still lengthen the texts that hold them. A query walks a
-block-max index: blocks are visited by falling upper bound until no block can reach the k best, so the
+block-max index: only blocks whose upper bound reaches the k best found so far are multiplied out, so the
 neighbours are exact. They are the evidence, and their labels vote by distance. A second vote comes from the
-neighbours over the telling terms alone (at most `TERMS`, document frequency differs between the classes).
+neighbours over all telling terms alone (document frequency differs between the classes).
 Isotonic calibration turns the mean of both votes into a probability.
 """
 
@@ -20,15 +21,17 @@ from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from savora.llm.common import map_batches, slices
 from savora.session import materialise
 
 SAMPLE = 20_000
-TERMS = 1_024
+SAMPLE_TERMS = 8_000_000
 MIN_CLASS_ROWS = 3
 MIN_G2 = 10.8
 NEIGHBOURS = 15
@@ -54,9 +57,9 @@ def training_rows(labels: DataFrame, key: str, label: str, sample: int = SAMPLE)
     return rows.orderBy(order, "id").limit(sample).select("id", "y", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) > 0).alias("fit"))
 
 
-def pick_terms(docs: DataFrame, train: DataFrame, text: str, terms: int = TERMS) -> list[str]:
-    """The terms with the largest likelihood ratio between the classes (ties by term). Counts are added
-    up per batch and then by Spark; `terms` bounds what reaches the driver."""
+def telling_terms(docs: DataFrame, train: DataFrame, text: str) -> list[str]:
+    """The terms whose likelihood ratio between the classes is at least `MIN_G2`. Counts are added up per batch and
+    then by Spark; they are terms of the sample, which bounds what reaches the driver."""
     joined = docs.join(F.broadcast(train.where("fit")), "id")
 
     def fn(cols):
@@ -79,7 +82,7 @@ def pick_terms(docs: DataFrame, train: DataFrame, text: str, terms: int = TERMS)
     share = (a + b) / (n1 + n0)
     g2 = 2 * (part(a, share * n1) + part(b, share * n0) + part(n1 - a, (1 - share) * n1) + part(n0 - b, (1 - share) * n0))
     best = counts.where(F.col("term").isNotNull() & (F.greatest("a", "b") >= MIN_CLASS_ROWS)).select("term", g2.alias("g2")).where(F.col("g2") >= MIN_G2)
-    return sorted(r["term"] for r in best.orderBy(F.desc("g2"), "term").limit(terms).collect())
+    return sorted(best.toArrow()["term"].to_pylist())
 
 
 def sample_counts(docs: DataFrame, train: DataFrame, text: str) -> DataFrame:
@@ -94,6 +97,24 @@ def sample_counts(docs: DataFrame, train: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("id", "y", "fit").agg(F.min(F.struct("words", "tf")).alias("v")).select("id", "y", "fit", "v.words", "v.tf")
 
 
+def within_terms(sampled: DataFrame, limit: int) -> DataFrame:
+    """The sampled rows, in the order of the sample, up to `limit` term counts. The running sum is over the ids of
+    a bounded sample."""
+    upto = F.sum(F.size("words")).over(Window.orderBy(F.xxhash64("id"), "id"))
+    return sampled.join(sampled.select("id", upto.alias("upto")).where(F.col("upto") <= limit).select("id"), "id")
+
+
+def coded_sample(sampled: DataFrame, place: Broadcast) -> DataFrame:
+    """(id, y, fit, idx, tf): the sampled rows with places in the vocabulary instead of words."""
+
+    def fn(cols):
+        known = place.value.get()
+        return {"id": cols[0], "y": cols[1], "fit": cols[2], "idx": [[known[w] for w in words] for words in cols[3]], "tf": cols[4]}
+
+    kind = sampled.schema["id"].dataType.simpleString()
+    return map_batches(sampled, ["id", "y", "fit", "words", "tf"], fn, f"id {kind}, y int, fit boolean, idx array<int>, tf array<int>")
+
+
 def term_counts(docs: DataFrame, text: str, place: Broadcast) -> DataFrame:
     """(id, idx, tf, rest, rest_tf) per row, over all terms of the whole texts: places in the vocabulary of the
     sample and counts, and the terms that no sampled row has with theirs."""
@@ -140,8 +161,8 @@ def weights(idx, tf, idf: np.ndarray) -> np.ndarray:
 
 class BlockMaxIndex:
     """Inverted lists over labelled examples in blocks. The `COMMON` terms with the longest lists lie in a dense
-    matrix instead, and each block knows their largest weights; rare lists are added up at once. Blocks
-    are then visited by falling upper bound, so that common terms are only multiplied where they can matter."""
+    matrix instead, and each block knows their largest weights; rare lists are added up at once. The most promising
+    rows set a floor for the k best; only blocks, and rows in them, whose upper bounds reach it are multiplied out."""
 
     def __init__(self, examples: list[tuple[int, int, list[int], np.ndarray]], terms: int, block: int = BLOCK):
         # Neighbouring examples share their heaviest term, which makes the bounds tight.
@@ -172,23 +193,33 @@ class BlockMaxIndex:
         """The k best (similarity, place), exactly; ties by place."""
         idx = np.asarray(idx, np.int64)
         column = self.column[idx]
+        common = column >= 0
         asked = np.zeros(self.dense.shape[1])
-        asked[column[column >= 0]] = w[column >= 0]
-        start = self.start[idx]
-        n = self.start[idx + 1] - start
-        flat = np.arange(int(n.sum())) + np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) if n.any() else np.zeros(0, np.int64)
-        sums = np.bincount(self.at[flat], self.ws[flat] * np.repeat(w, n), minlength=self.rows).reshape(-1, self.block)
-        near = (sums + math.sqrt(float(asked @ asked)) * self.dense_norm.reshape(-1, self.block)).max(axis=1)
-        bounds = np.minimum(near, sums.max(axis=1) + self.most @ asked)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < -best[-1][0] - 1e-12):
-                break
-            sims = sums[b] + self.dense[b * self.block : (b + 1) * self.block] @ asked
-            hit = np.flatnonzero(sims >= -best[-1][0] if len(best) == k else sims > 0)
-            if len(hit):
-                best = sorted(best + [(-float(sims[h]), b * self.block + int(h)) for h in hit])[:k]
-        return [(-s, p) for s, p in best]
+        asked[column[common]] = w[common]
+        idx, w = idx[~common], w[~common]
+        start, end = self.start[idx], self.start[idx + 1]
+        lists = [slice(a, b) for a, b in zip(start.tolist(), end.tolist()) if b > a]
+        sums = np.zeros(self.rows)
+        if lists:
+            pull = np.concatenate([self.ws[x] for x in lists])
+            pull *= np.repeat(w, end - start)
+            sums = np.bincount(np.concatenate([self.at[x] for x in lists]), pull, minlength=self.rows)
+        # No row can pass the sum of its rare lists by more than the common parts allow, and no block its own largest weights.
+        near = sums + math.sqrt(float(asked @ asked)) * self.dense_norm
+        bounds = np.minimum(near.reshape(-1, self.block).max(axis=1), sums.reshape(-1, self.block).max(axis=1) + self.most @ asked)
+        first = np.argpartition(-near, 2 * k)[: 2 * k] if len(near) > 2 * k else np.arange(len(near))
+        sims = sums[first] + self.dense[first] @ asked
+        floor = float(np.partition(sims, -k)[-k]) if len(sims) >= k else 0.0
+        blocks = np.flatnonzero((bounds > 0) & (bounds >= floor - 1e-12))
+        rows = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
+        rows = rows[near[rows] >= floor - 1e-12]
+        sims = sums[rows] + self.dense[rows] @ asked
+        hit = sims > 0
+        if hit.sum() > k:
+            hit &= sims >= np.partition(sims, -k)[-k]
+        rows, sims = rows[hit], sims[hit]
+        best = np.lexsort((rows, -sims))[:k]
+        return list(zip(sims[best].tolist(), rows[best].tolist()))
 
     def vote(self, found: list[tuple[float, int]], prior: float) -> float:
         pull = np.array([1 / (1 - min(s, 1.0) + NEAR) for s, _ in found])
@@ -210,15 +241,17 @@ class Shipped:
         return self.made
 
 
-def numbered(terms: list[str]) -> dict[str, int]:
-    return {t: i for i, t in enumerate(terms)}
+def numbered(terms: str) -> dict[str, int]:
+    """Places of newline-separated terms; a term has letters only."""
+    return {t: i for i, t in enumerate(terms.split("\n"))}
 
 
 class Judge:
     """Neighbours over all terms and the vote of the neighbours over the telling terms, for counted texts."""
 
-    def __init__(self, fit: list[tuple], idf: np.ndarray, telling: np.ndarray, prior: float):
+    def __init__(self, ids: list, marks: np.ndarray, starts: np.ndarray, idx: np.ndarray, tf: np.ndarray, idf: np.ndarray, telling: np.ndarray, prior: float):
         self.idf, self.telling, self.prior = idf, telling, prior
+        fit = [(i, int(y), idx[a:b], tf[a:b]) for i, y, a, b in zip(ids, marks, starts, starts[1:])]
         self.whole = BlockMaxIndex([(i, y, idx, weights(idx, tf, idf)) for i, y, idx, tf in fit], max(1, len(idf)))
         parts = [(i, y, *self.told(idx, tf)) for i, y, idx, tf in fit]
         self.few = BlockMaxIndex([(i, y, idx, weights(idx, tf, idf)) for i, y, idx, tf in parts if len(idx)], max(1, len(idf)))
@@ -238,12 +271,12 @@ class Judge:
         return self.whole.search(idx, w / math.sqrt(length), NEIGHBOURS), length, vote
 
 
-def blended(found: list[tuple[float, int]], labels: np.ndarray, vote: float, prior: float) -> float:
+def blended(sims: list[float], marks: list[int], vote: float, prior: float) -> float:
     """Mean of the votes over all terms and over the telling terms; a side without neighbours counts 0."""
-    if not found:
+    if not sims:
         return vote / 2
-    pull = np.array([1 / (1 - min(s, 1.0) + NEAR) for s, _ in found])
-    return (float((pull @ labels[[p for _, p in found]] + prior) / (pull.sum() + 1)) + vote) / 2
+    pull = 1 / (1 - np.minimum(sims, 1.0) + NEAR)
+    return (float((pull @ np.asarray(marks, float) + prior) / (pull.sum() + 1)) + vote) / 2
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +297,17 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pool]), np.array([(p[1] + rate) / (p[2] + 1) for p in pool])
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS, threshold: float = 0.3) -> DataFrame:
+def flat_rows(rows: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, labels, starts, idx, tf) of coded rows by id, each list column as one flat array."""
+    rows = rows.combine_chunks()
+    rows = rows.take(pc.sort_indices(rows["id"]))
+    lists = [rows[c].combine_chunks() for c in ("idx", "tf")]
+    starts = np.r_[0, np.cumsum(pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))].astype(np.int64)
+    idx, tf = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int32) for x in lists)
+    return rows["id"].to_pylist(), rows["y"].to_numpy(), starts, idx, tf
+
+
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_terms: int = SAMPLE_TERMS, threshold: float = 0.3) -> DataFrame:
     """One row per document: key, held_out, score in [0, 1], predicted, evidence (neighbours as label, id
     and similarity). Null and empty texts, and texts that share no term with an example, get the calibrated rate of such
     texts. Without labels of both classes every score is the share of label 1, or 0 without any label."""
@@ -272,30 +315,27 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     kind = docs.schema["id"].dataType.simpleString()
     sc = docs.sparkSession.sparkContext
     train = materialise(training_rows(labels, key, label, sample))
-    chosen = pick_terms(docs, train, "text", terms)
-    # At most `sample` rows of counts come to the driver.
-    place: dict[str, int] = {}
-    known = []
-    for batch in sample_counts(docs, train, "text").toArrow().to_batches(max_chunksize=500):
-        for i, y, use, words, tf in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "fit", "words", "tf"))):
-            known.append((i, y, use, np.array([place.setdefault(w, len(place)) for w in words], np.int32), np.array(tf, np.int32)))
-    for w in chosen:
-        place.setdefault(w, len(place))
-    # Places by term and examples by id, whatever order they arrived in.
-    terms_in_order = sorted(place)
-    moved = np.zeros(len(place), np.int32)
-    moved[[place[w] for w in terms_in_order]] = np.arange(len(place))
-    known = sorted(((i, y, use, moved[idx], tf) for i, y, use, idx, tf in known), key=lambda r: r[0])
-    place = numbered(terms_in_order)
-    prior = float(np.mean([k[1] for k in known])) if known else 0.0
+    chosen = telling_terms(docs, train, "text")
+    sampled = materialise(within_terms(materialise(sample_counts(docs, train, "text")), sample_terms))
+    marks = sampled.select("fit", "y", (F.size("words") > 0).alias("some")).toArrow().to_pandas()  # at most `sample` rows
+    prior = float(marks["y"].mean()) if len(marks) else 0.0
     # Without an example there is nothing to be near to, and no term needs a count.
-    if not any(use and len(idx) for _, _, use, idx, _ in known):
-        rate = float(isotonic(np.zeros(len(known)), np.array([k[1] for k in known], float))[1][0]) if any(not k[2] for k in known) else prior
+    if not (marks["fit"] & marks["some"]).any():
+        aside = marks.loc[~marks["fit"].astype(bool), "y"]
+        rate = float(isotonic(np.zeros(len(marks)), marks["y"].to_numpy(float))[1][0]) if len(aside) else prior
         out = docs.select("id", F.lit(min(1.0, max(0.0, rate))).alias("score"), F.lit(None).cast(EVIDENCE).alias("e"))
         out = out.withColumn("evidence", F.coalesce("e", F.array().cast(EVIDENCE)))
         return out.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
-    counted = materialise(term_counts(docs, "text", sc.broadcast(Shipped(numbered, terms_in_order))).withColumn("row", F.monotonically_increasing_id()))
+    # Places go by term, whatever order the terms arrive in.
+    terms = sampled.select(F.explode("words").alias("w")).distinct().toArrow()["w"].combine_chunks()
+    terms = terms.take(pc.sort_indices(terms))
+    telling = pc.is_in(terms, value_set=pa.array(chosen, terms.type)).to_numpy(zero_copy_only=False)
+    size = len(terms)
+    place = sc.broadcast(Shipped(numbered, "\n".join(terms.to_pylist())))
+    del terms
+    coded = materialise(coded_sample(sampled, place))
+    counted = materialise(term_counts(docs, "text", place).withColumn("row", F.monotonically_increasing_id()))
     n = counted.count()
 
     def batch_frequencies(cols):
@@ -304,51 +344,48 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return {"t": seen.tolist(), "df": found[seen].tolist()}
 
     seen = map_batches(counted, ["idx"], batch_frequencies, "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).toArrow()
-    frequency = np.zeros(len(place))  # at most the terms of the sample
+    frequency = np.zeros(size)  # at most the terms of the sample
     frequency[seen["t"].to_numpy()] = seen["df"].to_numpy()
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    telling = np.zeros(len(place), bool)
-    telling[[place[w] for w in chosen]] = True
-    fit = [(i, y, idx, tf) for i, y, use, idx, tf in known if use and len(idx)]
-    judge = Judge(fit, idf, telling, prior)
-    raw, truth = [], []
-    for _, y, use, idx, tf in known:
-        if not use:
-            found, _, vote = judge.look(idx, tf)
-            raw.append(blended(found, judge.whole.labels, vote, prior))
-            truth.append(y)
-    steps, rates = isotonic(np.array(raw), np.array(truth, float)) if raw else (np.array([0.0]), np.array([prior]))
-    shared = sc.broadcast(Shipped(Judge, fit, idf, telling, prior))
+    fit = flat_rows(coded.where(F.col("fit") & (F.size("idx") > 0)).toArrow())
+    shared = sc.broadcast(Shipped(Judge, *fit, idf, telling, prior))
+    del fit
     memo: dict = {}
 
     def look(cols):
-        out = {"id": cols[0], "row": cols[1], "places": [], "sims": [], "length": [], "vote": []}
+        """Of each text: similarities and labels of its neighbours, the ids of the nearest three, and the rest of `Judge.look`."""
+        judge = shared.value.get()
+        out = {"id": cols[0], "row": cols[1], "sims": [], "marks": [], "names": [], "length": [], "vote": []}
         for idx, tf in zip(cols[2], cols[3]):
             idx, tf = np.array(idx, np.int64), np.array(tf, np.int64)
             same = hashlib.blake2b(idx.tobytes() + tf.tobytes(), digest_size=16).digest()
             if (made := memo.get(same)) is None:
-                found, length, vote = shared.value.get().look(idx, tf)
+                found, length, vote = judge.look(idx, tf)
                 if len(memo) >= REMEMBERED:
                     memo.clear()
-                made = memo[same] = ([p for _, p in found], [s for s, _ in found], length, vote)
-            for c, v in zip(("places", "sims", "length", "vote"), made):
+                made = memo[same] = ([s for s, _ in found], [int(judge.whole.labels[p]) for _, p in found], [str(judge.whole.ids[p]) for _, p in found[:3]], length, vote)
+            for c, v in zip(("sims", "marks", "names", "length", "vote"), made):
                 out[c].append(v)
         return out
 
-    found = map_batches(counted, ["id", "row", "idx", "tf"], look, f"id {kind}, row long, places array<int>, sims array<double>, length double, vote double")
+    looked = "sims array<double>, marks array<int>, names array<string>, length double, vote double"
+    aside = coded.where(~F.col("fit")).select(F.col("id"), F.col("y").cast("long").alias("row"), "idx", "tf")
+    tried = map_batches(aside, ["id", "row", "idx", "tf"], look, f"id {kind}, row long, {looked}").select("row", "sims", "marks", "vote").toArrow()
+    raw = [blended(s, m, v, prior) for s, m, v in zip(*(tried[c].to_pylist() for c in ("sims", "marks", "vote")))]
+    steps, rates = isotonic(np.array(raw), tried["row"].to_numpy().astype(float)) if raw else (np.array([0.0]), np.array([prior]))
+    found = map_batches(counted, ["id", "row", "idx", "tf"], look, f"id {kind}, row long, {looked}")
     # The terms outside the sample lengthen a text; they change no order among its neighbours.
     share = F.when(F.col("length") > 0, F.sqrt(F.col("length") / (F.col("length") + F.coalesce("rest", F.lit(0.0))))).otherwise(0.0)
     found = found.join(rest_norms(counted, n), "row", "left").withColumn("share", share)
-    ids, labelled = judge.whole.ids, judge.whole.labels
 
     def fn(cols):
         out = {"id": cols[0], "score": [], "evidence": []}
-        for places, sims, share, vote in zip(*cols[1:]):
-            best = [(s * share, p) for s, p in zip(sims, places)]
-            value = float(np.interp(blended(best, labelled, vote, prior), steps, rates)) if best else float(rates[0])
+        for sims, marks, names, share, vote in zip(*cols[1:]):
+            sims = [s * share for s in sims]
+            value = float(np.interp(blended(sims, marks, vote, prior), steps, rates)) if sims else float(rates[0])
             out["score"].append(min(1.0, max(0.0, value)))
-            out["evidence"].append([{"id": str(ids[p]), "label": int(labelled[p]), "similarity": s} for s, p in best[:3]])
+            out["evidence"].append([{"id": i, "label": m, "similarity": s} for i, m, s in zip(names, marks, sims)])
         return out
 
-    out = map_batches(found, ["id", "places", "sims", "share", "vote"], fn, f"id {kind}, score double, evidence {EVIDENCE}")
+    out = map_batches(found, ["id", "sims", "marks", "names", "share", "vote"], fn, f"id {kind}, score double, evidence {EVIDENCE}")
     return out.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
