@@ -12,6 +12,8 @@ import struct
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from savora.llm import adaptive_rules, entropy_mix, fast_sketch, html_blocks, mpeg_audio, residual_pack, secret_scan, suffix_induced, toxicity, warc
 from savora.llm.queries import QUERIES, TOKENIZER
 
@@ -395,3 +397,23 @@ def test_html_elements_without_end_tags():
     assert html_blocks.main_text('<article><p>one <svg class="i"/> two</p><p>three</p></article>') == "one two\nthree"
     assert html_blocks.main_text("<article><p>a <button>b</p><p>c</p><p>d <button>e</button> f</p></article>").endswith("c\nd f")
     assert html_blocks.main_text("<article><p>a</p><object><p>x</p><object>y</object>z</object><p>b</p></article>") == "a\nb"
+
+
+def test_toxicity_sample_is_bounded_by_terms(spark):
+    texts = {i: " ".join(f"w{chr(97 + i % 7)}{chr(97 + j)}" for j in range(1 + i % 5)) for i in range(60)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marked = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    train = toxicity.training_rows(marked, "doc_id", "toxic")
+    docs = frame.select(F.col("doc_id").alias("id"), "text")
+    counts = toxicity.sample_counts(docs, train, "text")
+    order = [x["id"] for x in counts.orderBy(F.xxhash64("id"), "id").select("id").collect()]
+    kept, total = [], 0
+    for i in order:
+        total += len(set(texts[i].split()))
+        if total <= 40:
+            kept.append(i)
+    assert {x["id"] for x in toxicity.within_terms(counts, 40).collect()} == set(kept) and 0 < len(kept) < len(order)
+    # The bound is on what teaches: every text has a score, also when no row is left to teach.
+    for limit in (0, 40):
+        got = toxicity.score(frame, marked, sample_terms=limit).collect()
+        assert len(got) == len(texts) and all(0 <= x["score"] <= 1 for x in got)
