@@ -9,6 +9,7 @@ from savora.functions import geo
 from savora.functions.hashing import hash_int
 from savora.operators import graph as G
 from savora.operators import negatives as NG
+from savora.operators import sage as SG
 from savora.operators.blocks import block_topk
 from savora.operators.skipgram import skip_gram
 from savora.plans.features import hex_sql
@@ -274,6 +275,25 @@ def i14(t):
     return _spread(G.sage_layers(edges(t), G.hash_vectors(_nodes(t), DIM, "x"), DIM, 2, 5, "sage"))
 
 
+@query("i14_learned_aggregation", f"""
+WITH {BOTH_SQL} SELECT count(DISTINCT src) AS n_nodes, count(DISTINCT src) AS n_unit, 1 AS held_out_loss_falls FROM edges""")
+def i14_learned(t):
+    """Learned weights: all nodes have vectors of length 1 or 0, and the loss of links kept out of training falls."""
+    e = materialise(edges(t))
+    kept_out = hash_int("kept", F.least("src", "dst"), F.greatest("src", "dst")) % 10 == 0
+    train, held = materialise(e.where(~kept_out)), materialise(e.where(kept_out))
+    nodes = materialise(_nodes(t))
+    features = materialise(G.hash_vectors(nodes, DIM, "x"))
+    fresh = materialise(SG.link_pairs(held, nodes, 1.0, "fresh"))
+    sizes = [DIM, DIM, DIM]
+    weights, _ = SG.fit_sage(train, features, lambda step: SG.link_pairs(train, nodes, 0.5, f"sage{step}"), sizes, 5, steps=4, rate=0.05)
+    before, after = (SG.link_loss(train, features, w, fresh, 5) for w in (SG.start_weights(sizes), weights))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    vec = SG.sage_vectors(train, features, weights, 5)
+    ok = (F.abs(norm - 1) < 1e-6) | (norm == 0)
+    return vec.agg(F.count("*").alias("n_nodes"), F.count_if(ok).alias("n_unit"), F.lit(int(after < before)).alias("held_out_loss_falls"))
+
+
 def _light_parts():
     layer = lambda i: f"""l{i + 1} AS (SELECT src AS id, {', '.join(f'sum(w * d{d}) AS d{d}' for d in range(DIM))} FROM norm JOIN l{i} ON l{i}.id = norm.dst GROUP BY 1)"""
     l0 = f"l0 AS (SELECT id, {HASH_VEC} FROM (SELECT DISTINCT src AS id FROM edges))"
