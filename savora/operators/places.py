@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,11 +184,47 @@ def regions_from_components(labels: DataFrame, min_cells: int) -> DataFrame:
     return labels.join(sizes, "comp").select(F.col("id").alias("cell_id"), F.when(F.col("n") >= min_cells, F.col("comp")).otherwise("-1").alias("region"))
 
 
-def region_diameter(cells: DataFrame, res: int, cell: str = "cell_id", region: str = "region") -> DataFrame:
+def _hull():
+    """A task function that leaves the rows at the corners of their convex hull on the sphere: the planar hull after
+    a projection that keeps great circles straight. Points over 45 degrees from their mean are no region: all stay."""
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        la, lo = np.radians(pdf["la"].to_numpy(float)), np.radians(pdf["lo"].to_numpy(float))
+        p = np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], axis=1)
+        c = p.mean(axis=0)
+        size = np.linalg.norm(c)
+        c = c / size if size > 1e-9 else p[0]
+        height = p @ c
+        if len(pdf) < 4 or height.min() < 0.71:
+            return pdf
+        east = np.cross([0.0, 0.0, 1.0] if abs(c[2]) < 0.9 else [1.0, 0.0, 0.0], c)
+        east /= np.linalg.norm(east)
+        x, y = p @ east / height, p @ np.cross(c, east) / height
+        order = np.lexsort((y, x))
+        keep = set()
+        for way in (order, order[::-1]):
+            chain = []
+            for i in way:
+                while len(chain) > 1:
+                    a, b = chain[-2], chain[-1]
+                    if (x[b] - x[a]) * (y[i] - y[a]) - (y[b] - y[a]) * (x[i] - x[a]) > 0:
+                        break
+                    chain.pop()
+                chain.append(i)
+            keep.update(chain)
+        return pdf.iloc[sorted(keep)]
+
+    return corners
+
+
+def region_diameter(
+    cells: DataFrame, res: int, cell: str = "cell_id", region: str = "region", small: int = 256, rows_per_hull: int = 2048,
+) -> DataFrame:
     """Largest distance between two cells of a region in km.
 
-    Along a grid row distance grows towards its ends, so the farthest pair always consists of
-    row ends; comparing those takes rows squared instead of cells squared.
+    Along a grid row distance grows towards its ends, so the farthest pair always consists of row ends. A cap of
+    the sphere that holds the corners of a hull holds the hull, so of more than `small` row ends only corners of the
+    hull are compared: hulls of `rows_per_hull` rows each are built in tasks and merged. The result is the same.
     """
     c = F.col(cell)
     ends = (
@@ -195,9 +233,17 @@ def region_diameter(cells: DataFrame, res: int, cell: str = "cell_id", region: s
     )
     pts = ends.select(region, "r", F.explode(F.array_distinct(F.array("q1", "q2"))).alias("q"))
     lat, lon = geo.centre(F.col("q"), F.col("r"), res)
-    pts = pts.select(region, lat.alias("la"), lon.alias("lo"))
-    other = pts.select(region, F.col("la").alias("la2"), F.col("lo").alias("lo2"))
-    return pts.join(other, region).groupBy(region).agg(F.max(geo.haversine_km("la", "lo", "la2", "lo2")).alias("diameter_km"))
+    pts = materialise(pts.select(region, lat.alias("la"), lon.alias("lo"), F.floor(F.col("r") / rows_per_hull).alias("part")))
+    sizes = pts.groupBy(region).agg(F.count("*").alias("n"))
+    large = materialise(sizes.where(F.col("n") > small))
+    left = pts.select(region, "la", "lo")
+    if not large.isEmpty():
+        parts = pts.join(large, region, "left_semi").groupBy(region, "part").applyInPandas(_hull(), pts.schema)
+        hulls = parts.groupBy(region).applyInPandas(_hull(), pts.schema)
+        left = left.join(large, region, "left_anti").unionByName(hulls.select(region, "la", "lo"))
+        left = materialise(left)
+    other = left.select(region, F.col("la").alias("la2"), F.col("lo").alias("lo2"))
+    return left.join(other, region).groupBy(region).agg(F.max(geo.haversine_km("la", "lo", "la2", "lo2")).alias("diameter_km"))
 
 
 def split_oversize(cells: DataFrame, edges: DataFrame, res: int, max_cells: int, max_km: float, min_cells: int) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from savora.functions import geo
@@ -73,6 +74,28 @@ def test_split_and_diameter(spark):
     assert all(r["diameter_km"] <= 1.5 for r in P.region_diameter(out, 9).collect())
 
 
+def test_diameter_by_merged_hulls(spark):
+    """Regions of any shape, with tiny hulls and with none, against all pairs."""
+    r = random.Random(8)
+    rows, want = [], {}
+    for name, n, spread in [("blob", 300, 60), ("thin", 200, 900), ("one", 1, 1), ("two", 2, 50), ("row", 40, 0)]:
+        spots = {(r.randint(0, 3 if name == "thin" else 60), 9000 + r.randint(0, spread)) for _ in range(n)}
+        rows += [(geo_cell(q, k), name) for q, k in spots]
+        pts = [(geo.side(9) * 1.5 * k / geo.METRES_PER_DEGREE_LAT, geo.side(9) * 3**0.5 * (q + k / 2) / geo.metres_per_lon()) for q, k in spots]
+        want[name] = max(hav(a, b) for a in pts for b in pts)
+    cells = spark.createDataFrame(rows + [(geo_cell(1, 1), "-1")], "cell_id string, region string")
+    for small, per_hull in [(0, 5), (3, 64), (256, 2048)]:
+        got = {x["region"]: x["diameter_km"] for x in P.region_diameter(cells, 9, small=small, rows_per_hull=per_hull).collect()}
+        assert set(got) == set(want)
+        assert all(abs(got[k] - want[k]) < 1e-7 for k in want)
+    kept = P._hull()(pd.DataFrame({"la": [37.0, 37.0, 37.1, 37.1, 37.05], "lo": [127.0, 127.1, 127.0, 127.1, 127.05]}))
+    assert sorted(kept.index) == [0, 1, 2, 3]
+
+
+def geo_cell(q, r):
+    return f"9_{q}_{r}"
+
+
 def test_orphans_join_the_nearest_region(spark):
     rows = [("9_0_0", "A"), ("9_1_0", "A"), ("9_3_0", "-1"), ("9_5_0", "B"), ("9_20_0", "-1"), ("9_4_0", "-1")]
     got = {r["cell_id"]: r["region"] for r in P.adopt_orphans(spark.createDataFrame(rows, "cell_id string, region string"), 9, 5.0).collect()}
