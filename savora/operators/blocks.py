@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from savora.functions.ordering import global_order
 from savora.operators.popularity import top_per_group
+from savora.session import materialise
 
 QUERY_BLOCK = 16384
 ITEM_BLOCK = 16384
@@ -27,43 +29,13 @@ def _block_of(id_col: Column, n: Column) -> Column:
     return F.pmod(F.xxhash64(id_col.cast("long")), n).cast("int")
 
 
-def block_topk(
-    queries: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None, normalise: bool = False,
-    skip_same: bool = False, digits: int = 6, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK,
-    within: str | None = None,
-) -> DataFrame:
-    """Best k items per query by dot product (cosine with `normalise`).
+def _best_in_blocks(rows: DataFrame, normalise: bool, skip_same: bool, digits: int) -> DataFrame:
+    """Of every query its `ask` best items of every item block, as (user, item, score).
 
-    queries: (user, vec), items: (item, vec), seen: (user, item) pairs that may not appear. With
-    `within`, a column of both sides, queries only meet items of their own value.
-    Returns (user, item, score, pos). Scores are rounded before ranking, so the order does not
-    depend on the order of float additions.
+    rows: (g, qb, ib, kind, id, ask, vec) with kind 0 for queries and 1 for items.
     """
-    nq, ni = _blocks(queries, query_block), _blocks(items, item_block)
-    vec = lambda: F.col("vec").cast("array<double>").alias("vec")
-    none = F.lit(None).cast("long")
-    part_key = F.lit("") if within is None else F.col(within).cast("string")
-    if within is not None and seen is not None:
-        raise ValueError("seen pairs carry no group; filter them beforehand")
-    q = queries.select(
-        _block_of(F.col("user"), nq).alias("qb"), F.explode(F.sequence(F.lit(0), ni - 1)).alias("ib"),
-        F.lit(0).alias("kind"), F.col("user").cast("long").alias("a"), none.alias("b"), vec(), part_key.alias("g"),
-    )
-    i = items.select(
-        F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"), _block_of(F.col("item"), ni).alias("ib"),
-        F.lit(1).alias("kind"), F.col("item").cast("long").alias("a"), none.alias("b"), vec(), part_key.alias("g"),
-    )
-    rows = q.unionByName(i)
-    if seen is not None:
-        s = seen.select("user", "item").distinct().select(
-            _block_of(F.col("user"), nq).alias("qb"), _block_of(F.col("item"), ni).alias("ib"), F.lit(2).alias("kind"),
-            F.col("user").cast("long").alias("a"), F.col("item").cast("long").alias("b"),
-            F.lit(None).cast("array<double>").alias("vec"), F.lit("").alias("g"),
-        )
-        rows = rows.unionByName(s)
-
     # Task functions carry all they need: executors have NumPy and pandas, not this package.
-    def best_k(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         """Positions of the k best scores, ties by id; ties on the border are resolved exactly."""
         ok = np.flatnonzero(scores > -np.inf)
         if ok.size > k:
@@ -72,38 +44,134 @@ def block_topk(
         return ok[np.lexsort((ids[ok], -scores[ok]))][:k]
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs, its, sn = (pdf[pdf["kind"] == n] for n in (0, 1, 2))
-        empty = pd.DataFrame({"user": [], "item": [], "score": []}).astype({"user": "int64", "item": "int64", "score": "float64"})
+        qs, its = (pdf[pdf["kind"] == n] for n in (0, 1))
         if qs.empty or its.empty:
-            return empty
-        qid, iid = qs["a"].to_numpy(np.int64), its["a"].to_numpy(np.int64)
+            return pd.DataFrame({"user": [], "item": [], "score": []}).astype({"user": "int64", "item": "int64", "score": "float64"})
+        qid, iid, ask = qs["id"].to_numpy(np.int64), its["id"].to_numpy(np.int64), qs["ask"].to_numpy(np.int64)
         qm, im = np.stack(qs["vec"].to_numpy()), np.stack(its["vec"].to_numpy())
         if normalise:
             qm = qm / np.maximum(np.linalg.norm(qm, axis=1, keepdims=True), 1e-12)
             im = im / np.maximum(np.linalg.norm(im, axis=1, keepdims=True), 1e-12)
-        qrow = pd.Series(np.arange(qid.size), index=qid)
-        icol = pd.Series(np.arange(iid.size), index=iid)
-        known = sn[sn["a"].isin(qrow.index) & sn["b"].astype("int64").isin(icol.index)] if not sn.empty else sn
-        srow = qrow.loc[known["a"]].to_numpy() if not known.empty else np.array([], dtype=int)
-        scol = icol.loc[known["b"].astype("int64")].to_numpy() if not known.empty else np.array([], dtype=int)
         users, picks, values = [], [], []
         for lo in range(0, qid.size, CHUNK):
             block = np.round(qm[lo : lo + CHUNK] @ im.T, digits) + 0.0
-            inside = (srow >= lo) & (srow < lo + CHUNK)
-            block[srow[inside] - lo, scol[inside]] = -np.inf
             for row in range(block.shape[0]):
                 if skip_same:
                     block[row, iid == qid[lo + row]] = -np.inf
-                best = best_k(block[row], iid)
+                best = best_of(block[row], iid, int(ask[lo + row]))
                 users.append(np.full(best.size, qid[lo + row]))
                 picks.append(iid[best])
                 values.append(block[row, best])
         return pd.DataFrame({"user": np.concatenate(users), "item": np.concatenate(picks), "score": np.concatenate(values)})
 
-    part = rows.groupBy("g", "qb", "ib").applyInPandas(score, "user long, item long, score double")
+    return rows.groupBy("g", "qb", "ib").applyInPandas(score, "user long, item long, score double")
+
+
+def _meet(queries: DataFrame, items: DataFrame, seen: DataFrame | None, asks: DataFrame | None, nq: Column, k: int, normalise: bool, skip_same: bool, digits: int) -> DataFrame:
+    """Best k unseen items per query. queries: (user, vec, g, ib) once per item block to meet, items: (item, vec, g, ib).
+
+    A query asks a block for k items more than it has seen there, and seen pairs are joined away afterwards,
+    so no task holds the lists of its users.
+    """
+    none = F.lit(None).cast("long")
+    if asks is not None:
+        queries = queries.join(asks, ["user", "ib"], "left")
+    more = F.lit(0) if asks is None else F.coalesce("seen", F.lit(0))
+    q = queries.select(
+        "g", _block_of(F.col("user"), nq).alias("qb"), "ib", F.lit(0).alias("kind"), F.col("user").alias("id"), (more + k).cast("long").alias("ask"), "vec"
+    )
+    i = items.select(
+        "g", F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"), "ib", F.lit(1).alias("kind"), F.col("item").alias("id"), none.alias("ask"), "vec"
+    )
+    part = _best_in_blocks(q.unionByName(i), normalise, skip_same, digits)
+    if seen is not None:
+        part = part.join(seen, ["user", "item"], "left_anti")
     return top_per_group(part, ["user"], [F.desc("score"), F.asc("item")], k, rank="pos")
 
 
+def _side(df: DataFrame, name: str, g: Column) -> DataFrame:
+    return df.select(F.col(name).cast("long").alias(name), F.col("vec").cast("array<double>").alias("vec"), g.alias("g"))
+
+
+def _pairs(seen: DataFrame) -> DataFrame:
+    return seen.select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item")).distinct()
+
+
+def block_topk(
+    queries: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None, normalise: bool = False,
+    skip_same: bool = False, digits: int = 6, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK,
+    within: str | None = None,
+) -> DataFrame:
+    """Best k items per query by dot product (cosine with `normalise`).
+
+    queries: (user, vec), items: (item, vec), both ids unique, seen: (user, item) pairs that may not appear. With
+    `within`, a column of both sides, queries only meet items of their own value.
+    Returns (user, item, score, pos). Scores are rounded before ranking, so the order does not
+    depend on the order of float additions. Dot products over more than one block of items are pruned by
+    `pruned_topk`; the rows are the same.
+    """
+    if within is not None and seen is not None:
+        raise ValueError("seen pairs carry no group; filter them beforehand")
+    part_key = F.lit("") if within is None else F.col(within).cast("string")
+    i = materialise(_side(items, "item", part_key))
+    if within is None and not normalise and i.count() > item_block:
+        return pruned_topk(queries, i, k, seen, skip_same, digits, query_block, item_block)[0]
+    nq, ni = _blocks(queries, query_block), _blocks(i, item_block)
+    q = _side(queries, "user", part_key).withColumn("ib", F.explode(F.sequence(F.lit(0), ni - 1)))
+    block = _block_of(F.col("item"), ni)
+    asks = None
+    if seen is not None:
+        seen = _pairs(seen)
+        asks = seen.groupBy("user", block.alias("ib")).agg(F.count("*").alias("seen"))
+    return _meet(q, i.withColumn("ib", block), seen, asks, nq, k, normalise, skip_same, digits)
+
+
+def pruned_topk(
+    queries: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None, skip_same: bool = False,
+    digits: int = 6, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK,
+) -> tuple[DataFrame, DataFrame]:
+    """`block_topk` by dot product over blocks of falling vector length, and (user, blocks): the blocks a query met.
+
+    By Cauchy-Schwarz no item of a block scores more than the query's length times the block's largest. Rounds of
+    1, 2, 4, ... blocks raise each query's k-th score; a query meets a block only if the bound reaches that
+    score (with the rounding added, so ties are found), and leaves when the next block cannot.
+    """
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    none = F.lit("")
+    ordered = global_order(_side(items, "item", none).withColumn("len", length), F.struct((-F.col("len")).alias("a"), F.col("item").alias("b")), rank="rn")
+    placed = materialise(ordered.select("item", "vec", "g", "len", F.floor((F.col("rn") - 1) / item_block).cast("int").alias("ib")))
+    n_blocks = -(-placed.count() // item_block)
+    longest = placed.groupBy("ib").agg(F.max("len").alias("len"))
+    # One number per block of items.
+    limits = materialise(longest.agg(F.transform(F.array_sort(F.collect_list(F.struct("ib", "len"))), lambda x: x["len"]).alias("m"))).agg(F.first("m")).scalar()
+    asks = None
+    if seen is not None:
+        seen = materialise(_pairs(seen))
+        asks = materialise(seen.join(placed.select("item", "ib"), "item").groupBy("user", "ib").agg(F.count("*").alias("seen")))
+    active = materialise(_side(queries, "user", none).withColumn("len", length).withColumn("blocks", F.lit(0)))
+    spark = active.sparkSession
+    best = spark.createDataFrame([], "user long, item long, score double, pos int")
+    met = active.select("user", "blocks")
+    lo, width = 0, 1
+    while lo < n_blocks:
+        hi = min(lo + width, n_blocks)
+        kth = best.where(F.col("pos") == k).select("user", F.col("score").alias("kth"))
+        reach = F.filter(F.slice("limits", lo + 1, hi - lo), lambda m: F.col("len") * m * (1 + 1e-9) + 10.0**-digits >= F.col("kth"))
+        blocks = F.when(F.col("kth").isNull(), hi - lo).otherwise(F.size(reach))
+        active = materialise(active.drop("blocks").join(kth, "user", "left").withColumn("limits", limits).withColumn("blocks", blocks).drop("kth", "limits").where("blocks > 0"))
+        n = active.count()
+        if n == 0:
+            break
+        met = met.unionByName(active.select("user", "blocks"))
+        q = active.select("user", "vec", "g", F.explode(F.sequence(F.lit(lo), F.col("blocks") + (lo - 1))).alias("ib"))
+        its = placed.where((F.col("ib") >= lo) & (F.col("ib") < hi)).select("item", "vec", "g", "ib")
+        found = _meet(q, its, seen, asks, F.lit(-(-n // query_block)), k, False, skip_same, digits)
+        both = best.drop("pos").unionByName(found.drop("pos"))
+        best = materialise(top_per_group(both, ["user"], [F.desc("score"), F.asc("item")], k, rank="pos"))
+        lo, width = hi, width * 2
+    return best, met.groupBy("user").agg(F.sum("blocks").alias("blocks"))
+
+
 def heavy_pair_sums(heavy: DataFrame, users_per_slice: int = 256, item_block: int = 1024) -> DataFrame:
     """Co-occurrence sums of item pairs over users with very many items.
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from savora.operators import neighbors as N
-from savora.operators.blocks import block_topk
+from savora.operators.blocks import block_topk, pruned_topk
 
 
 def test_block_topk_matches_numpy(spark):
@@ -21,6 +21,28 @@ def test_block_topk_matches_numpy(spark):
         assert [(m[1], m[2]) for m in mine] == [(j, -s) for s, j in want]
 
 
+def test_blocks_are_skipped_and_rows_stay(spark):
+    """Lengths fall fast, one user has seen the longest items, ties lie across blocks, one vector is zero."""
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(60, 3)), 1) * np.where(np.arange(60) < 12, 8.0, 0.25)[:, None]
+    v[20:24] = v[3]
+    u = np.round(rng.normal(size=(12, 3)), 1)
+    u[5] = 0
+    seen = {(0, j) for j in range(40)} | {(1, j) for j in range(60)} | {(2, 3), (2, 3000)}
+    q = spark.createDataFrame([(i, u[i].tolist()) for i in range(12)], "user long, vec array<double>")
+    it = spark.createDataFrame([(j, v[j].tolist()) for j in range(60)], "item long, vec array<double>")
+    sn = spark.createDataFrame([*seen, (2, 3)], "user long, item long")
+    top, met = pruned_topk(q, it, 4, sn, query_block=5, item_block=6)
+    got, blocks = top.collect(), {r["user"]: r["blocks"] for r in met.collect()}
+    for i in range(12):
+        want = sorted((-round(float(u[i] @ v[j]), 6) + 0.0, j) for j in range(60) if (i, j) not in seen)[:4]
+        assert [(r["item"], r["score"]) for r in sorted((r for r in got if r["user"] == i), key=lambda r: r["pos"])] == [(j, -x + 0.0) for x, j in want]
+    assert blocks[1] == 10 and min(blocks.values()) < 10 and sum(blocks.values()) < 100
+    none, met = pruned_topk(q.limit(0), it, 4, sn, item_block=6)
+    assert none.count() == 0 and met.count() == 0
+    assert block_topk(q, it.limit(0), 4).count() == 0
+
+
 def test_heavy_users_add_up(spark):
     rng = random.Random(8)
     rows = [(0, i, float(rng.randint(1, 5))) for i in range(60)] + [(u, i, float(rng.randint(1, 5))) for u in range(1, 30) for i in rng.sample(range(60), 6)]
