@@ -229,13 +229,56 @@ def _encode(df: DataFrame, codes: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return df
 
 
+def nearest_coded(spots: DataFrame, points: DataFrame, k: int, width: int = 4) -> DataFrame:
+    """The k nearest rows of every spot (large, s0, d0) among points (large, small_code, detail_code, middle, cnt) of
+    its category, as (large, s0, d0, middle, d2, use) with `use` of the point's `cnt` rows taken.
+
+    Spots look at the three by three cells around them. All points nearer than one cell width plus 1 lie there, since
+    codes are whole numbers; spots with k rows that near are done, the others go on with cells twice as wide until one
+    block holds the plane. Equally near points are taken in the order of codes and label.
+    """
+    spot = ["large", "s0", "d0"]
+    points = materialise(points)
+    todo = materialise(spots.join(points.select("large").distinct(), "large", "left_semi"))
+    codes = points.select("small_code", "detail_code").unionByName(todo.select(F.col("s0").alias("small_code"), F.col("d0").alias("detail_code")))
+    span = codes.select(F.max(F.greatest("small_code", "detail_code"))).first()[0]
+    parts = []
+    while span is not None and not todo.isEmpty():
+        # The last cells hold every code from -1 up, on either side of a spot.
+        last = width > span + 1
+        at = lambda c: F.floor(F.col(c) / width)
+        step = F.sequence(F.lit(-1), F.lit(1))
+        cells = todo.select(*spot, F.explode(F.transform(step, lambda x: at("s0") + x)).alias("cx")).select(
+            "*", F.explode(F.transform(step, lambda y: at("d0") + y)).alias("cy")
+        )
+        d2 = ((F.col("small_code") - F.col("s0")) ** 2 + (F.col("detail_code") - F.col("d0")) ** 2).cast("double")
+        near = cells.join(points.withColumn("cx", at("small_code")).withColumn("cy", at("detail_code")), ["large", "cx", "cy"]).withColumn("d2", d2)
+        near = materialise(near.drop("cx", "cy") if last else near.where(F.col("d2") < (width + 1) ** 2).drop("cx", "cy"))
+        if not last:
+            done = materialise(near.groupBy(*spot).agg(F.sum("cnt").alias("n")).where(F.col("n") >= k).select(*spot))
+            near = near.join(done, spot, "left_semi")
+        w = W.partitionBy(*spot).orderBy("d2", "small_code", "detail_code", "middle").rowsBetween(W.unboundedPreceding, -1)
+        parts.append(near.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0))).where(F.col("before") < k).select(
+            *spot, "middle", "d2", F.least(F.col("cnt"), F.lit(k) - F.col("before")).alias("use")
+        ))
+        if last:
+            break
+        todo = materialise(todo.join(done, spot, "left_anti"))
+        width *= 2
+    if not parts:
+        return todo.join(points, "large").select(*spot, "middle", F.lit(0.0).alias("d2"), F.col("cnt").alias("use")).limit(0)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def knn_impute(df: DataFrame, key: str, k: int = 5, predict: Column | None = None, seed: str = "knn") -> DataFrame:
     """Predicted middle by distance-weighted vote of the k nearest training rows of the same
     large category, on label-coded small and detail.
 
     Rows sharing (large, small, detail, middle) are one point with a count, and rows to predict
-    share one answer per (large, small, detail). The neighbour search therefore joins points of
-    the taxonomy, whose number does not grow with the rows. Without `predict` the rows lacking a
+    share one answer per (large, small, detail); `nearest_coded` finds their neighbours. Without `predict` the rows lacking a
     middle are predicted. Returns (key, large, predicted).
     """
     known = df.where("middle is not null and large is not null")
@@ -250,12 +293,7 @@ def knn_impute(df: DataFrame, key: str, k: int = 5, predict: Column | None = Non
     )
     asked = _encode(df.where(wanted & F.col("large").isNotNull()), codes).select(key, "large", "small_code", "detail_code")
     spots = asked.select("large", F.col("small_code").alias("s0"), F.col("detail_code").alias("d0")).distinct()
-    d2 = (F.col("small_code") - F.col("s0")) ** 2 + (F.col("detail_code") - F.col("d0")) ** 2
-    near = spots.join(points, "large").withColumn("d2", d2.cast("double"))
-    w = W.partitionBy("large", "s0", "d0").orderBy("d2", "small_code", "detail_code", "middle").rowsBetween(W.unboundedPreceding, -1)
-    taken = near.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0))).where(F.col("before") < k).withColumn(
-        "use", F.least(F.col("cnt"), F.lit(k) - F.col("before"))
-    )
+    taken = nearest_coded(spots, points, k)
     votes = taken.groupBy("large", "s0", "d0", "middle").agg(
         F.sum(F.when(F.col("d2") == 0, F.col("use")).otherwise(0)).alias("same"),
         F.sum(F.when(F.col("d2") > 0, F.col("use") / F.sqrt("d2")).otherwise(0.0)).alias("other"),

@@ -94,3 +94,29 @@ def test_change_patterns(spark):
     b = spark.createDataFrame([(1, "x1"), (2, "x2"), (3, "y"), (4, "q"), (5, "q")], "i long, middle string")
     got = {(r["before"], r["after"]): (r["pattern"], r["merged"]) for r in K.change_patterns(a, b, "i").collect()}
     assert got == {("x", "x1"): ("split", 0), ("x", "x2"): ("split", 0), ("y", "y"): ("kept", 0), ("z", "q"): ("renamed", 1), ("w", "q"): ("renamed", 1)}
+
+
+def test_nearest_coded_equals_all_pairs(spark):
+    """Cells of several widths, equal distances, copies that fill the k, codes of -1 and categories on one side only."""
+    r = random.Random(4)
+    points = {}
+    for large, span, n in [("a", 70, 60), ("b", 3, 40), ("c", 400, 5), ("d", 0, 1)]:
+        for _ in range(n):
+            points[(large, r.randint(-1, span), r.randint(-1, span), r.choice("xyz"))] = r.choice([1, 1, 2, 9])
+    spots = {(large, r.randint(-1, 70), r.randint(-1, 70)) for large in "abcdq" for _ in range(12)}
+    want = {}
+    for large, s0, d0 in spots:
+        left = 4
+        for d2, s, d, m in sorted(((s - s0) ** 2 + (d - d0) ** 2, s, d, m) for g, s, d, m in points if g == large):
+            if left > 0:
+                use = min(left, points[(large, s, d, m)])
+                left -= use
+                want.setdefault((large, s0, d0), []).append((float(d2), m, use))
+    sp = spark.createDataFrame(sorted(spots), "large string, s0 int, d0 int")
+    pt = spark.createDataFrame([(*k, v) for k, v in points.items()], "large string, small_code int, detail_code int, middle string, cnt long")
+    for width in (1, 4, 1024):
+        got = {}
+        for x in K.nearest_coded(sp, pt, 4, width).collect():
+            got.setdefault((x["large"], x["s0"], x["d0"]), []).append((x["d2"], x["middle"], x["use"]))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert K.nearest_coded(sp, pt.limit(0), 4).count() == 0 and K.nearest_coded(sp.limit(0), pt, 4).count() == 0
