@@ -18,6 +18,7 @@ from savora.session import materialise
 QUERY_BLOCK = 16384
 ITEM_BLOCK = 16384
 CHUNK = 512
+SLICE = 20_000
 
 
 def _blocks(df: DataFrame, size: int) -> Column:
@@ -172,6 +173,27 @@ def pruned_topk(
     return best, met.groupBy("user").agg(F.sum("blocks").alias("blocks"))
 
 
+def sliced_join(left: DataFrame, right: DataFrame, key: str, size: int = SLICE) -> DataFrame:
+    """`left.join(right, key)` in which no key value is met by more than about size x size rows in one task.
+
+    Values with more than `size` rows on a side are cut into slices there, by hash of the row, and every pair of
+    slices is a join key of its own. The table of such values has at most one row per `size` rows of input. Rows
+    without a key are left out, as in the plain join.
+    """
+    count = lambda df, name: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    hot = materialise(count(left, "__l").join(count(right, "__r"), key).where("__l > 1 or __r > 1"))
+    if hot.isEmpty():
+        return left.join(right, key)
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        known = df.join(hot, key, "left")
+        mine = F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col(f"__{own}")).cast("int"), F.lit(0)).alias(f"__s{own}")
+        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(f"__{other}", F.lit(1)) - 1)).alias(f"__s{other}")
+        return known.select(*df.columns, mine, theirs)
+
+    return spread(left, "l", "r").join(spread(right, "r", "l"), [key, "__sl", "__sr"]).drop("__sl", "__sr")
+
+
 def heavy_pair_sums(heavy: DataFrame, users_per_slice: int = 256, item_block: int = 1024) -> DataFrame:
     """Co-occurrence sums of item pairs over users with very many items.
 

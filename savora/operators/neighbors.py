@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from savora.operators.blocks import heavy_pair_sums
+from savora.operators.blocks import SLICE, heavy_pair_sums, sliced_join
 from savora.operators.ids import id_mapping
 from savora.operators.popularity import top_per_group
 from savora.session import materialise
@@ -93,9 +93,9 @@ def hybrid_similar(
     return top_per_group(mixed, ["target"], [F.desc("hybrid"), F.asc("item")], k, rank="pos")
 
 
-def recommend_for_users(inter: DataFrame, sims: DataFrame, k: int, pad: bool = True, users: DataFrame | None = None) -> DataFrame:
+def recommend_for_users(inter: DataFrame, sims: DataFrame, k: int, pad: bool = True, users: DataFrame | None = None, slice_size: int = SLICE) -> DataFrame:
     """Similarity-weighted mean of the user's ratings for every unseen item. With `users` only
-    theirs are read.
+    theirs are read. Ratings of popular items are joined in slices.
 
     Items without any similar rated one predict 0; they fill lists that would stay short, by
     lowest id, as in a dense score vector.
@@ -104,7 +104,7 @@ def recommend_for_users(inter: DataFrame, sims: DataFrame, k: int, pad: bool = T
     known = inter
     if users is not None:
         inter = materialise(inter.join(users.select("user").distinct(), "user", "left_semi"))
-    votes = inter.join(near, "item").groupBy("user", "cand").agg(
+    votes = sliced_join(inter, near, "item", slice_size).groupBy("user", "cand").agg(
         F.sum(F.col("r") * F.col("sim")).alias("num"), F.sum(F.abs("sim")).alias("den")
     )
     seen = inter.select("user", F.col("item").alias("cand"))
@@ -158,16 +158,16 @@ def similar_statistics(result: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def nearest_warm_user(inter: DataFrame, liked: DataFrame, method: str = "cosine") -> DataFrame:
+def nearest_warm_user(inter: DataFrame, liked: DataFrame, method: str = "cosine", slice_size: int = SLICE) -> DataFrame:
     """Most similar warm user for each cold user's liked list (cold, item, r).
 
     Cosine ties go to the user with fewer items, Jaccard ties to the larger overlap, then to the
-    lower id. A list that meets no warm user has no row.
+    lower id. A list that meets no warm user has no row. Lists meet in slices of a popular item.
     """
     warm = inter.groupBy("user").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("wn"), F.count("*").alias("wc"))
     cold = liked.groupBy("cold").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("cn"), F.count("*").alias("cc"))
     meet = (
-        liked.select("cold", "item", F.col("r").alias("cr")).join(inter, "item").groupBy("cold", "user")
+        sliced_join(inter.select("user", "item", "r"), liked.select("cold", "item", F.col("r").alias("cr")), "item", slice_size).groupBy("cold", "user")
         .agg(F.sum(F.col("cr") * F.col("r")).alias("dot"), F.count("*").alias("co"))
         .join(warm, "user").join(cold, "cold")
     )

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from savora.operators import neighbors as N
-from savora.operators.blocks import block_topk, pruned_topk
+from savora.operators.blocks import block_topk, pruned_topk, sliced_join
 
 
 def test_block_topk_matches_numpy(spark):
@@ -85,3 +85,24 @@ def test_save_all_needs_enough_interactions(spark):
 def test_round_trip_of_scores(spark):
     df = spark.createDataFrame([(1, 2, 0.5)], "target long, item long, sim double")
     assert N.content_similarity(df, None).select(F.sum("content")).collect()[0][0] == 0.0
+
+
+def test_popular_items_are_joined_in_slices(spark):
+    """An item rated by a third of the users, repeated rows, null keys and keys of one side only: equal rows for any slice."""
+    r = random.Random(6)
+    left = [(u, 1 if u % 3 == 0 else r.randint(2, 9), float(u % 5)) for u in range(60)] + [(0, 1, 0.0)] * 3 + [(99, None, 1.0)]
+    right = [(1, c, c / 10) for c in range(25)] + [(k, 1, 0.5) for k in range(3, 12)] + [(None, 1, 1.0)]
+    a = spark.createDataFrame(left, "user long, item long, r double")
+    b = spark.createDataFrame(right, "item long, cand long, sim double")
+    want = sorted((u, i, x, c, s) for u, i, x in left for j, c, s in right if i is not None and i == j)
+    for size in (1, 4, 1000):
+        got = sliced_join(a, b, "item", size).select("user", "item", "r", "cand", "sim").collect()
+        assert sorted(map(tuple, got)) == want
+    inter = spark.createDataFrame([(u, i, float(1 + (u * i) % 5)) for u in range(24) for i in range(9) if i == 0 and u % 3 == 0 or r.random() < 0.4], "user long, item long, r double")
+    sims = N.both_directions(N.item_pairs(inter))
+    lists = [sorted(map(tuple, N.recommend_for_users(inter, sims, 4, slice_size=n).collect())) for n in (2, 1000)]
+    assert lists[0] == lists[1]
+    liked = inter.where("user < 6").select((inter["user"] + 500).alias("cold"), "item", "r")
+    for method in ("cosine", "jaccard"):
+        near = [sorted(map(tuple, N.nearest_warm_user(inter, liked, method, n).collect())) for n in (2, 1000)]
+        assert near[0] == near[1] and len(near[0]) == 6
