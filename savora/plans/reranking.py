@@ -304,10 +304,23 @@ def j16(t):
     return t.diner.select("diner_idx", R.region_label("address", ("A", "N", "T")).alias("region"))
 
 
-@query("j17_hotspots")
+def _spot_sql(n, rounds):
+    """Lloyd's rounds unrolled: k0 the start centres, one table of centres a round, `spots` the last."""
+    steps = [f"""pt AS (SELECT region, lat, lon FROM gem WHERE lat IS NOT NULL AND lon IS NOT NULL),
+ k0 AS MATERIALIZED (SELECT region, lat, lon FROM (SELECT DISTINCT region, lat, lon FROM pt WHERE region IN (SELECT region FROM pt GROUP BY 1 HAVING count(*) >= 2))
+  QUALIFY row_number() OVER (PARTITION BY region ORDER BY {HASH_SQL.format("'hot|' || lat || '|' || lon")}, lat, lon) <= {n})"""]
+    for i in range(rounds):
+        steps.append(f"""k{i + 1} AS MATERIALIZED (SELECT region, avg(lat) AS lat, avg(lon) AS lon FROM (SELECT pt.*, c.lat AS cl, c.lon AS co FROM pt JOIN k{i} c USING (region)
+  QUALIFY row_number() OVER (PARTITION BY region, pid ORDER BY (c.lat - pt.lat) ** 2 + (c.lon - pt.lon) ** 2, c.lat, c.lon) = 1) GROUP BY region, cl, co)""")
+    steps[0] = steps[0].replace("pt AS (SELECT region, lat, lon FROM gem", "pt AS MATERIALIZED (SELECT diner_idx AS pid, region, lat, lon FROM gem")
+    return ",\n ".join(steps) + f",\n spots AS (SELECT * FROM k{rounds})"
+
+
+@query("j17_hotspots", f"""
+WITH {GEM_SQL}, {_spot_sql(5, 5)} SELECT region, CAST(row_number() OVER (PARTITION BY region ORDER BY lat, lon) - 1 AS INTEGER) AS place, round(lat, 6) AS lat, round(lon, 6) AS lon FROM spots""")
 def j17(t):
     spots = R.hotspots(_gems(t), "region", "lat", "lon", n=5, rounds=5)
-    return spots.select("region", F.posexplode("centres").alias("place", "c")).select("region", "place", "c.lat", "c.lon")
+    return spots.select("region", F.posexplode("centres").alias("place", "c")).select("region", "place", F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"))
 
 
 CENTRES = [(37.5, 126.95), (37.6, 127.02), (37.45, 126.85)]
@@ -390,7 +403,16 @@ def j22(t):
     return R.best_experiment(R.experiment_scores(ranked, 10, 3.2)).select("dataset", "exp", F.round("high_share", 6).alias("high_share"), F.round("combined", 6).alias("combined"))
 
 
-@query("j23_region_variant")
+BAYES_SQL = "coalesce((m * n + (SELECT avg(m) FROM st) * 5) / (n + 5), 0)"
+
+
+@query("j23_region_variant", f"""
+WITH {GEM_SQL}, {STAT_SQL}, one AS (SELECT gem.*, {DMIN_SQL} AS dm, {BAYES_SQL} AS ba FROM gem LEFT JOIN st USING (diner_idx)
+  WHERE region = 'ASIA' OR (SELECT count(*) FROM gem WHERE region = 'ASIA') = 0),
+ hs AS (SELECT *, ba + greatest(0, least(0.5::DOUBLE * ({MM.format('dm', 'PARTITION BY region')}), 0.15::DOUBLE)) AS hidden FROM one),
+ cand AS (SELECT region, diner_idx AS item, large AS cat, lat, lon, {MM.format('hidden', 'PARTITION BY region')} AS rel FROM hs),
+ picked AS (WITH {_mmr_sql(20)})
+SELECT p.region, CAST(p.pos AS INTEGER) AS pos, p.item, round(hidden, 6) AS hidden_score FROM picked p JOIN hs ON hs.diner_idx = p.item""")
 def j23(t):
     one = R.target_region(_gems(t), "ASIA")
     scored = R.hidden_scores(E.bayesian_average(t.review, t.diner, "diner_idx", "score").join(one, "diner_idx"), "bayesian_score", CENTRES, 0.5, 0.15, 0.0, 0.0)
