@@ -27,12 +27,12 @@ def metres_per_lon(lat0: float = REFERENCE_LAT) -> float:
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
-    """Distance in km between two points given in degrees."""
+    """Distance in km between two points given in degrees; null without coordinates."""
     a1, o1, a2, o2 = (F.col(c) if isinstance(c, str) else c if isinstance(c, Column) else F.lit(float(c)) for c in (lat1, lon1, lat2, lon2))
     dlat = F.radians(a2 - a1) / 2.0
     dlon = F.radians(o2 - o1) / 2.0
     h = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(a1)) * F.cos(F.radians(a2)) * F.sin(dlon) * F.sin(dlon)
-    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))  # least() would pass over a null
 
 
 def flat_radian_km(lat1, lon1, lat2, lon2) -> Column:

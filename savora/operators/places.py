@@ -106,7 +106,9 @@ def near_pairs(df: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFr
 
 def nearest_anchor(cells: DataFrame, key: str, lat: str, lon: str, anchors: DataFrame, per_block: int = 1000) -> DataFrame:
     """Closest anchor per row. anchors: (anchor, a_lat, a_lon), any number of them: they travel as
-    packed blocks of bounded length, and a row meets each block once."""
+    packed blocks of bounded length, and a row meets each block once. Anchors without coordinates
+    are nobody's; rows without have neither anchor nor distance."""
+    anchors = anchors.where("a_lat is not null and a_lon is not null")
     n = anchors.agg(F.greatest(F.ceil(F.count("*") / per_block), F.lit(1)).cast("int")).scalar()
     packed = anchors.withColumn("blk", F.pmod(F.xxhash64("anchor"), n).cast("int")).groupBy("blk").agg(
         F.collect_list(F.struct("anchor", "a_lat", "a_lon")).alias("l")
@@ -114,7 +116,9 @@ def nearest_anchor(cells: DataFrame, key: str, lat: str, lon: str, anchors: Data
     rows = cells.select(key, F.col(lat).alias("__la"), F.col(lon).alias("__lo"), F.explode(F.sequence(F.lit(0), n - 1)).alias("blk"))
     km = lambda s: F.struct(F.round(geo.haversine_km(F.col("__la"), F.col("__lo"), s["a_lat"], s["a_lon"]), 9).alias("km"), s["anchor"].alias("anchor"))
     best = rows.join(packed, "blk").select(key, F.array_min(F.transform("l", km)).alias("b"))
-    return best.groupBy(key).agg(F.min("b").alias("b")).select(key, "b.anchor", "b.km")
+    return best.groupBy(key).agg(F.min("b").alias("b")).select(
+        key, F.when(F.col("b.km").isNotNull(), F.col("b.anchor")).alias("anchor"), "b.km"
+    )
 
 
 # --- areas ----------------------------------------------------------------------------------

@@ -54,7 +54,7 @@ def ranked_list(
         if distance is None:
             raise ValueError("method distance needs a distance column")
         out = out.withColumn("distance", distance)
-        order = [F.asc("distance"), F.asc(item)]
+        order = [F.asc_nulls_last("distance"), F.asc(item)]
     elif method == "rating":
         order = [F.desc("rating"), F.desc("n_reviews"), F.asc(item)]
     elif method == "review_count":

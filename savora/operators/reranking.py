@@ -323,7 +323,8 @@ def hotspots(df: DataFrame, region: str, lat: str, lon: str, n: int = 10, rounds
 
 
 def periphery_bonus(df: DataFrame, region: str, lat: str, lon: str, centres: DataFrame | Sequence[tuple[float, float]], strength: float, cap: float) -> DataFrame:
-    """Distance to the nearest centre, scaled per region, times strength, clipped to [0, cap]."""
+    """Distance to the nearest centre, scaled per region, times strength, clipped to [0, cap]; 0 for places without
+    coordinates and in regions without a centre."""
     if isinstance(centres, DataFrame):
         work = df.join(centres, region, "left")
         dmin = F.array_min(F.transform("centres", lambda c: geo.haversine_km(c["lat"], c["lon"], F.col(lat), F.col(lon))))
@@ -332,8 +333,9 @@ def periphery_bonus(df: DataFrame, region: str, lat: str, lon: str, centres: Dat
         dists = [geo.haversine_km(a, b, lat, lon) for a, b in centres]
         work = df.withColumn("__d", F.least(*dists) if len(dists) > 1 else dists[0])
     out = minmax(F.col("__d"), [region], work, "__n")
-    bonus = F.greatest(F.lit(0.0), F.least(F.col("__n") * strength, F.lit(cap)))
-    return out.withColumn("periphery_bonus", F.coalesce(bonus, F.lit(0.0))).drop("__d", "__n")
+    near = F.coalesce("__n", F.lit(0.0))  # least() would pass over a null and give the cap
+    bonus = F.greatest(F.lit(0.0), F.least(near * strength, F.lit(cap)))
+    return out.withColumn("periphery_bonus", bonus).drop("__d", "__n")
 
 
 def rating_and_recency(df: DataFrame, rating: str, recent: str, rating_weight: float = 0.2, recent_weight: float = 0.3) -> DataFrame:

@@ -328,7 +328,7 @@ DMIN_SQL = "least(" + ", ".join(HAVERSINE_SQL.format(la1=a, lo1=b, la2="lat", lo
 
 
 def _bonus_sql(strength, cap):
-    return f"""bon AS (SELECT *, greatest(0, least({strength}::DOUBLE * ({MM.format('dm', 'PARTITION BY region')}), {cap}::DOUBLE)) AS pb FROM (SELECT *, {DMIN_SQL} AS dm FROM gem)),
+    return f"""bon AS (SELECT *, greatest(0, least({strength}::DOUBLE * coalesce({MM.format('dm', 'PARTITION BY region')}, 0), {cap}::DOUBLE)) AS pb FROM (SELECT *, {DMIN_SQL} AS dm FROM gem)),
  sc AS (SELECT *, 0.2::DOUBLE * coalesce({MM.format('avg_rating', '')}, 0) AS rb, 0.3::DOUBLE * coalesce({MM.format('recent', '')}, 0) AS qb FROM bon)"""
 
 
@@ -349,7 +349,20 @@ def _scored(t, strength=0.5, cap=0.5, centres=None):
     return R.hidden_scores(gems, "bayesian_score", CENTRES if centres is None else centres, strength, cap)
 
 
-@query("j20_hidden_gems")
+BAYES_SQL = "coalesce((m * n + (SELECT avg(m) FROM st) * 5) / (n + 5), 0)"
+
+
+@query("j20_hidden_gems", f"""
+WITH {GEM_SQL}, {STAT_SQL}, {_spot_sql(5, 5)},
+ dd AS (SELECT diner_idx, min({HAVERSINE_SQL.format(la1='s.lat', lo1='s.lon', la2='gem.lat', lo2='gem.lon')}) AS dm FROM gem JOIN spots s ON s.region = gem.region GROUP BY 1),
+ one AS (SELECT gem.*, dm, {BAYES_SQL} AS ba FROM gem LEFT JOIN st USING (diner_idx) LEFT JOIN dd USING (diner_idx)),
+ bon AS (SELECT *, greatest(0, least(0.5::DOUBLE * coalesce({MM.format('dm', 'PARTITION BY region')}, 0), 0.5::DOUBLE)) AS pb,
+  0.2::DOUBLE * coalesce({MM.format('avg_rating', '')}, 0) AS rb, 0.3::DOUBLE * coalesce({MM.format('recent', '')}, 0) AS qb FROM one),
+ hs AS (SELECT *, ba + pb + rb + qb AS hidden FROM bon),
+ cand AS (SELECT region, diner_idx AS item, large AS cat, lat, lon, {MM.format('hidden', 'PARTITION BY region')} AS rel FROM hs),
+ picked AS (WITH {_mmr_sql(15)})
+SELECT p.region, CAST(p.pos AS INTEGER) AS pos, p.item, round(hidden, 6) AS hidden_score, round(pb, 6) AS periphery_bonus, round(rb, 6) AS rating_bonus, round(qb, 6) AS recent_bonus
+FROM picked p JOIN hs ON hs.diner_idx = p.item""")
 def j20(t):
     spots = R.hotspots(_gems(t), "region", "lat", "lon", n=5, rounds=5)
     out = R.hidden_rerank(_scored(t, centres=spots), 15)
@@ -403,9 +416,6 @@ def j22(t):
     return R.best_experiment(R.experiment_scores(ranked, 10, 3.2)).select("dataset", "exp", F.round("high_share", 6).alias("high_share"), F.round("combined", 6).alias("combined"))
 
 
-BAYES_SQL = "coalesce((m * n + (SELECT avg(m) FROM st) * 5) / (n + 5), 0)"
-
-
 @query("j23_region_variant", f"""
 WITH {GEM_SQL}, {STAT_SQL}, one AS (SELECT gem.*, {DMIN_SQL} AS dm, {BAYES_SQL} AS ba FROM gem LEFT JOIN st USING (diner_idx)
   WHERE region = 'ASIA' OR (SELECT count(*) FROM gem WHERE region = 'ASIA') = 0),

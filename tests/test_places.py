@@ -96,6 +96,15 @@ def geo_cell(q, r):
     return f"9_{q}_{r}"
 
 
+def test_missing_coordinates_are_at_no_distance(spark):
+    df = spark.createDataFrame([(1, 37.0, 127.0), (2, None, 127.0)], "id long, lat double, lon double")
+    assert [r[0] for r in df.orderBy("id").select(geo.haversine_km("lat", "lon", 37.0, 127.0)).collect()] == [0.0, None]
+    assert df.limit(1).select(geo.haversine_km(0.0, 0.0, 0.0, 180.0)).first()[0] > 20015
+    anchors = spark.createDataFrame([(7, None, None), (9, 38.0, 127.0)], "anchor long, a_lat double, a_lon double")
+    got = {r["id"]: (r["anchor"], r["km"] is None) for r in P.nearest_anchor(df, "id", "lat", "lon", anchors).collect()}
+    assert got == {1: (9, False), 2: (None, True)}
+
+
 def test_orphans_join_the_nearest_region(spark):
     rows = [("9_0_0", "A"), ("9_1_0", "A"), ("9_3_0", "-1"), ("9_5_0", "B"), ("9_20_0", "-1"), ("9_4_0", "-1")]
     got = {r["cell_id"]: r["region"] for r in P.adopt_orphans(spark.createDataFrame(rows, "cell_id string, region string"), 9, 5.0).collect()}

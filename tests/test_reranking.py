@@ -106,3 +106,13 @@ def test_missing_region_falls_back_to_all(spark):
 
 def test_grid_is_the_full_product():
     assert R.grid({"a": [1, 2], "b": [3, 4]}) == [{"a": 1, "b": 3}, {"a": 1, "b": 4}, {"a": 2, "b": 3}, {"a": 2, "b": 4}]
+
+
+def test_places_without_coordinates_get_no_periphery_bonus(spark):
+    rows = [(1, "a", 37.5, 127.0), (2, "a", 37.6, 127.0), (3, "a", None, None), (4, "b", 37.0, 127.0), (5, "b", 36.0, 127.0)]
+    df = spark.createDataFrame(rows, "id long, region string, lat double, lon double")
+    centres = spark.createDataFrame([("a", [(37.5, 127.0)])], "region string, centres array<struct<lat:double,lon:double>>")
+    for spots in (centres, [(37.5, 127.0)]):
+        got = {r["id"]: r["periphery_bonus"] for r in R.periphery_bonus(df, "region", "lat", "lon", spots, 0.5, 0.3).collect()}
+        assert got[1] == 0 and got[2] == 0.3 and got[3] == 0
+        assert got[4] == 0 and got[5] == (0 if spots is centres else 0.3)
