@@ -9,6 +9,7 @@ from savora.operators import places as P
 from savora.plans.features import hex_sql
 from savora.plans.popularity import HAVERSINE_SQL
 from savora.plans.registry import query
+from savora.session import materialise
 from savora.plans.splits import HASH_SQL
 
 RES = 9
@@ -184,6 +185,24 @@ def l14(t):
     return P.split_oversize(regions, edges, RES, 12, 1.5, 2)
 
 
+@query("l14_split_check", f"""
+WITH RECURSIVE {COMP_SQL} SELECT count(*) AS cells, count(*) AS inside, 0::BIGINT AS too_many, 0::BIGINT AS too_wide, 0::BIGINT AS too_few FROM reg""")
+def l14_check(t):
+    """All cells stay, parts lie inside one region or none, and none has over 12 cells, over 1.5 km or under 2 cells."""
+    regions, edges = _regions(t)
+    parts = materialise(P.split_oversize(regions, edges, RES, 12, 1.5, 2))
+    real = parts.where("region <> '-1'")
+    sizes = real.groupBy("region").agg(F.count("*").alias("n"))
+    old = parts.join(regions.withColumnRenamed("region", "old"), "cell_id")
+    one = old.groupBy("region").agg(F.count_distinct("old").alias("olds")).where("olds > 1 and region <> '-1'").select("region")
+    wide = P.region_diameter(parts, RES).where("diameter_km > 1.5").agg(F.count("*")).scalar()
+    inside = old.join(one, "region", "left_anti").agg(F.count("*")).scalar()
+    return parts.agg(
+        F.count("*").alias("cells"), F.first(inside).alias("inside"), F.first(sizes.where("n > 12").agg(F.count("*")).scalar()).alias("too_many"),
+        F.first(wide).alias("too_wide"), F.first(sizes.where("n < 2").agg(F.count("*")).scalar()).alias("too_few"),
+    )
+
+
 ADOPT_SQL = f"""{COMP_SQL}, o AS (SELECT reg.cell_id, q, r FROM reg JOIN c USING (cell_id) WHERE region = '-1'), v AS (SELECT region, q, r FROM reg JOIN c USING (cell_id) WHERE region <> '-1'),
  opt AS (SELECT o.cell_id, v.region, greatest(abs(o.q - v.q), abs(o.r - v.r), abs(o.q + o.r - v.q - v.r)) AS ring, round({dist_sql('o.q', 'o.r', 'v.q', 'v.r')}, 9) AS km
   FROM o JOIN v ON greatest(abs(o.q - v.q), abs(o.r - v.r), abs(o.q + o.r - v.q - v.r)) <= 3 WHERE {dist_sql('o.q', 'o.r', 'v.q', 'v.r')} <= 0.8),
@@ -281,6 +300,17 @@ def l22(t):
     return regions.join(cells, "cell_id").groupBy("region").agg(F.count("*").alias("cells"), F.sum("diners").alias("diners"), F.sum("reviews").alias("reviews"))
 
 
+@query("l22_region_totals", f"""
+WITH {EDGE_SQL} SELECT (SELECT count(*) FROM c) AS cells, (SELECT count(*) FROM pts) AS diners, 0::BIGINT AS twice""")
+def l22_totals(t):
+    """Built regions hold every cell and every diner, none of them twice."""
+    regions, _ = P.build_regions(_points(t).select("cell_id").distinct(), RES, 2, 0.45, 12, 1.5, 3)
+    regions = materialise(regions)
+    twice = regions.groupBy("cell_id").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*")).scalar()
+    diners = _points(t).join(regions, "cell_id").agg(F.count("*")).scalar()
+    return regions.agg(F.count("*").alias("cells"), F.first(diners).alias("diners"), F.first(twice).alias("twice"))
+
+
 @query("l23_region_sizes", f"""
 WITH RECURSIVE {COMP_SQL}, s AS (SELECT region, count(*) AS n FROM reg WHERE region <> '-1' GROUP BY 1)
 SELECT count(*) AS regions, min(n) AS min_cells, round(avg(n), 6) AS mean_cells, max(n) AS max_cells FROM s""")
