@@ -16,7 +16,7 @@ from savora.functions.hashing import hash_int
 from savora.functions.ordering import bucket_of, global_order, prefix_sums, splitters
 from savora.operators.ids import id_mapping
 from savora.operators.popularity import top_per_group
-from savora.session import materialise
+from savora.session import materialise, shuffled
 
 OVERDRAW = 4
 
@@ -31,22 +31,22 @@ def draw_unseen(wanted: DataFrame, pool: DataFrame, seen: DataFrame, seed: str,
         *keys, "limit", "want", F.explode(F.sequence(F.lit(0).cast("long"), F.col("want") * OVERDRAW - 1)).alias("j")
     ).withColumn("idx", h % F.col("limit"))
     fresh = (
-        draws.join(pool, [*group, "idx"]).groupBy(*keys, "want", "item").agg(F.min("j").alias("j"))
-        .join(seen.select("user", "item"), ["user", "item"], "left_anti")
+        shuffled(draws).join(pool, [*group, "idx"]).groupBy(*keys, "want", "item").agg(F.min("j").alias("j"))
+        .join(shuffled(seen.select("user", "item")), ["user", "item"], "left_anti")
     )
     got = materialise(
         top_per_group(fresh, keys, [F.asc("j")], most, rank="draw").where("draw <= want").select(*keys, "item", "draw")
     )
     counts = got.groupBy(*keys).agg(F.count("*").alias("n_got"))
-    short = wanted.join(counts, keys, "left").fillna(0, subset=["n_got"]).where("n_got < want and limit > 0")
+    short = wanted.join(shuffled(counts), keys, "left").fillna(0, subset=["n_got"]).where("n_got < want and limit > 0")
     if short.isEmpty():
         return got
     short = materialise(short)
+    places = short.select(*keys, "want", "n_got", F.explode(F.sequence(F.lit(0).cast("long"), F.col("limit") - 1)).alias("idx"))
     rest = (
-        short.select(*keys, "want", "n_got", F.explode(F.sequence(F.lit(0).cast("long"), F.col("limit") - 1)).alias("idx"))
-        .join(pool, [*group, "idx"])
-        .join(seen.select("user", "item"), ["user", "item"], "left_anti")
-        .join(got.select(*keys, "item"), [*keys, "item"], "left_anti")
+        shuffled(places).join(pool, [*group, "idx"])
+        .join(shuffled(seen.select("user", "item")), ["user", "item"], "left_anti")
+        .join(shuffled(got.select(*keys, "item")), [*keys, "item"], "left_anti")
         .withColumn("__h", hash_int(seed, F.lit("rest"), F.col("user"), F.col("item")))
     )
     filled = top_per_group(rest, keys, [F.asc("__h"), F.asc("item")], most, rank="__r").where("__r <= want - n_got")
@@ -56,14 +56,14 @@ def draw_unseen(wanted: DataFrame, pool: DataFrame, seen: DataFrame, seed: str,
 def fill_with_copies(picked: DataFrame, wanted: DataFrame, seed: str) -> DataFrame:
     """Users with fewer unseen items than wanted repeat some of theirs."""
     counts = picked.groupBy("user").agg(F.count("*").alias("n_got"))
-    gaps = wanted.join(counts, "user").where("n_got < want")
+    gaps = wanted.join(shuffled(counts), "user").where("n_got < want")
     if gaps.isEmpty():
         return picked.select("user", "item", "draw")
     gaps = gaps.select(
         "user", "n_got", F.explode(F.sequence(F.col("n_got") + 1, F.col("want").cast("long"))).alias("place")
     )
     again = gaps.withColumn("draw", (hash_int(seed, F.lit("copy"), F.col("user"), F.col("place")) % F.col("n_got") + 1).cast("int"))
-    copies = again.join(picked, ["user", "draw"]).select("user", "item", F.col("place").cast("int").alias("draw"))
+    copies = shuffled(again).join(picked, ["user", "draw"]).select("user", "item", F.col("place").cast("int").alias("draw"))
     return picked.select("user", "item", "draw").unionByName(copies)
 
 
@@ -93,10 +93,10 @@ def popular_limits(inter: DataFrame, seen: DataFrame, share: float = 0.5) -> tup
     ranked = materialise(ranked.select("item", (F.col("rn") - 1).alias("idx")))
     size = ranked.agg(F.count("*")).scalar()
     totals = seen.groupBy("user").agg(F.count("*").alias("m")).select("user", F.floor((size - F.col("m")) * F.lit(share)).alias("t"))
-    places = materialise(seen.join(ranked, "item").select("user", (F.col("idx") + 1).alias("r")))
+    places = materialise(shuffled(seen).join(ranked, "item").select("user", (F.col("idx") + 1).alias("r")))
     cuts = splitters(places, F.col("r"))
     numbered = prefix_sums(places, ["user"], bucket_of(F.col("r"), cuts), [F.col("r")], {"before": F.lit(1).cast("long")})
-    inside = numbered.join(totals, "user").groupBy("user", "t").agg(F.count_if(F.col("r") - (F.col("before") + 1) < F.col("t")).alias("s"))
+    inside = shuffled(numbered).join(totals, "user").groupBy("user", "t").agg(F.count_if(F.col("r") - (F.col("before") + 1) < F.col("t")).alias("s"))
     return inside.select("user", (F.col("t") + F.col("s")).alias("limit"), "t"), ranked
 
 
@@ -120,10 +120,10 @@ def diverse_negatives(inter: DataFrame, category: DataFrame, names: Sequence[str
     )
     sizes = listed.groupBy("label").agg(F.count("*").alias("limit"))
     users = seen.select("user").distinct()
-    known = seen.join(listed, "item").groupBy("user", "label").agg(F.count("*").alias("k"))
+    known = shuffled(seen).join(listed, "item").groupBy("user", "label").agg(F.count("*").alias("k"))
     # The category list is a short parameter, so a user has at most that many rows here.
     per = users.select("user", F.explode(F.array(*[F.lit(c) for c in sorted(names)])).alias("label")).join(sizes, "label").join(
-        known, ["user", "label"], "left"
+        shuffled(known), ["user", "label"], "left"
     ).select("user", "label", "limit", (F.col("limit") - F.coalesce("k", F.lit(0))).alias("free")).where("free > 0")
     packed = per.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("label", "limit", "free"))).alias("l"))
     quota = materialise(packed.select("user", F.size("l").alias("c"), F.posexplode("l").alias("p", "s")).select(
@@ -133,7 +133,7 @@ def diverse_negatives(inter: DataFrame, category: DataFrame, names: Sequence[str
     spread = draw_unseen(quota, pool, seen, seed, n, ["label"]).select("user", "item")
     have = spread.groupBy("user").agg(F.count("*").alias("h"))
     total = items.agg(F.count("*")).scalar()
-    missing = users.join(have, "user", "left").select(
+    missing = users.join(shuffled(have), "user", "left").select(
         "user", (F.lit(n) - F.coalesce("h", F.lit(0))).cast("long").alias("want"), total.alias("limit")
     ).where("want > 0")
     spread = spread.withColumn("source", F.lit("category"))

@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from savora.operators import evaluation as V
 from savora.operators import negatives as NG
 
 
@@ -63,3 +65,33 @@ def test_diverse_negatives_spread(spark, log):
         assert per == [3, 2, 2, 0] and len(mine) == 7
     short = [r for r in rows if r["user"] == 0]
     assert len(short) == 7 and {r["item"] for r in short} == {37, 38, 39}
+
+
+def _joined_plans(monkeypatch, module, run):
+    """Physical plans, before they run, of what `run` writes and returns."""
+    plans, write = [], module.materialise
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(module, "materialise", keep)
+    out = run()
+    return [*plans, out._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_exploded_draws_are_not_broadcast(spark, monkeypatch):
+    """An exploded frame has the estimated size of its source, so Spark would send all draws to the driver."""
+    inter = spark.range(400).selectExpr("id % 40 AS user", "id * 7 % 60 AS item")
+    plans = _joined_plans(monkeypatch, NG, lambda: NG.random_negatives(inter, 5, "s"))
+    drawn = [p for p in plans if "Generate explode" in p and "Join" in p]
+    assert drawn and not any("BroadcastExchange" in p for p in drawn)
+
+
+def test_padded_lists_are_not_broadcast(spark):
+    users = spark.range(30).select(F.col("id").alias("user"))
+    top = spark.range(50).selectExpr("CAST(id + 1 AS INT) AS pos", "id AS item")
+    seen = spark.range(60).selectExpr("id % 30 AS user", "id % 50 AS item")
+    padded = V.pad_lists(V.drop_seen(V.spread_list(top, users, 10), seen), users, 10)
+    assert "BroadcastExchange" not in padded._jdf.queryExecution().executedPlan().toString()
+    assert padded.count() == 300
