@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from savora.functions import geo
 from savora.functions.hashing import hash_int
 from savora.operators.popularity import top_per_group
-from savora.session import cut_lineage, materialise, shared_dir
+from savora.session import cut_lineage, materialise, release, shared_dir
 
 # --- ranking set and ranker -----------------------------------------------------------------
 
@@ -246,8 +246,9 @@ def mmr_stepwise(
     marks = [F.coalesce(F.array_contains("labels", lab).cast("int"), F.lit(0)).alias(f"__l{i}") for i, lab in enumerate(labs)]
     # Inside a struct a null group equals itself, so plain joins keep it.
     state = df.select(F.struct(group).alias("__g"), "item", _relevance(), "cat", "lat", "lon", *marks)
-    state = cut_lineage(state.withColumn("sim", F.lit(0.0)))
-    counts = state.select("__g").distinct().select("__g", *[F.lit(0).alias(f"__c{i}") for i in range(len(labs))])
+    # Written tables, no checkpoints: those hand on size estimates that joins multiply, longer with every place.
+    state = materialise(state.withColumn("sim", F.lit(0.0)))
+    counts = materialise(state.select("__g").distinct().select("__g", *[F.lit(0).alias(f"__c{i}") for i in range(len(labs))])) if labs else None
     result = None
     for pos in range(1, k + 1):
         open_rows = state.join(counts, "__g") if labs else state
@@ -269,7 +270,7 @@ def mmr_stepwise(
                 F.struct(gain.alias("g"), (-F.col("item")).alias("i")),
             ).alias("b")
         )
-        best = cut_lineage(best)
+        best = materialise(best)
         if best.isEmpty():
             break
         picked = best.select("__g", F.col("b.item").alias("item"), F.lit(pos).alias("pos"))
@@ -282,12 +283,14 @@ def mmr_stepwise(
         like = F.lit(w_cat) * F.coalesce((F.col("cat") == F.col("b.cat")).cast("double"), F.lit(0.0)) + F.lit(w_geo) * near
         new_sim = F.when(F.col("b").isNull() | F.lit(not penalty), F.col("sim")).otherwise(F.greatest("sim", like))
         kept = joined.where(F.col("b").isNull() | (F.col("item") != F.col("b.item")))
-        state = cut_lineage(kept.withColumn("sim", new_sim).drop("b"))
+        before, state = state, materialise(kept.withColumn("sim", new_sim).drop("b"))
+        release(before)
         if not labs:
             continue
-        counts = counts.join(best, "__g", "left").select(
+        before, counts = counts, materialise(counts.join(best, "__g", "left").select(
             "__g", *[(F.col(f"__c{i}") + F.coalesce(F.col(f"b.__l{i}"), F.lit(0))).alias(f"__c{i}") for i in range(len(labs))]
-        )
+        ))
+        release(before)
     if result is None:
         result = state.select("__g", "item", F.lit(0).alias("pos")).where("false")
     return result.select(F.col("__g").getField(group).alias(group), "item", "pos")

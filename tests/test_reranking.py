@@ -116,3 +116,23 @@ def test_places_without_coordinates_get_no_periphery_bonus(spark):
         got = {r["id"]: r["periphery_bonus"] for r in R.periphery_bonus(df, "region", "lat", "lon", spots, 0.5, 0.3).collect()}
         assert got[1] == 0 and got[2] == 0.3 and got[3] == 0
         assert got[4] == 0 and got[5] == (0 if spots is centres else 0.3)
+
+
+def test_places_do_not_pile_up_estimates(spark, monkeypatch):
+    """Spark's size estimate of a place's frames does not grow with the places already filled."""
+    sizes = []
+
+    def noting(write):
+        def run(df):
+            sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+            return write(df)
+
+        return run
+
+    for name in ("materialise", "cut_lineage"):
+        monkeypatch.setattr(R, name, noting(getattr(R, name)))
+    df = spark.range(60).selectExpr("CAST(id % 2 AS STRING) AS region", "id AS item", "id / 60 AS rel", "CAST(id % 3 AS STRING) AS cat",
+                                    "37.4 + id / 1000 AS lat", "126.8 + id / 500 AS lon", "array(concat('c:', id % 3)) AS labels")
+    out = R.mmr_stepwise(df, "region", 6, frozen=1, coverage_max={"c:0": 2}, coverage_min={"c:1": 2})
+    assert out.count() == 12
+    assert max(sizes) < 256  # bits; an estimate that multiplies earlier ones gets longer with every place
