@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from savora.functions.ordering import quantiles
+from savora.session import shuffled
 
 
 # --- feature store --------------------------------------------------------------------------
@@ -261,7 +262,7 @@ def user_scaled_scores(scored: DataFrame, user: str) -> DataFrame:
 
 
 def merge_features(pairs: DataFrame, users: DataFrame, items: DataFrame, user: str, item: str) -> DataFrame:
-    return pairs.join(users, user, "left").join(items, item, "left").fillna(0)
+    return pairs.join(shuffled(users), user, "left").join(shuffled(items), item, "left").fillna(0)
 
 
 def first_attributes(rows: DataFrame, spine: DataFrame, key: str, cols: Sequence[str], order: Sequence[str]) -> DataFrame:

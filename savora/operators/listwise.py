@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from savora.functions.hashing import hash_int
 from savora.functions.ordering import bucket_of
 from savora.operators.evaluation import ideal_gain
-from savora.session import materialise, release
+from savora.session import materialise, release, shuffled
 
 SIGMA = 1.0
 
@@ -74,15 +74,15 @@ def mean_ndcg(rows: DataFrame, k: int) -> float:
     place = F.row_number().over(W.partitionBy("user").orderBy(F.desc("score"), F.asc("item")))
     gains = rows.select("user", "target", place.alias("pos")).where(F.col("pos") <= k).groupBy("user").agg(F.sum(F.col("target") / F.log2(F.col("pos") + 1.0)).alias("dcg"))
     liked = rows.where("target > 0").groupBy("user").agg(F.count("*").alias("m"))
-    return liked.join(gains, "user").agg(F.avg(F.col("dcg") / ideal_gain(F.col("m"), k))).first()[0] or 0.0
+    return shuffled(liked).join(gains, "user").agg(F.avg(F.col("dcg") / ideal_gain(F.col("m"), k))).first()[0] or 0.0
 
 
 def swap_gradients(rows: DataFrame, k: int) -> DataFrame:
     """Rows with the gradient g and curvature h of NDCG@k (rows with `own`), and what rows below the tops add to top
     rows. The sums over a (user, item) are its gradient; users without a positive row have none."""
     liked = rows.where("target > 0").groupBy("user").agg(F.count("*").alias("m"))
-    tops = _tops(rows, k).join(liked, "user").select("user", "top", ideal_gain(F.col("m"), k).alias("ideal"))
-    joined = rows.join(tops, "user", "left")
+    tops = _tops(rows, k).join(shuffled(liked), "user").select("user", "top", ideal_gain(F.col("m"), k).alias("ideal"))
+    joined = rows.join(shuffled(tops), "user", "left")
     kinds = rows.schema
     schema = rows.select("user", "item", "target", "bins", "score", F.lit(0.0).alias("g"), F.lit(0.0).alias("h"), F.lit(True).alias("own")).schema
     arrow = to_arrow_schema(schema)

@@ -16,26 +16,29 @@ from savora.functions.hashing import hash_int
 from savora.functions.ordering import bucket_of, global_order, prefix_sums, splitters
 from savora.operators.ids import id_mapping
 from savora.operators.popularity import top_per_group
-from savora.session import materialise, shuffled
+from savora.session import materialise, shuffled, spread
 
 OVERDRAW = 4
 
 
 def draw_unseen(wanted: DataFrame, pool: DataFrame, seen: DataFrame, seed: str, most: int, group: Sequence[str] = ()) -> DataFrame:
     """`want` (at most `most`) different unseen items per row of `wanted` (user, [group], want, limit), drawn from
-    pool places below `limit`. pool: ([group], idx, item). Returns (user, [group], item, draw)."""
+    pool places below `limit`. pool: ([group], idx, item). Returns (user, [group], item, draw). Draws are a multiple of
+    the rows that they come from, so each of their shuffles is dealt by their number."""
     group = list(group)
     keys = ["user", *group]
+    n_draws = (wanted.where("want > 0 and limit > 0").agg(F.sum("want")).first()[0] or 0) * OVERDRAW
     h = hash_int(seed, *[F.col(k) for k in keys], F.col("j"))
     draws = wanted.where("want > 0 and limit > 0").select(
         *keys, "limit", "want", F.explode(F.sequence(F.lit(0).cast("long"), F.col("want") * OVERDRAW - 1)).alias("j")
     ).withColumn("idx", h % F.col("limit"))
     fresh = (
-        shuffled(draws).join(pool, [*group, "idx"]).groupBy(*keys, "want", "item").agg(F.min("j").alias("j"))
+        spread(shuffled(spread(draws, n_draws, *group, "idx")).join(pool, [*group, "idx"]), n_draws, "user", "item")
+        .groupBy(*keys, "want", "item").agg(F.min("j").alias("j"))
         .join(shuffled(seen.select("user", "item")), ["user", "item"], "left_anti")
     )
     got = materialise(
-        top_per_group(fresh, keys, [F.asc("j")], most, rank="draw").where("draw <= want").select(*keys, "item", "draw")
+        top_per_group(spread(fresh, n_draws, *keys), keys, [F.asc("j")], most, rank="draw").where("draw <= want").select(*keys, "item", "draw")
     )
     counts = got.groupBy(*keys).agg(F.count("*").alias("n_got"))
     short = wanted.join(shuffled(counts), keys, "left").fillna(0, subset=["n_got"]).where("n_got < want and limit > 0")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from savora.functions import geo
 from savora.functions.hashing import hash_int
 from savora.operators.popularity import top_per_group
-from savora.session import cut_lineage, materialise, release, shared_dir
+from savora.session import cut_lineage, materialise, release, shared_dir, shuffled
 
 # --- ranking set and ranker -----------------------------------------------------------------
 
@@ -65,7 +65,7 @@ def check_candidates(candidates: DataFrame, users: DataFrame, items: DataFrame,
     u = users.select(F.col("user_idx").alias("user"), F.lit(1).alias("__u"))
     i = items.select(F.col("item_idx").alias("diner_id"), F.lit(1).alias("__i"))
     known = F.col("__u").isNotNull() & F.col("__i").isNotNull()
-    return shifted.join(u, "user", "left").join(i, "diner_id", "left").withColumn("known", known.cast("int")).drop("__u", "__i")
+    return shifted.join(shuffled(u), "user", "left").join(shuffled(i), "diner_id", "left").withColumn("known", known.cast("int")).drop("__u", "__i")
 
 
 USERS_PER_BLOCK = 1000

@@ -16,7 +16,7 @@ from savora.operators import splits as S
 from savora.plans.popularity import HAVERSINE_SQL
 from savora.plans.registry import query
 from savora.plans.splits import AS_OF_SQL, HASH_SQL
-from savora.session import materialise
+from savora.session import materialise, shuffled, spread
 from savora.sources.tables import AS_OF
 
 ITEMS_SQL = "it AS (SELECT diner_idx AS item, row_number() OVER (ORDER BY diner_idx) - 1 AS idx FROM (SELECT DISTINCT diner_idx FROM train)), us AS (SELECT DISTINCT reviewer_id AS u FROM train)"
@@ -128,13 +128,13 @@ def _candidates(t):
     """The checked candidates of the generator under the ranker's own ids, turned back into raw ids."""
     known = j5(t).where("known = 1").select("user", "diner_id")
     items, users = I.id_mapping(t.train, "diner_idx", "diner_id"), I.id_mapping(t.train, "reviewer_id", "user")
-    return known.join(items, "diner_id").join(users, "user").select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
+    return known.join(shuffled(items), "diner_id").join(shuffled(users), "user").select(F.col("reviewer_id").alias("user"), F.col("diner_idx").alias("item"))
 
 
 def _ranked(t, k):
     train, valid = _parts(t)
     model = L.fit_listwise(train, RANK_FEATURES, valid, rounds=5, rate=0.3)
-    scored = model.score(_with_features(t, _candidates(t)))
+    scored = spread(model.score(_with_features(t, _candidates(t))), t.train.count(), "user")
     return P.top_per_group(scored, ["user"], [F.desc("pred"), F.asc("item")], k, rank="pos")
 
 

@@ -3,8 +3,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from savora import session
 from savora.operators import evaluation as V
+from savora.operators import features as E
+from savora.operators import graph as G
+from savora.operators import ids as I
+from savora.operators import listwise as L
 from savora.operators import negatives as NG
+from savora.operators import reranking as R
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +101,41 @@ def test_padded_lists_are_not_broadcast(spark):
     padded = V.pad_lists(V.drop_seen(V.spread_list(top, users, 10), seen), users, 10)
     assert "BroadcastExchange" not in padded._jdf.queryExecution().executedPlan().toString()
     assert padded.count() == 300
+
+
+def test_draws_are_dealt_to_tasks_by_number(spark, monkeypatch):
+    """Adaptive execution merged the shuffles of the draws by bytes, so a task's sorts grew with the users."""
+    inter = spark.range(400).selectExpr("id % 40 AS user", "id * 7 % 60 AS item")
+    before = sorted(map(tuple, NG.random_negatives(inter, 5, "s").select("user", "item", "draw").collect()))
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 7)
+    plans = _joined_plans(monkeypatch, NG, lambda: NG.random_negatives(inter, 5, "s"))
+    drawn = [p for p in plans if "Generate explode" in p and "WindowGroupLimit" in p]
+    dealt = -(-40 * 5 * NG.OVERDRAW // 7)  # 40 users
+    assert drawn and drawn[0].count(f", {dealt}), REPARTITION_BY_NUM") == 3
+    assert sorted(map(tuple, NG.random_negatives(inter, 5, "s").select("user", "item", "draw").collect())) == before
+
+
+def test_tables_of_users_and_items_are_not_broadcast(spark, monkeypatch):
+    """A compressed file, or a sum over it, has the estimated size of its bytes; Spark sent such tables to the driver."""
+    ids = spark.range(30)
+    pairs = spark.range(60).selectExpr("id % 30 AS user", "id % 20 AS item", "CAST(id % 2 AS INT) AS target", "array(1) AS bins", "id * 1.0D AS score")
+    users, items = ids.selectExpr("id AS user", "id * 2 AS a"), ids.selectExpr("id AS item", "id * 3 AS b")
+    cand = spark.range(60).selectExpr("id % 30 + 30 AS user_id", "id % 20 AS diner_id")
+    known = R.check_candidates(cand, ids.selectExpr("id AS user_idx"), ids.selectExpr("id AS item_idx"), F.lit(30))
+    edges = spark.range(60).selectExpr("id % 30 AS src", "id % 20 + 30 AS dst", "1.0D AS weight")
+    vectors = spark.range(50).select("id", F.array(F.lit(0.5), F.lit(-0.5)).alias("vec"))
+    triples = spark.range(30).selectExpr("id AS user", "id % 20 + 30 AS positive", "id % 7 + 30 AS negative")
+    plans = []
+    for module, run in [
+        (L, lambda: L.swap_gradients(pairs, 5)),
+        (E, lambda: E.merge_features(pairs, users, items, "user", "item")),
+        (I, lambda: I.map_column(pairs, items, "item", "item", "b")),
+        (R, lambda: known),
+        (G, lambda: G.propagate(G.normalised_edges(edges), vectors, 2, 2)),
+        (G, lambda: G.pairwise_gradients(vectors, triples, 2)[0]),
+    ]:
+        with monkeypatch.context() as patch:
+            made = [p for p in _joined_plans(patch, module, run) if "Join" in p] if hasattr(module, "materialise") else [run()._jdf.queryExecution().executedPlan().toString()]
+        assert made
+        plans += made
+    assert not any("BroadcastExchange" in p for p in plans)
