@@ -3,7 +3,8 @@
 Users and items fall into P buckets each by hash. A round trains the P blocks (i, i + r), which share neither a user nor an
 item bucket, each in one task; P rounds are an epoch and see every rating once. Ratings of a pair are averaged first and
 weigh by their number, so a block holds two buckets of vectors and the distinct pairs between them. P grows with
-the vectors, the pairs and the longest list of one user or item, which is spread over P blocks.
+the vectors, the pairs and the longest list of one user or item, which is spread over P blocks. A vector is only read
+and written again in rounds that hold a rating of it, so what an epoch moves grows with the ratings, not with P.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql.types import StructType
 
 from savora.functions.hashing import hash_uniform
 from savora.operators.factors import Biases, Factors
-from savora.session import materialise, release, scratch_path
+from savora.session import delete_path, materialise, scratch_path
 
 ROWS_PER_BUCKET = 200_000
 PAIRS_PER_BLOCK = 4_000_000
 BATCH = 256
 STEPS = 4  # the most that the ratings of one batch move a row, in single steps
+SLOTS = 16  # folders of a round's vectors, by the round that reads them next
 
 
 def move(target: np.ndarray, at: np.ndarray, step: np.ndarray, n: np.ndarray) -> None:
@@ -57,14 +59,14 @@ def _trainer(width: int, mean: float, rate: float, reg: float, seed: int, schema
     def train(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
 
-        def vectors(kind: int, name: str) -> tuple[pa.Array, np.ndarray]:
+        def vectors(kind: int, name: str) -> tuple[pa.Array, np.ndarray, pa.Array]:
             part = group.filter(pc.equal(group["kind"], kind))
             part = part.take(pc.sort_indices(part[name]))
             flat = part["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            return part[name].combine_chunks(), np.array(flat, np.float64).reshape(-1, width)
+            return part[name].combine_chunks(), np.array(flat, np.float64).reshape(-1, width), part["shifts"].combine_chunks()
 
-        users, u = vectors(0, "user")
-        items, v = vectors(1, "item")
+        users, u, met_u = vectors(0, "user")
+        items, v, met_v = vectors(1, "item")
         pairs = group.filter(pc.equal(group["kind"], 2))
         ui = pc.index_in(pairs["user"], value_set=users).to_numpy()
         vi = pc.index_in(pairs["item"], value_set=items).to_numpy()
@@ -81,6 +83,7 @@ def _trainer(width: int, mean: float, rate: float, reg: float, seed: int, schema
             pa.array([None] * rows + [float(error)], pa.float64()),
             pa.array([None] * rows + [float(n.sum())], pa.float64()),
             pa.array([*u.tolist(), *v.tolist(), None], schema.field("vec").type),
+            pa.array([*met_u.to_pylist(), *met_v.to_pylist(), None], schema.field("shifts").type),
         ], schema=schema)
 
     return train
@@ -98,8 +101,8 @@ def fit_joint(ratings: DataFrame, rank: int = 16, reg: float = 0.02, rate: float
     )
     whole = pairs.agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("mean"), F.count("*").alias("n")).first()
     mean = float(whole["mean"] or 0.0)
-    by_user, by_item = (materialise(pairs.groupBy(c).agg(F.count("*").alias("n"))) for c in ("user", "item"))
     if parts is None:
+        by_user, by_item = (pairs.groupBy(c).agg(F.count("*").alias("n")) for c in ("user", "item"))
         rows, longest = zip(*(x.agg(F.count("*"), F.max("n")).first() for x in (by_user, by_item)))
         parts = max(1, math.ceil(max(rows) / ROWS_PER_BUCKET), math.ceil(math.sqrt(whole["n"] / PAIRS_PER_BLOCK)), math.ceil(max(x or 0 for x in longest) / PAIRS_PER_BLOCK))
     bucket = {c: F.pmod(F.xxhash64(F.col(c), F.lit(c)), F.lit(parts)).cast("int") for c in ("user", "item")}
@@ -108,31 +111,49 @@ def fit_joint(ratings: DataFrame, rank: int = 16, reg: float = 0.02, rate: float
     cut.write.partitionBy("shift").parquet(path)
     work = spark.read.schema(cut.schema).parquet(path)
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("user", "item")}
-    schema = f"kind int, user {kinds['user']}, item {kinds['item']}, r double, n double, vec array<double>"
+    schema = f"kind int, user {kinds['user']}, item {kinds['item']}, r double, n double, vec array<double>, shifts array<int>"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    null = {c: F.lit(None).cast(k).alias(c) for c, k in {**kinds, "r": "double", "n": "double", "vec": "array<double>"}.items()}
+    null = {c: F.lit(None).cast(k).alias(c) for c, k in {**kinds, "r": "double", "n": "double", "vec": "array<double>", "shifts": "array<int>"}.items()}
 
-    def start(name: str):
-        return F.array(*[(hash_uniform(f"{name}{seed}", F.col(name), F.lit(i)) - 0.5) / math.sqrt(rank) for i in range(rank)], F.lit(0.0)).alias("vec")
+    def start(name: str, kind: int) -> DataFrame:
+        vec = F.array(*[(hash_uniform(f"{name}{seed}", F.col(name), F.lit(i)) - 0.5) / math.sqrt(rank) for i in range(rank)], F.lit(0.0)).alias("vec")
+        met = work.groupBy(name).agg(F.array_sort(F.collect_set("shift")).alias("shifts"))
+        own = {**null, name: F.col(name)}
+        return met.select(F.lit(kind).alias("kind"), own["user"], own["item"], null["r"], null["n"], vec, "shifts")
 
-    state = materialise(
-        by_user.select(F.lit(0).alias("kind"), "user", null["item"], null["r"], null["n"], start("user"))
-        .unionByName(by_item.select(F.lit(1).alias("kind"), null["user"], "item", null["r"], null["n"], start("item")))
-    )
-    history = []
+    # Each round's vectors in a folder of their own, with `at`: the shift that reads a vector next, maybe in the next epoch.
+    rounds, slots = scratch_path(spark, "strata-rounds"), min(parts, SLOTS)
+
+    def put(df: DataFrame, number: int, shift: int) -> None:
+        later = F.get(F.filter("shifts", lambda x: x > shift), F.lit(0))
+        at = df.withColumn("at", F.when(F.col("kind") == 2, -1).otherwise(F.coalesce(later, F.get("shifts", F.lit(0)))))
+        at.withColumn("slot", F.floor(F.col("at") * slots / parts).cast("int")).write.partitionBy("slot").parquet(f"{rounds}/round={number}")
+
+    def written() -> DataFrame:
+        return spark.read.schema(f"{schema}, at int, round int, slot int").parquet(rounds)
+
+    put(start("user", 0).unionByName(start("item", 1)), 0, -1)
+    history, number = [], 0
     for epoch in range(epochs):
         error = seen = 0.0
         for shift in range(parts):
+            number += 1
             block = F.when(F.col("kind") == 0, bucket["user"]).otherwise(F.pmod(bucket["item"] - shift, F.lit(parts))).cast("int").alias("block")
-            held = state.where("kind < 2").select(block, "*")
-            met = work.where(F.col("shift") == shift).select(bucket["user"].alias("block"), F.lit(2).alias("kind"), "user", "item", "r", "n", null["vec"])
+            # A vector meant for this shift was written since the shift's last round, or in it.
+            held = written().where((F.col("slot") == shift * slots // parts) & (F.col("at") == shift) & (F.col("round") >= number - parts) & (F.col("kind") < 2))
+            held = held.select(block, *arrow.names)
+            met = work.where(F.col("shift") == shift).select(bucket["user"].alias("block"), F.lit(2).alias("kind"), "user", "item", "r", "n", null["vec"], null["shifts"])
             train = _trainer(rank + 1, mean, rate / (1 + 0.1 * epoch), reg, seed * 1_000_003 + epoch * 1009 + shift, arrow)
-            made = materialise(held.unionByName(met).groupBy("block").applyInArrow(train, schema))
-            release(state)
-            state = made
-            told = made.where("kind = 2").agg(F.sum("r").alias("e"), F.sum("n").alias("n")).first()
+            put(held.unionByName(met).groupBy("block").applyInArrow(train, schema), number, shift)
+            told = written().where((F.col("round") == number) & (F.col("slot") == -1)).agg(F.sum("r").alias("e"), F.sum("n").alias("n")).first()
             error, seen = error + (told["e"] or 0.0), seen + (told["n"] or 0.0)
+            if number >= parts:
+                delete_path(spark, f"{rounds}/round={number - parts}")
         history.append((epoch, int(seen), error / seen if seen else 0.0))
+    # A vector's last round of an epoch hands it on to a shift that is not later.
+    last = (F.col("kind") < 2) & ((F.col("at") <= F.pmod(F.col("round") - 1, F.lit(parts))) if epochs else F.lit(True))
+    state = materialise(written().where(last & (F.col("round") > number - parts)).select(*arrow.names).drop("shifts"))
+    delete_path(spark, rounds)
     vec, bias = F.slice("vec", 1, rank).alias("vec"), F.element_at("vec", rank + 1)
     users, items = state.where("kind = 0"), state.where("kind = 1")
     biases = Biases(F.lit(mean), users.select("user", bias.alias("bu")), items.select("item", bias.alias("bi")))

@@ -69,3 +69,14 @@ def test_nulls_repeats_unknown_and_empty(spark):
     assert abs(unknown["pred"] - 3.75) < 1e-9
     b, f, history = strata.fit_joint(frame.limit(0), rank=2, epochs=1)
     assert f.users.count() == f.items.count() == 0 and history.first()["mse"] == 0.0
+
+
+def test_vectors_move_only_in_rounds_with_their_ratings(spark, monkeypatch):
+    paths, path_of = [], strata.scratch_path
+    monkeypatch.setattr(strata, "scratch_path", lambda *a: paths.append(path_of(*a)) or paths[-1])
+    monkeypatch.setattr(strata, "delete_path", lambda *a: None, raising=False)
+    frame = spark.createDataFrame([(i, j, 1.0) for i in range(40) for j in range(40) if (i * 7 + j) % 20 == 0], "user long, item long, r double")
+    strata.fit_joint(frame, rank=2, epochs=2, parts=6)
+    moved = spark.read.parquet(next(p for p in paths if "strata-rounds" in p)).where("round > 0 and kind < 2").count()
+    # Two ratings a user and item: at most two of the six rounds of an epoch.
+    assert 0 < moved <= 2 * 2 * 80
