@@ -147,3 +147,13 @@ def test_small_weights_keep_their_ratio(spark):
     assert n.get(1, 0) == 0 and sum(n.values()) == 2200 and 150 < n[3] < 255
     both = G.biased_walks(e, 300, 2, 1.0, 1.0, "b").where("start = 0 and step = 1").groupBy("node").count().collect()
     assert {x["node"] for x in both} == {2, 3}
+
+
+def test_biased_walks_make_no_draw_after_a_sure_one(spark, dense_graph, monkeypatch):
+    pairs, w = dense_graph
+    made, draw = [], G._draw
+    monkeypatch.setattr(G, "_draw", lambda walkers, *a: made.append(walkers.count()) or draw(walkers, *a))
+    walks = G.biased_walks(_edges(spark, pairs, w), 5, 3, 0.5, 2.0, "c")
+    n = walks.where("step = 0").count()
+    # The first step keeps any draw; of later draws one in four is sure, and all rounds share a join.
+    assert made[0] == n and len(made) == 2 and made[1] < 6 * n
