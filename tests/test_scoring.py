@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from savora.operators import blocks
 from savora.operators import neighbors as N
 from savora.operators.blocks import block_topk, pruned_topk, sliced_join
 
@@ -106,3 +107,19 @@ def test_popular_items_are_joined_in_slices(spark):
     for method in ("cosine", "jaccard"):
         near = [sorted(map(tuple, N.nearest_warm_user(inter, liked, method, n).collect())) for n in (2, 1000)]
         assert near[0] == near[1] and len(near[0]) == 6
+
+
+def test_blocks_hand_on_only_what_can_still_win(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    u, v = rng.normal(size=(12, 6)), rng.normal(size=(80, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    handed, best = [], blocks._best_in_blocks
+    monkeypatch.setattr(blocks, "_best_in_blocks", lambda *a: handed.append(best(*a)) or handed[-1])
+    q = spark.createDataFrame([(i, u[i].tolist()) for i in range(12)], "user long, vec array<double>")
+    it = spark.createDataFrame([(j, v[j].tolist()) for j in range(80)], "item long, vec array<double>")
+    top, met = pruned_topk(q, it, 4, query_block=5, item_block=8)
+    got = {(r["user"], r["pos"]): r["item"] for r in top.collect()}
+    for i in range(12):
+        want = sorted((-round(float(u[i] @ v[j]), 6), j) for j in range(80))[:4]
+        assert [got[i, p] for p in range(1, 5)] == [j for _, j in want]
+    assert sum(x.count() for x in handed) < 0.75 * 4 * met.agg(F.sum("blocks")).first()[0]
