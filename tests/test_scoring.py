@@ -123,3 +123,57 @@ def test_blocks_hand_on_only_what_can_still_win(spark, monkeypatch):
         want = sorted((-round(float(u[i] @ v[j]), 6), j) for j in range(80))[:4]
         assert [got[i, p] for p in range(1, 5)] == [j for _, j in want]
     assert sum(x.count() for x in handed) < 0.75 * 4 * met.agg(F.sum("blocks")).first()[0]
+
+
+def test_larger_sides_fall_into_few_blocks():
+    """Every vector is sent once per block of the other side; 1 650 000 vectors fell into 101 blocks."""
+    assert blocks.block_size(1000) == blocks.FEWEST and -(-1_650_000 // blocks.block_size(1_650_000)) == 12
+    assert blocks.block_size(10_000_000) == blocks.MOST
+
+
+def test_shared_numbers_close_the_bound(spark):
+    """Items differ most in a number that all queries share: with the bound by whole lengths every block was met."""
+    rng = np.random.default_rng(9)
+    u = np.c_[rng.normal(size=(20, 5)), np.ones(20)]
+    v = np.c_[rng.normal(size=(90, 5)) * 0.1, rng.permutation(np.linspace(-5, 5, 90))]
+    q = spark.createDataFrame([(i, u[i].tolist()) for i in range(20)], "user long, vec array<double>")
+    it = spark.createDataFrame([(j, v[j].tolist()) for j in range(90)], "item long, vec array<double>")
+    lists = {}
+    for shared in (0, 1):
+        top, met = pruned_topk(q, it, 3, query_block=8, item_block=9, shared=shared)
+        lists[shared] = sorted(map(tuple, top.collect())), met.agg(F.sum("blocks")).first()[0]
+    want = [(i, j, p + 1) for i in range(20) for p, j in enumerate(sorted(range(90), key=lambda j: (-round(float(u[i] @ v[j]), 6), j))[:3])]
+    assert sorted((x[0], x[1], x[3]) for x in lists[1][0]) == sorted(want) and lists[0][0] == lists[1][0]
+    assert lists[1][1] < 0.6 * lists[0][1]
+
+
+def test_blocks_give_the_lists_of_all_scores(monkeypatch):
+    """Ties, floors, long lists, vectors of any length, zeros and numbers that are none, over many chunks."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "QUERY_CHUNK", 8)
+    monkeypatch.setattr(blocks, "ITEM_CHUNK", 32)
+    r = np.random.default_rng(11)
+    for trial in range(48):
+        d, ni, nq, normalise, same = int(r.integers(1, 7)), int(r.integers(1, 300)), int(r.integers(1, 30)), trial % 2 == 1, trial % 3 == 0
+        make = lambda m: (r.normal(size=(m, d)), r.integers(-2, 3, (m, d)).astype(float), r.normal(size=(m, d)) * 10.0 ** r.integers(-8, 3, (m, 1)), np.zeros((m, d)))[trial % 4]  # noqa: B023, E731
+        u, v = make(nq), make(ni)
+        if trial % 5 == 0:
+            u[:, -1] = 1.0
+        if trial % 7 == 0:
+            v[0], u[0, 0] = np.inf, np.nan
+        ids, own = r.permutation(500)[:ni], r.permutation(500)[:nq]
+        ask, floor = r.integers(1, 8 if trial % 2 else 400, nq), np.where(r.random(nq) < 0.4, np.round(r.normal(size=nq), 6), np.nan)
+        rows = pa.table({
+            "kind": [0] * nq + [1] * ni, "id": np.concatenate([own, ids]).astype(np.int64), "ask": pa.array(ask.tolist() + [None] * ni, pa.int64()),
+            "floor": pa.array([None if f != f else f for f in floor] + [None] * ni, pa.float64()), "vec": pa.array([*u.tolist(), *v.tolist()], pa.list_(pa.float64())),
+        })
+        got = {(x["user"], x["item"]): x["score"] for x in blocks._scorer(normalise, same, 6)(rows).to_pylist()}
+        with np.errstate(all="ignore"):
+            a, b = ((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if normalise else x) for x in (u, v))
+            scores = np.round(a @ b.T, 6) + 0.0
+        want = {}
+        for i in range(nq):
+            ok = [j for j in range(ni) if scores[i, j] > -np.inf and not scores[i, j] < floor[i] and not (same and ids[j] == own[i])]
+            want |= {(own[i], ids[j]): scores[i, j] for j in sorted(ok, key=lambda j: (-scores[i, j], ids[j]))[: ask[i]]}
+        assert got.keys() == want.keys() and all(got[x] == want[x] or abs(got[x] - want[x]) < 2e-6 for x in want)
