@@ -41,6 +41,8 @@ def idf_table(counts: DataFrame, n_docs: Column) -> DataFrame:
 def weigh(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """(key, word, weight) with unit length per document."""
     raw = counts.join(idf.select("word", "idf"), "word").select(key, "word", (F.col("tf") * F.col("idf")).alias("__w"))
+    # Dealt by text before the squares that the window adds up are made, which else would travel as one more number.
+    raw = raw.repartition(F.col(key))
     # A document's group is its own vocabulary, so the window costs one shuffle and no join back.
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(W.partitionBy(key)))
     return raw.select(key, "word", (F.col("__w") / norm).alias("weight"))
@@ -73,10 +75,17 @@ def markers(df: DataFrame, text: str, rules: dict[str, tuple[str, str]]) -> Data
 
 
 def keyword_cosine(weights: DataFrame, keywords: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """Cosine of each text and its keywords, 0 without a common word. keywords: (key, word)."""
-    kw = weigh(keywords.groupBy(key, "word").agg(F.count("*").alias("tf")), idf, key).withColumnRenamed("weight", "__k")
-    dots = weights.join(kw, [key, "word"]).groupBy(key).agg(F.sum(F.col("weight") * F.col("__k")).alias("cosine"))
-    return keywords.select(key).distinct().join(dots, key, "left").fillna(0.0, subset=["cosine"])
+    """Cosine of each text and its keywords, 0 without a common word. keywords: (key, word).
+
+    All branches group by text, and none reads texts without a key, so that keywords cut from the same weights share
+    their shuffle. A text's keywords meet its words as one map: a join on the word too would deal the weights anew.
+    """
+    known = keywords.where(F.col(key).isNotNull())
+    kw = weigh(known.groupBy(key, "word").agg(F.count("*").alias("tf")), idf, key)
+    packed = kw.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("__k"))
+    dots = weights.join(packed, key).groupBy(key).agg(F.sum(F.col("weight") * F.col("__k")[F.col("word")]).alias("cosine"))
+    none = keywords.where(F.col(key).isNull()).select(key, F.lit(0.0).alias("cosine")).distinct()
+    return known.select(key).distinct().join(dots, key, "left").fillna(0.0, subset=["cosine"]).unionByName(none)
 
 
 def sentence_rows(df: DataFrame, keys: Sequence[str], text: str, min_length: int = 10) -> DataFrame:

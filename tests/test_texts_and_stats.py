@@ -1,5 +1,7 @@
+import collections
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -103,3 +105,38 @@ def test_texts_of_every_script_keep_their_words(spark):
     got = {r["review_id"]: r["clean"] for r in O.normalised_texts(df, "review_id", "text", ["diner_idx"]).collect()}
     assert got == {1: "김치찌개가 정말 맛있어요", 2: "für Müllers café", 4: "für Müllers café"}
     assert df.where("review_id = 2").select(X.tokens("text", min_length=2)).first()[0] == ["für", "müller", "café"]
+
+
+def test_keyword_cosine_shuffles_weights_once(spark):
+    """Texts and their keywords, also words that no text has, texts without words in common and rows without a key."""
+    r = random.Random(4)
+    texts = [(i, " ".join(f"w{chr(97 + r.randrange(12))}" for _ in range(r.randint(1, 30)))) for i in range(40)] + [(7, "wa wz"), (None, "wa wb")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    weights, idf = O.tfidf(df, "id", "text")
+    tags = O.top_tags(weights, "id", 3).select("id", "word")
+    out = O.keyword_cosine(weights, tags, idf, "id")
+    got = {x["id"]: x["cosine"] for x in out.collect()}
+    by_text, value = collections.defaultdict(dict), {x["word"]: x["idf"] for x in idf.collect()}
+    for x in weights.collect():
+        by_text[x["id"]][x["word"]] = x["weight"]
+    own = collections.defaultdict(list)
+    for x in tags.collect():
+        own[x["id"]].append(x["word"])
+    for i, words in own.items():
+        norm = sum(value[w] ** 2 for w in words) ** 0.5
+        want = 0.0 if i is None else sum(by_text[i][w] * value[w] / norm for w in words)
+        assert abs(got.pop(i) - want) < 1e-9
+    assert not got
+    # At size, where nothing is broadcast, weights are not dealt by word a second time.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = O.keyword_cosine(weights, tags, idf, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [id#" in plan and not re.search(r"SortMergeJoin \[id#\d+L?, word", plan)
+    other = spark.createDataFrame([(1, "nowhere"), (2, "wa"), (None, "wa"), (99, "wa"), (3, "wa"), (3, "wa"), (3, "wb")], "id long, word string")
+    loose = {x["id"]: x["cosine"] for x in O.keyword_cosine(weights, other, idf, "id").collect()}
+    assert set(loose) == {1, 2, None, 99, 3} and loose[1] == loose[99] == loose[None] == 0.0
+    norm = (4 * value["wa"] ** 2 + value["wb"] ** 2) ** 0.5
+    assert abs(loose[3] - (by_text[3].get("wa", 0) * 2 * value["wa"] + by_text[3].get("wb", 0) * value["wb"]) / norm) < 1e-9
