@@ -150,3 +150,23 @@ def test_near_rows_at_high_latitudes_and_the_date_line(spark):
     want = {(i, j) for i, x, y in rows for j, u, v in rows if i < j and km(x, y, u, v) <= 5}
     got = [(r["a"], r["b"]) for r in P.near_pairs(df, "id", "lat", "lon", 5.0).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_pairs_compare_lines_before_arcs(spark):
+    """Points a metre, a walk and half the globe apart, also equal ones and ones without coordinates; arcs are measured last."""
+    r = random.Random(12)
+    rows = [(i, 37.5 + r.random() * 3e-5, 127.0 + r.random() * 3e-5) for i in range(30)] + [(30 + i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(30)]
+    rows += [(70, *rows[0][1:]), (71, None, 127.0), (72, 90.0, 0.0), (73, 90.0, 90.0)]
+    df = spark.createDataFrame(rows, "id long, la double, lo double")
+
+    def arc(a, b):
+        x = [math.radians(v) for v in (*a[1:], *b[1:])]
+        h = math.sin((x[2] - x[0]) / 2) ** 2 + math.cos(x[0]) * math.cos(x[2]) * math.sin((x[3] - x[1]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    known = [x for x in rows if x[1] is not None]
+    for km in (0.001, 0.5, 9000.0):
+        out = P.near_pairs(df, "id", "la", "lo", km)
+        assert sorted((x["a"], x["b"]) for x in out.collect()) == sorted((a[0], b[0]) for a in known for b in known if a[0] < b[0] and arc(a, b) <= km)
+        join = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x)
+        assert "x1#" in join and join.upper().find("ASIN(") in (-1, *range(join.find("x1#"), len(join)))
