@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from savora import session
 from savora.sources.tables import Tables
 
@@ -27,3 +29,19 @@ def test_review_log_deals_its_rows_to_tasks_by_number(spark, tmp_path, monkeypat
                 assert after.rdd.getNumPartitions() == 26 > parts  # 180 lines
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_written_frames_leave_no_shuffle_behind(spark):
+    """A loop that writes its state each round kept every round's shuffle on disk until the driver collected its garbage."""
+    import time
+
+    from savora.session import SHUFFLES_GO, materialise
+
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before, setting = held(), spark.conf.get(SHUFFLES_GO, "false")
+    for _ in range(3):
+        out = materialise(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while held() > before and time.time() < until:
+        time.sleep(0.1)
+    assert held() <= before and spark.conf.get(SHUFFLES_GO, "false") == setting and out.count() == 7
